@@ -73,7 +73,10 @@ class Tables:
         return self.sql(SQL[name])
 
     def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(text, **{n: self[n] for n in _needs(text)})
+        names = _needs(text)
+        marked = re.sub("|".join(rf"\\{{{n}\\}}" for n in names) or "$^", lambda m: f"\0{m.group(0)[1:-1]}\1", text)
+        marked = marked.replace("{", "{{").replace("}", "}}").replace("\0", "{").replace("\1", "}")
+        return self.spark.sql(marked, **{n: self[n] for n in names})
 
 
 def oracle(body: str) -> str:

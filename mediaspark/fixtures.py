@@ -74,8 +74,9 @@ class Tables:
 
     def sql(self, text: str) -> DataFrame:
         names = _needs(text)
-        marked = re.sub("|".join(rf"\\{{{n}\\}}" for n in names) or "$^", lambda m: f"\0{m.group(0)[1:-1]}\1", text)
-        marked = marked.replace("{", "{{").replace("}", "}}").replace("\0", "{").replace("\1", "}")
+        # Braces that do not name a table are doubled, as the formatter of spark.sql wants it.
+        marked = re.sub(r"\{(\w+)\}|[{}]", lambda m: m.group(0) if m.group(1) in names else
+                        m.group(0).replace("{", "{{").replace("}", "}}"), text)
         return self.spark.sql(marked, **{n: self[n] for n in names})
 
 

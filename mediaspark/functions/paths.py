@@ -64,6 +64,10 @@ def _step(v: Column, key, casesense: bool) -> tuple[Column, bool]:
     raise TypeError(f"bad step {key!r}")
 
 
+def _bound(key, casesense):
+    return lambda x: _step(x, key, casesense)[0]
+
+
 def follow(v: Column, path, casesense: bool = True) -> tuple[Column, bool]:
     """Value of a path: a VARIANT, or array<variant> where it branched."""
     many = False
@@ -80,7 +84,7 @@ def follow(v: Column, path, casesense: bool = True) -> tuple[Column, bool]:
         if many:
             single, branched = _step(F.lit(None).cast("variant"), key, casesense)
             v = F.filter(v, _useful)
-            v = F.transform(v, lambda x, k=key: _step(x, k, casesense)[0])
+            v = F.transform(v, _bound(key, casesense))
             if branched:
                 v = F.flatten(F.filter(v, lambda x: x.isNotNull()))
         else:

@@ -44,8 +44,8 @@ def _entities(common: bool) -> Column:
     """
     known = {f"&{k}": v for k, v in html.entities.html5.items()
              if k.endswith(";") and (k in _COMMON) == common}
-    flat = [F.lit(x) for kv in known.items() for x in kv]
-    return F.create_map(*flat)
+    text = "\x01".join(f"{k}\x02{v}" for k, v in known.items())
+    return F.str_to_map(F.lit(text), F.lit("\x01"), F.lit("\x02"))
 
 
 def unescape(text: Column) -> Column:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from .text import clean_html, unescape
-from .values import let
+from .core import let
 
 
 def search(text: Column, patterns, clean: bool = False) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from . import values as vx
 from .text import unescape
 from .urls import valid
-from .values import let
+from .core import let
 
 _BLOCK = r"""(?is)<script[^>]+type=(["']?)application/ld\+json\1[^>]*>(.+?)</script>"""
 # Interaction types and the counters they stand for.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .core import hit, let, pack
+
 # File extensions of media and manifests that are known without probing.
 VIDEO_EXTS = ["avi", "flv", "mkv", "mov", "mp4", "webm", "3g2", "3gp", "f4v", "mk3d", "divx", "mpg", "ogv", "m4v", "wmv"]
 AUDIO_EXTS = ["aiff", "alac", "flac", "m4a", "mka", "mp3", "ogg", "opus", "wav", "aac", "ape", "asf", "f4a", "f4b",
@@ -12,11 +14,6 @@ MANIFEST_EXTS = ["f4f", "f4m", "m3u8", "smil", "mpd"]
 KNOWN_EXTS = VIDEO_EXTS + AUDIO_EXTS + MANIFEST_EXTS
 
 
-def hit(col: Column, pattern: str, group: int = 1) -> Column:
-    """First match of ``pattern``, null where it does not match (an empty group also gives null)."""
-    return F.nullif(F.regexp_extract(col, pattern, group), F.lit(""))
-
-
 def sanitize(url: Column) -> Column:
     """Add a missing scheme and mend two common scheme typos."""
     return (F.when(url.startswith("//"), F.concat(F.lit("http:"), url))
@@ -78,34 +75,44 @@ def host(url: Column) -> Column:
 
 def tidy_path(path: Column) -> Column:
     """Remove ``.`` and ``..`` segments of a path that starts with a slash."""
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    last = F.element_at(parts, -1)
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), let(F.split(F.regexp_replace(path, "^/", ""), "/"), _tidy)).otherwise(path)
+
+
+def _tidy(parts: Column) -> Column:
     kept = F.aggregate(
         parts, F.expr("CAST(array() AS ARRAY<STRING>)"),
         lambda acc, p: F.when(p == ".", acc)
         .when(p == "..", F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc))
         .otherwise(F.concat(acc, F.array(p))))
-    out = F.concat(F.lit("/"), F.array_join(kept, "/"))
-    return F.when(last.isin(".", "..") & (F.size(kept) > 0), F.concat(out, F.lit("/"))).otherwise(out)
+    # A path that ends in a dot segment names a folder.
+    folder = F.element_at(parts, -1).isin(".", "..")
+    return let(kept, lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(folder & (F.size(k) > 0), F.lit("/")).otherwise(F.lit(""))))
 
 
 def resolve(base: Column, link: Column) -> Column:
     """Absolute form of a link on a page; null without a usable base or link."""
-    origin = F.regexp_extract(base, r"^((?:https?:)?//[^/?#]*)", 1)
-    base_scheme = F.regexp_extract(base, r"^((?:https?:)?)", 1)
-    base_path = path_of(base)
-    folder = F.when(base_path == "", F.lit("/")).otherwise(F.regexp_extract(base_path, "^(.*/)", 1))
-    link_path = F.regexp_extract(link, "^([^?#]*)", 1)
-    tail = F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
-    tidied = F.when(link_path.startswith("/"), tidy_path(link_path)).otherwise(tidy_path(F.concat(folder, link_path)))
-    base_query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
-    same_page = F.concat(origin, base_path, F.when(tail.startswith("?"), tail).otherwise(F.concat(base_query, tail)))
+    return let(pack(base=base, link=link), _resolve)
+
+
+def _resolve(pair: Column) -> Column:
+    base, link = pair["base"], pair["link"]
     return (F.when(link.isNull() | (link == ""), F.lit(None))
             .when(link.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+-.]*:)?//"), link)
             .when(~base.rlike(r"^(?:https?:)?//") | base.isNull(), F.lit(None))
             .when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
-            .when(link_path == "", same_page)
-            .otherwise(F.concat(origin, tidied, tail)))
+            .otherwise(let(pack(
+                origin=F.regexp_extract(base, r"^((?:https?:)?//[^/?#]*)", 1), path=path_of(base),
+                query=F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1), to=F.regexp_extract(link, "^([^?#]*)", 1),
+                tail=F.regexp_extract(link, r"^[^?#]*(.*)$", 1)), _rebase)))
+
+
+def _rebase(p: Column) -> Column:
+    folder = F.when(p["path"] == "", F.lit("/")).otherwise(F.regexp_extract(p["path"], "^(.*/)", 1))
+    target = F.when(p["to"].startswith("/"), p["to"]).otherwise(F.concat(folder, p["to"]))
+    # An empty path stays on the page; its query then holds unless the link brings one.
+    tail = F.when(p["tail"].startswith("?"), p["tail"]).otherwise(F.concat(p["query"], p["tail"]))
+    return (F.when(p["to"] == "", F.concat(p["origin"], p["path"], tail))
+            .otherwise(F.concat(p["origin"], let(target, tidy_path), p["tail"])))
 
 
 # Characters that stay as they are when a URL part is escaped.

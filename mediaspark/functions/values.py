@@ -7,13 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from .core import hit, let, pack
 from .text import clock, human_bytes
-from .urls import hit
-
-
-def let(c: Column, fn) -> Column:
-    """``fn`` of a value that is computed once, however often ``fn`` uses it."""
-    return F.element_at(F.transform(F.array(c), fn), 1)
 
 
 def _num(c: Column) -> Column:
@@ -22,7 +17,10 @@ def _num(c: Column) -> Column:
 
 def duration(text: Column) -> Column:
     """Seconds of ``[d:]h:m:s[.ms]``, ISO 8601 or worded durations; years, months and weeks count nothing."""
-    s = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    return let(F.regexp_replace(text, r"^\s+|\s+$", ""), _duration)
+
+
+def _duration(s: Column) -> Column:
     clock_re = r"^(?:(?:([0-9]+):)?([0-9]+):)?([0-9]+):([0-9]{1,2})(?:[.:]([0-9]+))?Z?$"
     secs_re = r"^([0-9]+)(?:[.:]([0-9]+))?Z?$"
     words_re = (r"(?i)^(?:P?(?:[0-9]+\s*y(?:ears?)?,?\s*)?(?:[0-9]+\s*m(?:onths?)?,?\s*)?(?:[0-9]+\s*w(?:eeks?)?,?\s*)?"
@@ -86,7 +84,7 @@ def resolution(text: Column) -> Column:
     h = (F.when(text.rlike(box), hit(text, box, 2).try_cast("int"))
          .when(text.rlike(lines), hit(text, lines).try_cast("int"))
          .when(text.rlike(kilo), hit(text, kilo).try_cast("int") * 540))
-    return F.struct(w.alias("width"), h.alias("height"))
+    return pack(width=w, height=h)
 
 
 def bitrate(text: Column) -> Column:
@@ -235,22 +233,25 @@ def codecs(text: Column) -> Column:
     """struct(vcodec, acodec, dynamic_range) of a codec list; two unknown names count as video and audio."""
     names = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
     base = lambda x: F.regexp_replace(F.lower(F.substring_index(x, ".", 1)), r"0+(?=\d)", "")
-    rest = lambda x: F.when(x.contains("."), F.regexp_extract(x, r"^[^.]*\.(.*)$", 1)).otherwise(F.lit(""))
-    full = lambda x: F.when(rest(x) != "", F.concat(F.lower(F.substring_index(x, ".", 1)), F.lit("."), rest(x))) \
-        .otherwise(F.lower(F.substring_index(x, ".", 1)))
-    first = lambda kinds: F.try_element_at(F.filter(names, lambda x: base(x).isin(kinds)), F.lit(1))
-    v, a = first(VIDEO_CODECS), first(AUDIO_CODECS)
+    first = lambda ns, kinds: F.try_element_at(F.filter(ns, lambda x: base(x).isin(kinds)), F.lit(1))
+    found = let(names, lambda ns: pack(names=ns, v=first(ns, VIDEO_CODECS), a=first(ns, AUDIO_CODECS)))
+    return let(found, _codecs)
+
+
+def _codecs(found: Column) -> Column:
+    names, v, a = found["names"], found["v"], found["a"]
+    rest = lambda x: F.regexp_extract(x, r"^[^.]*\.(.*)$", 1)
+    head = lambda x: F.lower(F.substring_index(x, ".", 1))
+    full = lambda x: F.concat(head(x), F.when(rest(x) != "", F.concat(F.lit("."), rest(x))).otherwise(F.lit("")))
     part = lambda n: F.ltrim(F.coalesce(F.try_element_at(F.split(rest(v), r"\."), F.lit(n)), F.lit("")), F.lit("0"))
-    hdr = (F.when(base(v).isin("dvh1", "dvhe"), F.lit("DV"))
-           .when((base(v) == "av1") & (part(3) == "10"), F.lit("HDR10"))
-           .when((base(v) == "vp9") & (part(1) == "2"), F.lit("HDR10")))
-    known = v.isNotNull() | a.isNotNull()
-    two = F.size(names) == 2
-    none = F.lit("none")
-    return F.struct(
-        F.when(known, F.coalesce(full(v), none)).when(two, F.try_element_at(names, F.lit(1))).alias("vcodec"),
-        F.when(known, F.coalesce(full(a), none)).when(two, F.try_element_at(names, F.lit(2))).alias("acodec"),
-        F.when(known, hdr).alias("dynamic_range"))
+    hdr = (F.when(head(v).isin("dvh1", "dvhe"), F.lit("DV"))
+           .when(head(v).isin("av1", "av01") & (part(3) == "10"), F.lit("HDR10"))
+           .when(head(v).isin("vp9", "vp09") & (part(1) == "2"), F.lit("HDR10")))
+    known, two, none = v.isNotNull() | a.isNotNull(), F.size(names) == 2, F.lit("none")
+    return pack(
+        vcodec=F.when(known, F.coalesce(full(v), none)).when(two, F.try_element_at(names, F.lit(1))),
+        acodec=F.when(known, F.coalesce(full(a), none)).when(two, F.try_element_at(names, F.lit(2))),
+        dynamic_range=F.when(known, hdr))
 
 
 # Media subtypes whose usual extension differs from the subtype.

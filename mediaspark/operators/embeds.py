@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import html as hx, text as tx, urls as ux, values as vx
-from ..functions.values import let
+from ..functions.core import let
 
 _TAG = r"(?:(?:amp|dl8(?:-live)?)-)?(video(?:-js)?|audio)"
 _CLOSED = rf"(?s)<{_TAG}[^>]*/>"

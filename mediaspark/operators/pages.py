@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import skew
 from ..functions import html as hx, jsonld, text as tx, urls as ux
-from ..functions.values import let
+from ..functions.core import let
 
 HTML = F.col
 

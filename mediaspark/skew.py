@@ -85,11 +85,15 @@ def _sliced(warm: DataFrame, by, order) -> DataFrame:
 
 
 def _with_offsets(sliced: DataFrame, by, aggs: dict) -> DataFrame:
-    """Join to each slice the totals of the earlier slices of its group (bounded, broadcast)."""
-    per = sliced.groupBy(*by, "__slice").agg(*[a.alias(f"__off_{n}") for n, a in aggs.items()])
+    """Join to each slice the totals of the earlier slices of its group (bounded, broadcast).
+
+    ``aggs`` maps a name to ``("sum" | "max", aggregate)``.
+    """
+    per = sliced.groupBy(*by, "__slice").agg(*[a.alias(f"__off_{n}") for n, (_, a) in aggs.items()])
     before = W.partitionBy(*by).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
-    offs = per.select(*by, "__slice", *[F.coalesce(F.sum(f"__off_{n}").over(before), F.lit(0)).alias(f"__off_{n}")
-                                        for n in aggs])
+    offs = per.select(*by, "__slice", *[
+        (F.coalesce(F.sum(f"__off_{n}").over(before), F.lit(0)) if kind == "sum" else F.max(f"__off_{n}").over(before)).alias(f"__off_{n}")
+        for n, (kind, _) in aggs.items()])
     keys = [*by, "__slice"]
     offs = F.broadcast(_keyed(offs, keys))
     return _drop_keys(sliced.join(offs, _same_key(sliced, offs, keys), "left"))
@@ -103,25 +107,37 @@ def numbered(df: DataFrame, by, order, out: str, hot_rows: int | None = None,
     cold = cold.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("bigint"))
     if warm is None:
         return cold
-    s = _with_offsets(_sliced(warm, by, order), by, {"n": F.count(F.lit(1))})
+    s = _with_offsets(_sliced(warm, by, order), by, {"n": ("sum", F.count(F.lit(1)))})
     ws = W.partitionBy(*by, "__slice").orderBy(*order)
     warm = s.withColumn(out, F.row_number().over(ws) + F.col("__off_n")).drop("__slice", "__off_n")
     return cold.unionByName(warm)
 
 
-def running_sums(df: DataFrame, by, order, sums: dict, hot_rows: int | None = None,
-                 sizes: DataFrame | None = None) -> DataFrame:
-    """Inclusive running sums per group in the given ascending order; ``sums`` maps new name -> column."""
+def running(df: DataFrame, by, order, wanted: dict, hot_rows: int | None = None,
+            sizes: DataFrame | None = None) -> DataFrame:
+    """Running aggregates per group in the given ascending order.
+
+    ``wanted`` maps a new name to ``(kind, column)`` with kind ``sum`` or ``max`` (up to and with the
+    row), or ``max_before`` (up to the row before).
+    """
     by = _names(by)
     cold, warm = split_hot(df, by, hot_rows, sizes)
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    cold = cold.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
+
+    def add(d, *part):
+        w = W.partitionBy(*by, *part).orderBy(*order)
+        upto, before = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
+        out = {n: (F.sum(c).over(upto) if k == "sum" else F.max(c).over(before if k == "max_before" else upto))
+               for n, (k, c) in wanted.items()}
+        if part:
+            out = {n: (F.coalesce(c, F.lit(0)) + F.col(f"__off_{n}")) if wanted[n][0] == "sum" else F.greatest(c, F.col(f"__off_{n}"))
+                   for n, c in out.items()}
+        return d.select("*", *[c.alias(n) for n, c in out.items()])
+    cold = add(cold)
     if warm is None:
         return cold
-    s = _with_offsets(_sliced(warm, by, order), by, {n: F.sum(c) for n, c in sums.items()})
-    ws = W.partitionBy(*by, "__slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    warm = s.select("*", *[(F.sum(c).over(ws) + F.col(f"__off_{n}")).alias(n) for n, c in sums.items()])
-    return cold.unionByName(warm.drop("__slice", *[f"__off_{n}" for n in sums]))
+    aggs = {n: ("sum", F.sum(c)) if k == "sum" else ("max", F.max(c)) for n, (k, c) in wanted.items()}
+    warm = add(_with_offsets(_sliced(warm, by, order), by, aggs), "__slice")
+    return cold.unionByName(warm.drop("__slice", *[f"__off_{n}" for n in wanted]))
 
 
 def first_per_group(df: DataFrame, by, order, keep=None) -> DataFrame:

@@ -10,11 +10,22 @@ def let(c: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(c), fn), 1)
 
 
+def filled(c: Column) -> Column:
+    """The text, or null where it is empty."""
+    return let(c, lambda x: F.when(x != "", x))
+
+
 def hit(col: Column, pattern: str, group: int = 1) -> Column:
     """First match of ``pattern``, null where it does not match (an empty group also gives null)."""
-    return F.nullif(F.regexp_extract(col, pattern, group), F.lit(""))
+    return filled(F.regexp_extract(col, pattern, group))
 
 
 def pack(**fields) -> Column:
     """Struct with the given field names (a plain struct of aliases loses them next to a generator)."""
     return F.named_struct(*[x for name, c in fields.items() for x in (F.lit(name), c)])
+
+
+def once(c: Column) -> Column:
+    """A generator that gives the value as it is: a costly expression in a select of its own is then
+    computed once per row, and later filters on its parts cannot be pushed below it and repeat it."""
+    return F.explode(F.array(c))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from .text import clean_html, unescape
-from .core import let
+from .core import hit, let
 
 
 def search(text: Column, patterns, clean: bool = False) -> Column:
@@ -16,7 +16,7 @@ def search(text: Column, patterns, clean: bool = False) -> Column:
     for p in [patterns] if isinstance(patterns, str) else patterns:
         groups = max(1, re.compile(p).groups) if "(" in p else 0
         first = range(1, groups + 1) if groups else [0]
-        tries += [F.nullif(F.regexp_extract(text, p, i), F.lit("")) for i in first]
+        tries += [hit(text, p, i) for i in first]
     found = F.coalesce(*tries)
     return let(found, clean_html) if clean else found
 
@@ -45,7 +45,7 @@ def meta(text: Column, names) -> Column:
     for n in [names] if isinstance(names, str) else names:
         p = (rf"""(?is)<meta(?=[^>]+(?:itemprop|name|property|id|http-equiv)=(["']?){re.escape(n)}\1)"""
              r"""[^>]+?content=(["'])(.*?)\2""")
-        tries.append(F.nullif(F.regexp_extract(text, p, 3), F.lit("")))
+        tries.append(hit(text, p, 3))
     return let(F.coalesce(*tries), clean_html)
 
 

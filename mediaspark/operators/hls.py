@@ -32,7 +32,8 @@ def hls_attributes(df: DataFrame, col: str, out: str = "attributes") -> DataFram
 
 
 def value(attrs: Column, key: str) -> Column:
-    return F.nullif(F.try_element_at(F.filter(attrs, lambda a: a["k"] == key), F.lit(-1))["v"], F.lit(""))
+    """Value of an attribute; the pattern admits no empty ones."""
+    return F.try_element_at(F.filter(attrs, lambda a: a["k"] == key), F.lit(-1))["v"]
 
 
 def _lines(body: Column) -> Column:
@@ -78,7 +79,7 @@ def hls_variants(manifests: DataFrame, m3u8_id: str | None = None, ext: str | No
     media = F.filter(media, lambda m: m["type"].isNotNull() & m["grp"].isNotNull() & m["name"].isNotNull())
     # The stream tag in force at a URI line is the last one since the previous URI line.
     blocks = F.transform(_blocks(body), lambda b: F.struct(
-        F.trim(F.regexp_extract(b, r"([^\n]*)\z", 1)).alias("uri"),
+        F.trim(F.substring_index(b, "\n", -1)).alias("uri"),
         attributes(F.regexp_extract(b, r"(?s)^(?:.*\n)?#EXT-X-STREAM-INF:([^\n]*)", 1)).alias("a")))
     keys = ["NAME", "VIDEO", "AUDIO", "CODECS", "RESOLUTION", "FRAME-RATE", "PROGRESSIVE-URI"]
     tag = lambda k: k.lower().replace("-", "_")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import html as hx, urls as ux, values as vx
+from ..functions.core import filled, let, once, pack
 from ..session import cut
 
 XML_OPTIONS = {"ignoreNamespace": "true"}
@@ -29,7 +30,7 @@ ISM_CODECS = ["H264", "AVC1", "AACL"]
 
 
 def _ism_tracks(manifests: DataFrame) -> DataFrame:
-    x = manifests.select("manifest_id", "url", F.from_xml(fixed(F.col("body")), _ISM, XML_OPTIONS).alias("x"))
+    x = manifests.select("manifest_id", "url", once(F.from_xml(fixed(F.col("body")), _ISM, XML_OPTIONS)).alias("x"))
     # Only the exact word TRUE marks a live stream; any Protection element closes the manifest.
     x = x.filter(~F.coalesce(F.col("x._IsLive") == "TRUE", F.lit(False)) & F.col("x.Protection").isNull())
     scale = F.coalesce(F.nullif("x._TimeScale", F.lit(0)), F.lit(10000000))
@@ -87,7 +88,7 @@ def f4m_formats(manifests: DataFrame, f4m_id: str | None = None) -> DataFrame:
     A relative entry without a base URL is taken from the folder of the URL worked on last, so the
     entries of one manifest are folded in order.
     """
-    x = manifests.select("manifest_id", "url", "body", F.from_xml(F.trim(fixed(F.col("body"))), _F4M, XML_OPTIONS).alias("x"))
+    x = manifests.select("manifest_id", "url", "body", once(F.from_xml(F.trim(fixed(F.col("body"))), _F4M, XML_OPTIONS)).alias("x"))
     locked = F.coalesce(F.col("x.`pv-2.0`").contains(";") & (F.trim(F.substring_index(F.col("x.`pv-2.0`"), ";", 1)) != ""), F.lit(False))
     second = ~F.col("body").contains("ns.adobe.com/f4m/1.0")
     open_ = F.filter("x.media", lambda m: m["_drmAdditionalHeaderId"].isNull() & m["_drmAdditionalHeaderSetId"].isNull())
@@ -123,8 +124,15 @@ def _tags(name: str) -> Column:
     return F.transform(F.regexp_extract_all("body", F.lit(rf"(?is)(<(?:[a-z0-9]+:)?{name}\b[^>]*>)"), F.lit(1)), hx.attributes)
 
 
+def _sources(tags: Column) -> Column:
+    """array<struct<src, a>> of tags with a source, each source once."""
+    rows = F.filter(F.transform(tags, lambda a: pack(src=_any(a, "src"), a=a)), lambda m: m["src"].isNotNull())
+    return let(rows, lambda ms: let(F.transform(ms, lambda m: m["src"]), lambda srcs: F.filter(
+        ms, lambda m, i: F.array_position(srcs, m["src"]) == i + 1)))
+
+
 def _any(a: Column, *names) -> Column:
-    return F.coalesce(*[F.nullif(hx.get(a, n.lower()), F.lit("")) for n in names])
+    return F.coalesce(*[filled(hx.get(a, n.lower())) for n in names])
 
 
 def smil_formats(manifests: DataFrame) -> DataFrame:
@@ -134,17 +142,15 @@ def smil_formats(manifests: DataFrame) -> DataFrame:
     rtmp and http renditions without a bitrate are numbered in order.
     """
     head = F.regexp_extract("body", r"(?is)<(?:[a-z0-9]+:)?head\b[^>]*>(.*?)</(?:[a-z0-9]+:)?head>", 1)
-    metas = F.transform(F.regexp_extract_all(head, F.lit(r"(?is)(<(?:[a-z0-9]+:)?meta\b[^>]*>)"), F.lit(1)), lambda t: _any(hx.attributes(t), "base", "httpBase"))
+    metas = F.transform(F.regexp_extract_all(head, F.lit(r"(?is)(<(?:[a-z0-9]+:)?meta\b[^>]*>)"), F.lit(1)), lambda t: let(hx.attributes(t), lambda a: _any(a, "base", "httpBase")))
     base = F.coalesce(F.try_element_at(F.filter(metas, lambda b: b.isNotNull()), F.lit(1)), F.col("url"))
-    media = F.filter(F.concat(_tags("video"), _tags("audio")), lambda a: _any(a, "src").isNotNull())
-    d = manifests.select("manifest_id", base.alias("base"), media.alias("media"))
-    srcs = F.transform("media", lambda a: _any(a, "src"))
-    firsts = F.filter("media", lambda a, i: F.array_position(srcs, _any(a, "src")) == i + 1)
-    d = d.select("manifest_id", "base", F.posexplode(firsts).alias("pos", "a"))
-    a = F.col("a")
-    src, proto = _any(a, "src"), _any(a, "proto")
-    streamer = F.coalesce(_any(a, "streamer"), F.col("base"))
-    full = F.trim(F.when(src.startswith("http"), src).otherwise(F.coalesce(ux.resolve(F.col("base"), src), src)))
+    d = manifests.select("manifest_id", base.alias("base"), F.posexplode(_sources(F.concat(_tags("video"), _tags("audio")))).alias("pos", "m"))
+    a = F.col("m.a")
+    d = d.select("manifest_id", "pos", "base", F.col("m.src").alias("src"), a.alias("a"), _any(a, "proto").alias("proto"),
+                 F.coalesce(_any(a, "streamer"), F.col("base")).alias("streamer"))
+    a, src, proto, streamer = F.col("a"), F.col("src"), F.col("proto"), F.col("streamer")
+    d = d.withColumn("full", F.trim(F.when(src.startswith("http"), src).otherwise(F.coalesce(ux.resolve(F.col("base"), src), src))))
+    full = F.col("full")
     src_ext = ux.ext_of(src)
     route = (F.when((F.coalesce(proto, F.lit("")) == "rtmp") | streamer.startswith("rtmp"), F.lit("rtmp"))
              .when((F.coalesce(proto, F.lit("")) == "m3u8") | (src_ext == "m3u8"), F.lit("m3u8")).when(src_ext == "f4m", F.lit("f4m"))
@@ -163,11 +169,8 @@ def smil_formats(manifests: DataFrame) -> DataFrame:
 
 def smil_subtitles(manifests: DataFrame, lang: str = "en") -> DataFrame:
     """Text streams of SMIL files by language."""
-    rows = F.filter(_tags("textstream"), lambda a: _any(a, "src").isNotNull())
-    d = manifests.select("manifest_id", rows.alias("t"))
-    srcs = F.transform("t", lambda a: _any(a, "src"))
-    d = d.select("manifest_id", F.posexplode(F.filter("t", lambda a, i: F.array_position(srcs, _any(a, "src")) == i + 1)).alias("pos", "a"))
-    a = F.col("a")
+    d = manifests.select("manifest_id", F.posexplode(_sources(_tags("textstream"))).alias("pos", "m"))
+    a = F.col("m.a")
     return d.select("manifest_id", "pos", F.coalesce(_any(a, "systemLanguage", "systemLanguageName", "lang"), F.lit(lang)).alias("lang"),
                     _any(a, "src").alias("url"), F.coalesce(_any(a, "ext"), vx.mime_ext(_any(a, "type")), ux.ext_of(_any(a, "src"))).alias("ext"))
 
@@ -175,8 +178,8 @@ def smil_subtitles(manifests: DataFrame, lang: str = "en") -> DataFrame:
 def smil_info(manifests: DataFrame) -> DataFrame:
     """Title, description and date of SMIL files."""
     head = F.regexp_extract("body", r"(?is)<(?:[a-z0-9]+:)?head\b[^>]*>(.*?)</(?:[a-z0-9]+:)?head>", 1)
-    metas = F.transform(F.regexp_extract_all(head, F.lit(r"(?is)(<(?:[a-z0-9]+:)?meta\b[^>]*>)"), F.lit(1)), lambda t: F.struct(
-        _any(hx.attributes(t), "name").alias("n"), _any(hx.attributes(t), "content").alias("c")))
+    metas = F.transform(F.regexp_extract_all(head, F.lit(r"(?is)(<(?:[a-z0-9]+:)?meta\b[^>]*>)"), F.lit(1)), lambda t: let(
+        hx.attributes(t), lambda a: pack(n=_any(a, "name"), c=_any(a, "content"))))
     d = manifests.select("manifest_id", "url", metas.alias("m"))
     first = lambda *names: F.try_element_at(F.filter("m", lambda x: x["n"].isin(*names) & x["c"].isNotNull()), F.lit(1))["c"]
     name = F.regexp_replace(ux.basename(F.col("url")), r"^(.*[^.].*)\.[^.]*$", "$1")
@@ -198,7 +201,7 @@ _XSPF = ("trackList struct<track array<struct<title string,annotation string,ima
 
 
 def xspf_tracks(manifests: DataFrame) -> DataFrame:
-    x = manifests.select("manifest_id", "url", F.from_xml(fixed(F.col("body")), _XSPF, XML_OPTIONS).alias("x"))
+    x = manifests.select("manifest_id", "url", once(F.from_xml(fixed(F.col("body")), _XSPF, XML_OPTIONS)).alias("x"))
     return x.select("manifest_id", "url", F.posexplode("x.trackList.track").alias("pos", "t"))
 
 

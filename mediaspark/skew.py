@@ -54,9 +54,12 @@ def split_hot(df: DataFrame, by, hot_rows: int | None = None, sizes: DataFrame |
 
     ``sizes`` may name a cheaper table with the same keys whose groups are at least as large. The
     look-up brings at most MAX_HOT keys to the driver, so that without hot groups (the usual case)
-    the plan stays one plain window.
+    the plan stays one plain window. ``hot_rows=0`` skips it for groups that are bounded by their making,
+    such as the parts of one stored document.
     """
     by = _names(by)
+    if hot_rows == 0:
+        return df, None
     base = df if sizes is None else sizes
     counted = hot_groups(base, by, HOT_ROWS if hot_rows is None else hot_rows)
     found = counted.collect()

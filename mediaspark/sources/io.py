@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from .. import skew
 from ..functions import urls as ux, values as vx
+from ..functions.core import once
 from ..operators.manifests import XML_OPTIONS, fixed
 
 
@@ -59,7 +60,7 @@ def parse_rss(feeds: DataFrame) -> DataFrame:
 
     The first enclosure with a URL counts, else the link; an item with neither is dropped.
     """
-    x = feeds.select("feed_id", F.col("url").alias("feed_url"), F.from_xml(fixed(F.col("body")), _RSS, {}).alias("x"))
+    x = feeds.select("feed_id", F.col("url").alias("feed_url"), once(F.from_xml(fixed(F.col("body")), _RSS, {})).alias("x"))
     d = x.select("feed_id", "feed_url", F.col("x.channel.title").alias("playlist_title"), F.posexplode("x.channel.item").alias("pos", "i"))
     i = F.col("i")
     urls = F.filter(i["enclosure"], lambda e: F.coalesce(e["_url"], F.lit("")) != "")

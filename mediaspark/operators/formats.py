@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import skew
 from ..functions import text as tx, urls as ux
+from ..functions.core import let
 
 # File types ordered from least to most wanted, with and without preferring free ones.
 VIDEO_ORDER = {False: ["webm", "flv", "mp4"], True: ["flv", "mp4", "webm"]}
@@ -37,10 +38,10 @@ def rank_key(df: DataFrame, prefer_free: bool = False, by=None) -> list[Column]:
         keys = [F.coalesce(opt(df, c, "string"), F.lit("")) if c == "format_id" else F.coalesce(opt(df, c), F.lit(-1))
                 for c in by]
         return keys + [F.col("pos")]
-    ext = F.when(opt(df, "ext", "string").isNull() | (opt(df, "ext", "string") == ""), ux.ext_of(F.col("url"))) \
-        .otherwise(opt(df, "ext", "string"))
-    proto = F.when(opt(df, "protocol", "string") == "", F.lit(None)).otherwise(opt(df, "protocol", "string"))
-    proto = ux.protocol_of(proto, F.col("url"))
+    # What the URL tells is worked out only for rows that do not say it themselves.
+    given_ext, given_proto = opt(df, "ext", "string"), opt(df, "protocol", "string")
+    ext = F.when(given_ext != "", given_ext).otherwise(let(F.col("url"), lambda u: ux.ext_of(u)))
+    proto = F.when(given_proto != "", given_proto).otherwise(let(F.col("url"), lambda u: ux.protocol_of(F.lit(None), u)))
     no_video, no_audio = is_none(opt(df, "vcodec", "string")), is_none(opt(df, "acodec", "string"))
     given = F.coalesce(opt(df, "preference").cast("double"),
                        F.when(ext.isin("f4f", "f4m"), F.lit(-0.5)).otherwise(F.lit(0.0)))
@@ -103,8 +104,8 @@ def prepare_formats(df: DataFrame, prefer_free: bool = False, hot_rows: int | No
         hot = skew.with_totals(hot, ["media_id", "__id"], {"__c": F.count(F.lit(1))})
         out = out.unionByName(label(hot, F.col("__d"), F.col("__c")))
     out = out.drop("__id", "__d", "__c")
-    out = (out.withColumn("ext", F.coalesce(opt(df, "ext", "string"), F.lower(ux.ext_of(F.col("url")))))
-           .withColumn("protocol", ux.protocol_of(opt(df, "protocol", "string"), F.col("url"))))
+    out = (out.withColumn("ext", F.coalesce(opt(df, "ext", "string"), let(F.col("url"), lambda u: F.lower(ux.ext_of(u)))))
+           .withColumn("protocol", F.coalesce(opt(df, "protocol", "string"), let(F.col("url"), lambda u: ux.protocol_of(F.lit(None), u)))))
     note = F.coalesce(F.concat(F.lit(" ("), opt(df, "format_note", "string"), F.lit(")")), F.lit(""))
     text = F.concat("format_id", F.lit(" - "), resolution_text(out), note)
     return out.withColumn("format", F.coalesce(opt(df, "format", "string"), text))

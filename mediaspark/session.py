@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Small stages of costly text work still spread over the cores.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # The JVM never compiles methods above 8000 bytes; beyond that Spark's split-up projections are faster.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 

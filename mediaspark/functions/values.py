@@ -182,10 +182,15 @@ _MAIL = (r"(?i)^\s*(?:[a-z]+,?\s+)?(\d{1,2})[\s-]+(jan|feb|mar|apr|may|jun|jul|a
          r"\s+(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?.*$")
 
 
+_MAIL_MONTH = (r"(?i)^\s*(?:[a-z]+,?\s+)?(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+(\d{1,2})\s+(\d{4})"
+               r"\s+(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?.*$")
+
+
 def _mail_moment(text: Column) -> Column:
-    """Mail header dates, the last resort after the listed spellings."""
-    parts = F.regexp_replace(text, _MAIL, "$3|$2|$1|$4|$5|0$6")
-    return F.when(text.rlike(_MAIL), _from_parts(parts))
+    """Mail header dates, day or month first, the last resort after the listed spellings."""
+    parts = (F.when(text.rlike(_MAIL), F.regexp_replace(text, _MAIL, "$3|$2|$1|$4|$5|0$6"))
+             .when(text.rlike(_MAIL_MONTH), F.regexp_replace(text, _MAIL_MONTH, "$3|$1|$2|$4|$5|0$6")))
+    return _from_parts(parts)
 
 
 def strdate(text: Column, day_first: bool = True) -> Column:

@@ -14,8 +14,8 @@ SAMPLE = ["A09_export_fields", "B06_resolve_links", "C04_meta_tags", "D09_expand
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
-    assert len(entry.queries()) > 170
+    assert set(entry.registry.QUERIES) == set(entry.registry.ORACLES)
+    assert len(entry.registry.QUERIES) > 170
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")

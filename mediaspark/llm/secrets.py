@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .text import extended
+
 KINDS = ("assign", "access", "hex", "entropy")
 # The shapes of the base kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -120,10 +122,8 @@ def scan_secrets(df: DataFrame, text: str = "text", allow=ALLOW, window: int = W
     names = ("secrets", "base_spans", "all_spans", "base_sha256")
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    schema = df.select(*kept).schema.add("secrets", "array<struct<kind:string,start:bigint,end:bigint>>")
-    for n in names[1:]:
-        schema = schema.add(n, "string")
-    df = df.select(*dict.fromkeys([*kept, text]))
+    schema = extended(df, kept, "secrets array<struct<kind:string,start:bigint,end:bigint>>, base_spans string, all_spans string, base_sha256 string")
+    df = df.select(*[f"`{c}`" for c in dict.fromkeys([*kept, text])])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scanner(allow, window, hex_bits, mixed_bits)

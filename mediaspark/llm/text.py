@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 #: Pattern of a word for Spark's and Python's text functions: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -74,6 +75,11 @@ def lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
 
 
+def extended(df: DataFrame, columns: list[str], ddl: str) -> StructType:
+    """Types of some columns of ``df`` and of new ones behind them."""
+    return StructType([*df.select(*[f"`{c}`" for c in columns]).schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def pieces(batch: pa.RecordBatch, column: str, chars: int = 4_000_000):
     """Rows of a batch in runs of bounded text size, so that long texts do not add up in memory."""
     texts = batch.column(column)

@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .text import extended
+
 MAX_BROADCAST_RULES = 200_000
 MAX_RULE_CHARS = 2_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -79,8 +81,6 @@ class Trie:
 
 def _by_trie(df: DataFrame, rules: list) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(Trie(rules))
-    kinds = df.schema
-
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = shared.value
         for b in batches:
@@ -90,7 +90,7 @@ def _by_trie(df: DataFrame, rules: list) -> DataFrame:
                 [*b.columns, pa.array([x and x[0] for x in found], pa.string()), pa.array([x and x[1] for x in found], pa.string())],
                 [*b.schema.names, "rule", "verdict"])
 
-    return df.mapInArrow(look, kinds.add("rule", "string").add("verdict", "string"))
+    return df.mapInArrow(look, extended(df, df.columns, "rule string, verdict string"))
 
 
 def _by_join(df: DataFrame, rules: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import configure
@@ -15,6 +18,10 @@ BATCH_ROWS = 500
 
 def prepare(spark: SparkSession) -> SparkSession:
     configure(spark)
+    # Python workers find this package where the driver does, unless it was shipped or installed otherwise.
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
@@ -86,3 +93,26 @@ def op8(spark, t) -> DataFrame:
     book = apply_policy(ledger(t("documents").select("doc_id", "text")))
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        rejected(POLICIES["base"]).alias("base_failed"), "kept")
+
+
+@query("op6_token_files")
+def op6(spark, t) -> DataFrame:
+    from ..session import scratch_path
+    from .tokens import vocabulary_path, write_tokens
+    folder = write_tokens(t("documents"), scratch_path(spark, "tokens"), vocabulary_path())
+    return starts_from_files(spark, folder)
+
+
+def starts_from_files(spark, folder) -> DataFrame:
+    from ..session import cut
+    from .tokens import checksums, read_tokens, with_starts
+    rows = cut(checksums(read_tokens(spark, folder)))
+    return with_starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op10_length_histogram")
+def op10(spark, t) -> DataFrame:
+    from .lengths import histogram, suffix_sums
+    from .tokens import vocabulary_path
+    from ..session import cut
+    return suffix_sums(cut(histogram(t("documents").select("text"), vocabulary_path())))

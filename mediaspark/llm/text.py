@@ -12,8 +12,8 @@ from pyspark.sql.types import StructType
 WORD = r"[^\x20\x09-\x0D]+"
 _BLANK = " \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-#: Entries that a task's word cache may hold before it starts anew (about 100 bytes each).
-CACHE = 300_000
+#: Entries that one generation of a worker's word cache may hold (about 200 bytes each).
+CACHE = 250_000
 
 
 def words(text: Column) -> Column:

@@ -148,3 +148,19 @@ def op4(spark, t) -> DataFrame:
     from .sharding import shard
     return shard(t("documents"), shards=8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op1_ngram_jaccard", sql=r"""
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+    g AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+    p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+            GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+    e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+    r(x, y) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
+    SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, min(r.y) AS component_id FROM s JOIN r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.g)""")
+def op1(spark, t) -> DataFrame:
+    from .jaccard import join
+    return join(t("documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")

@@ -164,3 +164,9 @@ def op4(spark, t) -> DataFrame:
 def op1(spark, t) -> DataFrame:
     from .jaccard import join
     return join(t("documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op5_decontaminate")
+def op5(spark, t) -> DataFrame:
+    from .decontam import contaminated
+    return contaminated(t("documents"), t("benchmark")).select("doc_id", "item_id", "n_windows", "n_tokens", "covered", "exact")

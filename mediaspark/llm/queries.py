@@ -170,3 +170,11 @@ def op1(spark, t) -> DataFrame:
 def op5(spark, t) -> DataFrame:
     from .decontam import contaminated
     return contaminated(t("documents"), t("benchmark")).select("doc_id", "item_id", "n_windows", "n_tokens", "covered", "exact")
+
+
+@query("op9_quality_score")
+def op9(spark, t) -> DataFrame:
+    from .classifier import THRESHOLD, fit, fold, score
+    docs = t("documents").select("doc_id", "text")
+    scored = score(docs, *fit(docs, t("labels")))
+    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -89,7 +89,11 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     bits = F.lit(0).cast("bigint")
     for i, failed in enumerate(_rules().values()):
         bits = bits.bitwiseOR(F.when(failed, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
-    return df.withColumn("failure_bits", bits)
+    # A row generator of one row: without it a filter on the result would be pushed below the measurements and repeat them.
+    names = [*MEASURES, "failure_bits"]
+    rest = [c for c in df.columns if c not in names]
+    book = F.explode(F.array(F.struct(*names))).alias("__book")
+    return df.withColumn("failure_bits", bits).select(*[F.col(f"`{c}`") for c in rest], book).select(*[F.col(f"`{c}`") for c in rest], "__book.*")
 
 
 def rejected(rules) -> Column:

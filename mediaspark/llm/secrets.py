@@ -40,7 +40,7 @@ ALLOW = (
     r"(?i).*(?:example|sample|placeholder|changeme|your[-_]).*", r"(.)\1+",
     r"(?:0123456789|abcdefghij|ABCDEFGHIJ).*",
 )
-_N = [0.0] + [k * math.log2(k) for k in range(1, WINDOW + 1)]
+_N = [0.0] + [k * math.log2(k) for k in range(1, WINDOW + 2)]
 
 
 def _class(c: str) -> int:
@@ -54,8 +54,8 @@ def entropy_span(run: str, window: int = WINDOW, hex_bits: float = HEX_BITS, mix
     """
     if len(run) < window:
         return None
-    log_n = _N if window == WINDOW else [0.0] + [k * math.log2(k) for k in range(1, window + 1)]
-    counts: dict[str, int] = {}
+    log_n = _N if window == WINDOW else [0.0] + [k * math.log2(k) for k in range(1, window + 2)]
+    counts: dict[str, int] = {}  # one over the window while it moves
     classes = [0] * 5
     total, first, last, whole = 0.0, None, None, math.log2(window)
     for i, c in enumerate(run):

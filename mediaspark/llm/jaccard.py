@@ -35,6 +35,8 @@ from .text import WordHashes, byte_words, mix, pieces, signed, windows
 COUNTERS = 1 << 18
 #: Ids in a list that is broadcast, 8 bytes each; longer lists are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
+#: Rows, and columns of rows, of one block of the product; a task holds two such blocks and their table of counts.
+BLOCK_ROWS, BLOCK_ENTRIES = 512, 1_000_000
 #: Sets that a task remembers in order to send copies only once.
 SEEN = 500_000
 
@@ -164,9 +166,20 @@ def _sizes_fit(percent: int, a: str, b: str):
     return (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
 
+def _block(percent: int, n: str):
+    """``Measure.block`` of a size, with the same arithmetic."""
+    n = F.col(n)
+    return F.least(n, n - F.ceil(percent * n / 100) + 1 + F.floor(F.lit((100 - percent) / 300) * n))
+
+
+def _missed(percent: int, n: str, a: str, b: str):
+    """n-grams of a row of ``n`` that a linked pair of sizes ``a`` and ``b`` may leave unshared."""
+    return F.col(n) - F.ceil(percent * (F.col(a) + F.col(b)) / (100 + percent))
+
+
 def _bound(percent: int, a: str, b: str):
-    """``Measure.bound`` of the smaller row, with the same arithmetic."""
-    return 1 + F.floor(F.lit((100 - percent) / 300) * F.least(a, b))
+    """Columns of the first block that a linked pair shares at least: even if all its unshared n-grams are in the block."""
+    return F.least(_block(percent, a) - _missed(percent, a, a, b), _block(percent, b) - _missed(percent, b, a, b))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -195,16 +208,123 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, pe
     return full.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def _blocked(rows: DataFrame) -> DataFrame:
+    """Rows with the keys ``k1``, ``k2`` of the pair of row blocks in which they meet others, and ``second`` for the second block.
+
+    Columns with one leader are a block of columns. If its rows are too many for a task, they are cut into blocks of rows, each pair of which is
+    one key. A component that is too large alone has blocks of its own, which need not meet each other.
+    """
+    weight = F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum(F.size("tokens")) / BLOCK_ENTRIES)
+    parts = rows.groupBy("lead", "comp").agg(weight.alias("w"))
+    leads = parts.groupBy("lead").agg(F.sum("w").alias("all"), F.coalesce(F.sum(F.when(F.col("w") <= 1, F.col("w"))), F.lit(0.0)).alias("rest"))
+    large = saved(leads.filter("all > 1").select("lead", F.ceil("rest").alias("n_rest")), "jaccard-large")
+    few = rows.join(large, "lead", "left_anti").select("*", F.lit("").alias("k1"), F.lit("").alias("k2"), F.lit(False).alias("second"))
+    if not large.limit(1).count():
+        return few
+    own = saved(parts.filter("w > 1").join(large, "lead").select("lead", "comp", F.ceil("w").alias("n_own")), "jaccard-own")
+
+    def numbered(n):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    blocks = (own.select("lead", F.col("comp").alias("o_comp"), numbered("n_own").alias("j"))
+              .union(large.filter("n_rest > 0").select("lead", F.lit(None).cast("bigint").alias("o_comp"), numbered("n_rest").alias("j"))))
+
+    def label(comp, j):
+        return F.concat_ws(":", F.coalesce(comp.cast("string"), F.lit("rest")), j)
+    many = rows.join(large, "lead").join(own, ["lead", "comp"], "left")
+    mine = F.when(F.col("n_own").isNotNull(), F.col("comp"))
+    many = many.withColumn("mine", label(mine, F.pmod(F.xxhash64("node"), F.coalesce("n_own", "n_rest"))))
+    met = many.join(blocks, "lead").filter(F.col("n_own").isNull() | F.col("o_comp").isNull() | (F.col("o_comp") != F.col("comp")))
+    met = met.withColumn("theirs", label(F.col("o_comp"), F.col("j")))
+    return few.unionByName(met.select(*rows.columns, F.least("mine", "theirs").alias("k1"), F.greatest("mine", "theirs").alias("k2"),
+                                      (F.col("mine") > F.col("theirs")).alias("second")))
+
+
+def product(part: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows in different components that share enough of the first block's columns.
+
+    Counts are accumulated inside a task per block of columns; a pair leaves it only if its count and all columns that the two rows have in other
+    blocks could reach the bound. The counts of the blocks are then summed. No pair is written once per column.
+    """
+    rows = part.groupBy("lead", "comp", "node", "n", "s").agg(F.collect_list("token").alias("tokens"))
+    rows = saved(rows, "jaccard-rows")
+    keyed = _blocked(rows).repartition("lead", "k1", "k2").sortWithinPartitions("lead", "k1", "k2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Measure(width, percent)
+        now, held, out, total = None, [], [], 0
+        names = ["a", "b", "a_n", "b_n", "c"]
+
+        def flush():
+            if len(held) > 1:
+                found = _pairs(held, now[1] != now[2], m)
+                if found is not None:
+                    out.append(found)
+
+        def batch():
+            whole = np.concatenate(out, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in whole], names)
+        for b in batches:
+            t = b.column("tokens")
+            flat, ends = t.values.to_numpy(), t.offsets.to_numpy()
+            for k, row in enumerate(zip(*[b.column(c).to_pylist() for c in ("lead", "k1", "k2", "node", "comp", "n", "s", "second")])):
+                if row[:3] != now:
+                    flush()
+                    now, held = row[:3], []
+                held.append((*row[3:], flat[ends[k]:ends[k + 1]]))
+            if sum(x.shape[1] for x in out) > 50_000:
+                yield batch()
+                out = []
+        flush()
+        if out:
+            yield batch()
+
+    pairs = keyed.mapInArrow(run, "a bigint, b bigint, a_n bigint, b_n bigint, c bigint")
+    return (pairs.groupBy("a", "b", "a_n", "b_n").agg(F.sum("c").alias("c")).filter(F.col("c") >= _bound(percent, "a_n", "b_n")).select("a", "b"))
+
+
+def _pairs(held: list, across: bool, m: Measure) -> np.ndarray | None:
+    """Columns a, b, their sizes and their count, for the pairs of a block that may still be linked."""
+    node, comp, n, s = (np.array([h[k] for h in held], np.int64) for k in range(4))
+    own = np.array([len(h[5]) for h in held], np.int64)
+    fits = (comp[:, None] != comp) & (100 * np.minimum(n[:, None], n) >= m.percent * np.maximum(n[:, None], n)) & (node[:, None] < node)
+    if across:
+        second = np.array([h[4] for h in held])
+        fits &= second[:, None] != second
+    if not fits.any():
+        return None
+    block = np.array([m.block(int(x)) for x in n])
+    need = -(-m.percent * (n[:, None] + n) // (100 + m.percent))
+    bound = np.minimum((block - n)[:, None], block - n) + need
+    fits &= np.minimum(s[:, None], s) >= bound
+    if not fits.any():
+        return None
+    tokens, row = np.concatenate([h[5] for h in held]), np.repeat(np.arange(len(held)), own)
+    at = np.argsort(tokens, kind="stable")
+    tokens, row = tokens[at], row[at]
+    cuts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
+    count = np.zeros((len(held), len(held)), np.int32)
+    for a, z in zip(cuts, cuts[1:]):
+        if z - a > 1:
+            r = row[a:z]
+            count[r[:, None], r] += 1
+    rest = s - own
+    a, b = np.nonzero(fits & (count > 0) & (count + np.minimum(rest[:, None], rest) >= bound))
+    return np.array([node[a], node[b], n[a], n[b], count[a, b]]) if len(a) else None
+
+
 def join(docs: DataFrame, width: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (the smallest id reachable by links) and ``copies`` (rows with an equal set)."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows, counters = features(docs, width, percent)
     nodes = saved(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "jaccard-nodes")
     block = saved(postings(docs, classes_of(counters), width, percent), "jaccard-block")
-    # Columns with more than one row; each has one leader.
-    both = F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("other")
-    lists = block.groupBy("token").agg(*both).filter("lead.node <> other")
-    shared = saved(block.join(lists, "token").select("token", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")).distinct(), "jaccard-shared")
+    # Columns with more than one row. Each has one leader: the row with the fewest columns of its own, which is near the middle of its copies.
+    lists = block.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token")
+    shared = saved(block.join(lists, "token").distinct(), "jaccard-shared")
+    alone = shared.groupBy("node", "n").agg(F.count(F.lit(1)).alias("s")).select("node", (_block(percent, "n") - F.col("s")).alias("alone"))
+    led = shared.join(alone, "node")
+    leads = led.groupBy("token").agg(F.min(F.struct("alone", "node", "n")).alias("l")).select("token", F.col("l.node").alias("lead"), F.col("l.n").alias("lead_n"))
+    shared = saved(shared.join(leads, "token"), "jaccard-led")
     stars = (shared.filter(F.col("node") != F.col("lead")).filter(_sizes_fit(percent, "n", "lead_n"))
              .groupBy(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("lead_n"), F.col("n")).agg(F.count(F.lit(1)).alias("c"))
              .filter(F.col("c") >= _bound(percent, "n", "lead_n")).select("a", "b"))
@@ -212,16 +332,15 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, doc_id: str = "doc_
     links = saved(verified(stars, docs, nodes, width, percent), "jaccard-links")
     groups = saved(components(links), "jaccard-groups")
 
-    # The product between components: columns that one component has alone are done.
-    part = shared.select("token", "node", "n").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    # The product between components. Columns that one component has alone are done, and a row that is left with too few
+    # columns for any link makes no pairs.
+    part = shared.select("token", "lead", "node", "n").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     part = saved(part, "jaccard-part")
     mixed = part.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    part = part.join(mixed, "token")
-    right = part.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    product = (part.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")).join(right, "token")
-               .filter((F.col("ca") < F.col("cb")) & _sizes_fit(percent, "na", "nb")))
-    pairs = (product.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= _bound(percent, "na", "nb"))
-             .select("a", "b"))
+    part = saved(part.join(mixed, "token"), "jaccard-mixed")
+    able = part.groupBy("node", "n").agg(F.count(F.lit(1)).alias("s"))
+    able = able.filter(_block(percent, "n") - F.col("s") <= F.col("n") - F.ceil(percent * F.col("n") / 100)).drop("n")
+    pairs = product(part.join(able, "node"), width, percent)
     done = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     pairs = saved(pairs.join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
     more = saved(verified(pairs, docs, nodes, width, percent), "jaccard-more")

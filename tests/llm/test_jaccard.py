@@ -52,3 +52,18 @@ def test_bounds_lose_no_pair():
             if need <= min(a, b):
                 # The worst case puts all unshared columns first.
                 assert min(m.block(a) - (a - need), m.block(b) - (b - need)) >= min(m.bound(a), m.bound(b), need)
+
+
+@pytest.mark.parametrize("size", [2, 7])
+def test_many_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", size)
+    rng = random.Random(9)
+    base, texts = [f"b{i}" for i in range(150)], []
+    for i in range(60):  # edits that leave some pairs just above the threshold and some just below
+        t = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            t[rng.randrange(len(t))] = f"e{rng.randrange(12)}"
+        texts.append(" ".join(t))
+    got = jaccard.join(table(prepare(spark), texts)).collect()
+    want = components(list(enumerate(texts)), 3, 90)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == want and len({c for *_, c in want}) > 5

@@ -77,13 +77,28 @@ def attribute_map(tag: Column) -> Column:
         lambda k, v: F.element_at(F.filter(a, lambda x: x["k"] == k), -1)["v"]))
 
 
+def without_comments(text: Column) -> Column:
+    """Markup without comments; what a CDATA section holds becomes escaped text."""
+    bare = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+    escape = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    close = F.lit("]]>")
+    part = lambda c, i: F.when((i == 0) | (F.locate("]]>", c) == 0), c).otherwise(
+        F.concat(escape(F.substring_index(c, "]]>", 1)), F.substr(c, F.locate("]]>", c) + F.length(close))))
+    return F.when(bare.contains("<![CDATA["), F.array_join(F.transform(F.split(bare, r"<!\[CDATA\["), part), "")).otherwise(bare)
+
+
 def elements(text: Column, name: str, value: str, whole_word: bool = False) -> Column:
-    """Inner HTML of the elements with an attribute value, up to the first closing tag of the same name."""
-    v = rf"""[^'"]*\b{re.escape(value)}\b[^'"]*""" if whole_word else re.escape(value)
-    other = r"""(?:\s+[a-zA-Z0-9:._-]+(?:=[a-zA-Z0-9:._-]*|="[^"]*"|='[^']*'|))*?"""
-    pattern = rf"""(?s)<([a-zA-Z0-9:._-]+){other}\s+{re.escape(name)}=['"]?{v}['"]?{other}\s*>(.*?)</\1>"""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    return F.transform(found, lambda r: unescape(F.when(r.rlike("""^["']"""), F.substring(r, F.lit(2), F.length(r) - 2)).otherwise(r)))
+    """Inner HTML of the elements with an attribute value, up to the first closing tag of the same name.
+
+    The pattern is flat, so that no number of attributes makes the matcher recurse; the attributes of what it finds are then read one by one.
+    """
+    v = rf"""[^'">]*\b{re.escape(value)}\b[^'">]*""" if whole_word else re.escape(value)
+    pattern = rf"""(?s)(<([a-zA-Z0-9:._-]+)(?=\s(?:[^>]*\s)?{re.escape(name)}=['"]?{v}['"]?[\s>])[^>]*>)(.*?)</\2>"""
+    tags, inner = (F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 3))
+    own = lambda tag: get(attributes(tag), name.lower())
+    fits = lambda tag: own(tag).rlike(rf"\b{re.escape(value)}\b") if whole_word else own(tag) == value
+    both = F.filter(F.zip_with(tags, inner, lambda t, c: F.struct(t.alias("t"), c.alias("c"))), lambda x: fits(x["t"]))
+    return F.transform(both, lambda x: let(x["c"], lambda r: unescape(F.when(r.rlike("""^["']"""), F.substring(r, F.lit(2), F.length(r) - 2)).otherwise(r))))
 
 
 _ROOT = r"(?s)^\x{FEFF}?\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<((?:[A-Za-z_][\w.-]*:)?([A-Za-z_][\w.-]*))([^>]*)>"

@@ -266,6 +266,9 @@ def scrape_media_links(pages: DataFrame) -> DataFrame:
         found = F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
         good = F.filter(found, acceptable) if checked else found
         tries.append(let(good, _ruled(n)))
+    # A player that the page names for cards comes last.
+    card = hx.meta(F.col("html"), "twitter:player")
+    tries.append(F.when(card != F.col("url"), F.struct(F.lit(len(LINK_RULES)).alias("rule"), F.array(card).alias("links"))))
     d = pages.withColumn("__r", F.coalesce(*tries))
     d = d.select("page_id", "url", F.col("__r.rule").alias("rule"), F.posexplode(F.array_distinct("__r.links")).alias("pos", "link"))
     link = F.replace(tx.unescape(F.col("link")), F.lit("\\/"), F.lit("/"))
@@ -273,7 +276,7 @@ def scrape_media_links(pages: DataFrame) -> DataFrame:
     name = F.substring_index(F.col("link"), "/", -1)
     stem = F.regexp_replace(F.coalesce(F.try_url_decode(name), name), r"^(.*[^.].*)\.[^.]*$", "$1")
     ext = ux.ext_of(F.col("link"))
-    route = (F.when(F.col("link").rlike(_PLAYER_PAGE), F.lit("embed")).when(F.col("link").rlike("(?i)^rtmp"), F.lit("rtmp"))
+    route = (F.when(F.col("link").rlike(_PLAYER_PAGE) | (F.col("rule") == len(LINK_RULES)), F.lit("embed")).when(F.col("link").rlike("(?i)^rtmp"), F.lit("rtmp"))
              .when(ext.isin("smil", "xspf", "m3u8", "mpd", "f4m"), ext)
              .when(F.col("link").rlike(r"(?i)\.(?:ism|smil)/manifest"), F.lit("generic")).otherwise(F.lit("file")))
     return d.select("page_id", "rule", "pos", F.col("link").alias("url"), stem.alias("id"), route.alias("route"))

@@ -121,7 +121,7 @@ def f4m_formats(manifests: DataFrame, f4m_id: str | None = None) -> DataFrame:
 
 
 def _tags(name: str) -> Column:
-    return F.transform(F.regexp_extract_all("body", F.lit(rf"(?is)(<(?:[a-z0-9]+:)?{name}\b[^>]*>)"), F.lit(1)), hx.attributes)
+    return F.transform(F.regexp_extract_all(hx.without_comments(F.col("body")), F.lit(rf"(?is)(<(?:[a-z0-9]+:)?{name}\b[^>]*>)"), F.lit(1)), hx.attributes)
 
 
 def _sources(tags: Column) -> Column:
@@ -141,7 +141,7 @@ def smil_formats(manifests: DataFrame) -> DataFrame:
     ``route`` is ``rtmp`` or ``http`` for renditions, else the kind of manifest the entry points to;
     rtmp and http renditions without a bitrate are numbered in order.
     """
-    head = F.regexp_extract("body", r"(?is)<(?:[a-z0-9]+:)?head\b[^>]*>(.*?)</(?:[a-z0-9]+:)?head>", 1)
+    head = F.regexp_extract(hx.without_comments(F.col("body")), r"(?is)<(?:[a-z0-9]+:)?head\b[^>]*>(.*?)</(?:[a-z0-9]+:)?head>", 1)
     metas = F.transform(F.regexp_extract_all(head, F.lit(r"(?is)(<(?:[a-z0-9]+:)?meta\b[^>]*>)"), F.lit(1)), lambda t: let(hx.attributes(t), lambda a: _any(a, "base", "httpBase")))
     base = F.coalesce(F.try_element_at(F.filter(metas, lambda b: b.isNotNull()), F.lit(1)), F.col("url"))
     d = manifests.select("manifest_id", base.alias("base"), F.posexplode(_sources(F.concat(_tags("video"), _tags("audio")))).alias("pos", "m"))
@@ -177,7 +177,7 @@ def smil_subtitles(manifests: DataFrame, lang: str = "en") -> DataFrame:
 
 def smil_info(manifests: DataFrame) -> DataFrame:
     """Title, description and date of SMIL files."""
-    head = F.regexp_extract("body", r"(?is)<(?:[a-z0-9]+:)?head\b[^>]*>(.*?)</(?:[a-z0-9]+:)?head>", 1)
+    head = F.regexp_extract(hx.without_comments(F.col("body")), r"(?is)<(?:[a-z0-9]+:)?head\b[^>]*>(.*?)</(?:[a-z0-9]+:)?head>", 1)
     metas = F.transform(F.regexp_extract_all(head, F.lit(r"(?is)(<(?:[a-z0-9]+:)?meta\b[^>]*>)"), F.lit(1)), lambda t: let(
         hx.attributes(t), lambda a: pack(n=_any(a, "name"), c=_any(a, "content"))))
     d = manifests.select("manifest_id", "url", metas.alias("m"))
@@ -221,30 +221,34 @@ def xspf_formats(manifests: DataFrame) -> DataFrame:
                     F.col("l._width").try_cast("int").alias("width"), F.col("l._height").try_cast("int").alias("height")).filter(F.col("url").isNotNull())
 
 
-def resolve_manifest_edges(formats: DataFrame, children: DataFrame, rounds: int = 4) -> DataFrame:
-    """Replace entries that point to a manifest by that manifest's renditions.
+def resolve_manifest_edges(formats: DataFrame, children: DataFrame) -> DataFrame:
+    """Replace entries that point to a manifest by that manifest's renditions, over any number of hops.
 
     ``formats(media_id, pos, route, url, format_id, tbr, width, height)``: a row whose ``route`` is not
     ``format`` is an edge to ``children(manifest_url, pos, route, ...)``. An only child takes size and
-    bitrate it lacks from its parent. ``path`` keeps the order; an edge without a target gives nothing.
+    bitrate it lacks from its parent. ``path`` keeps the order; an edge without a target gives nothing. An edge to a
+    manifest that is already on its own path ends with the route ``cycle``; the rounds end when no edge is left.
     """
     fields = ["format_id", "url", "tbr", "width", "height"]
     many = children.groupBy("manifest_url").agg(F.count(F.lit(1)).alias("__n"))
     kids = children.join(many, "manifest_url")
     kids = kids.select(F.col("manifest_url").alias("k_manifest"), F.col("__n"), F.col("route").alias("k_route"), F.col("pos").alias("k_pos"),
                        *[F.col(c).alias(f"k_{c}") for c in fields])
+    own = ["media_id", "path", "route", *fields]
     state = formats.select("media_id", F.array(F.col("pos").cast("bigint")).alias("path"), "route", *fields)
     done = [state.filter("route = 'format'")]
-    live = state.filter("route <> 'format'")
-    for _ in range(rounds):
+    live = state.filter("route <> 'format'").withColumn("seen", F.array("url"))
+    while True:
         j = live.join(kids, live["url"] == kids["k_manifest"])
         only = F.col("__n") == 1
         take = lambda c: F.when(only, F.coalesce(F.nullif(F.col(f"k_{c}"), F.lit(0)), F.col(c))).otherwise(F.col(f"k_{c}")).alias(c)
         fid = F.when(only & (F.coalesce("tbr", F.lit(0)) != 0), F.col("format_id")).otherwise(F.col("k_format_id")).alias("format_id")
-        step = cut(j.select("media_id", F.concat("path", F.array(F.col("k_pos").cast("bigint"))).alias("path"), F.col("k_route").alias("route"),
-                            fid, F.col("k_url").alias("url"), take("tbr"), take("width"), take("height")))
-        done.append(step.filter("route = 'format'"))
-        live = step.filter("route <> 'format'")
+        again = (F.col("k_route") != "format") & F.array_contains("seen", F.col("k_url"))
+        step = cut(j.select("media_id", F.concat("path", F.array(F.col("k_pos").cast("bigint"))).alias("path"),
+                            F.when(again, F.lit("cycle")).otherwise(F.col("k_route")).alias("route"), fid, F.col("k_url").alias("url"),
+                            take("tbr"), take("width"), take("height"), F.concat("seen", F.array("k_url")).alias("seen")))
+        done.append(step.filter("route IN ('format', 'cycle')").select(*own))
+        live = step.filter("route NOT IN ('format', 'cycle')")
         if live.isEmpty():
             break
     return reduce(DataFrame.unionByName, done)

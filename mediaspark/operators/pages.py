@@ -47,18 +47,18 @@ def meta_tags(pages: DataFrame, names: dict) -> DataFrame:
     return pages.withColumns({n: hx.meta(F.col("html"), ns) for n, ns in names.items()})
 
 
-def explode_meta(pages: DataFrame) -> DataFrame:
-    """One row per named meta tag of each page."""
+def explode_meta(pages: DataFrame, keep=()) -> DataFrame:
+    """One row per named meta tag of each page, with other columns of the page if named."""
     tags = F.regexp_extract_all("html", F.lit(r"(?is)(<meta\s[^>]*>)"), F.lit(1))
-    attrs = pages.select("page_id", F.posexplode(tags).alias("pos", "tag")).withColumn("a", hx.attributes(F.col("tag")))
+    attrs = pages.select("page_id", *keep, F.posexplode(tags).alias("pos", "tag")).withColumn("a", hx.attributes(F.col("tag")))
     name = F.coalesce(*[hx.get(F.col("a"), n) for n in ("itemprop", "name", "property", "id", "http-equiv")])
-    out = attrs.select("page_id", "pos", name.alias("name"), hx.get(F.col("a"), "content").alias("content"))
+    out = attrs.select("page_id", *keep, "pos", name.alias("name"), hx.get(F.col("a"), "content").alias("content"))
     return out.filter(F.col("name").isNotNull() & F.col("content").isNotNull())
 
 
 def meta_counts(pages: DataFrame) -> DataFrame:
     """How many pages of each site carry each meta name."""
-    named = explode_meta(pages).join(pages.select("page_id", ux.host(F.col("url")).alias("site")), "page_id")
+    named = explode_meta(pages.withColumn("site", ux.host(F.col("url"))), keep=["site"])
     return named.groupBy("site", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -142,13 +142,18 @@ def number_entries(df: DataFrame, key: str = "page_id", order: str = "pos") -> D
             .withColumn("title", F.when(many, F.concat("title", F.lit(" ("), n, F.lit(")"))).otherwise(F.col("title"))).drop("__c"))
 
 
-_REFRESH = (r"""(?i)<meta\s+(?=(?:[a-z-]+="[^"]+"\s+)*http-equiv="refresh")(?:[a-z-]+="[^"]+"\s+)*?"""
-            r"""content="[0-9]{0,2};\s*(?:URL|url)='?([^'"]+)""")
+# Fixed value: delay and target of a refresh, in a meta tag or in the response header.
+_REFRESH = r"""[0-9]{0,2};\s*(?:URL|url)='?([^'"]+)"""
 
 
 def redirect_edges(pages: DataFrame) -> DataFrame:
-    """(page_id, src, dst) of pages that refresh to another URL."""
-    link = let(ux.hit(F.col("html"), _REFRESH), tx.unescape)
+    """(page_id, src, dst) of pages that refresh to another URL, by a meta tag or else by a ``refresh`` column with the response header."""
+    tags = F.regexp_extract_all("html", F.lit(r"(?i)(<meta\s[^>]*>)"), F.lit(1))
+    is_refresh = lambda a: F.lower(F.coalesce(hx.get(a, "http-equiv"), F.lit(""))) == "refresh"
+    found = F.transform(tags, lambda t: let(hx.attributes(t), lambda a: F.when(is_refresh(a), ux.hit(hx.get(a, "content"), "^" + _REFRESH))))
+    link = F.try_element_at(F.filter(found, lambda x: x.isNotNull()), F.lit(1))
+    if "refresh" in pages.columns:
+        link = F.coalesce(link, let(ux.hit(F.col("refresh"), _REFRESH), tx.unescape))
     out = pages.select("page_id", F.col("url").alias("src"), link.alias("__l")).filter(F.col("__l").isNotNull())
     out = out.withColumn("dst", F.coalesce(ux.resolve(F.col("src"), F.col("__l")), F.col("__l"))).drop("__l")
     return out.filter(F.col("src") != F.col("dst"))
@@ -160,11 +165,12 @@ def sniff(df: DataFrame, col: str) -> DataFrame:
 
 
 def detect_charset(df: DataFrame, body: str = "html", content_type: str = "content_type") -> DataFrame:
-    """Charset by content type, a meta mark in the first 1024 characters, a UTF-16 mark, else utf-8."""
+    """Charset by content type, a meta mark in the first 1024 bytes, a UTF-16 mark, else utf-8 (C21); the body is binary, or text taken as UTF-8."""
+    raw = F.col(body) if dict(df.dtypes)[body] == "binary" else F.encode(F.col(body), "UTF-8")
     given = ux.hit(F.col(content_type), r"^[a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+\s*;\s*charset=(.+)")
-    head = F.substring(F.col(body), 1, 1024)
+    head = F.decode(F.substring(raw, 1, 1024), "ISO-8859-1")
     marked = ux.hit(head, r"""<meta[^>]+charset=['"]?([^'")]+)[ /'">]""")
-    utf16 = F.when(F.substring(F.hex(F.col(body)), 1, 4) == "FFFE", F.lit("utf-16"))
+    utf16 = F.when(F.hex(F.substring(raw, 1, 2)) == "FFFE", F.lit("utf-16"))
     return df.withColumn("charset", F.coalesce(given, marked, utf16, F.lit("utf-8")))
 
 

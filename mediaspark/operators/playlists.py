@@ -265,13 +265,16 @@ def filter_full(items: DataFrame, archive: DataFrame | None = None, **rules) ->
 _OWN = ("type", "url", "target", "id", "extractor", "extractor_key", "ie_key")
 
 
-def resolve_refs(results: DataFrame, depth: int = 8, mode: str = "full") -> DataFrame:
-    """Replace reference rows by what they point to.
+def resolve_refs(results: DataFrame, mode: str = "full") -> DataFrame:
+    """Replace reference rows by what they point to, over chains of any length.
 
     ``results(url, type, target, ...)``: a ``url`` row becomes its target; a ``url_transparent`` row
     keeps its own non-null fields over the target's, also along chains. ``status`` tells ``resolved``,
-    ``missing`` (no such target) or ``open`` (still a reference after ``depth`` rounds, as in a cycle).
+    ``missing`` (no such target) or ``cycle`` (the chain never ends; the row stays as it is).
     ``mode='flat'`` leaves references alone; ``mode='flat_in_playlist'`` those with ``in_playlist``.
+
+    Pointer doubling: each round joins all open references with themselves and doubles the length of the chain that a
+    row has taken in, so that the rounds grow with its logarithm. A chain longer than the number of references is a cycle.
     A third of all rows may point to one target; AQE splits that key of the join.
     """
     fields = [c for c in results.columns if c not in ("url", "type", "target", "in_playlist")]
@@ -279,63 +282,80 @@ def resolve_refs(results: DataFrame, depth: int = 8, mode: str = "full") -> Data
     is_ref = F.col("type").isin("url", "url_transparent")
     if mode == "flat":
         return results.withColumn("source", F.col("url")).withColumn("status", F.when(is_ref, "kept").otherwise("resolved"))
-    state = results.select(F.col("url").alias("source"), "url", "type", "target", *fields,
-                           *(["in_playlist"] if "in_playlist" in results.columns else []))
-    hold = F.col("in_playlist") & is_ref if mode == "flat_in_playlist" else F.lit(False)
-    done = [state.filter(hold).withColumn("status", F.lit("kept")).drop("in_playlist"),
-            state.filter(~is_ref).withColumn("status", F.lit("resolved")).drop("in_playlist")]
-    live = state.filter(is_ref & ~hold).drop("in_playlist")
-    look = results.select(F.col("url").alias("t_url"), F.col("type").alias("t_type"), F.col("target").alias("t_target"),
-                          *[F.col(c).alias(f"t_{c}") for c in fields])
-    for _ in range(depth):
-        j = live.join(look, live["target"] == look["t_url"], "left")
-        through = F.col("type") == "url_transparent"
-        mixed = [F.when(through, F.coalesce(F.col(c), F.col(f"t_{c}"))).otherwise(F.col(f"t_{c}")).alias(c) if c in kept
-                 else F.col(f"t_{c}").alias(c) for c in fields]
-        found = F.col("t_url").isNotNull()
-        kind = F.when(through & (F.col("t_type") == "url"), F.lit("url_transparent")).otherwise(F.col("t_type"))
-        step = j.select(
-            "source", F.when(found, F.col("t_url")).otherwise(F.col("url")).alias("url"),
-            F.when(found, kind).otherwise(F.col("type")).alias("type"),
-            F.when(found, F.col("t_target")).otherwise(F.col("target")).alias("target"),
-            *[F.when(found, m).otherwise(F.col(c)).alias(c) for m, c in zip(mixed, fields)], found.alias("__found"))
-        step = cut(step)
-        done.append(step.filter("NOT __found").drop("__found").withColumn("status", F.lit("missing")))
-        done.append(step.filter(F.col("__found") & ~is_ref).drop("__found").withColumn("status", F.lit("resolved")))
-        live = step.filter(F.col("__found") & is_ref).drop("__found")
-        if live.isEmpty():
+    whole = results.select(F.col("url").alias("source"), "url", "type", "target", *fields, *(["in_playlist"] if "in_playlist" in results.columns else []))
+    hold = F.coalesce(F.col("in_playlist"), F.lit(False)) & is_ref if mode == "flat_in_playlist" else F.lit(False)
+    own = ["source", "url", "type", "target", *fields]
+    done = [whole.filter(hold).select(*own, F.lit("kept").alias("status")),
+            whole.filter(~is_ref).select(*own, F.lit("resolved").alias("status"))]
+    # A segment of a chain: where it ends, whether a transparent row is in it, the fields from the first such row on, and all fields.
+    through = F.col("type") == "url_transparent"
+    values = F.struct(*[F.col(c) for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
+    refs = cut(results.filter(is_ref).select(F.col("url").alias("at"), F.col("target").alias("next"), F.col("url").alias("last"), through.alias("thr"),
+                                             F.when(through, values).alias("top"), values.alias("all")))
+
+    def over(x, y):
+        names = kept or ["none"]
+        return F.struct(*[F.coalesce(x[c], y[c]).alias(c) for c in names])
+    n, span = refs.count(), 1
+    live = refs.withColumn("open", F.lit(True))
+    while span <= n:
+        far = refs.select(F.col("at").alias("f_at"), *[F.col(c).alias(f"f_{c}") for c in ("next", "last", "thr", "top", "all")])
+        j = refs.join(far, refs["next"] == far["f_at"], "left")
+        more = F.col("f_at").isNotNull()
+        step = cut(j.select("at", F.when(more, F.col("f_next")).otherwise(F.col("next")).alias("next"), F.when(more, F.col("f_last")).otherwise(F.col("last")).alias("last"),
+                            F.when(more, F.col("thr") | F.col("f_thr")).otherwise(F.col("thr")).alias("thr"),
+                            F.when(~more, F.col("top")).when(F.col("thr"), over(F.col("top"), F.col("f_all"))).otherwise(F.col("f_top")).alias("top"),
+                            F.when(more, over(F.col("all"), F.col("f_all"))).otherwise(F.col("all")).alias("all"), more.alias("open")))
+        refs, span = step.drop("open"), span * 2
+        live = step
+        if step.filter("open").isEmpty():
             break
-    else:
-        done.append(live.withColumn("status", F.lit("open")))
+    look = results.select(F.col("url").alias("t_url"), F.col("type").alias("t_type"), F.col("target").alias("t_target"), *[F.col(c).alias(f"t_{c}") for c in fields])
+    ends = live.select("at", "next", "last", "thr", "top").withColumnRenamed("at", "source")
+    ends = whole.filter(is_ref & ~hold).select("source", F.struct(*own[1:]).alias("self")).join(ends, "source")
+    ends = ends.join(look, ends["next"] == look["t_url"], "left")
+    back = results.select(F.col("url").alias("l_url"), F.struct("type", "target", *fields).alias("l"))
+    ends = ends.join(back, ends["last"] == back["l_url"])
+    found, loops = F.col("t_url").isNotNull(), F.col("t_type").isin("url", "url_transparent")
+
+    def field(c):
+        end = F.when(found, F.col(f"t_{c}")).otherwise(F.col("l")[c])
+        mixed = F.when(F.col("thr"), F.coalesce(F.col("top")[c], F.col(f"t_{c}"))).otherwise(end) if c in kept else end
+        return F.when(loops, F.col("self")[c]).otherwise(mixed).alias(c)
+    kind = F.when(found, F.col("t_type")).when(F.col("thr"), F.lit("url_transparent")).otherwise(F.col("l.type"))
+    done.append(ends.select(
+        "source", F.when(loops, F.col("self.url")).when(found, F.col("t_url")).otherwise(F.col("last")).alias("url"),
+        F.when(loops, F.col("self.type")).otherwise(kind).alias("type"),
+        F.when(loops, F.col("self.target")).when(found, F.col("t_target")).otherwise(F.col("l.target")).alias("target"), *[field(c) for c in fields],
+        F.when(loops, F.lit("cycle")).when(found, F.lit("resolved")).otherwise(F.lit("missing")).alias("status")))
     return reduce(DataFrame.unionByName, done)
 
 
-def expand_nested(edges: DataFrame, roots: DataFrame, depth: int = 50) -> DataFrame:
-    """Items of playlists within playlists, each playlist expanded once per root.
+def expand_nested(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Items of playlists within playlists of any depth, each playlist expanded once per root, where a depth-first walk meets it first.
 
-    ``edges(parent, pos, child)``, ``roots(root)``; a child that is no parent itself is an item. Every
-    round adds the children of the newest playlists; those already visited under the root are cut, and
-    of equal ones found in the same round the first by path is kept. Result:
-    ``root, playlist, parent, level, pos, item``.
+    ``edges(parent, pos, child)``, ``roots(root)``; a child that is no parent itself is an item. The walk's place of a
+    playlist is the smallest path to it that visits no playlist twice; rounds improve the paths until none changes.
+    Result: ``root, playlist, parent, level, path, pos, item``; ``path`` and ``pos`` give the order of the walk.
     """
     lists = edges.select(F.col("parent").alias("child")).distinct()
     tagged = edges.join(lists.withColumn("is_list", F.lit(True)), "child", "left")
-    inner = tagged.filter("is_list").select("parent", "pos", F.col("child").alias("next"))
+    inner = tagged.filter("is_list").select(F.col("parent").alias("of"), "pos", F.col("child").alias("next"))
     front = roots.select("root", F.col("root").alias("playlist"), F.lit(None).cast("string").alias("parent"),
-                         F.array(F.lit(0).cast("bigint")).alias("path"))
-    levels, seen = [front.withColumn("level", F.lit(0))], front.select("root", "playlist")
-    for level in range(1, depth + 1):
-        nxt = front.join(inner, front["playlist"] == inner["parent"]).select(
-            "root", inner["next"].alias("playlist"), front["playlist"].alias("parent"),
-            F.concat("path", F.array(F.col("pos").cast("bigint"))).alias("path"))
-        nxt = nxt.join(seen, ["root", "playlist"], "left_anti")
-        nxt = nxt.groupBy("root", "playlist").agg(F.min(F.struct("path", "parent")).alias("b")) \
-            .select("root", "playlist", "b.parent", "b.path")
-        front = cut(nxt)
+                         F.expr("CAST(array() AS ARRAY<BIGINT>)").alias("path"), F.array("root").alias("nodes")).distinct()
+    best = front = cut(front)
+    while True:
+        # A walk goes from the newest paths only; all others have been followed before.
+        step = front.join(inner, front["playlist"] == inner["of"]).filter(~F.array_contains("nodes", F.col("next")))
+        step = step.select("root", F.col("next").alias("playlist"), F.struct(F.concat("path", F.array(F.col("pos").cast("bigint"))).alias("path"),
+                                                                             F.concat("nodes", F.array("next")).alias("nodes"), F.col("of").alias("parent")).alias("x"))
+        step = step.groupBy("root", "playlist").agg(F.min("x").alias("x"))
+        old = best.select("root", "playlist", F.struct("path", "nodes").alias("old"))
+        step = step.join(old, ["root", "playlist"], "left").filter(F.col("old").isNull() | (F.struct("x.path", "x.nodes") < F.col("old")))
+        front = cut(step.select("root", "playlist", "x.parent", "x.path", "x.nodes"))
         if front.isEmpty():
             break
-        levels.append(front.withColumn("level", F.lit(level)))
-        seen = seen.unionByName(front.select("root", "playlist"))
-    visited = reduce(DataFrame.unionByName, levels)
+        best = cut(best.join(front.select("root", "playlist"), ["root", "playlist"], "left_anti").unionByName(front))
     items = tagged.filter(F.col("is_list").isNull()).select(F.col("parent").alias("__p"), "pos", F.col("child").alias("item"))
-    return visited.join(items, visited["playlist"] == items["__p"]).select("root", "playlist", "parent", "level", "pos", "item")
+    out = best.join(items, best["playlist"] == items["__p"])
+    return out.select("root", "playlist", "parent", F.size("path").alias("level"), "path", "pos", "item")

@@ -88,7 +88,7 @@ def ttml_cues(files: DataFrame) -> DataFrame:
 
     A cue without a begin, or without end and duration, is dropped but keeps its number.
     """
-    d = files.select("file_id", F.posexplode(F.regexp_extract_all("body", F.lit(_PARA), F.lit(1))).alias("i", "para"))
+    d = files.select("file_id", F.posexplode(F.regexp_extract_all(hx.without_comments(F.col("body")), F.lit(_PARA), F.lit(1))).alias("i", "para"))
     d = d.withColumn("a", hx.attributes(F.regexp_extract("para", r"(?s)^(<[^>]*>)", 1)))
     at = lambda n: seconds(hx.get(F.col("a"), n))
     d = d.select("file_id", (F.col("i") + 1).alias("idx"), at("begin").alias("begin"), F.nullif(at("end"), F.lit(0.0)).alias("end"),
@@ -116,7 +116,7 @@ def _over(top: Column, base: Column) -> Column:
 
 def ttml_styles(files: DataFrame) -> DataFrame:
     """Style definitions ``(file_id, style_id, parent, style)`` of timed-text files."""
-    tags = F.regexp_extract_all("body", F.lit(r"(?s)(<(?:\w+:)?style\s[^>]*>)"), F.lit(1))
+    tags = F.regexp_extract_all(hx.without_comments(F.col("body")), F.lit(r"(?s)(<(?:\w+:)?style\s[^>]*>)"), F.lit(1))
     d = files.select("file_id", F.posexplode(tags).alias("n", "t")).withColumn("a", hx.attributes(F.col("t")))
     sid = F.coalesce(F.nullif(hx.get(F.col("a"), "id"), F.lit("")), hx.get(F.col("a"), "xml:id"))
     d = d.select("file_id", "n", sid.alias("style_id"), F.nullif(hx.get(F.col("a"), "style"), F.lit("")).alias("parent"), _style_of(F.col("a")).alias("style"))
@@ -125,30 +125,30 @@ def ttml_styles(files: DataFrame) -> DataFrame:
     return d.groupBy("file_id", "style_id").agg(F.max_by(F.struct("parent", "style"), "n").alias("s")).select("file_id", "style_id", "s.parent", "s.style")
 
 
-def resolve_styles(styles: DataFrame, depth: int = 16) -> DataFrame:
-    """Each style with what it inherits along its parents (H07); one whose parents never end is dropped."""
-    done = [styles.filter("parent IS NULL").select("file_id", "style_id", "style")]
-    live = styles.filter("parent IS NOT NULL")
-    look = styles.select(F.col("file_id").alias("f"), F.col("style_id").alias("up"), F.col("parent").alias("up_parent"), F.col("style").alias("up_style"))
-    for _ in range(depth):
-        j = live.join(look, (live["file_id"] == look["f"]) & (live["parent"] == look["up"]))
-        step = cut(j.select("file_id", "style_id", F.col("up_parent").alias("parent"), _over(F.col("style"), F.col("up_style")).alias("style")))
-        done.append(step.filter("parent IS NULL").select("file_id", "style_id", "style"))
-        live = step.filter("parent IS NOT NULL")
-        if live.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, done)
+def resolve_styles(styles: DataFrame) -> DataFrame:
+    """Each style with what it inherits along its parents, however many (H07); one whose parents never end or are missing is dropped.
+
+    Pointer doubling: each round joins the styles with themselves, so that a round takes in as many parents as all before it together.
+    """
+    state, span, n = cut(styles.select("file_id", "style_id", "parent", "style")), 1, styles.count()
+    while span <= n and not state.filter("parent IS NOT NULL").isEmpty():
+        up = state.select(F.col("file_id").alias("f"), F.col("style_id").alias("up"), F.col("parent").alias("up_parent"), F.col("style").alias("up_style"))
+        live = state.filter("parent IS NOT NULL")
+        j = live.join(up, (live["file_id"] == up["f"]) & (live["parent"] == up["up"]))
+        step = j.select("file_id", "style_id", F.col("up_parent").alias("parent"), _over(F.col("style"), F.col("up_style")).alias("style"))
+        state, span = cut(state.filter("parent IS NULL").unionByName(step)), span * 2
+    return state.filter("parent IS NULL").select("file_id", "style_id", "style")
 
 
-def style_cues(cues: DataFrame, files: DataFrame, depth: int = 16) -> DataFrame:
+def style_cues(cues: DataFrame, files: DataFrame) -> DataFrame:
     """Cue texts with font, bold, italic and underline marks from their styles.
 
     Body and div defaults, the named style and own properties apply in that order; nested elements mark
     only what changes. The styles of one file travel with its cues as a map.
     """
-    styles = resolve_styles(ttml_styles(files), depth)
+    styles = resolve_styles(ttml_styles(files))
     maps = styles.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("style_id", "style"))).alias("styles"))
-    first = lambda tag: hx.attr(F.regexp_extract("body", rf"(?s)(<(?:\w+:)?{tag}(?:\s[^>]*)?>)", 1), "style")
+    first = lambda tag: hx.attr(F.regexp_extract(hx.without_comments(F.col("body")), rf"(?s)(<(?:\w+:)?{tag}(?:\s[^>]*)?>)", 1), "style")
     used = files.select("file_id", first("body").alias("__b"), first("div").alias("__d"))
     d = cues.join(used, "file_id", "left").join(maps, "file_id", "left")
     none = F.lit(None).cast(_STYLE)
@@ -206,25 +206,22 @@ def timecode(secs: Column) -> Column:
                     F.lpad(whole((secs % 1) * 1000).cast("string"), 3, "0"))
 
 
-def render_srt(cues: DataFrame, cues_per_part: int = 10_000) -> DataFrame:
-    """SRT text per file.
-
-    A file with more than ``cues_per_part`` cue numbers comes in several parts, which are its text when
-    put together in order; no task has to hold a text of unbounded length.
-    """
+def render_srt(cues: DataFrame) -> DataFrame:
+    """SRT blocks ``(file_id, idx, block)``, one per cue whatever the size of a file (H08); a file's text is its blocks by ``idx``."""
     block = F.concat(F.col("idx").cast("string"), F.lit("\n"), timecode(F.col("begin")), F.lit(" --> "), timecode(F.col("end")), F.lit("\n"),
                      F.col("text"), F.lit("\n\n"))
-    part = F.floor((F.col("idx") - 1) / cues_per_part).cast("int")
-    d = cues.select("file_id", part.alias("part"), "idx", block.alias("block"))
-    g = d.groupBy("file_id", "part").agg(F.array_sort(F.collect_list(F.struct("idx", "block"))).alias("x"))
-    return g.select("file_id", "part", F.array_join(F.transform("x", lambda r: r["block"]), "").alias("srt"))
+    return cues.select("file_id", "idx", block.alias("block"))
+
+
+def write_srt(cues: DataFrame, path: str) -> None:
+    """Write blocks as text, one folder per file, in order over its parts (H08). Range partitions also split a file of any size."""
+    d = render_srt(cues).select("file_id", "idx", "block").repartitionByRange("file_id", "idx").sortWithinPartitions("file_id", "idx")
+    d.select("file_id", F.col("block").alias("value")).write.mode("overwrite").option("lineSep", "").partitionBy("file_id").text(path)
 
 
-def list_subs(subs: DataFrame, per_line: int = 50) -> DataFrame:
-    """Per language the extensions, best first, at most ``per_line`` to a line."""
-    d = skew.numbered(subs, ["media_id", "lang"], [-F.col("pos")], "n").withColumn("line", F.floor((F.col("n") - 1) / per_line).cast("int"))
-    g = d.groupBy("media_id", "lang", "line").agg(F.array_sort(F.collect_list(F.struct("n", "ext"))).alias("x"))
-    return g.select("media_id", "lang", "line", F.array_join(F.transform("x", lambda r: r["ext"]), ", ").alias("formats"))
+def list_subs(subs: DataFrame) -> DataFrame:
+    """The extensions of each language, best first, as one row each: ``media_id, lang, n, ext``."""
+    return skew.numbered(subs, ["media_id", "lang"], [-F.col("pos")], "n").select("media_id", "lang", "n", "ext")
 
 
 def list_thumbnails(ranked: DataFrame) -> DataFrame:

@@ -301,21 +301,24 @@ SELECT media_id, pos, CASE WHEN pos % 3 = 0 THEN 'format' ELSE 'f4m' END AS rout
   CASE WHEN pos % 2 = 0 THEN CAST(pos % 1000 AS BIGINT) END AS tbr, CAST(NULL AS INT) AS width, height FROM {formats}""")
 define("edge_children", """
 SELECT concat('m', n_nationkey % 6) AS manifest_url, CAST(n_nationkey AS BIGINT) AS pos, CASE WHEN n_nationkey % 6 = 1 THEN 'm3u8' ELSE 'format' END AS route, concat('c', n_nationkey) AS format_id,
-  CASE WHEN n_nationkey % 6 = 1 THEN 'solo' ELSE concat('http://k.example.com/', n_nationkey) END AS url, CAST(NULL AS BIGINT) AS tbr, CAST(NULL AS INT) AS width, CAST(NULL AS INT) AS height FROM {nation} WHERE n_nationkey < 12
-UNION ALL SELECT 'solo', CAST(1 AS BIGINT), 'format', 'only', 'http://k.example.com/solo', CAST(NULL AS BIGINT), CAST(NULL AS INT), CAST(NULL AS INT) FROM {region} WHERE r_regionkey = 0""")
+  CASE WHEN n_nationkey % 6 = 1 THEN 'solo' ELSE concat('http://k.example.com/', n_nationkey) END AS url, CAST(NULL AS BIGINT) AS tbr, CAST(NULL AS INT) AS width, CAST(NULL AS INT) AS height FROM {nation}
+UNION ALL SELECT concat('h', r_regionkey), CAST(r_regionkey AS BIGINT), CASE WHEN r_regionkey = 4 THEN 'format' ELSE 'm3u8' END, r_name, concat('h', r_regionkey + 1), CAST(NULL AS BIGINT), CAST(r_regionkey AS INT), CAST(NULL AS INT) FROM {region}
+UNION ALL SELECT 'h1', CAST(99 AS BIGINT), 'f4m', concat('back', r_regionkey), concat('h', r_regionkey), CAST(NULL AS BIGINT), CAST(NULL AS INT), CAST(NULL AS INT) FROM {region} WHERE r_regionkey < 2
+UNION ALL SELECT 'solo', CAST(r_regionkey AS BIGINT), 'm3u8', concat('s', r_regionkey), 'm0', CAST(NULL AS BIGINT), CAST(NULL AS INT), CAST(NULL AS INT) FROM {region}
+UNION ALL SELECT 'm6', CAST(r_regionkey AS BIGINT), 'm3u8', concat('x', r_regionkey), concat('h', r_regionkey), CAST(NULL AS BIGINT), CAST(NULL AS INT), CAST(NULL AS INT) FROM {region}""")
 
 
 @query("D15_resolve_manifest_edges", oracle("""
-WITH k AS (SELECT *, count(*) OVER (PARTITION BY manifest_url) AS n FROM {edge_children}),
-one AS (SELECT e.media_id, e.pos, k.pos AS kp, k.route, CASE WHEN k.n = 1 AND coalesce(e.tbr, 0) <> 0 THEN e.format_id ELSE k.format_id END AS format_id, k.url, CASE WHEN k.n = 1 THEN coalesce(k.tbr, e.tbr) ELSE k.tbr END AS tbr, CASE WHEN k.n = 1 THEN coalesce(k.height, e.height) ELSE k.height END AS height
-  FROM {edge_formats} e JOIN k ON e.url = k.manifest_url WHERE e.route <> 'format'),
-two AS (SELECT o.media_id, o.pos, o.kp, k.pos AS kp2, CASE WHEN k.n = 1 AND coalesce(o.tbr, 0) <> 0 THEN o.format_id ELSE k.format_id END AS format_id, k.url, CASE WHEN k.n = 1 THEN coalesce(k.tbr, o.tbr) ELSE k.tbr END AS tbr, CASE WHEN k.n = 1 THEN coalesce(k.height, o.height) ELSE k.height END AS height
-  FROM one o JOIN k ON o.url = k.manifest_url WHERE o.route <> 'format')
-SELECT media_id, CAST(pos AS VARCHAR) AS path, format_id, url, tbr, height FROM {edge_formats} WHERE route = 'format' UNION ALL
-SELECT media_id, pos || '/' || kp, format_id, url, tbr, height FROM one WHERE route = 'format' UNION ALL SELECT media_id, pos || '/' || kp || '/' || kp2, format_id, url, tbr, height FROM two"""))
+WITH RECURSIVE k AS (SELECT *, count(*) OVER (PARTITION BY manifest_url) AS n FROM {edge_children}),
+w AS (SELECT media_id, CAST(pos AS VARCHAR) AS path, route, format_id, url, tbr, width, height, [url] AS seen FROM {edge_formats} UNION ALL
+  SELECT w.media_id, w.path || '/' || k.pos, CASE WHEN k.route <> 'format' AND list_contains(w.seen, k.url) THEN 'cycle' ELSE k.route END, CASE WHEN k.n = 1 AND coalesce(w.tbr, 0) <> 0 THEN w.format_id ELSE k.format_id END, k.url,
+    CASE WHEN k.n = 1 THEN coalesce(nullif(k.tbr, 0), w.tbr) ELSE k.tbr END, CASE WHEN k.n = 1 THEN coalesce(nullif(k.width, 0), w.width) ELSE k.width END,
+    CASE WHEN k.n = 1 THEN coalesce(nullif(k.height, 0), w.height) ELSE k.height END, list_append(w.seen, k.url)
+  FROM w JOIN k ON w.url = k.manifest_url WHERE w.route NOT IN ('format', 'cycle'))
+SELECT media_id, path, route, format_id, url, tbr, width, height FROM w WHERE route IN ('format', 'cycle')"""))
 def _(t):
     out = mf.resolve_manifest_edges(t["edge_formats"], t["edge_children"])
-    return out.select("media_id", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), "format_id", "url", "tbr", "height")
+    return out.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "/"))
 
 
 @query("D16_fix_ampersands", oracle("""

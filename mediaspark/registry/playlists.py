@@ -140,19 +140,23 @@ SELECT concat('n/', n_nationkey), CASE WHEN n_nationkey % 7 = 0 THEN 'video' WHE
   CASE WHEN n_nationkey % 7 > 0 THEN concat('r/', n_regionkey) END, concat('n', n_nationkey), n_name,
   CASE WHEN n_nationkey % 4 = 1 THEN 'nation' END, FALSE FROM {nation} UNION ALL
 SELECT concat('r/', r_regionkey), CASE WHEN r_regionkey >= 3 THEN 'url' ELSE 'video' END,
-  CASE WHEN r_regionkey >= 3 THEN concat('r/', 7 - r_regionkey) END, concat('r', r_regionkey), r_name, 'region', FALSE FROM {region}""")
+  CASE WHEN r_regionkey >= 3 THEN concat('r/', 7 - r_regionkey) END, concat('r', r_regionkey), r_name, 'region', FALSE FROM {region} UNION ALL
+SELECT concat('k/', s_suppkey), CASE WHEN s_suppkey % 97 = 0 THEN 'video' WHEN s_suppkey % 3 = 0 THEN 'url_transparent' ELSE 'url' END, CASE WHEN s_suppkey % 97 > 0 THEN concat('k/', s_suppkey - 1) END,
+  concat('k', s_suppkey), CASE WHEN s_suppkey % 4 = 0 THEN s_name END, CASE WHEN s_suppkey % 11 = 0 THEN s_name END, FALSE FROM {supplier}""")
 
 
 def _walk(flat=""):
     return f"""
-WITH RECURSIVE w AS (SELECT url AS source, url, type, target, id, title, uploader, CASE WHEN type NOT IN ('url', 'url_transparent') THEN 'resolved' {flat} END AS status, 0 AS lvl FROM {{refs}}
+WITH RECURSIVE w AS (SELECT url AS source, url, type, target, id, title, uploader, CASE WHEN type NOT IN ('url', 'url_transparent') THEN 'resolved' {flat} END AS status, [url] AS seen FROM {{refs}}
 UNION ALL SELECT w.source, coalesce(r.url, w.url), CASE WHEN r.url IS NULL THEN w.type WHEN w.type = 'url_transparent' AND r.type = 'url' THEN 'url_transparent' ELSE r.type END,
   CASE WHEN r.url IS NULL THEN w.target ELSE r.target END, coalesce(r.id, w.id),
   CASE WHEN r.url IS NULL OR w.type = 'url_transparent' THEN coalesce(w.title, r.title) ELSE r.title END,
   CASE WHEN r.url IS NULL OR w.type = 'url_transparent' THEN coalesce(w.uploader, r.uploader) ELSE r.uploader END,
-  CASE WHEN r.url IS NULL THEN 'missing' WHEN r.type NOT IN ('url', 'url_transparent') THEN 'resolved' END, lvl + 1
-FROM w LEFT JOIN {{refs}} r ON w.target = r.url WHERE w.status IS NULL AND lvl < 4)
-SELECT source, url, type, id, title, uploader, coalesce(status, 'open') AS status FROM w WHERE status IS NOT NULL OR lvl = 4"""
+  CASE WHEN r.url IS NULL THEN 'missing' WHEN r.type NOT IN ('url', 'url_transparent') THEN 'resolved' WHEN list_contains(w.seen, r.url) THEN 'cycle' END, list_append(w.seen, r.url)
+FROM w LEFT JOIN {{refs}} r ON w.target = r.url WHERE w.status IS NULL)
+SELECT w.source, CASE WHEN status = 'cycle' THEN s.url ELSE w.url END AS url, CASE WHEN status = 'cycle' THEN s.type ELSE w.type END AS type, CASE WHEN status = 'cycle' THEN s.id ELSE w.id END AS id,
+  CASE WHEN status = 'cycle' THEN s.title ELSE w.title END AS title, CASE WHEN status = 'cycle' THEN s.uploader ELSE w.uploader END AS uploader, status
+FROM w JOIN {{refs}} s ON s.url = w.source WHERE status IS NOT NULL"""
 
 
 REF_COLS = ["source", "url", "type", "id", "title", "uploader", "status"]
@@ -160,12 +164,12 @@ REF_COLS = ["source", "url", "type", "id", "title", "uploader", "status"]
 
 @query("G14_resolve_refs", oracle(_walk()))
 def _(t):
-    return pl.resolve_refs(t["refs"].drop("in_playlist"), depth=4).select(*REF_COLS)
+    return pl.resolve_refs(t["refs"].drop("in_playlist")).select(*REF_COLS)
 
 
 @query("G16_flat_in_playlist", oracle(_walk("WHEN in_playlist THEN 'kept'")))
 def _(t):
-    return pl.resolve_refs(t["refs"], depth=4, mode="flat_in_playlist").select(*REF_COLS)
+    return pl.resolve_refs(t["refs"], mode="flat_in_playlist").select(*REF_COLS)
 
 
 @query("G16_flat", oracle("""
@@ -183,12 +187,15 @@ define("nested_roots", "SELECT concat('r/', r_regionkey) AS root FROM {region}")
 
 
 @query("G15_expand_nested", oracle("""
-WITH RECURSIVE v AS (SELECT root, root AS playlist FROM {nested_roots} UNION
-  SELECT v.root, e.child FROM v JOIN {nested} e ON e.parent = v.playlist WHERE e.child IN (SELECT parent FROM {nested}))
-SELECT v.root, v.playlist, e.pos, e.child AS item FROM v JOIN {nested} e ON e.parent = v.playlist
-WHERE e.child NOT IN (SELECT parent FROM {nested})"""))
-def _(t):
-    return pl.expand_nested(t["nested"], t["nested_roots"]).select("root", "playlist", "pos", "item")
+WITH RECURSIVE e AS (SELECT * FROM {nested} WHERE child IN (SELECT parent FROM {nested})),
+p AS (SELECT root, root AS playlist, CAST(NULL AS VARCHAR) AS parent, CAST([] AS BIGINT[]) AS path, [root] AS nodes FROM {nested_roots} UNION ALL
+  SELECT p.root, e.child, e.parent, list_append(p.path, e.pos), list_append(p.nodes, e.child) FROM p JOIN e ON e.parent = p.playlist WHERE NOT list_contains(p.nodes, e.child)),
+v AS (SELECT root, playlist, min({'path': path, 'nodes': nodes, 'parent': parent}) AS x FROM p GROUP BY root, playlist)
+SELECT v.root, v.playlist, x.parent AS parent, CAST(len(x.path) AS INTEGER) AS level, array_to_string(x.path, '/') AS path, n.pos, n.child AS item
+FROM v JOIN {nested} n ON n.parent = v.playlist WHERE n.child NOT IN (SELECT parent FROM {nested})"""))
+def _(t):
+    d = pl.expand_nested(t["nested"], t["nested_roots"])
+    return d.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "/"))
 
 
 define("entry_rows", """

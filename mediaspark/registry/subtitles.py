@@ -93,16 +93,15 @@ def _(t):
 
 
 @query("H08_render_srt", oracle("""
-SELECT file_id, 0 AS part, string_agg(idx || chr(10) || printf('%02d:%02d:%02d,%03d', CAST(floor(b / 3600) AS INT), CAST(floor(b % 3600 / 60) AS INT), CAST(floor(b % 60) AS INT), CAST(floor(b % 1 * 1000) AS INT)) || ' --> ' ||
-  printf('%02d:%02d:%02d,%03d', CAST(floor(e / 3600) AS INT), CAST(floor(e % 3600 / 60) AS INT), CAST(floor(e % 60) AS INT), CAST(floor(e % 1 * 1000) AS INT)) || chr(10) || 'A & B ' || i || chr(10) || role || ' x' || chr(10) || chr(10), '' ORDER BY idx) AS srt
-FROM {cue_times} WHERE b IS NOT NULL AND e IS NOT NULL GROUP BY file_id"""))
+SELECT file_id, idx, idx || chr(10) || printf('%02d:%02d:%02d,%03d', CAST(floor(b / 3600) AS INT), CAST(floor(b % 3600 / 60) AS INT), CAST(floor(b % 60) AS INT), CAST(floor(b % 1 * 1000) AS INT)) || ' --> ' ||
+  printf('%02d:%02d:%02d,%03d', CAST(floor(e / 3600) AS INT), CAST(floor(e % 3600 / 60) AS INT), CAST(floor(e % 60) AS INT), CAST(floor(e % 1 * 1000) AS INT)) || chr(10) || 'A & B ' || i || chr(10) || role || ' x' || chr(10) || chr(10) AS block
+FROM {cue_times} WHERE b IS NOT NULL AND e IS NOT NULL"""))
 def _(t):
     return sb.render_srt(sb.ttml_cues(ttml(t)))
 
 
 @query("H09_list_subs", oracle("""
-SELECT media_id, lang, CAST((n - 1) // 50 AS INTEGER) AS line, string_agg(ext, ', ' ORDER BY n) AS formats FROM (
-  SELECT *, row_number() OVER (PARTITION BY media_id, lang ORDER BY pos DESC) AS n FROM {subs}) GROUP BY media_id, lang, (n - 1) // 50"""))
+SELECT media_id, lang, row_number() OVER (PARTITION BY media_id, lang ORDER BY pos DESC) AS n, ext FROM {subs}"""))
 def _(t):
     return sb.list_subs(t["subs"])
 

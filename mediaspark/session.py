@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,18 +39,37 @@ def local_session(cpus: int = 8, app: str = "mediaspark") -> SparkSession:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is named (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder, as ``spark.checkpoint.dir`` names it.
+
+    Only a session that runs in one process (``local``) may do without; anywhere else a folder of the driver's machine would be out of
+    the executors' reach, so that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        found = spark.sparkContext.getCheckpointDir()
-        root = found or tempfile.mkdtemp(prefix="mediaspark-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="mediaspark-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_made: dict[str, list[str]] = {}
+
+
+def clean(spark: SparkSession) -> int:
+    """Remove the scratch tables that this application has written so far; results that still read them must be done."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .. import skew
 from ..functions import urls as ux, values as vx
 from ..functions.core import once
 from ..operators.manifests import XML_OPTIONS, fixed
@@ -95,24 +94,20 @@ def append_archive(df: DataFrame, path: str) -> None:
     ids.filter("value IS NOT NULL").write.mode("append").text(path)
 
 
-def nest_records(media: DataFrame, parts: dict, per_record: int = 10_000) -> DataFrame:
-    """Records with nested lists, as JSON text.
+def nest_records(media: DataFrame, parts: dict) -> DataFrame:
+    """Records with nested lists, one JSON text per item whatever the size of its lists.
 
     ``parts`` maps a field to a long table ``(media_id, pos, ...)``. Null values, keys that start with two
-    underscores and bookkeeping fields are left out. A list longer than ``per_record`` continues in further
-    records of the same item, numbered in ``part``, so that no record grows without bound.
+    underscores and bookkeeping fields are left out. A record is a cell: its lists must fit into a task's memory.
     """
     keep = [c for c in media.columns if not c.startswith("__") and c not in _PRIVATE]
-    out = media.select(*keep).withColumn("part", F.lit(0))
+    out = media.select(*keep)
     for name, d in parts.items():
         cols = [c for c in d.columns if c not in ("media_id", "pos") and not c.startswith("__")]
-        n = skew.numbered(d, "media_id", [F.col("pos")], "__n").withColumn("part", F.floor((F.col("__n") - 1) / per_record).cast("int"))
-        g = n.groupBy("media_id", "part").agg(F.array_sort(F.collect_list(F.struct("__n", F.struct(*cols).alias("v")))).alias("l"))
-        g = g.select("media_id", "part", F.transform("l", lambda x: x["v"]).alias(name))
-        out = out.join(g.join(media.select("media_id"), "media_id", "left_semi"), ["media_id", "part"], "full")
-    fields = [c for c in out.columns if c not in ("media_id", "part")]
-    body = F.to_json(F.struct(*fields, F.nullif("part", F.lit(0)).alias("part")), {"ignoreNullFields": "true"})
-    return out.select("media_id", "part", body.alias("value"))
+        g = d.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(*cols).alias("v")))).alias("l"))
+        out = out.join(g.select("media_id", F.transform("l", lambda x: x["v"]).alias(name)), "media_id", "left")
+    fields = [c for c in out.columns if c != "media_id"]
+    return out.select("media_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "true"}).alias("value"))
 
 
 def write_info_json(media: DataFrame, path: str, parts: dict | None = None) -> None:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediaspark.functions import html as hx, text as tx, urls as ux, values as vx
-from mediaspark.operators import pages as pg, playlists as pl, records as rc, subtitles as sb, urls as ur
+from mediaspark.operators import embeds as em, manifests as mf, pages as pg, playlists as pl, records as rc, subtitles as sb, urls as ur
 
 
 def run(spark, fn, values):
@@ -86,8 +86,47 @@ def test_cue_numbers_have_gaps(spark):
     body = '<tt><body><div><p begin="1" end="2">a</p><p end="3">b</p><p begin="3" dur="1">c<br/>d</p><p begin="4"/></div></body></tt>'
     cues = sb.ttml_cues(spark.createDataFrame([(1, body)], "file_id int, body string"))
     assert [(r["idx"], r["begin"], r["end"], r["text"]) for r in cues.orderBy("idx").collect()] == [(1, 1.0, 2.0, "a"), (3, 3.0, 4.0, "c\nd")]
-    assert sb.render_srt(cues).collect()[0]["srt"] == "1\n00:00:01,000 --> 00:00:02,000\na\n\n3\n00:00:03,000 --> 00:00:04,000\nc\nd\n\n"
-    assert sb.render_srt(cues, cues_per_part=2).count() == 2
+    srt = "".join(r["block"] for r in sb.render_srt(cues).orderBy("idx").collect())
+    assert srt == "1\n00:00:01,000 --> 00:00:02,000\na\n\n3\n00:00:03,000 --> 00:00:04,000\nc\nd\n\n"
+
+
+def test_comments_and_cdata_are_no_tags(spark):
+    body = '<tt><body><div><!-- <p begin="0" end="1">no</p> --><p begin="1" end="2"><![CDATA[a <b> & c]]></p></div></body></tt>'
+    cues = sb.ttml_cues(spark.createDataFrame([(1, body)], "file_id int, body string")).collect()
+    assert [(r["idx"], r["text"]) for r in cues] == [(1, "a <b> & c")]
+    smil = '<smil><head><!-- <meta base="http://no/"/> --></head><body><!-- <video src="no.mp4"/> --><video src="http://x/a.mp4"/></body></smil>'
+    df = spark.createDataFrame([(1, "http://m/x.smil", smil)], "manifest_id int, url string, body string")
+    assert [r["url"] for r in mf.smil_formats(df).collect()] == ["http://x/a.mp4"]
+
+
+def test_long_chains_and_cycles(spark):
+    styles = [(1, f"s{i}", f"s{i - 1}" if i else None, i) for i in range(70)] + [(1, "x", "y", 0), (1, "y", "x", 0), (1, "z", "none", 0)]
+    df = spark.createDataFrame(styles, "file_id int, style_id string, parent string, n int")
+    own = F.struct(*[(F.when(F.col("n") == 0, F.lit(p)) if p == "color" else F.lit(None).cast("string")).alias(p) for p in sb.PROPS])
+    got = {r["style_id"]: r["style"]["color"] for r in sb.resolve_styles(df.withColumn("style", own)).collect()}
+    assert got == {f"s{i}": "color" for i in range(70)}
+    hop = [(f"m{i}", 0, "m3u8" if i < 8 else "format", f"f{i}", f"m{i + 1}") for i in range(9)] + [("c", 0, "m3u8", "c", "d"), ("d", 0, "m3u8", "d", "c")]
+    kids = spark.createDataFrame(hop, "manifest_url string, pos bigint, route string, format_id string, url string")
+    top = spark.createDataFrame([(1, 0, "m3u8", "a", "m0"), (2, 0, "m3u8", "b", "c")], "media_id int, pos bigint, route string, format_id string, url string")
+    none = {c: F.lit(None).cast("bigint") for c in ("tbr", "width", "height")}
+    out = mf.resolve_manifest_edges(top.withColumns(none), kids.withColumns(none)).collect()
+    assert {(r["media_id"], r["route"], r["url"], len(r["path"])) for r in out} == {(1, "format", "m9", 10), (2, "cycle", "c", 3)}
+
+
+def test_hostile_pages(spark):
+    many = " ".join(f'a{i}="{i}"' for i in range(20_000))
+    html = f'<div {many} id="x">in</div><meta {many} http-equiv="refresh" content="1; URL=/to">'
+    df = spark.createDataFrame([(1, "http://h/a", html, None), (2, "http://h/b", "<p>", "0; url=http://h/c")], "page_id int, url string, html string, refresh string")
+    assert [r["content"] for r in pg.select_elements(df, "id", "x").collect()] == ["in"]
+    assert {(r["page_id"], r["dst"]) for r in pg.redirect_edges(df).collect()} == {(1, "http://h/to"), (2, "http://h/c")}
+
+
+def test_charset_of_bytes_and_player_card(spark):
+    df = spark.createDataFrame([(1, bytearray(b"\xff\xfeh\x00"), None), (2, bytearray(b"\xe9" * 1020 + b'<meta charset="x">'), None), (3, bytearray(b'<meta charset="latin-1">'), None)],
+                               "page_id int, html binary, content_type string")
+    assert [r["charset"] for r in pg.detect_charset(df).orderBy("page_id").collect()] == ["utf-16", "utf-8", "latin-1"]
+    card = spark.createDataFrame([(1, "http://h/a", '<meta name="twitter:player" content="https://p.example.com/1">')], "page_id int, url string, html string")
+    assert [(r["url"], r["route"]) for r in em.scrape_media_links(card).collect()] == [("https://p.example.com/1", "embed")]
 
 
 def test_routing_first_match_and_limit(spark):

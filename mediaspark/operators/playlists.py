@@ -81,8 +81,9 @@ def shuffle_entries(df: DataFrame, seed: str, key: str = "media_id", start: int
 
 
 def cap(df: DataFrame, n: int, order) -> DataFrame:
-    """The first ``n`` accepted items of the run; apply after the filters."""
-    return df.orderBy(*order).limit(n)
+    """The first ``n`` accepted items of the run; apply after the filters (G06). No task gathers them, whatever ``n`` is."""
+    out = skew.numbered(df.withColumn("__all", F.lit(0)), "__all", order, "__n")
+    return out.filter(F.col("__n") <= n).drop("__all", "__n")
 
 
 def pages_for_slice(df: DataFrame, size: int, start: int = 1, end: int | None = None) -> DataFrame:

@@ -1,14 +1,13 @@
 """Ordered per-group work that survives groups holding a large share of all rows.
 
 A plain ``row_number() over (partition by key order by ...)`` puts every row of a key into one
-task. Here groups above ``hot_rows`` rows take another path: their order range is cut into slices
-at sampled split points, each slice is numbered on its own, and the counts (or sums) of the
+task. Here groups above ``hot_rows`` rows take another path: their rows are range-sorted by key and order into
+slices of about ``hot_rows`` rows, each slice is numbered on its own, and the counts (or sums) of the
 earlier slices are added. All other groups use the plain window. The answer is the same as that of
 the plain window; only the spread over tasks differs.
 
-At most ``MAX_HOT`` groups are treated as hot, the largest ones. A group that is not among them
-holds at most 1/MAX_HOT of all rows, which one task can sort (with spilling). So the tables that
-are broadcast here are bounded: ``MAX_HOT`` hot keys with at most ``MAX_SLICES`` split points each.
+There is no limit on the number of hot groups (at most rows / ``hot_rows``) or on their size. Their keys stay a table, which is broadcast
+only if it is counted to be small; the slices are a written table, so that their bounds stay the same when a task is repeated.
 """
 
 from __future__ import annotations
@@ -17,10 +16,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .session import cut, scratch_path
+
 HOT_ROWS = 1_000_000
-MAX_HOT = 256
-MAX_SLICES = 256
-_OVERSAMPLE = 8
+#: Hot keys that are broadcast; more are joined by a shuffle.
+MAX_BROADCAST_KEYS = 10_000
 
 
 def _names(cols):
@@ -28,11 +28,8 @@ def _names(cols):
 
 
 def hot_groups(df: DataFrame, by, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The at most MAX_HOT largest groups with more than ``hot_rows`` rows (one count, map-side combined)."""
-    by = _names(by)
-    return (df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-            .filter(F.col("__n") > hot_rows)
-            .orderBy(F.col("__n").desc(), *by).limit(MAX_HOT))
+    """Groups with more than ``hot_rows`` rows (one count, map-side combined)."""
+    return df.groupBy(*_names(by)).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows)
 
 
 def _same_key(left: DataFrame, right: DataFrame, by) -> Column:
@@ -52,53 +49,51 @@ def _drop_keys(df: DataFrame) -> DataFrame:
 def split_hot(df: DataFrame, by, hot_rows: int | None = None, sizes: DataFrame | None = None):
     """(rows of ordinary groups, rows of hot groups with their size ``__n``, or None if there are none).
 
-    ``sizes`` may name a cheaper table with the same keys whose groups are at least as large. The
-    look-up brings at most MAX_HOT keys to the driver, so that without hot groups (the usual case)
-    the plan stays one plain window. ``hot_rows=0`` skips it for groups that are bounded by their making,
-    such as the parts of one stored document.
+    ``sizes`` may name a cheaper table with the same keys whose groups are at least as large. It is looked at once while the
+    plan is built, so that without hot groups (the usual case) the plan stays one plain window. ``hot_rows=0`` skips it for
+    groups that are bounded by their making, such as the parts of one stored document.
     """
     by = _names(by)
     if hot_rows == 0:
         return df, None
-    base = df if sizes is None else sizes
-    counted = hot_groups(base, by, HOT_ROWS if hot_rows is None else hot_rows)
-    found = counted.collect()
-    if not found:
+    counted = hot_groups(df if sizes is None else sizes, by, HOT_ROWS if hot_rows is None else hot_rows)
+    if counted.isEmpty():
         return df, None
-    hot = F.broadcast(_keyed(df.sparkSession.createDataFrame(found, counted.schema), by))
+    counted = cut(counted)
+    hot = _keyed(counted, by)
+    if counted.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS:
+        hot = F.broadcast(hot)
     cold = df.join(hot, _same_key(df, hot, by), "left_anti")
     warm = _drop_keys(df.join(hot, _same_key(df, hot, by), "inner"))
     return cold, warm
 
 
-def _sliced(warm: DataFrame, by, order) -> DataFrame:
-    """Give every row of a hot group the number of its slice in the group's order."""
-    key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    rate = F.greatest(F.lit(1), (F.col("__n") / (_OVERSAMPLE * MAX_SLICES)).cast("bigint"))
-    keyed = warm.withColumn("__o", key)
-    sample = (keyed.filter(F.pmod(F.xxhash64("__o"), rate) == 0)
-              .groupBy(*by).agg(F.sort_array(F.collect_set("__o")).alias("__s")))
-    step = F.greatest(F.lit(1), F.ceil(F.size("__s") / MAX_SLICES).cast("int"))
-    splits = sample.select(*by, F.filter("__s", lambda x, i: i % step == 0).alias("__s"))
-    splits = F.broadcast(_keyed(splits, by))
-    out = keyed.join(splits, _same_key(keyed, splits, by), "left")
-    below = F.size(F.filter("__s", lambda x: x <= F.col("__o")))
-    out = _drop_keys(out.withColumn("__slice", F.coalesce(below, F.lit(0)))).drop("__s", "__o", "__n")
-    return out.repartition(*[F.col(k) for k in by], F.col("__slice"))
+def _sliced(warm: DataFrame, by, order, hot_rows: int | None = None) -> DataFrame:
+    """Rows of hot groups range-sorted into slices of about ``hot_rows`` rows, with the order's columns as ``__o0``, ``__o1``, ..."""
+    keyed = warm.drop("__n").withColumns({f"__o{i}": c for i, c in enumerate(order)})
+    keys = [*by, *[f"__o{i}" for i in range(len(order))]]
+    slices = -(-warm.count() // (hot_rows or HOT_ROWS)) + 1
+    path = scratch_path(warm.sparkSession, "slices")
+    keyed.repartitionByRange(slices, *keys).sortWithinPartitions(*keys).write.parquet(path)
+    return warm.sparkSession.read.schema(keyed.schema).parquet(path).withColumn("__slice", F.col("_metadata.file_name"))
+
+
+def _places(sliced: DataFrame):
+    return [c for c in sliced.columns if c.startswith("__o") and c[3:].isdigit()]
 
 
 def _with_offsets(sliced: DataFrame, by, aggs: dict) -> DataFrame:
-    """Join to each slice the totals of the earlier slices of its group (bounded, broadcast).
+    """Join to each slice the totals of the earlier slices of its group: a table of one row per group and slice.
 
     ``aggs`` maps a name to ``("sum" | "max", aggregate)``.
     """
-    per = sliced.groupBy(*by, "__slice").agg(*[a.alias(f"__off_{n}") for n, (_, a) in aggs.items()])
-    before = W.partitionBy(*by).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
+    per = sliced.groupBy(*by, "__slice").agg(F.min(F.struct(*_places(sliced))).alias("__low"), *[a.alias(f"__off_{n}") for n, (_, a) in aggs.items()])
+    before = W.partitionBy(*by).orderBy("__low", "__slice").rowsBetween(W.unboundedPreceding, -1)
     offs = per.select(*by, "__slice", *[
         (F.coalesce(F.sum(f"__off_{n}").over(before), F.lit(0)) if kind == "sum" else F.max(f"__off_{n}").over(before)).alias(f"__off_{n}")
         for n, (kind, _) in aggs.items()])
     keys = [*by, "__slice"]
-    offs = F.broadcast(_keyed(offs, keys))
+    offs = _keyed(offs, keys)
     return _drop_keys(sliced.join(offs, _same_key(sliced, offs, keys), "left"))
 
 
@@ -110,9 +105,9 @@ def numbered(df: DataFrame, by, order, out: str, hot_rows: int | None = None,
     cold = cold.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("bigint"))
     if warm is None:
         return cold
-    s = _with_offsets(_sliced(warm, by, order), by, {"n": ("sum", F.count(F.lit(1)))})
-    ws = W.partitionBy(*by, "__slice").orderBy(*order)
-    warm = s.withColumn(out, F.row_number().over(ws) + F.col("__off_n")).drop("__slice", "__off_n")
+    s = _with_offsets(_sliced(warm, by, order, hot_rows), by, {"n": ("sum", F.count(F.lit(1)))})
+    ws = W.partitionBy(*by, "__slice").orderBy(*_places(s))
+    warm = s.withColumn(out, F.row_number().over(ws) + F.col("__off_n")).drop("__slice", "__off_n", *_places(s))
     return cold.unionByName(warm)
 
 
@@ -126,7 +121,7 @@ def running(df: DataFrame, by, order, wanted: dict, hot_rows: int | None = None,
     by = _names(by)
     cold, warm = split_hot(df, by, hot_rows, sizes)
 
-    def add(d, *part):
+    def add(d, order, *part):
         w = W.partitionBy(*by, *part).orderBy(*order)
         upto, before = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
         out = {n: (F.sum(c).over(upto) if k == "sum" else F.max(c).over(before if k == "max_before" else upto))
@@ -135,12 +130,13 @@ def running(df: DataFrame, by, order, wanted: dict, hot_rows: int | None = None,
             out = {n: (F.coalesce(c, F.lit(0)) + F.col(f"__off_{n}")) if wanted[n][0] == "sum" else F.greatest(c, F.col(f"__off_{n}"))
                    for n, c in out.items()}
         return d.select("*", *[c.alias(n) for n, c in out.items()])
-    cold = add(cold)
+    cold = add(cold, order)
     if warm is None:
         return cold
     aggs = {n: ("sum", F.sum(c)) if k == "sum" else ("max", F.max(c)) for n, (k, c) in wanted.items()}
-    warm = add(_with_offsets(_sliced(warm, by, order), by, aggs), "__slice")
-    return cold.unionByName(warm.drop("__slice", *[f"__off_{n}" for n in wanted]))
+    s = _with_offsets(_sliced(warm, by, order, hot_rows), by, aggs)
+    warm = add(s, _places(s), "__slice")
+    return cold.unionByName(warm.drop("__slice", *_places(s), *[f"__off_{n}" for n in wanted]))
 
 
 def first_per_group(df: DataFrame, by, order, keep=None) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W, functions as F
 
 from mediaspark import skew
-from mediaspark.operators import formats as fm
+from mediaspark.operators import formats as fm, playlists as pl, records as rc
 
 
 def rows(spark, n=3000):
@@ -25,9 +25,21 @@ def test_numbered_hot_equals_plain(spark):
 
 def test_hot_groups_are_split(spark):
     _, warm = skew.split_hot(rows(spark), "k", 500)
-    sliced = skew._sliced(warm, ["k"], [F.col("a"), F.col("id")])
+    sliced = skew._sliced(warm, ["k"], [F.col("a"), F.col("id")], 50)
     sizes = [r["count"] for r in sliced.groupBy("__slice").count().collect()]
-    assert sum(sizes) == 1000 and len(sizes) > 50 and max(sizes) < 100
+    assert sum(sizes) == 1000 and len(sizes) >= 18 and max(sizes) <= 100
+
+
+def test_many_hot_groups_and_one_over_the_whole_table(spark, monkeypatch):
+    d = spark.range(12_000).withColumn("k", F.col("id") % 1000).withColumn("a", (F.col("id") * 7919) % 101)
+    plain = d.withColumn("n", F.row_number().over(W.partitionBy("k").orderBy("a", "id")).cast("bigint"))
+    same(skew.numbered(d, "k", [F.col("a"), F.col("id")], "n", hot_rows=5), plain)
+    monkeypatch.setattr(skew, "MAX_BROADCAST_KEYS", 10)
+    same(skew.numbered(d, "k", [F.col("a"), F.col("id")], "n", hot_rows=5), plain)
+    monkeypatch.setattr(skew, "HOT_ROWS", 500)
+    one = d.withColumn("autonumber", F.row_number().over(W.orderBy("a", "id")).cast("bigint"))
+    same(rc.autonumbered(d, [F.col("a"), F.col("id")]), one)
+    assert sorted(r["id"] for r in pl.cap(d, 700, [F.col("a"), F.col("id")]).collect()) == sorted(r["id"] for r in one.filter("autonumber <= 700").collect())
 
 
 def test_running_hot_equals_plain(spark):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import html as hx, text as tx, urls as ux, values as vx
+from ..functions import html as hx, js, text as tx, urls as ux, values as vx
 from ..functions.core import let
 
 _TAG = r"(?:(?:amp|dl8(?:-live)?)-)?(video(?:-js)?|audio)"
@@ -99,7 +99,8 @@ def html5_posters(pages: DataFrame) -> DataFrame:
 
 # --- player configurations ----------------------------------------------------------------------
 
-_SETUP = (r"""(?s)\bjwplayer\s*\(\s*(?:"[^"]+"|'[^']+')\s*\).*?\.\s*setup\s*\(\s*(\{.*?\})\s*\)\s*;?\s*</script>""")
+# Fixed value: where a player is set up or given a list, up to the end of the script.
+_SETUP = r"""(?s)(?<!-)\bjwplayer\s*\(\s*(?:"[^"]+"|'[^']+')\s*\).*?\.\s*(?:setup|load)\s*\(\s*([{\[].*?)</script>"""
 
 
 def _v(x: Column, path: str, kind: str = "string") -> Column:
@@ -112,20 +113,22 @@ def _listed(v: Column) -> Column:
 
 
 def player_items(pages: DataFrame, col: str = "config") -> DataFrame:
-    """Playlist items of strict-JSON player configurations: a list, one item, or the bare configuration (C14).
+    """Playlist items of player configurations: a list, one item, or the bare configuration (C14).
 
     ``pages`` has the configuration as VARIANT in ``config``; see ``find_players``.
     """
     c = F.col(col)
-    many = F.coalesce(_listed(_v(c, "$.playlist", "variant")), F.array(c))
+    many = F.coalesce(_listed(_v(c, "$.playlist", "variant")), _v(c, "$", "array<variant>"), F.array(c))
     rows = pages.select("page_id", "url", F.posexplode(many).alias("item_no", "item"))
     return rows.filter(rows["item"].isNotNull())
 
 
 def find_players(pages: DataFrame) -> DataFrame:
-    """Add the first player configuration of each page as VARIANT ``config``, null without one (C14)."""
-    text = F.nullif(F.regexp_extract("html", _SETUP, 1), F.lit(""))
-    return pages.withColumn("config", F.try_parse_json(text))
+    """Add the first player configuration of each page as VARIANT ``config``, null without one (C14).
+
+    It may be JSON or a JavaScript literal, the argument of ``setup`` or the list given to ``load``; its own brackets bound it.
+    """
+    return pages.withColumn("config", F.try_parse_json(js.to_json(F.nullif(F.regexp_extract("html", _SETUP, 1), F.lit("")))))
 
 
 def player_entries(items: DataFrame) -> DataFrame:
@@ -192,8 +195,8 @@ _VIDEOJS = r"(?s)\bvideojs\s*\(.+?\.src\s*\(\s*((?:\[.+?\]|\{.+?\}))\s*\)\s*;"
 
 
 def videojs_sources(pages: DataFrame) -> DataFrame:
-    """Sources given to a video.js player: an object or a list; ones without a text ``src`` are skipped."""
-    conf = F.try_parse_json(F.nullif(F.regexp_extract("html", _VIDEOJS, 1), F.lit("")))
+    """Sources given to a video.js player: an object or a list, also as a JavaScript literal; ones without a text ``src`` are skipped."""
+    conf = F.try_parse_json(js.to_json(F.nullif(F.regexp_extract("html", _VIDEOJS, 1), F.lit(""))))
     rows = pages.select("page_id", "url", F.posexplode(_listed(conf)).alias("source_no", "s"))
     s = F.col("s")
     src = F.when(F.schema_of_variant(_v(s, "$.src", "variant")) == "STRING", F.nullif(_v(s, "$.src"), F.lit("")))

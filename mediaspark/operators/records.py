@@ -301,16 +301,15 @@ def country_table(spark) -> DataFrame:
 
 def language_codes(df: DataFrame, col: str, table: DataFrame) -> DataFrame:
     """Add ``<col>_3`` (from a code that starts with two letters) and ``<col>_2`` (from three letters)."""
-    t = F.broadcast(table)
-    a = t.select(F.col("code2").alias("__a"), F.col("code3").alias(f"{col}_3"))
-    b = t.select(F.col("code3").alias("__b"), F.col("code2").alias(f"{col}_2"))
+    a = table.select(F.col("code2").alias("__a"), F.col("code3").alias(f"{col}_3"))
+    b = table.select(F.col("code3").alias("__b"), F.col("code2").alias(f"{col}_2"))
     out = df.join(a, F.substring(df[col], 1, 2) == a["__a"], "left")
     return out.join(b, F.substring(out[col], 1, 3) == b["__b"], "left").drop("__a", "__b")
 
 
 def country_names(df: DataFrame, col: str, table: DataFrame) -> DataFrame:
     """Add ``<col>_name`` from a country code in any case."""
-    t = F.broadcast(table.select(F.col("code").alias("__c"), F.col("name").alias(f"{col}_name")))
+    t = table.select(F.col("code").alias("__c"), F.col("name").alias(f"{col}_name"))
     return df.join(t, F.upper(df[col]) == t["__c"], "left").drop("__c")
 
 

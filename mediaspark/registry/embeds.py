@@ -38,13 +38,13 @@ def _(t):
 SETUP = """concat('<script>jwplayer("p1").setup(', CASE page_id % 4
  WHEN 0 THEN concat('{"playlist":[{"mediaid":"m', page_id, '","title":"T &amp; ', page_id, '","duration":"', page_id, '.5","image":"//i.example.com/x.jpg","sources":[{"file":"/v/', page_id, '.mp4","label":"720p","bitrate":1500999},{"file":"/v/', page_id, '.mp4"},{"file":"/v/master.m3u8"},{"file":"a.mp3","type":"audio/mp3"}],"tracks":[{"kind":"Captions","file":"/en.vtt","label":"English"},{"kind":"thumbnails","file":"/t.vtt"}]},{"mediaid":"second","file":"https://www.youtube.com/watch?v=abc"}]}')
  WHEN 1 THEN concat('{"playlist":{"mediaid":"one","title":"Solo","sources":[{"file":"rtmp://s.example.com/app/mp4:clip', page_id, '","height":"360"}]}}')
- WHEN 2 THEN concat('{"mediaid":"bare","file":"/bare/', page_id, '.mpd","season":"3"}') ELSE '{not: strict}' END, ');</script>')"""
+ WHEN 2 THEN concat('{"mediaid":"bare","file":"/bare/', page_id, '.mpd","season":"3"}') ELSE concat('{mediaid: "js", /* a literal */ title: ''It\\\\''s ', page_id, ''', season: 0x10, nothing: void 0,}') END, ');</script>')"""
 define("player_pages", f"SELECT page_id, url, concat(html, {SETUP}) AS html FROM {{pages}}")
 
 
 @query("C14_player_entries", oracle("""
-SELECT page_id, 0 AS item_no, CASE page_id % 4 WHEN 0 THEN 'm' || page_id WHEN 1 THEN 'one' ELSE 'bare' END AS id, CASE page_id % 4 WHEN 0 THEN 'T & ' || page_id WHEN 1 THEN 'Solo' END AS title,
-  CASE WHEN page_id % 4 = 0 THEN page_id + CAST(0.5 AS DOUBLE) END AS duration, CASE WHEN page_id % 4 = 0 THEN 'http://i.example.com/x.jpg' END AS thumbnail, CASE WHEN page_id % 4 = 2 THEN CAST(3 AS BIGINT) END AS season_number FROM {pages} WHERE page_id % 4 < 3
+SELECT page_id, 0 AS item_no, CASE page_id % 4 WHEN 0 THEN 'm' || page_id WHEN 1 THEN 'one' WHEN 2 THEN 'bare' ELSE 'js' END AS id, CASE page_id % 4 WHEN 0 THEN 'T & ' || page_id WHEN 1 THEN 'Solo' WHEN 3 THEN 'It''s ' || page_id END AS title,
+  CASE WHEN page_id % 4 = 0 THEN page_id + CAST(0.5 AS DOUBLE) END AS duration, CASE WHEN page_id % 4 = 0 THEN 'http://i.example.com/x.jpg' END AS thumbnail, CASE page_id % 4 WHEN 2 THEN CAST(3 AS BIGINT) WHEN 3 THEN CAST(16 AS BIGINT) END AS season_number FROM {pages}
 UNION ALL SELECT page_id, 1, 'second', NULL, NULL, NULL, NULL FROM {pages} WHERE page_id % 4 = 0"""))
 def _(t):
     return em.player_entries(em.player_items(em.find_players(t["player_pages"]))).select(
@@ -77,7 +77,8 @@ define("videojs_pages", f"SELECT page_id, url, concat(html, {VJS}) AS html FROM
 @query("C15_videojs_sources", oracle(f"""
 SELECT page_id, 0 AS source_no, concat({ORIGIN}, '/a/', page_id, '.webm') AS url, 'file' AS route, 'webm' AS ext FROM {{pages}} WHERE page_id % 4 = 0 UNION ALL
 SELECT page_id, 2, concat({ORIGIN}, '/m.m3u8'), 'm3u8', NULL FROM {{pages}} WHERE page_id % 4 = 0 UNION ALL SELECT page_id, 3, concat({ORIGIN}, '/d'), 'mpd', NULL FROM {{pages}} WHERE page_id % 4 = 0 UNION ALL
-SELECT page_id, 0, concat({BASE}, 'clip.bin'), 'file', 'mp4' FROM {{pages}} WHERE page_id % 4 = 1 UNION ALL SELECT page_id, 0, '//www.youtube.com/watch?v=q', 'embed', NULL FROM {{pages}} WHERE page_id % 4 = 2"""))
+SELECT page_id, 0, concat({BASE}, 'clip.bin'), 'file', 'mp4' FROM {{pages}} WHERE page_id % 4 = 1 UNION ALL SELECT page_id, 0, '//www.youtube.com/watch?v=q', 'embed', NULL FROM {{pages}} WHERE page_id % 4 = 2
+UNION ALL SELECT page_id, 0, concat({BASE}, 'loose'), 'file', 'mp4' FROM {{pages}} WHERE page_id % 4 = 3"""))
 def _(t):
     return em.videojs_sources(t["videojs_pages"])
 

@@ -141,3 +141,26 @@ def test_routing_first_match_and_limit(spark):
 def test_attribute_map(spark):
     d = spark.createDataFrame([('<e x=1 X="2" y=\'a&amp;b\' z >',)], "t string")
     assert d.select(hx.attribute_map(F.col("t"))).collect()[0][0] == {"x": "2", "y": "a&b", "z": None}
+
+
+def test_javascript_literals(spark):
+    import json
+
+    from mediaspark.functions import js
+    cases = {
+        "{a: 1, 'b': \"c\", }": {"a": 1, "b": "c"}, "[1, 2, /* no */ 3,] tail": [1, 2, 3], "{a: 'it\\'s \"x\"', b: !0, c: !1, d: void 0}": {"a": 'it\'s "x"', "b": True, "c": False, "d": None},
+        "{x: 0x1F, y: 010, 3: 'k', true: 1} // end": {"x": 31, "y": 8, "3": "k", "true": 1}, '{"u": "\\/\\u00e9", "h": "\\x41"}': {"u": "/é", "h": "A"},
+        "{u: 'http://h/a', // note }\n v: [{w: -1.5e3}]})": {"u": "http://h/a", "v": [{"w": -1500.0}]}, "{a: undefined, b: name}": {"a": None, "b": "name"}}
+    got = run(spark, js.to_json, [*cases, "no literal", "{open", None])
+    assert [g and json.loads(g) for g in got] == [*cases.values(), None, None, None]
+
+
+def test_player_literals(spark):
+    pages = [(1, "http://h/p", "<script>jwplayer('p').setup({file: 'x.mp4', /* c */ title: 'T',});</script>"),
+             (2, "http://h/p", "<script>jwplayer(\"p\").load([{file: 'a.m3u8'}, {file: 'b.mp4'}]); other({});</script>"), (3, "http://h/p", "<script>jwplayer('p')</script>")]
+    df = spark.createDataFrame(pages, "page_id int, url string, html string")
+    items = em.player_items(em.find_players(df))
+    assert sorted((r["page_id"], r["url"], r["route"]) for r in em.player_formats(items).collect()) == [
+        (1, "http://h/x.mp4", "file"), (2, "http://h/a.m3u8", "m3u8"), (2, "http://h/b.mp4", "file")]
+    v = spark.createDataFrame([(1, "http://h/p", "<script>videojs('v').src({src: 'a.mp4', type: 'video/mp4'});</script>")], "page_id int, url string, html string")
+    assert [r["url"] for r in em.videojs_sources(v).collect()] == ["http://h/a.mp4"]

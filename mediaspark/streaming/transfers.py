@@ -79,22 +79,45 @@ def fragment_states(events: DataFrame, state: DataFrame | None = None, hot_rows:
     return _fragment_rows(d)
 
 
-def _folders(spark: SparkSession, root: str, batch_id: int, schema: str) -> DataFrame:
-    """Rows of the folders written by earlier batches of a memory folder."""
+#: Batches between two snapshots of a stream's memory.
+SNAPSHOT = 20
+
+
+def _parts(spark: SparkSession, root: str, batch_id: int) -> tuple[int, list[str]]:
+    """(last batch in the newest complete snapshot, folders to read) for a batch: the snapshot and at most the batches since.
+
+    Places are known by number, so nothing is listed and the work of a batch does not grow with the number of batches.
+    """
     jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return spark.createDataFrame([], schema)
-    # An explicit schema keeps the partition column a number and needs no look into the files.
-    rows = spark.read.schema(schema + ", batch bigint").option("basePath", root).parquet(root)
-    return rows.filter(F.col("batch") < batch_id)
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = lambda p: fs.exists(jvm.org.apache.hadoop.fs.Path(p))
+    base = batch_id // SNAPSHOT * SNAPSHOT - 1
+    while base >= 0 and not there(f"{root}-snapshots/upto={base}/_SUCCESS"):
+        base -= SNAPSHOT
+    paths = [f"{root}/batch={b}" for b in range(max(base, -1) + 1, batch_id)]
+    return base, ([f"{root}-snapshots/upto={base}"] if base >= 0 else []) + [p for p in paths if there(p)]
+
+
+def _folders(spark: SparkSession, root: str, batch_id: int, schema: str) -> DataFrame:
+    """Rows that a memory holds before a batch, with the number of their ``batch`` (of a snapshot its last)."""
+    paths = _parts(spark, root, batch_id)[1]
+    if not paths:
+        return spark.createDataFrame([], schema + ", batch bigint")
+    number = F.regexp_extract("_metadata.file_path", r"/(?:batch|upto)=(\d+)/[^/]*$", 1).cast("bigint")
+    return spark.read.schema(schema).parquet(*paths).withColumn("batch", number)
 
 
 def _put(df: DataFrame, root: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
 
+def _remember(df: DataFrame, root: str, batch_id: int, schema: str, fold) -> None:
+    """Add a batch to a memory; every ``SNAPSHOT`` batches ``fold`` of all that is known is written as one table."""
+    _put(df, root, batch_id)
+    if (batch_id + 1) % SNAPSHOT == 0:
+        fold(_folders(df.sparkSession, root, batch_id + 1, schema)).write.mode("overwrite").parquet(f"{root}-snapshots/upto={batch_id}")
+
+
 _FRAG_STATE = "file string, done_bytes bigint, done_index bigint, started timestamp, frag_started timestamp"
 _FRAG_OUT = ("event_id bigint, ts timestamp, file string, fragment_index bigint, downloaded_bytes bigint, "
              "total_bytes_estimate double, speed double, eta bigint")
@@ -103,13 +126,14 @@ _FRAG_OUT = ("event_id bigint, ts timestamp, file string, fragment_index bigint,
 def fragment_stream(events: DataFrame, root: str):
     """Fragment fold of a stream of events in time order (J02); results under ``root/out``, memory under ``root/state``.
 
-    Each batch adds one row per touched file to the memory; the newest row of a file counts.
+    Each batch adds one row per touched file to the memory; the newest row of a file counts, and snapshots keep only that.
     """
+    def newest(old):
+        return old.groupBy("file").agg(F.max_by(F.struct(*[c for c in old.columns if c not in ("file", "batch")]), "batch").alias("s")).select("file", "s.*")
+
     def batch(df, batch_id):
         spark = df.sparkSession
-        old = _folders(spark, f"{root}/state", batch_id, _FRAG_STATE)
-        state = old.groupBy("file").agg(F.max_by(F.struct(*[c for c in old.columns if c not in ("file", "batch")]),
-                                                 "batch" if "batch" in old.columns else F.lit(0)).alias("s")).select("file", "s.*")
+        state = newest(_folders(spark, f"{root}/state", batch_id, _FRAG_STATE))
         df = df.persist()
         _put(fragment_states(df, state), f"{root}/out", batch_id)
         fin = F.col("status") == "finished"
@@ -117,10 +141,10 @@ def fragment_stream(events: DataFrame, root: str):
             F.sum(F.when(fin, F.coalesce("total_bytes", F.lit(0))).otherwise(0)).alias("b"), F.count_if(fin).alias("i"),
             F.min("ts").alias("t0"), F.max(F.when(fin, F.col("ts"))).alias("t1"))
         j = new.join(state, "file", "left")
-        _put(j.select("file", (F.col("b") + F.coalesce("done_bytes", F.lit(0))).alias("done_bytes"),
-                      (F.col("i") + F.coalesce("done_index", F.lit(0))).alias("done_index"),
-                      F.coalesce("started", "t0").alias("started"), F.coalesce("t1", "frag_started").alias("frag_started")),
-             f"{root}/state", batch_id)
+        _remember(j.select("file", (F.col("b") + F.coalesce("done_bytes", F.lit(0))).alias("done_bytes"),
+                           (F.col("i") + F.coalesce("done_index", F.lit(0))).alias("done_index"),
+                           F.coalesce("started", "t0").alias("started"), F.coalesce("t1", "frag_started").alias("frag_started")),
+                  f"{root}/state", batch_id, _FRAG_STATE, newest)
         df.unpersist()
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/checkpoint")
 
@@ -151,7 +175,7 @@ def archive_stream(ids: DataFrame, root: str, initial: DataFrame | None = None):
     def batch(df, batch_id):
         known = _folders(df.sparkSession, f"{root}/archive", batch_id, "archive_id string").select("archive_id")
         known = known if initial is None else known.unionByName(initial.select("archive_id"))
-        _put(new_archive_ids(df, known), f"{root}/archive", batch_id)
+        _remember(new_archive_ids(df, known), f"{root}/archive", batch_id, "archive_id string", lambda d: d.select("archive_id"))
     return ids.writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/checkpoint")
 
 
@@ -184,11 +208,12 @@ def live_segments(polls: DataFrame, seen: DataFrame | None = None, hot_rows: int
 def live_stream(polls: DataFrame, root: str):
     """Live segments of a stream of polls in order (J06); results under ``root/out``, memory under ``root/seen``."""
     def batch(df, batch_id):
-        old = _folders(df.sparkSession, f"{root}/seen", batch_id, "stream string, last_seq bigint")
-        seen = old.groupBy("stream").agg(F.max("last_seq").alias("last_seq"))
+        kind = "stream string, last_seq bigint"
+        highest = lambda old: old.groupBy("stream").agg(F.max("last_seq").alias("last_seq"))
+        seen = highest(_folders(df.sparkSession, f"{root}/seen", batch_id, kind))
         df = df.persist()
         _put(live_segments(df, seen), f"{root}/out", batch_id)
-        _put(df.groupBy("stream").agg(F.max("seq").alias("last_seq")), f"{root}/seen", batch_id)
+        _remember(df.groupBy("stream").agg(F.max("seq").alias("last_seq")), f"{root}/seen", batch_id, kind, highest)
         df.unpersist()
     return polls.writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/checkpoint")
 

@@ -33,7 +33,8 @@ def events(spark, n=400):
         F.when(k % 4 > 0, k * 17 % 60).alias("total_bytes"), F.lit(9).cast("bigint").alias("fragment_count"), (k * 13 % 50).alias("bytes"))
 
 
-def test_fragment_stream(spark):
+def test_fragment_stream(spark, monkeypatch):
+    monkeypatch.setattr(tf, "SNAPSHOT", 2)
     e = events(spark)
     root = scratch_path(spark, "frag")
     tf.run_to_end(tf.fragment_stream(in_files(spark, e, "event_id"), root))
@@ -42,15 +43,20 @@ def test_fragment_stream(spark):
     assert rows(tf.fragment_states(e, hot_rows=20)) == rows(tf.fragment_states(e))
 
 
-def test_archive_stream_remembers(spark):
+def test_archive_stream_remembers(spark, monkeypatch):
+    monkeypatch.setattr(tf, "SNAPSHOT", 2)
     ids = spark.range(300).select("id", F.concat(F.lit("s "), F.col("id") % 70).alias("archive_id"))
     root = scratch_path(spark, "arch")
-    tf.run_to_end(tf.archive_stream(in_files(spark, ids, "id"), root, spark.createDataFrame([("s 5",)], "archive_id string")))
+    tf.run_to_end(tf.archive_stream(in_files(spark, ids, "id", 6), root, spark.createDataFrame([("s 5",)], "archive_id string")))
     got = spark.read.parquet(f"{root}/archive").select("archive_id")
     assert got.count() == got.distinct().count() == 69
+    # A batch reads one snapshot and the batches since, however many there were before.
+    assert all(len(tf._parts(spark, f"{root}/archive", b)[1]) <= 2 for b in range(7))
+    assert tf._parts(spark, f"{root}/archive", 6) == (5, [f"{root}/archive-snapshots/upto=5"])
 
 
-def test_live_stream(spark):
+def test_live_stream(spark, monkeypatch):
+    monkeypatch.setattr(tf, "SNAPSHOT", 3)
     k = F.col("id")
     polls = spark.range(240).select(k.alias("n"), F.concat(F.lit("l"), k % 2).alias("stream"), F.floor(k / 12).alias("poll"), (F.floor(k / 12) + k % 5).alias("seq"))
     root = scratch_path(spark, "live")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import skew
 from ..functions import paths as px, text as tx, urls as ux, values as vx
+from ..functions.core import let
 
 # Fields that hold numbers.
 NUMERIC_FIELDS = ["width", "height", "tbr", "abr", "asr", "vbr", "fps", "filesize", "filesize_approx", "timestamp",
@@ -183,8 +185,36 @@ ACCENTS_PLAIN = "AAAAAACEEEEIIIIDNOOOOOOOUUUUUYaaaaaaceeeeiiiionooooooouuuuuyy"
 LIGATURES = {"Æ": "AE", "Œ": "OE", "Þ": "TH", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th"}
 
 
+@cache
+def _look_alikes() -> tuple[str, str, dict[str, str]]:
+    """Compatibility forms by rule: letters that stand for one plain letter each, and ligatures and signs that stand for several.
+
+    Other compatibility forms end outside ASCII and are replaced like any other letter.
+    """
+    one, many = {}, {}
+    for c in map(chr, [*range(0xA0, 0xD800), *range(0xF900, 0xFFF0), *range(0x1D400, 0x1D800)]):
+        plain = unicodedata.normalize("NFKC", c)
+        if plain != c and all(x.isascii() or x in ACCENTS for x in plain):
+            if len(plain) == 1:
+                one[c] = plain
+            elif unicodedata.category(c) in ("Ll", "Lu", "So", "Po"):
+                many[c] = plain
+    latin = {c: p for c, p in many.items() if c <= "\u2122" or "\ufb00" <= c <= "\ufb06"}
+    return "".join(one), "".join(one.values()), latin
+
+
+def _plain_forms(s: Column) -> Column:
+    source, plain, several = _look_alikes()
+    out = F.translate(s, source, plain)
+    for a, b in several.items():
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.when(s.rlike(r"[^\x00-\x7f]"), out).otherwise(s)
+
+
 def safe_name(text: Column, restricted: bool = False, is_id: bool = False) -> Column:
     """A text as a file name part."""
+    if restricted and not is_id:
+        text = let(text, _plain_forms)
     s = F.regexp_replace(text, r"(?<=[0-9]):(?=[0-9])", "_")
     if restricted:
         s = F.translate(s, ACCENTS, ACCENTS_PLAIN)

@@ -164,3 +164,9 @@ def test_player_literals(spark):
         (1, "http://h/x.mp4", "file"), (2, "http://h/a.m3u8", "m3u8"), (2, "http://h/b.mp4", "file")]
     v = spark.createDataFrame([(1, "http://h/p", "<script>videojs('v').src({src: 'a.mp4', type: 'video/mp4'});</script>")], "page_id int, url string, html string")
     assert [r["url"] for r in em.videojs_sources(v).collect()] == ["http://h/a.mp4"]
+
+
+def test_compatibility_letters_in_restricted_names(spark):
+    names = ["\uff46\uff55\uff4c\uff4c \ufb01ne", "x\u00b2 \u2122", "e\u0301t\u00e9", "\u65e5a", "\U0001d400b", "plain"]
+    assert run(spark, lambda c: rc.safe_name(c, restricted=True), names) == ["full_fine", "x2_TM", "ete", "a", "Ab", "plain"]
+    assert run(spark, lambda c: rc.safe_name(c, restricted=True, is_id=True), ["\uff46"]) == ["_"]

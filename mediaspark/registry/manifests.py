@@ -90,10 +90,10 @@ def _(t):
 
 
 @query("D04_hls_attributes", oracle("""
-SELECT media_id, pos, concat(format_id, ', quoted') AS name, concat('x', protocol) AS other, CAST(height AS VARCHAR) AS height FROM {formats} WHERE format_id IS NOT NULL AND height IS NOT NULL"""))
+SELECT media_id, pos, concat(coalesce(format_id, '?'), ', quoted') AS name, concat('x', protocol) AS other, coalesce(CAST(height AS VARCHAR), '1') AS height FROM {formats}"""))
 def _(t):
-    f = t["formats"].filter("format_id IS NOT NULL AND height IS NOT NULL").withColumn("line", S(
-        """concat('#EXT-X-MEDIA:NAME="', format_id, ', quoted",HEIGHT=1,X-OTHER=x', protocol, ',HEIGHT=', height)"""))
+    f = t["formats"].withColumn("line", S(
+        """concat('#EXT-X-MEDIA:NAME="', coalesce(format_id, '?'), ', quoted",HEIGHT=1,X-OTHER=x', protocol, if(height IS NULL, '', concat(',HEIGHT=', height)))"""))
     a = hls.hls_attributes(f, "line")
     at = lambda k: F.try_element_at("attributes", F.lit(k))
     return a.select("media_id", "pos", at("NAME").alias("name"), at("X-OTHER").alias("other"), at("HEIGHT").alias("height"))

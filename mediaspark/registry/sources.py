@@ -95,12 +95,12 @@ def _(t):
     return r.select("id", "title", "view_count", F.nullif(F.size("formats"), F.lit(-1)).cast("bigint").alias("n"), ids.alias("ids"))
 
 
-@query("A08_append_archive", oracle("SELECT DISTINCT lower(extractor_key) || ' ' || id AS archive_id FROM {media} WHERE media_id % 2 = 0 UNION SELECT archive_id FROM {archive}"))
+@query("A08_append_archive", oracle("SELECT DISTINCT lower(extractor_key) || ' ' || id AS archive_id FROM {media} UNION SELECT archive_id FROM {archive}"))
 def _(t):
     from ..operators.playlists import skip_archived
     path = scratch_path(t.spark, "grown")
     io.append_archive(t["archive"], path)
-    new = skip_archived(t["media"].filter("media_id % 2 = 0"), io.read_archive(t.spark, path))
+    new = skip_archived(t["media"], io.read_archive(t.spark, path))
     io.append_archive(new, path)
     return io.read_archive(t.spark, path)
 

@@ -30,6 +30,12 @@ def test_templates(spark):
     assert (2, 0) not in got
 
 
+def test_one_edited_value_cancels_only_its_windows(spark):
+    texts = [f"{FILL} {t} {FILL}" for t in (ITEM.replace("if 120", "if 130"), ITEM.replace("of Berlin", "of Berlim"), ITEM.replace("3 days", "3 weeks"), BROKEN)]
+    assert set(found(spark, texts, items(spark, ITEM))) == {(0, 0), (1, 0), (2, 0)}
+    assert [r.text for r in decontam.clean(table(spark, texts), items(spark, ITEM)).collect()] == texts[3:]
+
+
 def test_units_behind_numbers():
     known = decontam.Words()
     a, b = decontam.Template("it weighs 5 kg or 12lb today, and", known), decontam.Template("it weighs 5kg or 12 lb today and", known)

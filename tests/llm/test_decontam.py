@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from corpus_cases import WORD, empty, odd_rows, prose, table
@@ -36,6 +37,23 @@ def test_one_edited_value_cancels_only_its_windows(spark):
     assert [r.text for r in decontam.clean(table(spark, texts), items(spark, ITEM)).collect()] == texts[3:]
 
 
+def test_exact_copies_whatever_their_signs_and_numbers(spark):
+    heavy = "Compute 3 + 5 * 7 - 12 / 4 + 81 * 9 - 6 and 2 plus 40 minus 17."
+    bench = [ITEM, "What is 12 times 9?", heavy, "7 times 8?", "Anna Karla Berta met Otto Emil in Paris, Texas and Rome"]
+    copies = [(0, ITEM.upper()), (0, ITEM.lower()), (0, ITEM.replace(".", "").replace("?", "")), (0, ITEM.replace(".", "!").replace("45 km", "45km").upper()), (1, bench[1]),
+              (1, "WHAT IS 12 TIMES 9"), (2, heavy), (2, heavy.lower()), (3, "7 times 8? " * 3), (4, bench[4]), (4, bench[4].lower())]
+    others = ["What is 13 times 9?", re.sub(r"\d+", lambda m: f"{m[0]}1", heavy), "7 times 9", "Otto Emil met Anna Karla Berta"]
+    got = found(spark, [f"{FILL} {t} {FILL}" for _, t in copies] + others, items(spark, *bench))
+    assert set(got) == {(d, i) for d, (i, _) in enumerate(copies)} and all(r.exact for r in got.values())
+    assert all(r.covered == r.n_tokens for r in got.values())
+
+
+def test_plain_tokens_split_numbers_from_units():
+    known = decontam.Words()
+    a, b = decontam.Template("It weighs 5 KG or 12lb today", known), decontam.Template("it weighs 5kg Or 12 lb. Today", known)
+    assert (a.plain == b.plain).all() and len(set(a.plain)) == 8
+
+
 def test_units_behind_numbers():
     known = decontam.Words()
     a, b = decontam.Template("it weighs 5 kg or 12lb today, and", known), decontam.Template("it weighs 5kg or 12 lb today and", known)

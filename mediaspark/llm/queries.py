@@ -63,7 +63,7 @@ def op2(spark, t) -> DataFrame:
 @query("op7_scan_secrets")
 def op7(spark, t) -> DataFrame:
     from .secrets import scan_secrets
-    found = scan_secrets(t("documents").select("doc_id", "text"), keep=["doc_id"])
+    found = scan_secrets(t("documents").select("doc_id", "text"), keep=["doc_id"], narrow=True)
 
     def count(kind):
         return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")

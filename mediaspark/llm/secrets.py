@@ -2,9 +2,13 @@
 
 Three base kinds have fixed shapes (``assign``, ``access``, ``hex``). The fourth, ``entropy``, looks at every run
 of 20 or more characters of a secret's alphabet: for a window of ``WINDOW`` characters that moves over the run,
-the Shannon entropy of each character class (digits a-f, lower, upper, digits, other) is kept by incremental
-counts, and the run is a span from the first to the last window whose bits reach the class's bound. Runs on the
-allow list are suppressed, but never spans of a base kind.
+its Shannon entropy and the number of its characters of each kind are kept by incremental counts. The kinds tell the
+window's alphabet (hexadecimal of either case, mixed as in base64, one case with digits as in base32 and base36, letters
+only), each with its own bound of bits, and the run is a span from the first to the last window that reaches it. Dashes and
+underscores may stand between the parts of one-case alphabets. All but lower-case hexadecimal and mixed windows count with
+``narrow`` only. Entropy cannot tell words from letters, so alphabets without
+three kinds also need turns between digits and letters, or between cases, that words do not have. Runs on the allow list are
+suppressed, but never spans of a base kind. Digits only are no secret.
 
 Defined results: null and empty texts have no spans. Offsets are code points, the end is exclusive. Repeated rows
 get equal answers. Texts are read whole; memory is bounded by one Arrow batch and one text's spans.
@@ -34,20 +38,62 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Bits a character that a window of 20 needs: hexadecimal digits only, and mixed alphabets (random base64 has about 4.1).
 HEX_BITS, MIXED_BITS = 3.0, 3.7
-#: Runs that are known not to be secrets.
+#: The same for one case with digits, for letters of both cases and for letters of one case.
+CASE_BITS, LETTER_BITS, LOW_BITS = 3.5, 3.7, 3.8
+#: Turns between digits and letters in a window of one case with digits, and between cases in one of letters, which also has more capitals than
+#: words written together.
+DIGIT_TURNS, CASE_TURNS, UPPERS = 4, 7, 7
+_SERIES = r"(?:0123456789|1234567890|123456789|12345678|123456|12345|1234|123|abcdefghijklmnopqrstuvwxyz|abcdefghij|abcdef|abcd|abc|xyz|x+|0+)"
+#: Runs that are known not to be secrets: digits, joined words of ordinary length, placeholders made of words and series, repeats, series.
 ALLOW = (
-    r"[0-9]+", r"[A-Za-z]+", r"[A-Z0-9_]+", r"[a-z0-9]+(?:[-_/][a-z]+)+", r"(?:[A-Za-z]+[-_/=+])+[A-Za-z]*[0-9]{0,6}",
-    r"(?i).*(?:example|sample|placeholder|changeme|your[-_]).*", r"(.)\1+",
-    r"(?:0123456789|abcdefghij|ABCDEFGHIJ).*",
+    r"[0-9]+", r"[a-z0-9]{1,12}(?:[-_/][a-z]{1,19})+", r"(?:[A-Za-z]{1,19}[-_/=+])+[A-Za-z]{0,19}[0-9]{0,6}",
+    r"(?i)(?:[a-z]{1,12}[-_=])*(?:example|sample|placeholder|changeme|your)"
+    r"(?:[-_]?(?:api|access|secret|private|public|key|token|password|user|name|id|value|text|here|goes|" + _SERIES + r"|[0-9]{1,4}(?![0-9])))*[-_=]*",
+    r"(.)\1+", r"(?i)(?:" + _SERIES + r"[-_=+/]*)+",
 )
 _N = [0.0] + [k * math.log2(k) for k in range(1, WINDOW + 2)]
 
 
-def _class(c: str) -> int:
-    return 0 if c.isdigit() else 1 if c in "abcdef" else 2 if c.islower() else 3 if c.isupper() else 4
+_DIGIT, _LOW_HEX, _LOW, _UP_HEX, _UP, _JOIN, _OTHER = range(7)
 
 
-def entropy_span(run: str, window: int = WINDOW, hex_bits: float = HEX_BITS, mixed_bits: float = MIXED_BITS):
+def _class(c: str) -> int:
+    if c.isdigit():
+        return _DIGIT
+    if c.islower():
+        return _LOW_HEX if c in "abcdef" else _LOW
+    if c.isupper():
+        return _UP_HEX if c in "ABCDEF" else _UP
+    return _JOIN if c in "-_" else _OTHER
+
+
+#: What a step between two classes is: nothing, a turn between digit and letter, or one between cases.
+_CASE = (0, 1, 1, 2, 2, 3, 3)
+_TURN = [[0 if 3 in (x, y) or x == y else 1 if 0 in (x, y) else 2 for y in _CASE] for x in _CASE]
+
+
+def _random(classes: list[int], turns: list[int], window: int, bits: float, hex_bits: float, mixed_bits: float, narrow: bool) -> bool:
+    """Whether a window looks random in its own alphabet."""
+    digits, low_hex, low, up_hex, up, joins, other = classes
+    lower, upper = low_hex + low, up_hex + up
+    if digits + low_hex == window:
+        return digits >= 3 and low_hex >= 3 and bits >= hex_bits
+    if digits >= 2 and lower >= 2 and upper >= 2:
+        return bits >= mixed_bits
+    if not narrow:
+        return False
+    if lower and upper:
+        return upper >= UPPERS and turns[2] >= CASE_TURNS and bits >= LETTER_BITS
+    if other:
+        return False
+    if not low + up and digits >= 3 and lower + upper >= 3 and bits >= hex_bits and (not joins or turns[1] >= DIGIT_TURNS):
+        return True
+    if digits >= 2 and turns[1] >= DIGIT_TURNS and bits >= CASE_BITS:
+        return True
+    return not joins and lower + upper >= window - 1 and bits >= LOW_BITS
+
+
+def entropy_span(run: str, window: int = WINDOW, hex_bits: float = HEX_BITS, mixed_bits: float = MIXED_BITS, narrow: bool = False):
     """(start, end) in the run of all windows that look random, or None.
 
     A window's entropy is log2(w) - sum(n log2 n) / w over its characters' counts n; one step of the window changes two counts.
@@ -56,35 +102,32 @@ def entropy_span(run: str, window: int = WINDOW, hex_bits: float = HEX_BITS, mix
         return None
     log_n = _N if window == WINDOW else [0.0] + [k * math.log2(k) for k in range(1, window + 2)]
     counts: dict[str, int] = {}  # one over the window while it moves
-    classes = [0] * 5
+    classes, turns = [0] * 7, [0] * 3
+    kinds = [_class(c) for c in run]
     total, first, last, whole = 0.0, None, None, math.log2(window)
     for i, c in enumerate(run):
         n = counts.get(c, 0)
         total += log_n[n + 1] - log_n[n]
         counts[c] = n + 1
-        classes[_class(c)] += 1
+        classes[kinds[i]] += 1
+        if i:
+            turns[_TURN[kinds[i - 1]][kinds[i]]] += 1
         if i >= window:
-            old = run[i - window]
-            n = counts[old]
+            k = i - window
+            n = counts[run[k]]
             total += log_n[n - 1] - log_n[n]
-            counts[old] = n - 1
-            classes[_class(old)] -= 1
-        if i >= window - 1:
-            bits = whole - total / window
-            digits, af, lower, upper, _ = classes
-            if digits + af == window:
-                hit = digits >= 3 and af >= 3 and bits >= hex_bits
-            else:
-                hit = digits >= 2 and lower + af >= 2 and upper >= 2 and bits >= mixed_bits
-            if hit:
-                first, last = i - window + 1 if first is None else first, i + 1
+            counts[run[k]] = n - 1
+            classes[kinds[k]] -= 1
+            turns[_TURN[kinds[k]][kinds[k + 1]]] -= 1
+        if i >= window - 1 and _random(classes, turns, window, whole - total / window, hex_bits, mixed_bits, narrow):
+            first, last = i - window + 1 if first is None else first, i + 1
     return None if first is None else (first, last)
 
 
 class Scanner:
-    def __init__(self, allow=ALLOW, window: int = WINDOW, hex_bits: float = HEX_BITS, mixed_bits: float = MIXED_BITS):
+    def __init__(self, allow=ALLOW, window: int = WINDOW, hex_bits: float = HEX_BITS, mixed_bits: float = MIXED_BITS, narrow: bool = False):
         self.allow = [re.compile(a) for a in allow]
-        self.rest = (window, hex_bits, mixed_bits)
+        self.rest = (window, hex_bits, mixed_bits, narrow)
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         """(start, number of the kind, end) of all spans of fixed shape, sorted."""
@@ -115,10 +158,11 @@ def spans_text(found) -> str:
 
 
 def scan_secrets(df: DataFrame, text: str = "text", allow=ALLOW, window: int = WINDOW, hex_bits: float = HEX_BITS,
-                 mixed_bits: float = MIXED_BITS, keep: list[str] | None = None) -> DataFrame:
+                 mixed_bits: float = MIXED_BITS, keep: list[str] | None = None, narrow: bool = False) -> DataFrame:
     """Add ``secrets`` (array of kind, start, end, in order of start and kind), ``base_spans`` and ``all_spans`` (the
     same as text) and ``base_sha256``. ``keep`` names the columns to return, all by default; texts that are
-    not among them do not travel back from the Python workers."""
+    not among them do not travel back from the Python workers. With ``narrow`` windows of every alphabet count, as in the registered
+    query; without it only lower-case hexadecimal ones and those with digits and both cases."""
     names = ("secrets", "base_spans", "all_spans", "base_sha256")
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -126,7 +170,7 @@ def scan_secrets(df: DataFrame, text: str = "text", allow=ALLOW, window: int = W
     df = df.select(*[f"`{c}`" for c in dict.fromkeys([*kept, text])])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Scanner(allow, window, hex_bits, mixed_bits)
+        s = Scanner(allow, window, hex_bits, mixed_bits, narrow)
         for b in batches:
             rows, base, every, digest = [], [], [], []
             for t in b.column(text):

@@ -100,3 +100,22 @@ def test_query(spark):
         b = base(rows[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(b.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(b.count(k) for k in ("assign:", "access:", "hex:"))
+
+
+def test_secrets_of_every_alphabet(spark):
+    lower, upper = string.ascii_lowercase, string.ascii_uppercase
+    rng = random.Random(7)
+    planted = ["sk_live_4f9d8s7g6h5j4k3l2z1x", "4f9d8s7g6h5j4k3l2z1x-prod", "550e8400-e29b-41d4-a716-446655440000", "550E8400-E29B-41D4-A716-446655440000",
+               "wJalrXUtnFEMIsK7MDENGabPxRfiCYqTzLwQk", "example-9tQ3vX7mKp2LzR8wBn4YcD6s"]
+    for alphabet in (upper + "234567", lower + string.digits, string.digits + "ABCDEF", lower + upper):
+        planted += ["".join(rng.choices(alphabet, k=48)) for _ in range(20)]
+    words = ["AbstractSingletonProxyFactoryBean", "getElementsByTagNameAndClassName", "MAX_BUFFER_SIZE_2048_BYTES", "article-2024-01-15-part-2-name", "token-example1234567890abcdefABCDEF99",
+             "Donaudampfschifffahrtsgesellschaft", "your_api_key_goes_here_12345", "YOUR-SECRET-TOKEN-HERE", "12345678901234567890123", upper + lower + string.digits]
+    got = secrets.scan_secrets(table(prepare(spark), [f"see {w} there" for w in planted + words]), narrow=True).collect()
+    found = {r.doc_id for r in got if any(s.kind == "entropy" for s in r.secrets)}
+    assert found == set(range(len(planted)))
+
+
+def test_query_looks_at_every_alphabet(spark, tmp_path):
+    table(prepare(spark), ["key sk_live_4f9d8s7g6h5j4k3l2z1x", "no key"]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.spans for r in QUERIES["op7_scan_secrets"](spark, str(tmp_path)).collect()} == {0: "entropy:4:32", 1: ""}

@@ -178,3 +178,54 @@ def op9(spark, t) -> DataFrame:
     docs = t("documents").select("doc_id", "text")
     scored = score(docs, *fit(docs, t("labels")))
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op11_line_dedup", sql=r"""
+    WITH d AS (SELECT row_number() OVER () AS id, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                      generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+    k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM d),
+    s AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+    g AS (SELECT k.*, s.key IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS goes FROM k LEFT JOIN s ON k.key = s.key)
+    SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE goes)::BIGINT AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT goes), '')) AS kept_sha256 FROM g GROUP BY id, doc_id""")
+def op11(spark, t) -> DataFrame:
+    from .linededup import dedup_lines
+    return dedup_lines(t("documents").select("doc_id", "text"), keep=["doc_id"]).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+@query("op12_filter_audit", sql=r"""
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+    e AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+    f AS (SELECT doc_id, part, (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT
+                 + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t))::INT
+                 + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(least < doc_id, false)::INT AS mask FROM w JOIN e USING (t)),
+    l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+    c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+    x(a) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+    o AS (SELECT a.a || b.a || c.a || d.a || e.a AS filter_order FROM x a, x b, x c, x d, x e
+          WHERE a.a <> b.a AND a.a <> c.a AND a.a <> d.a AND a.a <> e.a AND b.a <> c.a AND b.a <> d.a AND b.a <> e.a AND c.a <> d.a AND c.a <> e.a AND d.a <> e.a),
+    s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter, 1 << (instr('ABCDE', substr(filter_order, step, 1)) - 1) AS bit,
+                 list_sum(list_transform(range(1, step), lambda i: 1 << (instr('ABCDE', substr(filter_order, i, 1)) - 1))) AS before
+          FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+    r AS (SELECT part, filter_order, step, letter,
+                 sum(CASE WHEN mask & (coalesce(before, 0)::BIGINT | bit) = 0 THEN n ELSE 0 END) AS kept,
+                 sum(CASE WHEN mask & bit <> 0 AND mask & coalesce(before, 0)::BIGINT = 0 THEN n ELSE 0 END) AS removed,
+                 sum(CASE WHEN mask & bit <> 0 AND mask & coalesce(before, 0)::BIGINT <> 0 THEN n ELSE 0 END) AS redundant,
+                 sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+                 sum(CASE WHEN mask & bit <> 0 AND mask & coalesce(before, 0)::BIGINT = 0 THEN good ELSE 0 END) AS good_lost,
+                 sum(CASE WHEN mask & bit <> 0 AND mask & coalesce(before, 0)::BIGINT = 0 THEN toxic ELSE 0 END) AS toxic_lost
+          FROM c, s GROUP BY ALL)
+    SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+           good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM r""")
+def op12(spark, t) -> DataFrame:
+    from .audit import interactions
+    return interactions(t("documents"), t("labels"))
+
+
+@query("op13_periodic_runs")
+def op13(spark, t) -> DataFrame:
+    from .periodic import periodic_runs, planted
+    return periodic_runs(planted(t("documents").select("doc_id", "text")), keep=["doc_id"]).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")

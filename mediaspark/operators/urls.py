@@ -2,82 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
-import re
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import skew
 from ..functions import urls as ux
-from ..session import cut
-
-#: Patterns in one conditional expression, and catalogue rows that the driver holds at once.
-PART = 5000
-_CHUNK = 40
-
-
-def java_pattern(pattern: str) -> tuple[str, int]:
-    """(pattern in Java's dialect, number of the group named ``id`` or 0)."""
-    group = re.compile(pattern).groupindex.get("id", 0)
-    out = re.sub(r"\(\?P<\w+>", "(", pattern)
-    names = re.compile(pattern).groupindex
-    out = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\{names[m.group(1)]}", out)
-    return re.sub(r"\{,(\d+)\}", r"{0,\1}", out), group
-
-
-def _parts(catalog: DataFrame):
-    """The catalogue in order, in parts of ``PART`` rows; the driver fetches one partition of it at a time."""
-    return itertools.batched(catalog.orderBy("ord").toLocalIterator(), PART)
-
-
-def route(urls: DataFrame, catalog: DataFrame, col: str = "url", prefilter: bool = False) -> DataFrame:
-    """Give each URL the first catalogue entry whose pattern matches from its start.
-
-    ``catalog(ord, extractor_key, url_regex[, host_token])``. The patterns become one ordered
-    conditional expression: each is compiled once per task, trial stops at the first match, and
-    nothing is shuffled or joined. With ``prefilter`` a pattern that names its host (``host_token``,
-    the last two labels) is tried only where the URL's host ends with it; the answer is the same.
-    A catalogue of more than ``PART`` patterns takes one round for each part, in order, that only tries URLs without an entry so far.
-    Adds ``ord``, ``extractor_key`` and ``media_id`` (the pattern's ``id`` group, null without one).
-    """
-    out = urls.withColumns({"ord": F.lit(None).cast("int"), "extractor_key": F.lit(None).cast("string"), "media_id": F.lit(None).cast("string")})
-    for i, rules in enumerate(_parts(catalog)):
-        out = _tried(cut(out) if i else out, rules, col, prefilter)
-    return out
-
-
-def _tried(urls: DataFrame, rules, col: str, prefilter: bool) -> DataFrame:
-    """One part of the catalogue on the URLs whose ``ord`` is null."""
-    work = urls.withColumn("__host", F.substring_index(ux.host(F.col(col)), ".", -2)) if prefilter else urls
-    chains = []
-    for i in range(0, len(rules), _CHUNK):
-        chain = None
-        for r in rules[i:i + _CHUNK]:
-            pattern, _ = java_pattern(r["url_regex"])
-            # The closing bracket stands on a line of its own for patterns that end in a comment.
-            hit = F.col(col).rlike(f"^(?:{pattern}\n)" if "(?x)" in pattern else f"^(?:{pattern})")
-            if prefilter and r["host_token"]:
-                hit = (F.col("__host") == r["host_token"]) & hit
-            chain = F.when(hit, F.lit(r["ord"])) if chain is None else chain.when(hit, F.lit(r["ord"]))
-        chains.append(chain)
-    out = work.withColumn("__ord", F.when(F.col("ord").isNull(), F.coalesce(*chains))).drop("__host")
-    pairs = [F.lit(x) for r in rules for x in (r["ord"], r["extractor_key"])]
-    out = out.withColumns({"ord": F.coalesce("ord", "__ord"), "media_id": F.coalesce("media_id", extract_id(rules, col, "__ord")),
-                           "extractor_key": F.coalesce("extractor_key", F.try_element_at(F.create_map(*pairs), F.col("__ord")))})
-    return out.drop("__ord")
-
-
-def extract_id(rules, col: str = "url", ord_: str = "ord") -> Column:
-    """The ``id`` group of the pattern a routed URL matched."""
-    ids = []
-    for i in range(0, len(rules), _CHUNK):
-        chain = F.when(F.lit(False), F.lit(""))
-        for r in rules[i:i + _CHUNK]:
-            pattern, group = java_pattern(r["url_regex"])
-            if group:
-                chain = chain.when(F.col(ord_) == r["ord"], F.regexp_extract(col, f"^(?:{pattern})", group))
-        ids.append(chain)
-    return F.coalesce(*ids)
 
 
 def sanitize_urls(df: DataFrame, col: str) -> DataFrame:

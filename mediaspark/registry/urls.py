@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..fixtures import define, oracle
+from ..functions.patterns import java_pattern
 from ..operators import urls as ur
+from ..operators.routing import route
 from . import query
 
 CATALOG = [
@@ -24,7 +26,7 @@ def catalog(t):
 
 
 def _plain(p):
-    return ur.java_pattern(p)[0].replace("'", "''")
+    return java_pattern(p)[0].replace("'", "''")
 
 
 ROUTED = ("SELECT page_id, url, CASE " + " ".join(f"WHEN regexp_matches(url, '^(?:{_plain(p)})') THEN {o}" for o, _, p, _ in CATALOG)
@@ -34,19 +36,48 @@ ROUTE_SQL = (f"SELECT page_id, ord, CASE ord " + " ".join(f"WHEN {o} THEN '{k}'"
 
 @query("B01_route", ROUTE_SQL)
 def _(t):
-    return ur.route(t["pages"].select("page_id", "url"), catalog(t)).select("page_id", "ord", "extractor_key")
+    return route(t["pages"].select("page_id", "url"), catalog(t)).select("page_id", "ord", "extractor_key")
 
 
 @query("B02_route_prefiltered", ROUTE_SQL)
 def _(t):
-    return ur.route(t["pages"].select("page_id", "url"), catalog(t), prefilter=True).select("page_id", "ord", "extractor_key")
+    return route(t["pages"].select("page_id", "url"), catalog(t), prefilter=True).select("page_id", "ord", "extractor_key")
 
 
 @query("B03_extract_id", "SELECT page_id, CASE ord " + " ".join(
-    f"WHEN {o} THEN regexp_extract(url, '^(?:{_plain(p)})', {ur.java_pattern(p)[1]})" for o, _, p, _ in CATALOG if ur.java_pattern(p)[1])
+    f"WHEN {o} THEN regexp_extract(url, '^(?:{_plain(p)})', {java_pattern(p)[1]})" for o, _, p, _ in CATALOG if java_pattern(p)[1])
     + " END AS media_id FROM (" + ROUTED + ")")
 def _(t):
-    return ur.route(t["pages"].select("page_id", "url"), catalog(t)).select("page_id", "media_id")
+    return route(t["pages"].select("page_id", "url"), catalog(t)).select("page_id", "media_id")
+
+
+# A catalogue with one pattern for each customer, two for every third, and a catch-all; links that name a customer in several spellings.
+define("shops", r"""
+SELECT CAST(2 * c_custkey AS INT) AS ord, concat('Shop', c_custkey) AS extractor_key,
+  concat('https?://(?:www[.])?shop', c_custkey, '[.]example[.]net/(?:watch|v)/(?P<id>[0-9]+)') AS url_regex, 'example.net' AS host_token FROM {customer}
+UNION ALL SELECT CAST(2 * c_custkey + 1 AS INT), concat('Any', c_custkey), concat('https?://(?:[^/]+[.])?(?:shop', c_custkey, '|outlet', c_custkey, ')[.]example[.](?:net|org)/'),
+  CAST(NULL AS VARCHAR(20)) FROM {customer} WHERE c_custkey % 3 = 0
+UNION ALL SELECT 2000000000, 'Generic', '.*', CAST(NULL AS VARCHAR(20))""")
+
+define("shop_links", """
+SELECT o_orderkey AS link_id, concat(CASE o_orderkey % 3 WHEN 0 THEN 'http://www.' ELSE 'https://' END, CASE o_orderkey % 5 WHEN 4 THEN 'outlet' ELSE 'shop' END, o_custkey,
+  CASE WHEN o_orderkey % 7 = 0 THEN '.example.org' ELSE '.example.net' END, CASE o_orderkey % 4 WHEN 0 THEN '/watch/' WHEN 1 THEN '/v/' ELSE '/list/' END, o_orderkey) AS url FROM {orders}""")
+
+SHOP_SQL = oracle(r"""
+WITH p AS (SELECT link_id, url, regexp_extract(url, '(shop|outlet)(\d+)[.]example[.](net|org)/(\w+)/(\d+)', ['kind', 'shop', 'top', 'path', 'id']) AS x FROM {shop_links}),
+q AS (SELECT link_id, x, CAST(x.shop AS INT) AS shop, x.kind = 'shop' AND x.top = 'net' AND x.path IN ('watch', 'v') AS own FROM p)
+SELECT link_id, CASE WHEN own THEN 2 * shop WHEN shop % 3 = 0 THEN 2 * shop + 1 ELSE 2000000000 END AS ord,
+  CASE WHEN own THEN 'Shop' || shop WHEN shop % 3 = 0 THEN 'Any' || shop ELSE 'Generic' END AS extractor_key, CASE WHEN own THEN x.id END AS media_id FROM q""")
+
+
+@query("B01_route_table", SHOP_SQL)
+def _(t):
+    return route(t["shop_links"], t["shops"]).drop("url")
+
+
+@query("B02_route_table_prefiltered", SHOP_SQL)
+def _(t):
+    return route(t["shop_links"], t["shops"], prefilter=True).drop("url")
 
 
 define("broken_urls", """

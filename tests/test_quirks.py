@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediaspark.functions import html as hx, text as tx, urls as ux, values as vx
-from mediaspark.operators import embeds as em, manifests as mf, pages as pg, playlists as pl, records as rc, subtitles as sb, urls as ur
+from mediaspark.operators import embeds as em, manifests as mf, pages as pg, playlists as pl, records as rc, routing, subtitles as sb
 
 
 def run(spark, fn, values):
@@ -133,9 +133,9 @@ def test_routing_first_match_and_limit(spark):
     cat = spark.createDataFrame([(1, "B", r"https?://b\.com/(?P<id>\d+)", "b.com"), (0, "A", r"https?://b\.com/1(?P<id>\d)", "b.com"), (2, "G", ".*", None)],
                                 "ord int, extractor_key string, url_regex string, host_token string")
     u = spark.createDataFrame([("http://b.com/12",), ("http://b.com/22",), ("x http://b.com/1",)], "url string")
-    want = [("A", "2"), ("B", "22"), ("G", None)]
+    want = [("http://b.com/12", "A", "2"), ("http://b.com/22", "B", "22"), ("x http://b.com/1", "G", None)]
     for pre in (False, True):
-        assert [(r["extractor_key"], r["media_id"]) for r in ur.route(u, cat, prefilter=pre).collect()] == want
+        assert sorted((r["url"], r["extractor_key"], r["media_id"]) for r in routing.route(u, cat, prefilter=pre).collect()) == want
 
 
 def test_attribute_map(spark):

@@ -1,19 +1,65 @@
-from mediaspark.operators import urls as ur
+import random
+import re
 
+from mediaspark.functions.patterns import java_pattern, required
+from mediaspark.operators import routing
 
-def test_catalogue_in_several_parts(spark, monkeypatch):
-    cat = spark.createDataFrame([(o, f"k{o}", rf"https?://{h}\.example\.com/(?P<id>\d+)" if o % 2 else rf"https?://{h}\.example\.com/", "example.com" if o % 3 else None)
-                                 for o, h in enumerate("abacdbe")], "ord int, extractor_key string, url_regex string, host_token string")
-    urls = spark.createDataFrame([(i, f"http://{h}.example.com/{i}") for i, h in enumerate("abcdez")] + [(9, None)], "n int, url string")
+SCHEMA = "ord int, extractor_key string, url_regex string, host_token string"
+
+
+def first_match(catalog, url):
+    return next(((o, k, ((m.groupdict()["id"] or "") if "(?P<id>" in p else None)) for o, k, p, _ in sorted(catalog) if url is not None and (m := re.match(p, url))), (None, None, None))
+
+
+def check(spark, catalog, urls, prefilter=False):
+    cat = spark.createDataFrame(catalog, SCHEMA)
+    got = routing.route(spark.createDataFrame(list(enumerate(urls)), "n int, url string"), cat, prefilter=prefilter).collect()
+    assert sorted((r.n, r.ord, r.extractor_key, r.media_id) for r in got) == [(n, *first_match(catalog, u)) for n, u in enumerate(urls)]
+
+
+def test_first_match_of_overlapping_patterns(spark):
+    catalog = [(o, f"k{o}", rf"https?://{h}\.example\.com/(?P<id>\d+)" if o % 2 else rf"https?://{h}\.example\.com/", "example.com" if o % 3 else None)
+               for o, h in enumerate("abacdbe")]
+    urls = [f"http://{h}.example.com/{i}" for i, h in enumerate("abcdez")] + [None, "", "http://a.example.com/1", "http://a.example.com/1"]
     for pre in (False, True):
-        want = sorted(ur.route(urls, cat, prefilter=pre).collect())
-        assert [r.extractor_key for r in want] == ["k0", "k1", "k3", "k4", "k6", None, None] and want[1].media_id == "1"
-        monkeypatch.setattr(ur, "PART", 2)
-        assert sorted(ur.route(urls, cat, prefilter=pre).collect()) == want
-        monkeypatch.undo()
+        check(spark, catalog, urls, pre)
+
+
+def test_patterns_of_every_kind(spark):
+    patterns = [
+        r"https?://(?:www\.)?(?:one|two|three)\.(?:com|net)/v/(?P<id>[a-z]{2})", r"(?i)https?://UPPER\.Example\.org/(?P<id>\w+)",
+        "(?x)https?://   # a comment\n (?:deep\\.)*verbose\\.example/ (?P<id>\\d+) # the end", r"(?:https?:)?//(?:[^/]+\.)?cdn(?P<n>\d)\.test/(?P=n)/(?P<id>.+)",
+        r"https?://x\.y/(?P<id>\d+)", r"https?://[^/]+/(?:watch|embed)/(?P<id>\d+)(?:$|[?#])", r"(?:short:(?P<id>\d{,3})|longer-prefix:)", r"https?://(?=strange)[a-z]+\.io/",
+        r"https?://(?:a|[b-d])\.opt(?:ional)?\.example/x*(?:end)?$", r"(?:rtmp|mms)s?://", r"https?://(?:(?:eins|zwei)\.de/(?:e/)?|drei\.at/)(?P<id>\d+)", r"[a-z]+:(?P<id>\w*)", r".*"]
+    catalog = [(i, f"k{i}", p, None) for i, p in enumerate(patterns)]
+    urls = ["http://www.two.net/v/ab", "https://three.com/v/xy", "http://one.org/v/ab", "HTTP://upper.example.ORG/zZ", "https://upper.example.org/q", "http://deep.deep.verbose.example/77",
+            "https://verbose.example/5", "//a.cdn4.test/4/name", "//cdn4.test/5/name", "http://x.y/1", "http://h.example/embed/12?x", "http://h.example/embed/12/", "short:123",
+            "short:", "longer-prefix:1", "https://strange.io/", "http://other.io/", "http://c.opt.example/xxend", "http://a.optional.example/", "mms://h", "rtmps://h/1",
+            "http://zwei.de/e/4", "http://drei.at/9", "http://drei.at/x", "x", "", "  http://x.y/1", "ftp:file", "http://www.two.net/v/äb", None]
+    check(spark, catalog, urls)
+    rng = random.Random(2)
+    rng.shuffle(catalog)
+    check(spark, [(i, k, p, h) for i, (_, k, p, h) in enumerate(catalog)], urls)
+
+
+def test_required_literals():
+    assert required(r"https?://(?:www\.)?(?:foo|barbaz)\.com/v", 5) == [["barbaz.com/v", "foo.com/v"]]
+    assert required(r"https?://(?:www\.)?(?:(?:foo|barbaz)\.com/v|other\.[a-z]+)/", 5) == [["barbaz.com/v", "foo.com/v", "other."]]
+    assert required(r"(?:abcdef)?x{3}(?:ghijkl)+", 5) == [["ghijkl"]]
+    assert required(r".*|abcdef", 5) == [] and required("[Aa]bcd", 5) == []
+    assert java_pattern(r"(?P<a>x)(?P<id>y)(?P=a){,3}") == (r"(x)(y)\1{0,3}", 2)
 
 
-def test_catalogue_beyond_5000_patterns(spark):
-    cat = spark.createDataFrame([(o, f"k{o}", rf"http://h{o}\.example\.com/") for o in range(5001)], "ord int, extractor_key string, url_regex string")
-    urls = spark.createDataFrame([("http://h5000.example.com/x",), ("http://h7.example.com/x",)], "url string")
-    assert sorted(r.extractor_key for r in ur.route(urls, cat.withColumn("host_token", cat.url_regex.substr(1, 0)), prefilter=False).collect()) == ["k5000", "k7"]
+def test_100_000_patterns_in_one_pass(spark):
+    n = 100_000
+    cat = spark.range(n).selectExpr("CAST(id AS INT) AS ord", "concat('k', id) AS extractor_key",
+                                    r"concat('https?://(?:www\\.)?h', id, '\\.example\\.com/(?P<id>\\d+)') AS url_regex", "CAST(NULL AS STRING) AS host_token")
+    urls = spark.range(4000).selectExpr(f"concat('http://h', (id * 7919) % {2 * n}, '.example.com/', id) AS url")
+    out = routing.route(urls, cat)
+    plan = out._jdf.queryExecution().toString()
+    assert len(plan) < 60_000 and "h4711" not in plan
+    rows = out.collect()
+    assert len(rows) == 4000
+    for r in rows:
+        h, i = map(int, re.findall(r"\d+", r.url))
+        assert (r.ord, r.extractor_key, r.media_id) == ((h, f"k{h}", str(i)) if h < n else (None, None, None))

@@ -125,15 +125,45 @@ def _date_rule(fmt: str):
     return f"(?i)^{pattern}$", "|".join([year, month, slots["d"], hour, slots.get("M", "0"), slots.get("S", "0")])
 
 
+def _shapes(fmt: str) -> set[str]:
+    """What ``_shape`` makes of the texts that a spelling fits. A full month's name may have three letters (May), a day a blank before it."""
+    out = {""}
+    for tok in re.findall(r"%.|\s+|[a-zA-Z]+|.", fmt):
+        kind = {"B": ("B", "b"), "b": ("b",), "d": ("0", " 0")}.get(tok[1], ("0",)) if tok[0] == "%" else (" ",) if tok.isspace() else (tok.lower(),)
+        out = {x + k for x in out for k in kind}
+    return {re.sub(r" ?0+", lambda m: re.sub("[^0]", "", m[0]), re.sub(r"(?<=0)0", "", x)) for x in out}
+
+
+def _shape(text: Column) -> Column:
+    """A text with its numbers as ``0``, its words by their length, and without blanks before numbers or a line's end."""
+    s = F.regexp_replace(F.lower(text), r"(?:\r\n|[\n\r\u0085\u2028\u2029])\z", "")
+    s = F.regexp_replace(s, r"\s*[0-9]+", "0")
+    s = F.regexp_replace(s, r"(?<![a-z])[a-z]{3}(?![a-z])", "B3")
+    s = F.regexp_replace(s, r"[a-z]{4,}", "B")
+    return F.replace(F.regexp_replace(s, r"\s+", " "), F.lit("B3"), F.lit("b"))
+
+
 def _moment(text: Column, formats) -> Column:
-    """Timestamp of the first spelling in ``formats`` that fits."""
-    pick = None
+    """Timestamp of the first spelling in ``formats`` that fits. Only spellings of the text's shape, three at most, are tried."""
+    by_shape: dict[str, list[str]] = {}
     for fmt in formats:
-        pattern, repl = _date_rule(fmt)
-        cond = text.rlike(pattern)
-        value = F.regexp_replace(text, pattern, repl)
-        pick = F.when(cond, value) if pick is None else pick.when(cond, value)
-    return _from_parts(pick)
+        for shape in sorted(_shapes(fmt)):
+            by_shape.setdefault(shape, []).append(fmt)
+
+    def first(fits):
+        pick = None
+        for fmt in fits:
+            pattern, repl = _date_rule(fmt)
+            cond, value = text.rlike(pattern), F.regexp_replace(text, pattern, repl)
+            pick = F.when(cond, value) if pick is None else pick.when(cond, value)
+        return pick
+
+    def tried(shape):
+        pick = None
+        for known, fits in by_shape.items():
+            pick = F.when(shape == known, first(fits)) if pick is None else pick.when(shape == known, first(fits))
+        return pick
+    return _from_parts(let(_shape(text), tried))
 
 
 def _from_parts(parts: Column) -> Column:
@@ -166,8 +196,9 @@ _ZONE_NAME = r"\d{1,2}:\d{1,2}(?:\.\d+)?(\s*[A-Z]+)$"
 def split_zone(text: Column):
     """(offset in seconds, text without the zone)."""
     tz = F.regexp_extract(text, _OFFSET, 1)
-    sign = F.when(F.regexp_extract(text, _OFFSET, 2) == "-", -1).otherwise(1)
-    secs = sign * (_num(F.regexp_extract(text, _OFFSET, 3)) * 3600 + _num(F.regexp_extract(text, _OFFSET, 4)) * 60)
+    # Z, or a sign and four digits.
+    digits = F.replace(tz, F.lit(":"), F.lit(""))
+    secs = F.when(tz == "Z", 0).otherwise(F.when(F.contains(tz, F.lit("-")), -1).otherwise(1) * (_num(F.substring(digits, -4, 2)) * 3600 + _num(F.right(digits, F.lit(2))) * 60))
     named = F.regexp_extract(text, _ZONE_NAME, 1)
     table = F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv])
     hours = F.when(named != "", F.try_element_at(table, F.trim(named)))

@@ -1,7 +1,7 @@
 """DASH manifests into renditions, subtitles and segments.
 
 The XML is read by ``from_xml``; everything down to the representation is nested explodes within the
-row. Only segment timelines are windowed, per representation, before their repeats are expanded.
+row, and segment timelines are running values over their entries.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import urls as ux, values as vx
-from ..functions.core import let, once, pack
+from ..functions.core import let, once, pack, scan
 from .manifests import XML_OPTIONS, fixed
 
 _COMMON = ("SegmentTimeline struct<S array<struct<_t bigint,_d bigint,_r bigint>>>, _startNumber bigint, _timescale bigint, "
@@ -19,7 +19,6 @@ _TEMPLATE = f"SegmentTemplate struct<{_COMMON}, _media string, _initialization s
 _BASE = "BaseURL array<struct<_VALUE string,_contentLength bigint>>"
 _ATTRS = ("_mimeType string,_contentType string,_codecs string,_id string,_lang string,_bandwidth bigint,_width int,_height int,"
           "_audioSamplingRate int,_frameRate string")
-_MARKS = ["has_SegmentTimeline", "has_SegmentList"]
 _NAMES = [f"_{n}" for n in ("mimeType", "contentType", "codecs", "id", "lang", "bandwidth", "width", "height", "audioSamplingRate", "frameRate")]
 _DRM = "ContentProtection array<struct<_schemeIdUri string>>"
 _REP = f"Representation array<struct<{_ATTRS},{_BASE},{_LIST},{_TEMPLATE},{_DRM}>>"
@@ -57,29 +56,27 @@ def _segment_info(e: Column, base: Column) -> dict:
 
 def representations(manifests: DataFrame, mpd_id: str | None = None) -> DataFrame:
     """One row per unprotected representation with inherited attributes and segment settings."""
-    # The marks let a job skip whole manifests before their XML is read.
-    marks = [F.col("body").contains(n).alias(f"has_{n}") for n in ("SegmentTimeline", "SegmentList")]
-    x = manifests.select("manifest_id", "url", *marks, once(F.from_xml(fixed(F.col("body")), SCHEMA, XML_OPTIONS)).alias("x"))
+    x = manifests.select("manifest_id", "url", once(F.from_xml(fixed(F.col("body")), SCHEMA, XML_OPTIONS)).alias("x"))
     x = x.filter(~F.coalesce(F.col("x._type") == "dynamic", F.lit(False)))
     # Relative bases start at the folder of the manifest.
     folder = F.regexp_replace("url", "/[^/]*$", "")
     seconds = lambda c: let(vx.duration(c), lambda v: F.when(v != 0, v))
-    p = x.select("manifest_id", "url", *_MARKS, _join_base(folder, F.col("x")).alias("b0"), seconds(F.col("x._mediaPresentationDuration")).alias("total"),
+    p = x.select("manifest_id", "url", _join_base(folder, F.col("x")).alias("b0"), seconds(F.col("x._mediaPresentationDuration")).alias("total"),
                  F.posexplode("x.Period").alias("period", "p"))
     # What a level states itself is worked out once per element of that level.
     p = p.withColumn("b1", _join_base(F.col("b0"), F.col("p"))).withColumn("total", F.coalesce(seconds(F.col("p._duration")), F.col("total")))
-    p = p.select("manifest_id", "url", *_MARKS, "period", "b1", "total", pack(**_segment_info(F.col("p"), F.col("b1"))).alias("ip"), F.col("p.AdaptationSet").alias("sets"))
-    a = p.select("manifest_id", "url", *_MARKS, "period", "b1", "total", "ip", F.posexplode("sets").alias("set_no", "a")).filter(F.col("a.ContentProtection").isNull())
+    p = p.select("manifest_id", "url", "period", "b1", "total", pack(**_segment_info(F.col("p"), F.col("b1"))).alias("ip"), F.col("p.AdaptationSet").alias("sets"))
+    a = p.select("manifest_id", "url", "period", "b1", "total", "ip", F.posexplode("sets").alias("set_no", "a")).filter(F.col("a.ContentProtection").isNull())
     a = a.withColumn("b2", _join_base(F.col("b1"), F.col("a")))
     own_a, up = _segment_info(F.col("a"), F.col("b2")), F.col("ip")
-    a = a.select("manifest_id", "url", *_MARKS, "period", "set_no", "b2", "total", pack(**{k: F.coalesce(c, up[k]) for k, c in own_a.items()}).alias("ia"),
+    a = a.select("manifest_id", "url", "period", "set_no", "b2", "total", pack(**{k: F.coalesce(c, up[k]) for k, c in own_a.items()}).alias("ia"),
                  pack(**{n: F.col(f"a.{n}") for n in _NAMES}).alias("a"), F.col("a.Representation").alias("reps"))
-    r = a.select("manifest_id", "url", *_MARKS, "period", "set_no", "b2", "total", "ia", "a", F.posexplode("reps").alias("rep_no", "r")).filter(F.col("r.ContentProtection").isNull())
+    r = a.select("manifest_id", "url", "period", "set_no", "b2", "total", "ia", "a", F.posexplode("reps").alias("rep_no", "r")).filter(F.col("r.ContentProtection").isNull())
     r = r.withColumn("b3", _join_base(F.col("b2"), F.col("r")))
     info = {k: F.coalesce(c, F.col("ia")[k]) for k, c in _segment_info(F.col("r"), F.col("b3")).items()}
     at = lambda n: F.coalesce(F.col(f"r.{n}"), F.col(f"a.{n}"))
     out = r.select(
-        "manifest_id", F.col("url").alias("manifest_url"), *_MARKS, "period", "set_no", "rep_no", F.col("b3").alias("base_url"),
+        "manifest_id", F.col("url").alias("manifest_url"), "period", "set_no", "rep_no", F.col("b3").alias("base_url"),
         F.col("total").alias("period_duration"),
         at("_mimeType").alias("mime_type"), at("_contentType").alias("content_type"), vx.codecs(F.nullif(at("_codecs"), F.lit(""))).alias("cs"),
         at("_id").alias("rep_id"), at("_lang").alias("lang"), at("_bandwidth").alias("bandwidth"), at("_width").alias("width"),
@@ -155,12 +152,25 @@ def expand_template(df: DataFrame, col: str, out: str, number: str | None = None
 _KEY = ["manifest_id", "period", "set_no", "rep_no"]
 
 
+_ENTRY = "struct<t:bigint,span:bigint,n:bigint,d:bigint>"
+
+
+def _timeline(s: Column) -> Column:
+    """Timeline entries as array<struct<start, d, again, before>>: a start of 0 or none continues at the end of the entry before."""
+    again = lambda e: F.coalesce(e["_r"], F.lit(0))
+    own = F.transform(s, lambda e: pack(t=F.when(e["_t"] != 0, e["_t"]), span=e["_d"] * (again(e) + 1), n=again(e) + 1, d=e["_d"]))
+    sum_ = lambda a, b: F.coalesce(a + b, a, b)
+    add = lambda x, y: pack(t=F.coalesce(y["t"], x["t"]), span=F.when(y["t"].isNotNull(), y["span"]).otherwise(sum_(x["span"], y["span"])), n=x["n"] + y["n"], d=y["d"])
+    return let(own, lambda a: F.zip_with(a, scan(a, _ENTRY, add), lambda x, y: pack(
+        start=F.coalesce(y["t"], F.lit(0)) + y["span"] - x["span"], d=x["d"], again=x["n"] - 1, before=y["n"] - x["n"])))
+
+
 def dash_segments(manifests: DataFrame) -> DataFrame:
     """All segments of fragmented representations, initialisation (``seq`` 0) first."""
     out = [*_KEY, "format_id", "seq", "location", "duration", "range"]
     row = lambda seq, loc, dur, rng: pack(seq=seq.cast("bigint"), location=loc, duration=dur.cast("double"), range=rng)
     none = F.lit(None)
-    # Everything but timelines comes in one pass: initialisation, numbered templates, lists.
+    # Everything comes from one reading of the XML, within the row: initialisation, numbered templates, lists, timelines.
     r = representations(manifests).filter("fragmented")
     seg_len = F.col("segment_duration") / F.col("timescale")
     rep, bw = F.col("rep_id"), F.col("bandwidth")
@@ -173,29 +183,18 @@ def dash_segments(manifests: DataFrame) -> DataFrame:
     # A list with ranges has only as many segments as there are ranges.
     pairs = F.when(F.col("ranges").isNotNull(), F.slice("urls", 1, F.least(F.size("urls"), F.size("ranges")))).otherwise(F.col("urls"))
     lists = F.transform(pairs, lambda u, k: row(k + 1, u, F.col("seg_len"), F.try_element_at("ranges", k + 1)))
-    rest = F.when(F.col("s").isNull(), F.when(F.col("urls").isNotNull(), lists).otherwise(plain))
+
+    def timeline(entries):
+        # Entries with their place in time and in the order of segments. A timeline over listed URLs takes them in order.
+        def segments(e):
+            def segment(k):
+                seq = e["before"] + k + 1
+                named = template(F.col("media"), rep, bw, F.col("start_number") + seq - 1, e["start"] + k * e["d"])
+                return row(seq, F.when(F.col("urls").isNotNull(), F.get("urls", (seq - 1).cast("int"))).otherwise(named), e["d"] / F.col("timescale"), none.cast("string"))
+            return F.transform(F.sequence(F.lit(0).cast("bigint"), e["again"]), segment)
+        return F.flatten(F.transform(entries, segments))
+    rest = F.when(F.col("s").isNull(), F.when(F.col("urls").isNotNull(), lists).otherwise(plain)).otherwise(let(_timeline(F.col("s")), timeline))
     empty = F.filter(F.array(row(F.lit(0), none.cast("string"), none, none.cast("string"))), lambda x: F.lit(False))
-    once = r.withColumn("seg_len", seg_len).withColumn("segs", F.concat(F.coalesce(init, empty), F.coalesce(rest, empty)))
-    once = once.select(*_KEY, "format_id", F.inline("segs")).select(*out)
-    # Timeline entries: a start of 0 or none continues at the end of the entry before.
-    timed = r.filter("has_SegmentTimeline AND s IS NOT NULL")
-    carry = ["format_id", "rep_id", "bandwidth", "media", "timescale", "start_number"]
-    s = timed.select(*_KEY, *carry, F.col("urls").isNotNull().alias("listed"), F.posexplode("s").alias("s_no", "e"))
-    t, d, again = F.when(F.col("e._t") != 0, F.col("e._t")), F.col("e._d"), F.coalesce("e._r", F.lit(0))
-    so_far = W.partitionBy(*_KEY).orderBy("s_no").rowsBetween(W.unboundedPreceding, 0)
-    s = s.select(*_KEY, *carry, "listed", "s_no", t.alias("t"), d.alias("d"), again.alias("again"))
-    s = s.withColumn("run", F.count("t").over(so_far)).withColumn("before", F.sum(F.col("again") + 1).over(so_far) - F.col("again") - 1)
-    in_run = W.partitionBy(*_KEY, "run").orderBy("s_no").rowsBetween(W.unboundedPreceding, 0)
-    span = F.col("d") * (F.col("again") + 1)
-    s = s.withColumn("start", F.coalesce(F.first("t", ignorenulls=True).over(in_run), F.lit(0)) + F.sum(span).over(in_run) - span)
-    s = s.select(*_KEY, *carry, "listed", "d", "before", "start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("again"))).alias("k"))
-    n = F.col("before") + F.col("k")
-    s = s.withColumn("seq", n + 1).withColumn("duration", F.col("d") / F.col("timescale")).withColumn("range", F.lit(None).cast("string"))
-    named = template(F.col("media"), rep, bw, F.col("start_number") + F.col("seq") - 1, F.col("start") + F.col("k") * F.col("d"))
-    by_name = s.filter("NOT listed").withColumn("location", named).select(*out)
-    # A timeline over listed URLs takes them in order; such manifests name both elements.
-    urls = r.filter("has_SegmentTimeline AND has_SegmentList AND s IS NOT NULL AND urls IS NOT NULL").select(*_KEY, F.posexplode("urls").alias("u_no", "location"))
-    urls = urls.select(*_KEY, (F.col("u_no") + 1).cast("bigint").alias("seq"), "location")
-    by_list = s.filter("listed").join(urls, [*_KEY, "seq"], "left").select(*out)
-    all_ = once.unionByName(by_name).unionByName(by_list)
+    all_ = r.withColumn("seg_len", seg_len).withColumn("segs", F.concat(F.coalesce(init, empty), F.coalesce(rest, empty)))
+    all_ = all_.select(*_KEY, "format_id", F.inline("segs")).select(*out)
     return all_.withColumn("is_url", F.col("location").rlike("^https?://"))

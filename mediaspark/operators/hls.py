@@ -1,15 +1,14 @@
 """HLS playlists into renditions and segments (D01–D06), over ``manifests(manifest_id, url, body)``.
 
-A manifest is one row and its lines are bounded by that cell, so grouping lines by manifest cannot
-gather more than one stored text.
+A manifest is one row and all work on it happens within the row, in time n log n of its lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls as ux, values as vx
-from ..functions.core import let, pack
+from ..functions.core import let, once, pack, scan
 
 _ATTR = r'([A-Z0-9-]+)=("[^"]+"|[^",]+)(?:,|$)'
 _CUT = "\u0001"
@@ -97,7 +96,10 @@ def hls_variants(manifests: DataFrame, m3u8_id: str | None = None, ext: str | No
         kind=F.lit("media"), format_id=_join_id(prefix, x["grp"], x["name"]), url=full(x["uri"]), language=x["lang"],
         protocol=F.lit(entry_protocol), vcodec=F.when(x["type"] == "AUDIO", F.lit("none"))))
     work = work.withColumn("tracks", made)
-    group = lambda g: F.try_element_at(F.filter(m, lambda x: x["grp"] == g), F.lit(1))
+    # The first member of each group (of equal keys the last one counts), and the progressive twins up to each stream.
+    work = work.withColumns({"first": F.map_from_arrays(F.transform(F.reverse(m), lambda x: x["grp"]), F.reverse(m)),
+                             "twins": scan(F.transform(b, lambda x: F.when(x["progressive_uri"].isNotNull(), 1).otherwise(0)), "int", lambda x, y: x + y)})
+    group = lambda g: F.try_element_at(F.col("first"), g)
     usp = r"audio.*?(?:%3D|=)(\d+)(?:-video.*?(?:%3D|=)(\d+))?"
 
     def stream(x, i):
@@ -106,7 +108,7 @@ def hls_variants(manifests: DataFrame, m3u8_id: str | None = None, ext: str | No
     def rows_of(p):
         x, i, url = p["x"], p["i"], p["url"]
         # Rows before this one: the tracks, the earlier streams and their progressive twins.
-        before = F.size(tracks) + i + F.size(F.filter(F.slice(b, F.lit(1), i), lambda y: y["progressive_uri"].isNotNull()))
+        before = F.size(tracks) + i + F.get("twins", i) - F.when(x["progressive_uri"].isNotNull(), 1).otherwise(0)
         # A named rendition group gives its first member's name, an unknown one its own.
         name = F.coalesce(x["name"], F.when(x["video"].isNotNull(), F.coalesce(group(x["video"])["name"], x["video"])))
         number = F.when(F.coalesce(x["tbr"], F.lit(0.0)) != 0, x["tbr"].cast("bigint")).otherwise(before).cast("string")
@@ -130,54 +132,65 @@ def hls_variants(manifests: DataFrame, m3u8_id: str | None = None, ext: str | No
                       F.lit(ext).cast("string").alias("ext"))
 
 
+_MARK = "struct<uri:string,key:struct<method:string,uri:string,iv:string>,ad:boolean,seq:bigint,at:bigint,len:bigint>"
+_SUMS = "struct<seq:bigint,kept:bigint,at:bigint,total:bigint,len:bigint>"
+
+
+def _marks(body: Column) -> Column:
+    """The lines of a media playlist that matter, in order: URIs, and the tags that hold for the URIs behind them."""
+    def read(l):
+        spec = F.when(l.startswith("#EXT-X-BYTERANGE"), F.substring(l, F.lit(18), F.length(l)))
+        ad_on = (l.startswith("#ANVATO-SEGMENT-INFO") & l.contains("type=ad")) | (l.startswith("#UPLYNK-SEGMENT") & l.endswith(",ad"))
+        ad_off = (l.startswith("#ANVATO-SEGMENT-INFO") & l.contains("type=master")) | (l.startswith("#UPLYNK-SEGMENT") & l.endswith(",segment"))
+        key = lambda a: pack(method=value(a, "METHOD"), uri=value(a, "URI"), iv=value(a, "IV"))
+        return pack(uri=F.when(~l.startswith("#"), l), key=F.when(l.startswith("#EXT-X-KEY"), let(attributes(F.substring(l, F.lit(12), F.length(l))), key)),
+                    ad=F.when(ad_on, True).when(ad_off, False),
+                    seq=F.when(l.startswith("#EXT-X-MEDIA-SEQUENCE"), F.substring(l, F.lit(23), F.length(l)).try_cast("bigint")),
+                    at=F.when(spec.contains("@"), F.substring_index(spec, "@", -1)).try_cast("bigint"),
+                    len=F.substring_index(spec, "@", 1).try_cast("bigint"))
+    lines = F.filter(F.transform(_lines(body), lambda l: F.trim(l)), lambda l: l.rlike(r"^(?:[^#]|#EXT-X-(?:KEY|MEDIA-SEQUENCE|BYTERANGE)|#ANVATO-SEGMENT-INFO|#UPLYNK-SEGMENT)"))
+    # The key and the ad span in force are the last ones told.
+    latest = lambda x, y: pack(uri=y["uri"], key=F.coalesce(y["key"], x["key"]), ad=F.coalesce(y["ad"], x["ad"]), seq=y["seq"], at=y["at"], len=y["len"])
+    return scan(F.transform(lines, read), _MARK, latest)
+
+
+def _kept(m: Column) -> Column:
+    return m["uri"].isNotNull() & ~F.coalesce(m["ad"], F.lit(False))
+
+
 def hls_segments(manifests: DataFrame) -> DataFrame:
     """Media segments of HLS playlists (D05): number, key in force, byte range; ad spans are left out.
 
-    A byte range without a start continues at the end of the previous range. The windows run over the
-    lines of one stored text.
+    A byte range without a start continues at the end of the previous range. All is worked out within the row, as running values over the lines.
     """
-    lines = manifests.select("manifest_id", "url", F.posexplode(_lines(F.col("body"))).alias("line_no", "raw"))
-    lines = lines.withColumn("line", F.trim(F.col("raw"))).filter("line <> ''").drop("raw")
-    l = F.col("line")
-    ad_on = (l.startswith("#ANVATO-SEGMENT-INFO") & l.contains("type=ad")) | (l.startswith("#UPLYNK-SEGMENT") & l.endswith(",ad"))
-    ad_off = (l.startswith("#ANVATO-SEGMENT-INFO") & l.contains("type=master")) | (l.startswith("#UPLYNK-SEGMENT") & l.endswith(",segment"))
-    is_uri = ~l.startswith("#")
-    spec = F.when(l.startswith("#EXT-X-BYTERANGE"), F.substring(l, F.lit(18), F.length(l)))
-    so_far = W.partitionBy("manifest_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    d = lines.select(
-        "*", is_uri.alias("is_uri"), F.substring_index(spec, "@", 1).try_cast("bigint").alias("len"),
-        F.when(spec.contains("@"), F.substring_index(spec, "@", -1)).try_cast("bigint").alias("at"),
-        F.last(F.when(ad_on, True).when(ad_off, False), ignorenulls=True).over(so_far).alias("ad"),
-        F.last(F.when(l.startswith("#EXT-X-KEY"), F.substring(l, F.lit(12), F.length(l))), ignorenulls=True).over(so_far).alias("key"),
-        F.when(l.startswith("#EXT-X-MEDIA-SEQUENCE"), F.substring(l, F.lit(23), F.length(l)).try_cast("bigint")).alias("seq0"))
-    d = d.withColumn("keep", F.col("is_uri") & ~F.coalesce("ad", F.lit(False)))
-    d = d.withColumn("runs", F.count("at").over(so_far)).withColumn("seqs", F.count("seq0").over(so_far))
-    in_run = W.partitionBy("manifest_id", "runs").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    in_seq = W.partitionBy("manifest_id", "seqs").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    end = F.coalesce(F.first("at", ignorenulls=True).over(in_run), F.lit(0)) + F.sum("len").over(in_run)
-    d = d.withColumn("stop", end).withColumn("size", F.last("len", ignorenulls=True).over(so_far))
-    d = d.withColumn("media_sequence", F.coalesce(F.first("seq0", ignorenulls=True).over(in_seq), F.lit(0))
-                     + F.sum(F.col("keep").cast("bigint")).over(in_seq) - 1)
-    frag = F.sum(F.col("keep").cast("bigint")).over(so_far)
-    d = d.withColumn("frag_index", frag).filter("keep")
-    key = attributes(F.col("key"))
-    uri = value(key, "URI")
-    aes = value(key, "METHOD") == "AES-128"
-    full = lambda u: F.when(u.rlike("^https?://"), u).otherwise(F.coalesce(ux.resolve(F.col("url"), u), u))
-    return d.select("manifest_id", "frag_index", "media_sequence", full(F.col("line")).alias("url"),
-                    F.coalesce(value(key, "METHOD"), F.lit("NONE")).alias("key_method"), F.when(aes, full(uri)).alias("key_url"),
-                    F.when(aes, value(key, "IV")).alias("key_iv"),
-                    F.when(F.col("size").isNotNull(), F.col("stop") - F.col("size")).alias("range_start"),
-                    F.when(F.col("size").isNotNull(), F.col("stop")).alias("range_end"))
+    add = lambda a, b: F.coalesce(a + b, a, b)
+
+    def total(x, y):
+        # Segments since the last media sequence tag; bytes since the last range with a start.
+        seq, at = y["seq"].isNotNull(), y["at"].isNotNull()
+        return pack(seq=F.coalesce(y["seq"], x["seq"]), kept=F.when(seq, y["kept"]).otherwise(x["kept"] + y["kept"]),
+                    at=F.coalesce(y["at"], x["at"]), total=F.when(at, y["total"]).otherwise(add(x["total"], y["total"])), len=F.coalesce(y["len"], x["len"]))
+
+    def numbered(marks):
+        sums = F.transform(marks, lambda m: pack(seq=m["seq"], kept=F.when(_kept(m), 1).otherwise(0), at=m["at"], total=m["len"], len=m["len"]))
+        both = F.zip_with(marks, scan(sums, _SUMS, total), lambda m, s: pack(m=m, s=s))
+        return F.filter(both, lambda x: _kept(x["m"]))
+    d = manifests.select("manifest_id", F.col("url").alias("base"), F.posexplode(let(_marks(F.col("body")), numbered)).alias("pos", "x"))
+    m, s, key = F.col("x.m"), F.col("x.s"), F.col("x.m.key")
+    aes = key["method"] == "AES-128"
+    full = lambda u: F.when(u.rlike("^https?://"), u).otherwise(F.coalesce(ux.resolve(F.col("base"), u), u))
+    stop = F.when(s["len"].isNotNull(), F.coalesce(s["at"], F.lit(0)) + s["total"])
+    return d.select("manifest_id", (F.col("pos") + 1).cast("bigint").alias("frag_index"), (F.coalesce(s["seq"], F.lit(0)) + s["kept"] - 1).alias("media_sequence"),
+                    full(m["uri"]).alias("url"), F.coalesce(key["method"], F.lit("NONE")).alias("key_method"), F.when(aes, full(key["uri"])).alias("key_url"),
+                    F.when(aes, key["iv"]).alias("key_iv"), (stop - s["len"]).alias("range_start"), stop.alias("range_end"))
 
 
 def hls_counts(manifests: DataFrame) -> DataFrame:
     """Numbers of media and ad segments per playlist."""
-    seg = hls_segments(manifests).groupBy("manifest_id").agg(F.count(F.lit(1)).alias("media_frags"))
-    uris = F.size(F.filter(_lines(F.col("body")), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#")))
-    out = manifests.select("manifest_id", uris.cast("bigint").alias("n")).join(seg, "manifest_id", "left")
-    media = F.coalesce("media_frags", F.lit(0))
-    return out.select("manifest_id", media.cast("bigint").alias("media_frags"), (F.col("n") - media).alias("ad_frags"))
+    def counts(marks):
+        return pack(media_frags=F.size(F.filter(marks, _kept)), n=F.size(F.filter(marks, lambda m: m["uri"].isNotNull())))
+    d = manifests.select("manifest_id", once(let(_marks(F.col("body")), counts)).alias("c"))
+    return d.select("manifest_id", F.col("c.media_frags").cast("bigint").alias("media_frags"), (F.col("c.n") - F.col("c.media_frags")).cast("bigint").alias("ad_frags"))
 
 
 def hls_supported(manifests: DataFrame, can_decrypt: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import html as hx, urls as ux, values as vx
-from ..functions.core import filled, let, once, pack
+from ..functions.core import filled, let, once, pack, scan
 from ..session import cut
 
 XML_OPTIONS = {"ignoreNamespace": "true"}
@@ -53,29 +53,40 @@ def ism_formats(manifests: DataFrame, ism_id: str | None = None) -> DataFrame:
         F.when(video, F.col("fourcc")).otherwise(F.lit("none")).alias("vcodec"), F.when(video, F.lit("none")).otherwise(F.col("fourcc")).alias("acodec"))
 
 
+_CHUNK = "struct<t:bigint,span:bigint,reps:bigint,d:bigint>"
+
+
+def _ism_chunks(c: Column, total: Column) -> Column:
+    """Entries of a stream as array<struct<start, len, rep, before>>, by running values over them."""
+    rep = lambda x: F.coalesce(F.nullif(x["_r"], F.lit(0)), F.lit(1))
+    dur = lambda x: F.nullif(x["_d"], F.lit(0))
+
+    def entry(x, i):
+        # After an entry without a duration time stands at the total.
+        stands = (i > 0) & dur(F.get(c, i - 1)).isNull()
+        return pack(t=F.coalesce(F.nullif(x["_t"], F.lit(0)), F.when(stands, total)), span=F.coalesce(dur(x) * rep(x), F.lit(0)), reps=rep(x), d=dur(x))
+    add = lambda x, y: pack(t=F.coalesce(y["t"], x["t"]), span=F.when(y["t"].isNotNull(), y["span"]).otherwise(x["span"] + y["span"]), reps=x["reps"] + y["reps"], d=y["d"])
+
+    def placed(x, y):
+        start = F.coalesce(y["t"], F.lit(0)) + y["span"] - x["span"]
+        length = F.coalesce(x["d"].cast("double"), (total - start) / x["reps"])
+        return pack(start=start, len=length, rep=x["reps"], before=y["reps"] - x["reps"])
+    return let(F.transform(c, entry), lambda own: F.zip_with(own, scan(own, _CHUNK, add), placed))
+
+
 def ism_segments(manifests: DataFrame) -> DataFrame:
-    """Fragments of each quality level; a start of 0 or none continues, a missing duration fills up the total."""
+    """Fragments of each quality level; a start of 0 or none continues, a missing duration fills up the total.
+
+    The entries are placed within the row, once the XML is read; nothing is shuffled."""
     t = _ism_tracks(manifests)
     key = ["manifest_id", "stream_no", "track_no"]
-    c = t.select(*key, "total", F.posexplode("s.c").alias("c_no", "c"))
-    w = W.partitionBy(*key).orderBy("c_no")
-    so_far = w.rowsBetween(W.unboundedPreceding, 0)
-    rep, d = F.coalesce(F.nullif("c._r", F.lit(0)), F.lit(1)), F.nullif("c._d", F.lit(0))
-    # After an entry without a duration time stands at the total.
-    start = F.coalesce(F.nullif("c._t", F.lit(0)), F.when(F.lag(d.isNull(), 1, False).over(w), F.col("total")))
-    c = c.select(*key, "c_no", "total", start.alias("t"), d.alias("d"), rep.alias("rep"))
-    c = c.withColumn("run", F.count("t").over(so_far)).withColumn("before", F.sum("rep").over(so_far) - F.col("rep"))
-    in_run = W.partitionBy(*key, "run").orderBy("c_no").rowsBetween(W.unboundedPreceding, 0)
-    span = F.coalesce(F.col("d") * F.col("rep"), F.lit(0))
-    c = c.withColumn("start", F.coalesce(F.first("t", ignorenulls=True).over(in_run), F.lit(0)) + F.sum(span).over(in_run) - span)
-    c = c.withColumn("len", F.coalesce(F.col("d").cast("double"), (F.col("total") - F.col("start")) / F.col("rep")))
-    c = c.select(*key, "before", "start", "len", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rep") - 1)).alias("k"))
-    names = t.select(*key, "url", "scale", F.regexp_replace("s._Url", r"\{[Bb]itrate\}", F.col("q._Bitrate").cast("string")).alias("pattern"))
-    out = c.join(names, key)
+    pattern = F.regexp_replace("s._Url", r"\{[Bb]itrate\}", F.col("q._Bitrate").cast("string"))
+    t = t.select(*key, "url", "scale", pattern.alias("pattern"), F.explode(_ism_chunks(F.col("s.c"), F.col("total"))).alias("c"))
+    c = t.select(*key, "url", "scale", "pattern", "c.*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c.rep") - 1)).alias("k"))
     at = (F.col("start") + F.col("k") * F.col("len")).cast("bigint").cast("string")
     full = F.coalesce(ux.resolve(F.col("url"), F.col("pattern")), F.col("pattern"))
-    return out.select(*key, (F.col("before") + F.col("k") + 1).alias("seq"), F.regexp_replace(full, r"\{start[ _]time\}", at).alias("url"),
-                      (F.col("len") / F.col("scale")).alias("duration"))
+    return c.select(*key, (F.col("before") + F.col("k") + 1).alias("seq"), F.regexp_replace(full, r"\{start[ _]time\}", at).alias("url"),
+                    (F.col("len") / F.col("scale")).alias("duration"))
 
 
 _F4M = ("`pv-2.0` string,baseURL string,mimeType string,bootstrapInfo array<struct<_id string,_url string,_VALUE string>>,media array<struct<_bitrate string,_width string,_height string,_href string,"
@@ -88,26 +99,33 @@ def f4m_formats(manifests: DataFrame, f4m_id: str | None = None) -> DataFrame:
     A relative entry without a base URL is taken from the folder of the URL worked on last, so the
     entries of one manifest are folded in order.
     """
-    x = manifests.select("manifest_id", "url", "body", once(F.from_xml(F.trim(fixed(F.col("body"))), _F4M, XML_OPTIONS)).alias("x"))
+    # Whether links come from either attribute is asked once per manifest, below the generator.
+    second = (~F.col("body").contains("ns.adobe.com/f4m/1.0")).alias("second")
+    x = manifests.select("manifest_id", "url", second, once(F.from_xml(F.trim(fixed(F.col("body"))), _F4M, XML_OPTIONS)).alias("x"))
     locked = F.coalesce(F.col("x.`pv-2.0`").contains(";") & (F.trim(F.substring_index(F.col("x.`pv-2.0`"), ";", 1)) != ""), F.lit(False))
-    second = ~F.col("body").contains("ns.adobe.com/f4m/1.0")
     open_ = F.filter("x.media", lambda m: m["_drmAdditionalHeaderId"].isNull() & m["_drmAdditionalHeaderSetId"].isNull())
     base = F.nullif(F.trim("x.baseURL"), F.lit(""))
     stream_level = F.col("x.bootstrapInfo").isNotNull()
-    link = lambda m: F.when(second, F.coalesce(m["_href"], m["_url"])).otherwise(m["_url"])
+    link = lambda m: F.when(F.col("second"), F.coalesce(m["_href"], m["_url"])).otherwise(m["_url"])
     nodes = F.transform(open_, lambda m, i: F.struct(
         i.alias("i"), F.nullif(link(m), F.lit("")).alias("link"), m["_bitrate"].try_cast("bigint").alias("tbr"),
         m["_width"].try_cast("int").alias("width"), m["_height"].try_cast("int").alias("height")))
     d = x.filter(~locked).select("manifest_id", "url", base.alias("base"), stream_level.alias("stream_level"), nodes.alias("nodes"),
                                  F.coalesce(F.col("x.mimeType").startswith("audio/"), F.lit(False)).alias("audio"))
-    start = F.struct(F.col("url").alias("at"), F.expr("CAST(array() AS ARRAY<STRING>)").alias("urls"))
-
-    def step(acc, n):
-        folder = F.coalesce(F.col("base"), F.regexp_replace(acc["at"], "/[^/]*$", ""))
-        full = F.when(n["link"].rlike("^https?://"), n["link"]).otherwise(F.concat(folder, F.lit("/"), n["link"]))
-        now = F.when(F.col("stream_level"), acc["at"]).otherwise(F.coalesce(full, acc["at"]))
-        return F.struct(now.alias("at"), F.concat(acc["urls"], F.array(now)).alias("urls"))
-    d = d.withColumn("urls", F.aggregate("nodes", start, step, lambda acc: acc["urls"]))
+    folder = lambda u: F.regexp_replace(u, "/[^/]*$", "")
+
+    def place(n):
+        # Where an entry points to: a place of its own (fixed), or one in the folder of the URL before it; without a link it changes nothing.
+        whole = n["link"].rlike("^https?://")
+        link = F.when(F.col("stream_level"), None).when(whole, n["link"]).otherwise(F.concat(F.coalesce(F.concat("base", F.lit("/")), F.lit("")), n["link"]))
+        return pack(fixed=F.coalesce(whole | F.col("base").isNotNull(), F.lit(False)), v=link)
+
+    def after(x, y):
+        within = F.when(x["fixed"] | x["v"].contains("/"), F.concat(folder(x["v"]), F.lit("/"), y["v"])).otherwise(y["v"])
+        return F.when(y["v"].isNull(), x).when(y["fixed"] | x["v"].isNull(), y).otherwise(pack(fixed=x["fixed"], v=within))
+    places = F.concat(F.array(pack(fixed=F.lit(True), v=F.col("url"))), F.transform("nodes", place))
+    at = scan(places, "struct<fixed:boolean,v:string>", after)
+    d = d.withColumn("urls", let(at, lambda x: F.transform(F.slice(x, F.lit(2), F.size("nodes")), lambda p: p["v"])))
     zipped = F.zip_with("nodes", "urls", lambda n, u: F.struct(n.alias("n"), u.alias("u")))
     d = d.select("manifest_id", "stream_level", "audio", F.inline(zipped))
     d = d.filter(F.col("stream_level") | F.col("n.link").isNotNull())

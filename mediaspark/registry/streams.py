@@ -18,11 +18,13 @@ def batch(t):
     return t["xfer"]
 
 
+#: Files, and so micro-batches, that the stream queries cut the events into.
+BATCHES = 4
+
+
 def stream(t):
-    """The same rows as a file stream (a pattern, since a stream's plain path must be a folder)."""
-    raw = t["events"]
-    src = t.spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{t.folder}/events.parque[t]")
-    return t.spark.sql(EVENT_SQL, events=src)
+    """The same rows as a stream of several micro-batches in order of time."""
+    return t.spark.sql(EVENT_SQL, events=tf.in_files(t["events"], "ts", BATCHES))
 
 
 SECS = "epoch(ts::TIMESTAMP)"
@@ -124,9 +126,7 @@ def _(t):
 
 @query("J05_archive_stream", oracle(NEW))
 def _(t):
-    raw = t["events"]
-    src = t.spark.readStream.schema(raw.schema).parquet(f"{t.folder}/events.parque[t]")
-    ids = src.select(F.expr("concat('site', user_id % 25, ' ', CAST(floor(value * 10) AS BIGINT))").alias("archive_id"))
+    ids = tf.in_files(t["events"], "ts", BATCHES).select(F.expr("concat('site', user_id % 25, ' ', CAST(floor(value * 10) AS BIGINT))").alias("archive_id"))
     root = scratch_path(t.spark, "archive")
     tf.run_to_end(tf.archive_stream(ids, root, t["known_ids"]))
     return t.spark.read.parquet(f"{root}/archive").select("archive_id")
@@ -147,10 +147,10 @@ def _(t):
 
 @query("J06_live_stream", oracle(LIVE))
 def _(t):
-    raw = t["events"]
-    src = t.spark.readStream.schema(raw.schema).parquet(f"{t.folder}/events.parque[t]")
+    # Events of one poll stay in one file.
+    rows = t["events"].withColumn("poll", F.floor(F.col("event_id") / 50))
     root = scratch_path(t.spark, "live")
-    tf.run_to_end(tf.live_stream(t.spark.sql(POLL_SQL, events=src), root))
+    tf.run_to_end(tf.live_stream(t.spark.sql(POLL_SQL, events=tf.in_files(rows, "poll", BATCHES)), root))
     return t.spark.read.parquet(f"{root}/out").select("stream", "poll", "seq")
 
 

@@ -18,6 +18,9 @@ SETTINGS = {
     # The JVM never compiles methods above 8000 bytes; beyond that Spark's split-up projections are faster.
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # State of streams lives outside the heap, and a batch stores its changes only.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 

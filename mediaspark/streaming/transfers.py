@@ -1,17 +1,16 @@
 """Transfer progress and live arrivals, as streams with batch twins (family J).
 
 ``progress_state``, ``throughput`` and ``sessions`` are the same code on a table and on a stream.
-The jobs that must remember something for ever keep it in a folder of one table per micro-batch and
-run through ``foreachBatch``: a repeated batch overwrites its own folder and reads only earlier ones, so it
-gives the same result again.
+The jobs that must remember something for ever keep it as keyed state (``keyed``), so a micro-batch works on what it brings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import skew
 from ..session import scratch_path
+from .keyed import NIL, Archive, Fragments, LivePolls
 
 
 def _speed(start: Column, now: Column, done: Column) -> Column:
@@ -52,13 +51,12 @@ def _fragment_rows(d: DataFrame) -> DataFrame:
                     estimate.alias("total_bytes_estimate"), speed.alias("speed"), eta.alias("eta"))
 
 
-def fragment_states(events: DataFrame, state: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
+def fragment_states(events: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """State of a fragmented transfer after each of its events.
 
     ``events(event_id, ts, file, status, downloaded_bytes, total_bytes, fragment_count)``; the bytes of an
     unfinished fragment count while it lasts and are replaced by its total when it is finished, so all
-    counters are running sums over the file's events. ``state(file, done_bytes, done_index,
-    started, frag_started)`` carries on from earlier batches.
+    counters are running sums over the file's events.
     """
     fin = F.col("status") == "finished"
     rel = events.filter(F.col("status").isin("downloading", "finished"))
@@ -67,86 +65,47 @@ def fragment_states(events: DataFrame, state: DataFrame | None = None, hot_rows:
         "sum_index": ("sum", F.when(fin, F.lit(1)).otherwise(F.lit(0)).cast("bigint")),
         "frag_started": ("max_before", F.when(fin, F.col("ts")))}, hot_rows)
     firsts = rel.groupBy("file").agg(F.min("ts").alias("started"))
-    if state is None:
-        d = d.join(firsts, "file")
-    else:
-        # ``first_ts`` of the batch counts only for files that were not known before.
-        s = state.select("file", "done_bytes", "done_index", F.col("started").alias("s_started"), F.col("frag_started").alias("s_frag"))
-        known = firsts.join(s, "file", "left")
-        d = d.join(known, "file").withColumn("sum_bytes", F.col("sum_bytes") + F.coalesce("done_bytes", F.lit(0))) \
-            .withColumn("sum_index", F.col("sum_index") + F.coalesce("done_index", F.lit(0))) \
-            .withColumn("frag_started", F.coalesce("frag_started", "s_frag")).withColumn("started", F.coalesce("s_started", "started"))
-    return _fragment_rows(d)
-
-
-#: Batches between two snapshots of a stream's memory.
-SNAPSHOT = 20
-
-
-def _parts(spark: SparkSession, root: str, batch_id: int) -> tuple[int, list[str]]:
-    """(last batch in the newest complete snapshot, folders to read) for a batch: the snapshot and at most the batches since.
-
-    Places are known by number, so nothing is listed and the work of a batch does not grow with the number of batches.
-    """
-    jvm = spark._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    there = lambda p: fs.exists(jvm.org.apache.hadoop.fs.Path(p))
-    base = batch_id // SNAPSHOT * SNAPSHOT - 1
-    while base >= 0 and not there(f"{root}-snapshots/upto={base}/_SUCCESS"):
-        base -= SNAPSHOT
-    paths = [f"{root}/batch={b}" for b in range(max(base, -1) + 1, batch_id)]
-    return base, ([f"{root}-snapshots/upto={base}"] if base >= 0 else []) + [p for p in paths if there(p)]
-
-
-def _folders(spark: SparkSession, root: str, batch_id: int, schema: str) -> DataFrame:
-    """Rows that a memory holds before a batch, with the number of their ``batch`` (of a snapshot its last)."""
-    paths = _parts(spark, root, batch_id)[1]
-    if not paths:
-        return spark.createDataFrame([], schema + ", batch bigint")
-    number = F.regexp_extract("_metadata.file_path", r"/(?:batch|upto)=(\d+)/[^/]*$", 1).cast("bigint")
-    return spark.read.schema(schema).parquet(*paths).withColumn("batch", number)
+    return _fragment_rows(d.join(firsts, "file"))
 
 
 def _put(df: DataFrame, root: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
 
-def _remember(df: DataFrame, root: str, batch_id: int, schema: str, fold) -> None:
-    """Add a batch to a memory; every ``SNAPSHOT`` batches ``fold`` of all that is known is written as one table."""
-    _put(df, root, batch_id)
-    if (batch_id + 1) % SNAPSHOT == 0:
-        fold(_folders(df.sparkSession, root, batch_id + 1, schema)).write.mode("overwrite").parquet(f"{root}-snapshots/upto={batch_id}")
+def _written(out: DataFrame, root: str, results: str, mode: str = "append"):
+    """A stream whose micro-batches are folders under ``root/results``; a repeated batch overwrites its own."""
+    return (out.writeStream.outputMode(mode).foreachBatch(lambda df, batch_id: _put(df, f"{root}/{results}", batch_id))
+            .option("checkpointLocation", f"{root}/checkpoint"))
+
+
+def _microseconds(duration: str | None) -> int | None:
+    """A fixed duration such as ``2 hours`` in microseconds."""
+    if duration is None:
+        return None
+    n, unit = duration.split()
+    return int(float(n) * {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")]) * 1000
 
 
-_FRAG_STATE = "file string, done_bytes bigint, done_index bigint, started timestamp, frag_started timestamp"
-_FRAG_OUT = ("event_id bigint, ts timestamp, file string, fragment_index bigint, downloaded_bytes bigint, "
-             "total_bytes_estimate double, speed double, eta bigint")
+def _keyed(events: DataFrame, key: str, processor, schema: str, initial=None) -> DataFrame:
+    time_mode = "None" if processor.idle is None else "EventTime"
+    return events.groupBy(key).transformWithStateInPandas(processor, schema, "append", time_mode, initialState=initial)
 
 
-def fragment_stream(events: DataFrame, root: str):
-    """Fragment fold of a stream of events in time order (J02); results under ``root/out``, memory under ``root/state``.
+def fragment_stream(events: DataFrame, root: str, late: str = "10 minutes", idle: str | None = None):
+    """Fragment fold of a stream of events in time order (J02); results under ``root/out``.
 
-    Each batch adds one row per touched file to the memory; the newest row of a file counts, and snapshots keep only that.
+    The sums of each file are keyed state: a batch touches the files that it has events of, whatever the stream has seen before. With ``idle``
+    a file without events for longer starts anew; its state is dropped when the watermark (``late`` behind the newest event) has passed that time.
     """
-    def newest(old):
-        return old.groupBy("file").agg(F.max_by(F.struct(*[c for c in old.columns if c not in ("file", "batch")]), "batch").alias("s")).select("file", "s.*")
-
-    def batch(df, batch_id):
-        spark = df.sparkSession
-        state = newest(_folders(spark, f"{root}/state", batch_id, _FRAG_STATE))
-        df = df.persist()
-        _put(fragment_states(df, state), f"{root}/out", batch_id)
-        fin = F.col("status") == "finished"
-        new = df.filter(F.col("status").isin("downloading", "finished")).groupBy("file").agg(
-            F.sum(F.when(fin, F.coalesce("total_bytes", F.lit(0))).otherwise(0)).alias("b"), F.count_if(fin).alias("i"),
-            F.min("ts").alias("t0"), F.max(F.when(fin, F.col("ts"))).alias("t1"))
-        j = new.join(state, "file", "left")
-        _remember(j.select("file", (F.col("b") + F.coalesce("done_bytes", F.lit(0))).alias("done_bytes"),
-                           (F.col("i") + F.coalesce("done_index", F.lit(0))).alias("done_index"),
-                           F.coalesce("started", "t0").alias("started"), F.coalesce("t1", "frag_started").alias("frag_started")),
-                  f"{root}/state", batch_id, _FRAG_STATE, newest)
-        df.unpersist()
-    return events.writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/checkpoint")
+    numbers = ("downloaded_bytes", "total_bytes", "fragment_count")
+    rel = (events.withWatermark("ts", late) if idle else events).filter(F.col("status").isin("downloading", "finished"))
+    rel = rel.select(*["ts"] * bool(idle), "file", "event_id", F.unix_micros("ts").alias("us"), "status", *[F.coalesce(F.col(c).cast("bigint"), F.lit(NIL)).alias(c) for c in numbers])
+    schema = (("ts timestamp, " if idle else "") + "file string, event_id bigint, us bigint, status string, downloaded_bytes bigint, total_bytes bigint, "
+              "fragment_count bigint, sum_bytes bigint, sum_index bigint, frag_started bigint, started bigint")
+    d = _keyed(rel, "file", Fragments(_microseconds(idle)), schema)
+    back = {c: F.nullif(F.col(c), F.lit(NIL)) for c in (*numbers, "frag_started")}
+    d = d.withColumns(back).withColumns({c: F.timestamp_micros(s) for c, s in (("ts", "us"), ("frag_started", "frag_started"), ("started", "started"))})
+    return _written(_fragment_rows(d), root, "out")
 
 
 def throughput(events: DataFrame, width: str, by: str = "file", late: str | None = None) -> DataFrame:
@@ -171,12 +130,16 @@ def new_archive_ids(ids: DataFrame, archive: DataFrame) -> DataFrame:
 
 
 def archive_stream(ids: DataFrame, root: str, initial: DataFrame | None = None):
-    """Emit each archive id once and remember it for ever (J05); ``root/archive`` is memory and result."""
-    def batch(df, batch_id):
-        known = _folders(df.sparkSession, f"{root}/archive", batch_id, "archive_id string").select("archive_id")
-        known = known if initial is None else known.unionByName(initial.select("archive_id"))
-        _remember(new_archive_ids(df, known), f"{root}/archive", batch_id, "archive_id string", lambda d: d.select("archive_id"))
-    return ids.writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/checkpoint")
+    """Emit each archive id once and remember it for ever (J05); the new ids are under ``root/archive``.
+
+    The memory is the state store, which is spread and sorted by id and filtered by a Bloom filter: a batch looks up its own ids, and nothing
+    of the archive is read again or shuffled. ``initial`` (an archive from elsewhere) is loaded into the state before the first batch.
+    """
+    ids = ids.select("archive_id").filter(F.col("archive_id").isNotNull())
+    if initial is None:
+        return _written(ids.dropDuplicates(["archive_id"]), root, "archive")
+    known = initial.select("archive_id").filter(F.col("archive_id").isNotNull()).distinct().groupBy("archive_id")
+    return _written(_keyed(ids, "archive_id", Archive(), "archive_id string", known), root, "archive")
 
 
 def recent_ids(ids: DataFrame, late: str) -> DataFrame:
@@ -185,37 +148,31 @@ def recent_ids(ids: DataFrame, late: str) -> DataFrame:
 
 
 def _last_two(polls: DataFrame) -> DataFrame:
-    """The two highest segment numbers of each poll; the limit is applied before the shuffle."""
+    """The two highest segment numbers of each poll; equal rows go first, combined on the map side."""
     d = polls.dropDuplicates(["stream", "poll", "seq"])
     n = F.row_number().over(W.partitionBy("stream", "poll").orderBy(F.col("seq").desc()))
     return d.withColumn("__n", n).filter("__n <= 2").drop("__n")
 
 
-def live_segments(polls: DataFrame, seen: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
-    """Segments that are new at each poll of a live stream: of its last two, those above all before.
-
-    ``polls(stream, poll, seq)``; ``seen(stream, last_seq)`` carries on from earlier batches.
-    """
+def live_segments(polls: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """Segments that are new at each poll of a live stream: of its last two, those above all before (J06). ``polls(stream, poll, seq)``."""
     two = _last_two(polls)
     per_poll = two.groupBy("stream", "poll").agg(F.max("seq").alias("top"))
     prior = skew.running(per_poll, "stream", [F.col("poll")], {"before": ("max_before", F.col("top"))}, hot_rows)
-    if seen is not None:
-        prior = prior.join(seen, "stream", "left").withColumn("before", F.greatest("before", "last_seq"))
     out = two.join(prior.select("stream", "poll", "before"), ["stream", "poll"])
     return out.filter(F.col("before").isNull() | (F.col("seq") > F.col("before"))).select("stream", "poll", "seq")
 
 
-def live_stream(polls: DataFrame, root: str):
-    """Live segments of a stream of polls in order (J06); results under ``root/out``, memory under ``root/seen``."""
-    def batch(df, batch_id):
-        kind = "stream string, last_seq bigint"
-        highest = lambda old: old.groupBy("stream").agg(F.max("last_seq").alias("last_seq"))
-        seen = highest(_folders(df.sparkSession, f"{root}/seen", batch_id, kind))
-        df = df.persist()
-        _put(live_segments(df, seen), f"{root}/out", batch_id)
-        _remember(df.groupBy("stream").agg(F.max("seq").alias("last_seq")), f"{root}/seen", batch_id, kind, highest)
-        df.unpersist()
-    return polls.writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/checkpoint")
+def live_stream(polls: DataFrame, root: str, late: str = "10 minutes", idle: str | None = None):
+    """Live segments of a stream of polls in order (J06), each poll within one batch; results under ``root/out``.
+
+    The highest number of each live stream is keyed state. With ``idle`` (then ``polls`` has a time ``ts``) a stream without polls for
+    longer starts anew.
+    """
+    polls = polls.filter("stream IS NOT NULL AND poll IS NOT NULL AND seq IS NOT NULL")
+    own = ["stream", F.col("poll").cast("bigint").alias("poll"), F.col("seq").cast("bigint").alias("seq")]
+    d = polls.withWatermark("ts", late).select("ts", F.unix_micros("ts").alias("us"), *own) if idle else polls.select(*own)
+    return _written(_keyed(d, "stream", LivePolls(_microseconds(idle)), "stream string, poll bigint, seq bigint"), root, "out")
 
 
 def expand_runs(runs: DataFrame) -> DataFrame:
@@ -235,6 +192,22 @@ def expand_runs(runs: DataFrame) -> DataFrame:
     return d.select("video", "segment", "first", at).select("video", "segment", (F.col("first") + F.col("at")).alias("fragment"))
 
 
+def in_files(df: DataFrame, order: str, n: int) -> DataFrame:
+    """``df`` as a stream of about ``n`` micro-batches in the order of a column: range-sorted files in the shared folder, one file a batch.
+
+    Rows with equal ``order`` stay together. A file stream takes files by their time, so the files get times in their order.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "in")
+    df.repartitionByRange(n, order).sortWithinPartitions(order).write.parquet(path)
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted(str(f.getPath()) for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(path)) if f.getPath().getName().startswith("part-"))
+    for i, f in enumerate(files):
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(f), 1_600_000_000_000 + 10_000 * i, -1)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def run_to_end(writer) -> None:
     """Run a stream over what is there now and stop."""
     writer.trigger(availableNow=True).start().awaitTermination()

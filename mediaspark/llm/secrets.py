@@ -43,14 +43,73 @@ CASE_BITS, LETTER_BITS, LOW_BITS = 3.5, 3.7, 3.8
 #: Turns between digits and letters in a window of one case with digits, and between cases in one of letters, which also has more capitals than
 #: words written together.
 DIGIT_TURNS, CASE_TURNS, UPPERS = 4, 7, 7
-_SERIES = r"(?:0123456789|1234567890|123456789|12345678|123456|12345|1234|123|abcdefghijklmnopqrstuvwxyz|abcdefghij|abcdef|abcd|abc|xyz|x+|0+)"
-#: Runs that are known not to be secrets: digits, joined words of ordinary length, placeholders made of words and series, repeats, series.
-ALLOW = (
-    r"[0-9]+", r"[a-z0-9]{1,12}(?:[-_/][a-z]{1,19})+", r"(?:[A-Za-z]{1,19}[-_/=+])+[A-Za-z]{0,19}[0-9]{0,6}",
-    r"(?i)(?:[a-z]{1,12}[-_=])*(?:example|sample|placeholder|changeme|your)"
-    r"(?:[-_]?(?:api|access|secret|private|public|key|token|password|user|name|id|value|text|here|goes|" + _SERIES + r"|[0-9]{1,4}(?![0-9])))*[-_=]*",
-    r"(.)\1+", r"(?i)(?:" + _SERIES + r"[-_=+/]*)+",
-)
+# Series that keys in examples are made of, and the words of placeholders.
+SERIES = ("0123456789", "1234567890", "123456789", "12345678", "123456", "12345", "1234", "123", "abcdefghijklmnopqrstuvwxyz", "abcdefghij", "abcdef", "abcd", "abc", "xyz", "x", "0")
+PLACEHOLDERS = ("example", "sample", "placeholder", "changeme", "your")
+PARTS = ("api", "access", "secret", "private", "public", "key", "token", "password", "user", "name", "id", "value", "text", "here", "goes")
+
+
+def _by_letter(texts) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for t in texts:
+        out.setdefault(t[0], []).append(t)
+    return out
+
+
+_SERIES, _PARTS = _by_letter(SERIES), _by_letter(SERIES + PARTS)
+_LEADING = re.compile(r"[a-z]{1,12}[-_=]")
+_NUMBER = re.compile(r"[0-9]{1,4}(?![0-9])")
+
+
+def is_series(run: str) -> bool:
+    """Whether a run is made of series, with signs between or behind them.
+
+    Every place is reached or not, once: time is in proportion to the run, whatever it nearly repeats.
+    """
+    low = run.lower()
+    reached = bytearray(len(low) + 1)
+    reached[0] = 1
+    for i, c in enumerate(low):
+        if reached[i]:
+            if c in "-_=+/" and i:
+                reached[i + 1] = 1
+            for s in _SERIES.get(c, ()):
+                if low.startswith(s, i):
+                    reached[i + len(s)] = 1
+    return bool(low) and bool(reached[-1])
+
+
+def is_placeholder(run: str) -> bool:
+    """Whether a run is words, then the word of a placeholder, then parts of names, series and short numbers. Places are reached once, as above."""
+    low = run.lower()
+    reached = bytearray(len(low) + 1)
+    at = 0
+    while True:
+        for w in PLACEHOLDERS:
+            if low.startswith(w, at):
+                reached[at + len(w)] = 1
+        m = _LEADING.match(low, at)
+        if not m:
+            break
+        at = m.end()
+    rest = len(low.rstrip("-_="))
+    for i in range(len(low)):
+        if reached[i]:
+            if i >= rest:
+                return True
+            for j in (i, i + 1) if low[i] in "-_" else (i,):
+                for s in _PARTS.get(low[j:j + 1], ()):
+                    if low.startswith(s, j):
+                        reached[j + len(s)] = 1
+                m = _NUMBER.match(low, j)
+                if m:
+                    reached[m.end()] = 1
+    return bool(reached[-1])
+
+
+#: Runs that are known not to be secrets, as patterns or functions: digits, joined words of ordinary length, placeholders made of words and series,
+#: repeats, series. No pattern repeats a group whose repetitions can be cut in more than one way.
+ALLOW = (r"[0-9]+", r"[a-z0-9]{1,12}(?:[-_/][a-z]{1,19})+", r"(?:[A-Za-z]{1,19}[-_/=+])+[A-Za-z]{0,19}[0-9]{0,6}", is_placeholder, r"(.)\1+", is_series)
 _N = [0.0] + [k * math.log2(k) for k in range(1, WINDOW + 2)]
 
 
@@ -126,7 +185,7 @@ def entropy_span(run: str, window: int = WINDOW, hex_bits: float = HEX_BITS, mix
 
 class Scanner:
     def __init__(self, allow=ALLOW, window: int = WINDOW, hex_bits: float = HEX_BITS, mixed_bits: float = MIXED_BITS, narrow: bool = False):
-        self.allow = [re.compile(a) for a in allow]
+        self.allow = [re.compile(a).fullmatch if isinstance(a, str) else a for a in allow]
         self.rest = (window, hex_bits, mixed_bits, narrow)
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
@@ -141,7 +200,7 @@ class Scanner:
         found = []
         for m in CANDIDATE.finditer(text):
             run = m[0]
-            if any(a.fullmatch(run) for a in self.allow):
+            if any(a(run) for a in self.allow):
                 continue
             span = entropy_span(run, *self.rest)
             if span:

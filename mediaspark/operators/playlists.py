@@ -274,8 +274,10 @@ def resolve_refs(results: DataFrame, mode: str = "full") -> DataFrame:
     ``missing`` (no such target) or ``cycle`` (the chain never ends; the row stays as it is).
     ``mode='flat'`` leaves references alone; ``mode='flat_in_playlist'`` those with ``in_playlist``.
 
-    Pointer doubling: each round joins all open references with themselves and doubles the length of the chain that a
-    row has taken in, so that the rounds grow with its logarithm. A chain longer than the number of references is a cycle.
+    The rows are told apart from the nodes that references lead to: one per url, of several rows with one url the first by their JSON text.
+    So equal or conflicting rows each get their own answer, and as many rows come out as go in.
+    Pointer doubling on the nodes: each round joins all open references with themselves and doubles the length of the chain that a
+    node has taken in, so that the rounds grow with its logarithm. A chain longer than the number of references is a cycle.
     A third of all rows may point to one target; AQE splits that key of the join.
     """
     fields = [c for c in results.columns if c not in ("url", "type", "target", "in_playlist")]
@@ -283,22 +285,25 @@ def resolve_refs(results: DataFrame, mode: str = "full") -> DataFrame:
     is_ref = F.col("type").isin("url", "url_transparent")
     if mode == "flat":
         return results.withColumn("source", F.col("url")).withColumn("status", F.when(is_ref, "kept").otherwise("resolved"))
-    whole = results.select(F.col("url").alias("source"), "url", "type", "target", *fields, *(["in_playlist"] if "in_playlist" in results.columns else []))
     hold = F.coalesce(F.col("in_playlist"), F.lit(False)) & is_ref if mode == "flat_in_playlist" else F.lit(False)
     own = ["source", "url", "type", "target", *fields]
+    whole = results.withColumn("source", F.col("url"))
     done = [whole.filter(hold).select(*own, F.lit("kept").alias("status")),
             whole.filter(~is_ref).select(*own, F.lit("resolved").alias("status"))]
-    # A segment of a chain: where it ends, whether a transparent row is in it, the fields from the first such row on, and all fields.
-    through = F.col("type") == "url_transparent"
-    values = F.struct(*[F.col(c) for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
-    refs = cut(results.filter(is_ref).select(F.col("url").alias("at"), F.col("target").alias("next"), F.col("url").alias("last"), through.alias("thr"),
-                                             F.when(through, values).alias("top"), values.alias("all")))
+    row = F.struct("type", "target", *fields)
+    nodes = cut(results.filter(F.col("url").isNotNull()).groupBy("url").agg(F.min_by(row, F.to_json(row)).alias("n")))
+    through = lambda type_: type_ == "url_transparent"
+    values = lambda r: F.struct(*[r[c].alias(c) for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
 
     def over(x, y):
         names = kept or ["none"]
         return F.struct(*[F.coalesce(x[c], y[c]).alias(c) for c in names])
+    # A segment of a chain: where it ends, its last reference, whether a transparent one is in it, the fields from the first such one on, and all fields.
+    n_ = F.col("n")
+    refs = cut(nodes.filter(n_["type"].isin("url", "url_transparent")).select(
+        F.col("url").alias("at"), n_["target"].alias("next"), F.col("url").alias("last"), through(n_["type"]).alias("thr"),
+        F.when(through(n_["type"]), values(n_)).alias("top"), values(n_).alias("all")))
     n, span = refs.count(), 1
-    live = refs.withColumn("open", F.lit(True))
     while span <= n:
         far = refs.select(F.col("at").alias("f_at"), *[F.col(c).alias(f"f_{c}") for c in ("next", "last", "thr", "top", "all")])
         j = refs.join(far, refs["next"] == far["f_at"], "left")
@@ -308,26 +313,32 @@ def resolve_refs(results: DataFrame, mode: str = "full") -> DataFrame:
                             F.when(~more, F.col("top")).when(F.col("thr"), over(F.col("top"), F.col("f_all"))).otherwise(F.col("f_top")).alias("top"),
                             F.when(more, over(F.col("all"), F.col("f_all"))).otherwise(F.col("all")).alias("all"), more.alias("open")))
         refs, span = step.drop("open"), span * 2
-        live = step
         if step.filter("open").isEmpty():
             break
-    look = results.select(F.col("url").alias("t_url"), F.col("type").alias("t_type"), F.col("target").alias("t_target"), *[F.col(c).alias(f"t_{c}") for c in fields])
-    ends = live.select("at", "next", "last", "thr", "top").withColumnRenamed("at", "source")
-    ends = whole.filter(is_ref & ~hold).select("source", F.struct(*own[1:]).alias("self")).join(ends, "source")
+    # Each row's own reference, then the chain of the node that it points to.
+    mine = whole.filter(is_ref & ~hold).select("source", F.struct(*own[1:]).alias("self"))
+    me, own_thr, more = F.col("self"), through(F.col("self.type")), F.col("at").isNotNull()
+    ends = mine.join(refs, me["target"] == refs["at"], "left")
+    ends = ends.select("source", "self", "last", F.when(more, F.col("next")).otherwise(me["target"]).alias("next"), (own_thr | F.coalesce("thr", F.lit(False))).alias("thr"),
+                       F.when(own_thr, F.when(more, over(values(me), F.col("all"))).otherwise(values(me))).otherwise(F.col("top")).alias("top"))
+    look = nodes.select(F.col("url").alias("t_url"), F.col("n").alias("t"))
     ends = ends.join(look, ends["next"] == look["t_url"], "left")
-    back = results.select(F.col("url").alias("l_url"), F.struct("type", "target", *fields).alias("l"))
-    ends = ends.join(back, ends["last"] == back["l_url"])
-    found, loops = F.col("t_url").isNotNull(), F.col("t_type").isin("url", "url_transparent")
+    # The last reference of a chain stands for a target that is missing.
+    back = nodes.select(F.col("url").alias("l_url"), F.col("n").alias("l"))
+    ends = ends.join(back, ends["last"] == back["l_url"], "left")
+    found = F.col("t_url").isNotNull()
+    loops = F.coalesce(F.col("t.type").isin("url", "url_transparent"), F.lit(False))
+    last = lambda c: F.when(F.col("last").isNull(), me[c]).otherwise(F.col("l")[c])
 
     def field(c):
-        end = F.when(found, F.col(f"t_{c}")).otherwise(F.col("l")[c])
-        mixed = F.when(F.col("thr"), F.coalesce(F.col("top")[c], F.col(f"t_{c}"))).otherwise(end) if c in kept else end
-        return F.when(loops, F.col("self")[c]).otherwise(mixed).alias(c)
-    kind = F.when(found, F.col("t_type")).when(F.col("thr"), F.lit("url_transparent")).otherwise(F.col("l.type"))
+        end = F.when(found, F.col("t")[c]).otherwise(last(c))
+        mixed = F.when(F.col("thr"), F.coalesce(F.col("top")[c], F.col("t")[c])).otherwise(end) if c in kept else end
+        return F.when(loops, me[c]).otherwise(mixed).alias(c)
+    kind = F.when(found, F.col("t.type")).when(F.col("thr"), F.lit("url_transparent")).otherwise(last("type"))
     done.append(ends.select(
-        "source", F.when(loops, F.col("self.url")).when(found, F.col("t_url")).otherwise(F.col("last")).alias("url"),
-        F.when(loops, F.col("self.type")).otherwise(kind).alias("type"),
-        F.when(loops, F.col("self.target")).when(found, F.col("t_target")).otherwise(F.col("l.target")).alias("target"), *[field(c) for c in fields],
+        "source", F.when(loops, me["url"]).when(found, F.col("t_url")).otherwise(F.coalesce("last", me["url"])).alias("url"),
+        F.when(loops, me["type"]).otherwise(kind).alias("type"),
+        F.when(loops, me["target"]).when(found, F.col("t.target")).otherwise(last("target")).alias("target"), *[field(c) for c in fields],
         F.when(loops, F.lit("cycle")).when(found, F.lit("resolved")).otherwise(F.lit("missing")).alias("status")))
     return reduce(DataFrame.unionByName, done)
 

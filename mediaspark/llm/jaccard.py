@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
-from .ordered import saved
+from .ordered import ranged, running, saved
 from .text import WordHashes, byte_words, mix, pieces, signed, windows
 
 #: Counters for the order of columns; their size is fixed, so they may go to the driver and to all tasks.
@@ -356,12 +356,23 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, doc_id: str = "doc_
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: the one with the smallest id. Rows with a null id all stay; repeated rows stay once."""
-    found = saved(join(docs, width, percent, doc_id, text), "jaccard-found")
-    lost = saved(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct(), "jaccard-lost")
-    again = saved(found.filter("doc_id IS NOT NULL AND doc_id = component_id").groupBy(F.col("doc_id").alias(doc_id)).count().filter("count > 1").select(doc_id), "jaccard-again")
-    kept = docs.join(_listed(lost), doc_id, "left_anti")
-    if not again.limit(1).count():
-        return kept
-    twice = kept.join(_listed(again), doc_id, "left_semi").groupBy(doc_id).agg(F.first(F.struct(*[c for c in docs.columns if c != doc_id])).alias("__row"))
-    return kept.join(_listed(again), doc_id, "left_anti").unionByName(twice.select(doc_id, "__row.*"))
+    """One row of each component: the one with the smallest id. Rows with a null id all stay; repeated rows stay once.
+
+    Where one id has several texts, each text is a document of its own: it goes only if its own component has a smaller row. Of one id's texts in one component that with the
+    smallest hash stays, and of rows that differ in other columns only the first one by its JSON text.
+    """
+    known = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("mark")).filter("id IS NOT NULL")
+    if known.groupBy("id").count().filter("count > 1").isEmpty():
+        found = saved(join(docs, width, percent, doc_id, text), "jaccard-found")
+        lost = saved(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct(), "jaccard-lost")
+        return docs.join(_listed(lost), doc_id, "left_anti")
+    # Ids repeat: every id and text gets a number in their order, which takes the id's part.
+    pairs = known.distinct().withColumn("one", F.lit(1).cast("bigint"))
+    numbers = running(ranged(pairs, ["id", "mark"], "jaccard-ids"), ["id", "mark"], [], no="one").select("id", "mark", "no")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    named = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"), row).filter("id IS NOT NULL")
+    named = saved(named.join(numbers, ["id", "mark"]).select("no", "text", "row"), "jaccard-named")
+    found = saved(join(named, width, percent, "no", "text"), "jaccard-found")
+    lost = saved(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("no")).distinct(), "jaccard-lost")
+    kept = named.join(_listed(lost), "no", "left_anti").groupBy("no").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.select("row.*").unionByName(docs.filter(F.col(doc_id).isNull()))

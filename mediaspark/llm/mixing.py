@@ -11,8 +11,9 @@ The running sums are taken over range-sorted files, so a source with a third of
 the table of sources (one row each) is ranked in one task.
 
 Defined results: null texts have size 0, are never taken twice over and cost nothing; a source without words has target 0.
-A null source is a source of its own. Equal rows (same id and size) each count. Copies with equal finish times are
-taken together or not at all, so the total never exceeds the budget. Reruns agree, because the shuffle is a hash of the id.
+A null source is a source of its own. Rows with one id and size stand behind each other in the queue and each have their own finish time, so the
+cut may fall between them; which of them are taken makes no difference to ids and sizes. Copies of different sources with
+equal finish times are taken together or not at all. The total never exceeds the budget. Reruns agree, because the shuffle is a hash of the id.
 """
 
 from __future__ import annotations
@@ -59,32 +60,43 @@ def schedule(rows: DataFrame, goals: DataFrame, repeats: int = REPEATS) -> tuple
     """Every copy with its ``finish`` in global order, and the time at which the budget is used up."""
     d = rows.join(goals, rows["source"].eqNullSafe(goals["source"])).select("s", "h", "doc_id", "size", "source_size", "target")
     # Ids may be null or repeat; the place within a source is the hash, then the id and the size.
-    queue = running(ranged(d, ["s", "h", "doc_id", "size"], "mix-queue"), ["s", "h", "doc_id", "size"], ["s"], upto="size")
+    d = d.withColumn("one", F.lit(1).cast("bigint"))
+    queue = running(ranged(d, ["s", "h", "doc_id", "size"], "mix-queue"), ["s", "h", "doc_id", "size"], ["s"], upto="size", no="one")
     lap = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("lap")
     finish = F.when(F.col("target") > 0, (F.col("upto") + F.col("lap") * F.col("source_size")).cast("double") / F.col("target"))
-    copies = queue.select("*", lap).select("s", "h", "doc_id", "size", "lap", finish.alias("finish")).filter("finish IS NOT NULL")
-    order = ranged(copies, ["finish", "s", "lap", "h", "doc_id"], "mix-order")
+    copies = queue.select("*", lap).select("s", "h", "doc_id", "size", "no", "lap", finish.alias("finish")).filter("finish IS NOT NULL")
+    order = ranged(copies, ["finish", "s", "lap", "no"], "mix-order").drop("__file")
     budget = goals.agg(F.max("budget")).first()[0] or 0.0
     return order, _end(order, budget)
 
 
+#: Parts that a range of finish times is cut into in each round of counts.
+PARTS = 1000
+
+
 def _end(order: DataFrame, budget: float) -> float:
     """The latest finish time whose copies, with all earlier ones, fit into the budget.
 
-    Sums per file find the file in which the budget ends; only that file is summed row by row.
+    Each round counts the words in equal parts of a range of times and goes on with the part in which the budget ends, until that part is one time. The
+    driver sees one sum a part; files outside the range are skipped by their statistics.
     """
-    files = order.groupBy("__file").agg(F.sum("size").alias("n"), F.max("finish").alias("last"))
-    upto = F.sum("n").over(W.orderBy("last", "__file").rowsBetween(W.unboundedPreceding, 0))
-    files = files.withColumn("upto", upto)
-    whole = files.filter(F.col("upto") <= budget).agg(F.max("last")).first()[0]
-    cut = files.filter(F.col("upto") > budget).orderBy("last", "__file").select("__file", F.col("upto") - F.col("n")).first()
-    if cut is None:
-        return -1.0 if whole is None else whole
-    times = order.filter(F.col("__file") == cut[0]).groupBy("finish").agg(F.sum("size").alias("n"))
-    upto = F.sum("n").over(W.orderBy("finish").rowsBetween(W.unboundedPreceding, 0)) + cut[1]
-    inside = times.withColumn("upto", upto).filter(F.col("upto") <= budget).agg(F.max("finish")).first()[0]
-    found = [x for x in (whole, inside) if x is not None]
-    return max(found) if found else -1.0
+    low, high, total = order.agg(F.min("finish"), F.max("finish"), F.sum("size")).first()
+    if low is None:
+        return -1.0
+    if total <= budget:
+        return high
+    end, before = -1.0, 0
+    while True:
+        share = (F.col("finish") - low) / (high - low) if high > low else F.lit(0.0)
+        part = F.least(F.floor(share * PARTS), F.lit(PARTS - 1)).alias("part")
+        rows = order.filter(F.col("finish").between(low, high)).groupBy(part).agg(F.sum("size").alias("n"), F.min("finish").alias("low"), F.max("finish").alias("high")).collect()
+        for r in sorted(rows):
+            if before + r.n > budget:
+                break
+            before, end = before + r.n, r.high
+        if r.low == r.high:
+            return end
+        low, high = r.low, r.high
 
 
 def plan(df: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, **names):
@@ -111,13 +123,29 @@ def mixed(df: DataFrame, **options) -> DataFrame:
 def decided(rows: DataFrame, goals: DataFrame, order: DataFrame, end: float) -> DataFrame:
     """How many copies of each row are within the mix.
 
-    Within a source the mix is a start of the queue, so its last taken place in each lap decides for all rows: one row per source and lap.
+    Within a source the mix is a start of the queue, so its last taken place in each lap decides for all rows: one row per source and lap. Of rows
+    at that very place as many are taken as copies of them are within the mix.
     """
     place = F.struct("h", "doc_id", "size")
-    last = order.filter(F.col("finish") <= end).groupBy("s", "lap").agg(F.max(place).alias("last"))
-    last = last.groupBy("s").agg(F.collect_list("last").alias("last"))
-    g = goals.join(last, "s", "left").withColumnRenamed("source", "g_source")
-    d = rows.join(g, rows["source"].eqNullSafe(g["g_source"]))
-    copies = F.coalesce(F.size(F.filter("last", lambda x: place <= x)), F.lit(0))
-    copies = F.when(F.col("last").isNull(), F.lit(0)).otherwise(copies)
-    return d.select(*rows.columns, "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    last = order.filter(F.col("finish") <= end).groupBy("s", "lap").agg(F.max("no").alias("upto"), F.max(place).alias("last"))
+    last = saved(last, "mix-last")
+    # Rows at the place: how many there are, and how many of them come before the cut.
+    ties = order.filter(F.col("lap") == 0).drop("lap").join(last, "s").filter(place == F.col("last"))
+    marks = ties.groupBy("s", "lap").agg(F.first("last").alias("last"), F.count(F.lit(1)).alias("all"), F.count_if(F.col("no") <= F.col("upto")).alias("n"))
+    marks = saved(marks, "mix-marks")
+    cut = marks.groupBy("s").agg(F.collect_list(F.struct("last", "all", "n")).alias("last"))
+    g = goals.join(cut, "s", "left").withColumnRenamed("source", "g_source")
+    d = rows.join(g, rows["source"].eqNullSafe(g["g_source"])).withColumn("last", F.coalesce("last", F.expr("CAST(array() AS " + dict(cut.dtypes)["last"] + ")")))
+    sure = F.size(F.filter("last", lambda x: (place < x["last"]) | ((place == x["last"]) & (x["n"] == x["all"]))))
+
+    def out(d, copies):
+        return d.select(*rows.columns, "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    if marks.filter(F.col("n") < F.col("all")).isEmpty():
+        return out(d, sure)
+    parted = F.exists("last", lambda x: (place == x["last"]) & (x["n"] < x["all"]))
+    # Rows of one id and size that the cut parts: written once, so that their places in the files number them.
+    part = saved(d.filter(parted).withColumn("one", F.lit(1).cast("bigint")), "mix-ties").select("*", F.col("_metadata.file_name").alias("in_file"), F.col("_metadata.row_index").alias("in_row"))
+    order_ = ["s", "h", "size", "in_file", "in_row"]
+    part = running(ranged(part, order_, "mix-numbered"), order_, ["s", "h", "size"], no="one")
+    more = F.size(F.filter("last", lambda x: (place == x["last"]) & (x["n"] < x["all"]) & (F.col("no") <= x["n"])))
+    return out(d.filter(~parted), sure).unionByName(out(part, sure + more))

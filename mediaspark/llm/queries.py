@@ -120,7 +120,7 @@ def op10(spark, t) -> DataFrame:
 
 @query("op3_mix_sources", sql=r"""
     WITH d AS (SELECT doc_id, source, coalesce(len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0)::BIGINT AS size,
-                      md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+                      md5(coalesce(doc_id::VARCHAR, '')) AS h, row_number() OVER () AS id FROM documents),
     s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS s FROM d GROUP BY source),
     w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(s - 1) % 3 + 1] AS w, source_size * 2.0::DOUBLE AS cap,
                  (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS budget FROM s),
@@ -130,14 +130,14 @@ def op10(spark, t) -> DataFrame:
     f AS (SELECT s_level AS f_level, rest AS f_rest, w_rest AS f_w FROM l WHERE rest * w < cap * w_rest ORDER BY s_level LIMIT 1),
     g AS (SELECT s, source, source_size, budget, CASE WHEN s_level >= f_level THEN f_rest * w / f_w ELSE cap END AS target
           FROM l LEFT JOIN f ON true),
-    q AS (SELECT doc_id, size, h, g.*, (sum(size) OVER (PARTITION BY s ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
+    q AS (SELECT id, doc_id, size, h, g.*, (sum(size) OVER (PARTITION BY s ORDER BY h, doc_id, size, id ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
           FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
     c AS (SELECT *, (upto + lap * source_size)::DOUBLE / target AS finish FROM q, (VALUES (0), (1)) AS laps(lap) WHERE target > 0),
     t AS (SELECT finish, sum(sum(size)) OVER (ORDER BY finish) AS upto, max(max(budget)) OVER () AS budget FROM c GROUP BY finish),
     e AS (SELECT max(finish) AS stop FROM t WHERE upto <= budget),
-    n AS (SELECT s, h, doc_id, size, count(*) AS copies FROM c, e WHERE finish <= stop GROUP BY ALL)
+    n AS (SELECT id, count(*) AS copies FROM c, e WHERE finish <= stop GROUP BY ALL)
     SELECT q.doc_id, q.size, source_size, target, (q.size * coalesce(copies, 0))::BIGINT AS taken
-    FROM q LEFT JOIN n ON q.s = n.s AND q.h = n.h AND q.doc_id IS NOT DISTINCT FROM n.doc_id AND q.size = n.size""")
+    FROM q LEFT JOIN n ON q.id = n.id""")
 def op3(spark, t) -> DataFrame:
     from .mixing import mix
     return mix(t("documents")).select("doc_id", "size", "source_size", "target", "taken")

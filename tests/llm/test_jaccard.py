@@ -42,6 +42,23 @@ def test_keep_one(spark):
     assert jaccard.keep_one(empty(spark)).collect() == []
 
 
+def test_keep_one_where_ids_repeat(spark):
+    rng = random.Random(2)
+    t1, t2, t3 = (" ".join(f"{k}{rng.randrange(50)}" for _ in range(60)) for k in "abc")
+    near = t1 + " end"
+
+    def kept(*rows):
+        out = jaccard.keep_one(table(prepare(spark), [(i, t, "en", s, 0) for i, t, s in rows])).collect()
+        return sorted(((r.doc_id, r.text, r.source) for r in out), key=str)
+    # The unrelated text of a document whose other text is a copy stays, as do unrelated texts of one id.
+    assert kept((1, t1, "s"), (2, t1, "s"), (2, t2, "s")) == sorted([(1, t1, "s"), (2, t2, "s")])
+    assert kept((1, t1, "s"), (1, t2, "s"), (1, t2, "s"), (None, t1, "s"), (None, t1, "s")) == sorted([(1, t1, "s"), (1, t2, "s"), (None, t1, "s"), (None, t1, "s")], key=str)
+    # Near copies under one id: one of them, always the same; of equal texts with other columns the first.
+    one = kept((3, t1, "s"), (3, near, "s"), (4, near, "s"), (9, t3, "s"), (5, t3, "b"), (5, t3, "a"))
+    assert len(one) == 2 and one[0][0] == 3 and one[1] == (5, t3, "a")
+    assert one == kept((5, t3, "a"), (4, near, "s"), (5, t3, "b"), (3, near, "s"), (9, t3, "s"), (3, t1, "s"))
+
+
 def test_bounds_lose_no_pair():
     rng = random.Random(3)
     for percent in (80, 90):

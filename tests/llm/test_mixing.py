@@ -17,16 +17,25 @@ def rows_of(seed):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_by_hand(spark, seed):
-    rows = rows_of(seed) + ([r for r in odd_rows() if r[0] != 903] if seed == 2 else [])
+    rows = rows_of(seed) + (odd_rows() if seed == 2 else [])
+    if seed == 3:
+        # A third of all words in one row that repeats, and rows without an id.
+        rows += [(7000, " ".join(prose(random.Random(1), 10)), "en", "a", 0)] * 300 + [(None, "x y z", "en", s, 0) for s in ("a", "b", None) * 20]
     taken, goal, total = by_hand([(r[0], r[3], r[1]) for r in rows])
     got = mixing.mix(table(prepare(spark), rows).withColumn("size", F.lit("clash"))).collect()
     assert len(got) == len(rows)
+    found = {}
     for r in got:
-        assert r.source_size == total[r.source] and r.target == pytest.approx(goal[r.source])
-        assert r.taken == taken.get((r.doc_id, r.source, r["size"]), 0) <= 2 * r["size"]
+        assert r.source_size == total[r.source] and r.target == pytest.approx(goal[r.source]) and r.taken <= 2 * r["size"]
+        if r.taken:
+            found[r.doc_id, r.source, r["size"]] = found.get((r.doc_id, r.source, r["size"]), 0) + r.taken
+    assert found == {k: n for k, n in taken.items() if n}
     assert sum(r.taken for r in got) <= 1.5 * sum(total.values())
+    for s in goal:
+        # Each source comes near its target: what is missing is less than one document of each source.
+        assert abs(sum(r.taken for r in got if r.source == s) - goal[s]) <= 6 * 80 + (60_000 if seed == 2 else 0)
 
 
 def test_rows_of_the_mix(spark):
@@ -52,4 +61,10 @@ def test_repeated_rows_count_each(spark):
     rows = [(7, "a b c", "en", "s", 0)] * 3 + [(8, "d", "en", "s", 0)]
     got = mixing.mix(table(prepare(spark), rows)).collect()
     assert len(got) == 4 and {r.source_size for r in got} == {10}
-    assert sum(r.taken for r in got) <= 15 + 6
+    assert sum(r.taken for r in got) <= 15
+    # Every row of the mix comes as often as it is taken, also where the cut falls between equal rows.
+    df = table(spark, [(7, "a b c", "en", "s", 0)] * 200 + [(i, "a b", "en", "t", 0) for i in range(100, 140)])
+    mix = mixing.mix(df).collect()
+    assert sum(r.taken for r in mix) <= 1.5 * 680 and len({r.taken for r in mix if r.doc_id == 7}) == 2
+    out = [r.doc_id for r in mixing.mixed(df).collect()]
+    assert all(out.count(i) == sum(r["copies"] for r in mix if r.doc_id == i) for i in {r.doc_id for r in mix})

@@ -94,6 +94,37 @@ def test_against_plain_windows(spark):
     assert got == plain_pairs(list(enumerate(texts)), list(enumerate(bench))) and len(got) > 40
 
 
+def test_words_in_bytes_are_what_the_text_rules_say():
+    words = ["He", "HE", "he,", "(Rome)", "a", "A", "I.", "\"No!\"", "km", "KM.", "x3", "3x", "5kg", "12,", "...", "$", "end.)*", "U.S.A.", "don't", "-", "mm#", "Zoë", "é."]
+    fast, slow = decontam.Words(), decontam.Words()
+    for w in words:
+        # Behind a letter that is not ASCII, which core() takes off again as an outer sign, the rules for texts apply.
+        assert fast[w.encode()] == slow[("\u00bf" + w).encode()], w
+
+
+def test_windows_of_many_items(spark):
+    """A prompt that all items share makes no pairs; with a copy of an item behind it, it counts for that item."""
+    rng = random.Random(7)
+    prompt = "read the question below with care and then choose the one best answer"
+    own = [" ".join(prose(rng, 20, 3000)) for _ in range(60)]
+    bench = items(spark, *[f"{prompt} {t}" for t in own], f"{prompt} {own[3]}")
+    texts = [f"{FILL} {prompt} {FILL}"] * 50 + [f"{FILL} {prompt} {own[i]}" for i in range(20)] + [f"{FILL} {own[i]}" for i in range(20)]
+    got = found(spark, texts, bench)
+    assert set(got) == {(50 + i, i) for i in range(20)} | {(70 + i, i) for i in range(20)}
+    assert all(r.covered == r.n_tokens for (d, _), r in got.items() if d < 70) and all(r.covered == 20 for (d, _), r in got.items() if d >= 70)
+    classes = {r.item_id: r.class_id for r in decontam.item_classes(bench).collect()}
+    assert classes == {**{i: i for i in range(60)}, 60: 3}
+
+
+def test_items_of_one_template_stand_together(spark):
+    bench = items(spark, *[f"how many apples does the farmer keep if {i} people each take {i + 7} of them" for i in range(40)])
+    texts = [f"{FILL} how many apples does the farmer keep if {n} people each take {n + 1} of them {FILL}" for n in range(500, 520)]
+    texts.append(f"{FILL} how many apples does the farmer keep if 21 people each take 28 of them {FILL}")
+    got = found(spark, texts, bench)
+    # Other numbers are found by the smallest item; a copy of an item also by its own.
+    assert {d for d, _ in got} == set(range(21)) and len(got) <= 2 * len(texts)
+
+
 def test_odd_rows(spark):
     rows = odd_rows() + [(None, ITEM, None, None, 1), (910, ITEM, "en", "s", 1), (910, ITEM, "en", "s", 1), (910, FILL, "en", "s", 1)]
     bench = prepare(spark).createDataFrame([(1, ITEM, "x"), (1, ITEM, "x"), (2, None, "x"), (3, "", "x"), (None, "too short", "x"), (4, "five words are one window", "x")],

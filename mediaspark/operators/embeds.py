@@ -212,25 +212,62 @@ def videojs_sources(pages: DataFrame) -> DataFrame:
 
 # --- embeds and links ---------------------------------------------------------------------------
 
-# Players whose embeds are known, in order of trial: (key, pattern, group, text put before the match).
+# Players whose embeds are known, in order of trial: (key, text that the page must hold, pattern, group, text put before the match, whether
+# all matches count or the first one only).
 EMBED_RULES = [
-    ("Youtube", r"""(?:<iframe[^>]+?src=|data-video-url=|<embed[^>]+?src=|<object[^>]+data=|new\s+SWFObject\()(["'])((?:https?:)?//(?:www\.)?youtube(?:-nocookie)?\.com/(?:embed|v|p)/[0-9A-Za-z_-]{11}.*?)\1""", 2, ""),
-    ("Youtube", r"""class="lazyYT" data-youtube-id="([^"]+)\"""", 1, ""),
-    ("Vimeo", r"""<iframe[^>]+?src=(["'])((?:https?:)?//player\.vimeo\.com/video/\d+.*?)\1""", 2, ""),
-    ("Dailymotion", r"""<(?:(?:embed|iframe)[^>]+?src=|input[^>]+id=['"]dmcloudUrlEmissionSelect['"][^>]+value=)(["'])((?:https?:)?//(?:www\.)?dailymotion\.com/(?:embed|swf)/video/.+?)\1""", 2, ""),
-    ("Soundcloud", r"""<iframe[^>]+src=(["'])((?:https?://)?(?:w\.)?soundcloud\.com/player.+?)\1""", 2, ""),
-    ("Vine", r"""<iframe[^>]+src=["']((?:https?:)?//(?:www\.)?vine\.co/v/[^/]+/embed/(?:simple|postcard))""", 1, ""),
-    ("Facebook", r"""<iframe[^>]+?src=(["'])(https?://www\.facebook\.com/(?:video/embed|plugins/video\.php).+?)\1""", 2, ""),
-    ("Twitch", r"""<iframe[^>]+?src=(["'])((?:https?:)?//player\.twitch\.tv/\?.+?)\1""", 2, "")]
+    ("RtlNl", "rtl.nl/", r"""<iframe[^>]+?src="((?:https?:)?//(?:(?:www|static)\.)?rtl\.nl/(?:system/videoplayer/[^"]+(?:video_)?)?embed[^"]+)\"""", 1, "", True),
+    ("Vimeo", "player.vimeo.com/video/", r"""<iframe[^>]+?src=(["'])((?:https?:)?//player\.vimeo\.com/video/\d+.*?)\1""", 2, "", True),
+    ("Vidme", "://vid.me/", r"""src=['"](https?://vid\.me/[^'"]+)['"]""", 1, "", False),
+    ("Youtube", "youtube", r"""(?:<iframe[^>]+?src=|data-video-url=|<embed[^>]+?src=|<object[^>]+data=|new\s+SWFObject\()(["'])((?:https?:)?//(?:www\.)?youtube(?:-nocookie)?\.com/(?:embed|v|p)/[0-9A-Za-z_-]{11}.*?)\1""", 2, "", True),
+    ("Youtube", "lazyYT", r"""class="lazyYT" data-youtube-id="([^"]+)\"""", 1, "", True),
+    ("Dailymotion", "dailymotion.com/", r"""<(?:(?:embed|iframe)[^>]+?src=|input[^>]+id=['"]dmcloudUrlEmissionSelect['"][^>]+value=)(["'])((?:https?:)?//(?:www\.)?dailymotion\.com/(?:embed|swf)/video/.+?)\1""", 2, "", True),
+    ("Bandcamp", "bandcamp.com", r"""<meta property="og:url"[^>]*?content="(.*?bandcamp\.com.*?)\"""", 1, "", False),
+    ("Vevo", "vevo.com/", r"""<iframe[^>]+?src=(["'])((?:https?:)?//(?:cache\.)?vevo\.com/.+?)\1""", 2, "", False),
+    ("Viddler", "viddler.com/", r"""<(?:iframe[^>]+?src|param[^>]+?value)=(["'])((?:https?:)?//(?:www\.)?viddler\.com/(?:embed|player)/.+?)\1""", 2, "", False),
+    ("NYTimes", "graphics8.nytimes.com/bcvideo/", r"""<iframe[^>]+src=(["'])((?:https?:)?//graphics8\.nytimes\.com/bcvideo/[^/]+/iframe/embed\.html.+?)\1>""", 2, "", False),
+    ("Libsyn", "html5-player.libsyn.com/embed/", r"""<iframe[^>]+src=(["'])((?:https?:)?//html5-player\.libsyn\.com/embed/.+?)\1""", 2, "", False),
+    ("Aparat", "www.aparat.com/video/", r"""<iframe .*?src="(http://www\.aparat\.com/video/[^"]+)\"""", 1, "", False),
+    ("Mpora", "://mpora.", r"""<iframe .*?src="(http://mpora\.(?:com|de)/videos/[^"]+)\"""", 1, "", False),
+    ("Facebook", "www.facebook.com/", r"""<iframe[^>]+?src=(["'])(https?://www\.facebook\.com/(?:video/embed|plugins/video\.php).+?)\1""", 2, "", True),
+    ("VK", "vk.com/video_ext.php", r"""<iframe[^>]+?src=(["'])(https?://vk\.com/video_ext\.php.+?)\1""", 2, "", False),
+    ("Ivi", "ivi.ru/video/player", r"""<embed[^>]+?src=(["'])(https?://(?:www\.)?ivi\.ru/video/player.+?)\1""", 2, "", False),
+    ("HuffPost", "embed.live.huffingtonpost.com/", r"""<iframe[^>]+?src=(["'])(https?://embed\.live\.huffingtonpost\.com/.+?)\1""", 2, "", False),
+    ("Embedly", "embedly-card", r"""class=["']embedly-card["'][^>]href=["']([^"']+)""", 1, "", False),
+    ("FunnyOrDie", "funnyordie.com/embed/", r"""<iframe[^>]+?src="(https?://(?:www\.)?funnyordie\.com/embed/[^"]+)\"""", 1, "", True),
+    ("BBCCoUk", "www.bbc.co.uk/iplayer/", r"""setPlaylist\("(https?://www\.bbc\.co\.uk/iplayer/[^/]+/[\da-z]{8})"\)""", 1, "", True),
+    ("Tvigle", "cloud.tvigle.ru/video/", r"""<iframe[^>]+?src=(["'])((?:https?:)?//cloud\.tvigle\.ru/video/.+?)\1""", 2, "", False),
+    ("TED", ".ted.com/", r"""<iframe[^>]+?src=(["'])(https?://embed(?:-ssl)?\.ted\.com/.+?)\1""", 2, "", False),
+    ("FranceTV", "embed.francetv.fr/", r"""<iframe[^>]+?src=(["'])((?:https?://)?embed\.francetv\.fr/\?ue=.+?)\1""", 2, "", False),
+    ("Soundcloud", "soundcloud.com/player", r"""<iframe[^>]+src=(["'])((?:https?://)?(?:w\.)?soundcloud\.com/player.+?)\1""", 2, "", True),
+    ("Yahoo", ".yahoo.com/", r"""<iframe[^>]+?src=(["'])(https?://(?:screen|movies)\.yahoo\.com/.+?\.html\?format=embed)\1""", 2, "", False),
+    ("SBS", "sbs.com.au/ondemand/video/", r"""(?:<meta\s+property="og:video"\s+content=|<iframe[^>]+?src=)(["'])(https?://(?:www\.)?sbs\.com\.au/ondemand/video/.+?)\1""", 2, "", False),
+    ("Cinchcast", "player.cinchcast.com/", r"""<iframe[^>]+?src=(["'])(https?://player\.cinchcast\.com/.+?)\1""", 2, "", False),
+    ("MLB", ".mlb.com/shared/video/embed/", r"""<iframe[^>]+?src=(["'])(https?://m(?:lb)?\.mlb\.com/shared/video/embed/embed\.html\?.+?)\1""", 2, "", False),
+    ("MLB", "m.mlb.com/video/", r"""data-video-link=["'](http://m\.mlb\.com/video/[^"']+)""", 1, "", False),
+    ("Livestream", "livestream.com/", r"""<iframe[^>]+src="(https?://(?:new\.)?livestream\.com/[^"]+/player[^"]+)\"""", 1, "", False),
+    ("Zapiks", "zapiks.fr/index.php", r"""<iframe[^>]+src="(https?://(?:www\.)?zapiks\.fr/index\.php\?.+?)\"""", 1, "", False),
+    ("EaglePlatform", "media.clipyou.ru/index/player", r"""<iframe[^>]+src="https?://media\.clipyou\.ru/index/player\?.*\brecord_id=(\d+).*\"""", 1, "eagleplatform:media.clipyou.ru:", False),
+    ("Playwire", "config.playwire.com/", r"""<script[^>]+data-config=(["'])((?:https?:)?//config\.playwire\.com/.+?)\1""", 2, "", False),
+    ("FiveMin", "embed.5min.com/", r"""<meta[^>]+property="og:video"[^>]+content="https?://embed\.5min\.com/([0-9]+)/?""", 1, "5min:", False),
+    ("CrooksAndLiars", "embed.crooksandliars.com/", r"""<(?:iframe[^>]+src|param[^>]+value)=(["'])((?:https?:)?//embed\.crooksandliars\.com/(?:embed|v)/.+?)\1""", 2, "", False),
+    ("NBCNews", "www.nbcnews.com/widget/video-embed/", r"""<iframe[^>]+src=(["'])((?:https?:)?//www\.nbcnews\.com/widget/video-embed/[^"']+)\1""", 2, "", False),
+    ("AdobeTVVideo", "video.tv.adobe.com/v/", r"""<iframe[^>]+src=['"]((?:https?:)?//video\.tv\.adobe\.com/v/\d+[^"]+)['"]""", 1, "", False),
+    ("Vine", "vine.co/v/", r"""<iframe[^>]+src=["']((?:https?:)?//(?:www\.)?vine\.co/v/[^/]+/embed/(?:simple|postcard))""", 1, "", False),
+    ("VODPlatform", "mbed/", r"""<iframe[^>]+src=(["'])((?:https?:)?//(?:(?:www\.)?vod-platform\.net|embed\.kwikmotion\.com)/[eE]mbed/.+?)\1""", 2, "", False),
+    ("Mangomolo", "mangomolo.com/", r"""<iframe[^>]+src=(["'])((?:https?:)?//(?:admin\.mangomolo\.com/analytics/index\.php/customers/embed|player\.mangomolo\.com/v1)/(?:video\?.*?\bid=\d+|(?:index|live)\?.*?\bchannelid=(?:[A-Za-z0-9+/=]|%2B|%2F|%3D)+).+?)\1""", 2, "", False),
+    ("Twitch", "player.twitch.tv/", r"""<iframe[^>]+?src=(["'])((?:https?:)?//player\.twitch\.tv/\?.+?)\1""", 2, "", True)]
 
 
 def find_embeds(pages: DataFrame, rules=EMBED_RULES) -> DataFrame:
-    """Entries of the first rule that finds embeds on a page, in page order, each URL once."""
+    """Entries of the first rule that finds embeds on a page, in page order, each URL once.
+
+    A rule's pattern is only tried on pages that hold its plain text, so a page without players costs one search for each text.
+    """
     tries = []
-    for key, pattern, group, prefix in rules:
+    for key, needs, pattern, group, prefix, every in rules:
         found = F.regexp_extract_all("html", F.lit(pattern), F.lit(group))
-        urls = F.array_distinct(found)
-        tries.append(let(urls, _entries(key, prefix)))
+        urls = F.array_distinct(found if every else F.slice(found, 1, 1))
+        tries.append(F.when(F.contains("html", F.lit(needs)), let(urls, _entries(key, prefix))))
     out = pages.select("page_id", F.posexplode(F.coalesce(*tries)).alias("pos", "e"))
     return out.select("page_id", "pos", "e.extractor_key", "e.url")
 

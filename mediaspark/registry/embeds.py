@@ -88,15 +88,73 @@ EMB = """concat(CASE WHEN page_id % 3 = 0 THEN concat('<iframe width=1 src="//pl
 define("embed_pages", f"SELECT page_id, url, concat(html, {EMB}) AS html FROM {{pages}}")
 
 
+# Vimeo is tried before Youtube, and the first rule that finds anything ends the search.
 @query("C16_find_embeds", oracle("""
-SELECT page_id, 0 AS pos, 'Youtube' AS extractor_key, concat('https://www.youtube.com/v/abcdefgh', 100 + page_id % 900) AS url FROM {pages} WHERE page_id % 4 = 0 UNION ALL
-SELECT page_id, 1, 'Youtube', 'http://youtube-nocookie.com/embed/ABCDEFGHIJK' FROM {pages} WHERE page_id % 4 = 0 UNION ALL SELECT page_id, 0, 'Youtube', concat('id', page_id) FROM {pages} WHERE page_id % 4 = 1 UNION ALL
-SELECT page_id, 0, 'Vimeo', concat('http://player.vimeo.com/video/', page_id, '?a=1&b=2') FROM {pages} WHERE page_id % 4 > 1 AND page_id % 3 = 0 UNION ALL
-SELECT page_id, 1, 'Vimeo', 'http://player.vimeo.com/video/9' FROM {pages} WHERE page_id % 4 > 1 AND page_id % 3 = 0"""))
+SELECT page_id, 0 AS pos, 'Youtube' AS extractor_key, concat('https://www.youtube.com/v/abcdefgh', 100 + page_id % 900) AS url FROM {pages} WHERE page_id % 4 = 0 AND page_id % 3 > 0 UNION ALL
+SELECT page_id, 1, 'Youtube', 'http://youtube-nocookie.com/embed/ABCDEFGHIJK' FROM {pages} WHERE page_id % 4 = 0 AND page_id % 3 > 0 UNION ALL
+SELECT page_id, 0, 'Youtube', concat('id', page_id) FROM {pages} WHERE page_id % 4 = 1 AND page_id % 3 > 0 UNION ALL
+SELECT page_id, 0, 'Vimeo', concat('http://player.vimeo.com/video/', page_id, '?a=1&b=2') FROM {pages} WHERE page_id % 3 = 0 UNION ALL
+SELECT page_id, 1, 'Vimeo', 'http://player.vimeo.com/video/9' FROM {pages} WHERE page_id % 3 = 0"""))
 def _(t):
     return em.find_embeds(t["embed_pages"])
 
 
+# One page for each rule: (key, markup, URL); # stands for the page's number.
+EMBED_SAMPLES = [
+    ("RtlNl", '<iframe width=9 src="//static.rtl.nl/embed?uuid=#">', "http://static.rtl.nl/embed?uuid=#"),
+    ("Vimeo", '<iframe src="https://player.vimeo.com/video/#?x=1">', "https://player.vimeo.com/video/#?x=1"),
+    ("Vidme", '<img src="https://vid.me/e/#"> <img src="https://vid.me/e/second">', "https://vid.me/e/#"),
+    ("Youtube", '<embed type="x" src="http://www.youtube.com/v/abcdefghijk?n=#">', "http://www.youtube.com/v/abcdefghijk?n=#"),
+    ("Dailymotion", '<iframe src="//www.dailymotion.com/embed/video/x#">', "http://www.dailymotion.com/embed/video/x#"),
+    ("Bandcamp", '<meta property="og:url" content="https://band.bandcamp.com/track/#">', "https://band.bandcamp.com/track/#"),
+    ("Vevo", '<iframe src="http://cache.vevo.com/m/#">', "http://cache.vevo.com/m/#"),
+    ("Viddler", '<param name="movie" value="//www.viddler.com/player/#/">', "http://www.viddler.com/player/#/"),
+    ("NYTimes", '<iframe src="http://graphics8.nytimes.com/bcvideo/1/iframe/embed.html?id=#">', "http://graphics8.nytimes.com/bcvideo/1/iframe/embed.html?id=#"),
+    ("Libsyn", '<iframe src="//html5-player.libsyn.com/embed/#/x">', "http://html5-player.libsyn.com/embed/#/x"),
+    ("Aparat", '<iframe id=a src="http://www.aparat.com/video/#">', "http://www.aparat.com/video/#"),
+    ("Mpora", '<iframe id=a src="http://mpora.de/videos/#">', "http://mpora.de/videos/#"),
+    ("Facebook", '<iframe src="https://www.facebook.com/plugins/video.php?a=#&amp;b=1">', "https://www.facebook.com/plugins/video.php?a=#&b=1"),
+    ("VK", '<iframe src="http://vk.com/video_ext.php?oid=#">', "http://vk.com/video_ext.php?oid=#"),
+    ("Ivi", '<embed src="http://www.ivi.ru/video/player?id=#">', "http://www.ivi.ru/video/player?id=#"),
+    ("HuffPost", '<iframe src="http://embed.live.huffingtonpost.com/HPLEmbedPlayer/?segmentId=#">', "http://embed.live.huffingtonpost.com/HPLEmbedPlayer/?segmentId=#"),
+    ("Embedly", '<a class="embedly-card" href="http://e.example.com/#">', "http://e.example.com/#"),
+    ("FunnyOrDie", '<iframe src="http://www.funnyordie.com/embed/#">', "http://www.funnyordie.com/embed/#"),
+    ("Tvigle", '<iframe src="//cloud.tvigle.ru/video/#">', "http://cloud.tvigle.ru/video/#"),
+    ("TED", '<iframe src="https://embed-ssl.ted.com/talks/#.html">', "https://embed-ssl.ted.com/talks/#.html"),
+    ("FranceTV", '<iframe src="http://embed.francetv.fr/?ue=#">', "http://embed.francetv.fr/?ue=#"),
+    ("Soundcloud", '<iframe src="https://w.soundcloud.com/player/?url=#">', "https://w.soundcloud.com/player/?url=#"),
+    ("Yahoo", '<iframe src="https://screen.yahoo.com/a/#.html?format=embed">', "https://screen.yahoo.com/a/#.html?format=embed"),
+    ("SBS", '<meta property="og:video" content="http://www.sbs.com.au/ondemand/video/#/x">', "http://www.sbs.com.au/ondemand/video/#/x"),
+    ("Cinchcast", '<iframe src="http://player.cinchcast.com/?id=#">', "http://player.cinchcast.com/?id=#"),
+    ("MLB", '<a data-video-link="http://m.mlb.com/video/v#">', "http://m.mlb.com/video/v#"),
+    ("Livestream", '<iframe src="https://new.livestream.com/accounts/1/player?x=#">', "https://new.livestream.com/accounts/1/player?x=#"),
+    ("Zapiks", '<iframe src="https://www.zapiks.fr/index.php?action=playerIframe&amp;id=#">', "https://www.zapiks.fr/index.php?action=playerIframe&id=#"),
+    ("EaglePlatform", '<iframe src="https://media.clipyou.ru/index/player?a=1&record_id=#">', "eagleplatform:media.clipyou.ru:#"),
+    ("Playwire", '<script data-config="//config.playwire.com/1/#.json">', "http://config.playwire.com/1/#.json"),
+    ("FiveMin", '<meta property="og:video" content="http://embed.5min.com/#/">', "5min:#"),
+    ("CrooksAndLiars", '<iframe src="//embed.crooksandliars.com/embed/#">', "http://embed.crooksandliars.com/embed/#"),
+    ("NBCNews", '<iframe src="http://www.nbcnews.com/widget/video-embed/#">', "http://www.nbcnews.com/widget/video-embed/#"),
+    ("AdobeTVVideo", '<iframe src="//video.tv.adobe.com/v/#/x">', "http://video.tv.adobe.com/v/#/x"),
+    ("Vine", '<iframe src="https://vine.co/v/#/embed/simple?audio=1">', "https://vine.co/v/#/embed/simple"),
+    ("VODPlatform", '<iframe src="//embed.kwikmotion.com/embed/#/x">', "http://embed.kwikmotion.com/embed/#/x"),
+    ("Mangomolo", '<iframe src="//player.mangomolo.com/v1/video?a=1&id=#&b=2">', "http://player.mangomolo.com/v1/video?a=1&id=#&b=2"),
+    ("Twitch", '<iframe src="https://player.twitch.tv/?channel=c#">', "https://player.twitch.tv/?channel=c#")]
+
+
+def _sample(column: int) -> str:
+    whens = " ".join(f"WHEN {i} THEN replace('{r[column]}', '#', CAST(page_id AS VARCHAR(20)))" for i, r in enumerate(EMBED_SAMPLES))
+    return f"CASE page_id % {len(EMBED_SAMPLES) + 1} {whens} END"
+
+
+define("player_pages", f"SELECT page_id, concat(html, coalesce({_sample(1)}, '')) AS html FROM {{pages}}")
+
+
+@query("C16_embed_rules", oracle(f"""
+SELECT page_id, 0 AS pos, {_sample(0)} AS extractor_key, {_sample(2)} AS url FROM {{pages}} WHERE page_id % {len(EMBED_SAMPLES) + 1} < {len(EMBED_SAMPLES)}"""))
+def _(t):
+    return em.find_embeds(t["player_pages"])
+
+
 LINKS = """concat(CASE WHEN page_id % 5 = 0 THEN concat('<script>x flashvars: "a=1&file=http://f.example.com/', page_id, '.png"</script>') ELSE '' END,
  CASE page_id % 4 WHEN 0 THEN concat('<a href="?file=http://s.example.com/a%20b', page_id, '.mp4">x</a> source=http://s.example.com/a%20b', page_id, '.mp4" source=http://s.example.com/two.m3u8"')
  WHEN 1 THEN concat('video_url: "http://u.example.com/w.flv?x=', page_id, '"') WHEN 2 THEN '<meta property="twitter:player:stream" content="/st/x.mpd">' ELSE '' END)"""

@@ -78,15 +78,14 @@ def _(t):
 
 @query("D03_hls_extras", oracle("""
 SELECT DISTINCT manifest_id, 'playlist' AS kind, concat('https://m.example.com/v/', manifest_id, '/master.m3u8') AS url FROM {mlines} WHERE media_id % 3 = 0 UNION ALL
-SELECT manifest_id, 'stream', concat('https://m.example.com/v/s/', max(i), '.m3u8') FROM {mlines} WHERE media_id % 3 = 1 AND coalesce(vcodec, '') <> 'none' AND i % 6 <> 1 GROUP BY manifest_id HAVING max(i) IS NOT NULL"""
-  .replace("max(i)", "min(i)")))
+SELECT manifest_id, 'stream', CASE WHEN i % 6 = 1 THEN concat('https://x.example.com/', i, '-audio=64000-video=900000.m3u8') ELSE concat('https://m.example.com/v/s/', i, '.m3u8') END
+FROM {mlines} WHERE media_id % 3 = 1 AND coalesce(vcodec, '') <> 'none'"""))
 def _(t):
     m = hls_master(t)
     k = F.substring_index("manifest_id", "-", 1).cast("bigint") % 3
     lock = F.when(k == 2, F.lit("#EXT-X-FAXS-CM:x\n")).when(k == 0, F.lit("#EXT-X-TARGETDURATION:9\n")).otherwise(F.lit(""))
     v = hls.hls_variants(m.withColumn("body", F.concat(lock, F.col("body"))))
-    first = v.filter("kind = 'stream' AND url LIKE 'https://m.%'").groupBy("manifest_id", "kind").agg(F.min_by("url", "pos").alias("url"))
-    return v.filter("kind = 'playlist'").select("manifest_id", "kind", "url").unionByName(first)
+    return v.filter("kind IN ('playlist', 'stream')").select("manifest_id", "kind", "url")
 
 
 @query("D04_hls_attributes", oracle("""

@@ -127,11 +127,13 @@ def _(t):
 
 @query("C10_select_elements", oracle("""
 SELECT page_id, 0 AS pos, concat('Main <', page_id, '>') AS content, 'class' AS by FROM {pages} UNION ALL SELECT page_id, 1, 'Second', 'class' FROM {pages} UNION ALL
-SELECT page_id, 0, concat('Main <', page_id, '>'), 'id' FROM {pages} WHERE page_id = 7"""))
+SELECT page_id, 0, concat('Main <', page_id, '>'), 'id' FROM {pages}"""))
 def _(t):
     p = t["aug_pages"]
+    # Each page has an id of its own; here all have the same one.
+    same = p.withColumn("html", F.regexp_replace("html", F.concat(F.lit("(id=.?)m"), "page_id", F.lit(r"\b")), F.lit("$1main")))
     return pg.select_elements(p, "class", "box").withColumn("by", F.lit("class")).unionByName(
-        pg.select_elements(p, "id", "m7").withColumn("by", F.lit("id")))
+        pg.select_elements(same, "id", "main").withColumn("by", F.lit("id")))
 
 
 define("tags", """

@@ -40,14 +40,26 @@ def _(t):
     return io.read_pages(t.spark, f"{t.folder}/pages.parquet").select("page_id", "url")
 
 
-@query("A04_read_manifests", oracle("SELECT n_nationkey AS no, '#EXTM3U' || chr(10) || n_name || '.ts' || chr(10) AS body FROM {nation}"))
+@query("A04_read_manifests", oracle("SELECT s_suppkey AS no, '#EXTM3U' || chr(10) || s_name || '.ts' || chr(10) AS body FROM {supplier}"))
 def _(t):
     path = scratch_path(t.spark, "manifests")
-    k = F.col("n_nationkey")
-    t["nation"].select(k.alias("no"), F.concat(F.lit("#EXTM3U\n"), "n_name", F.lit(".ts")).alias("value")).repartition(8, "no") \
+    t["supplier"].select(F.col("s_suppkey").alias("no"), F.concat(F.lit("#EXTM3U\n"), "s_name", F.lit(".ts")).alias("value")).repartition(8, "no") \
         .write.partitionBy("no").text(path)
     d = io.read_manifests(t.spark, path, "https://m.example.com/")
-    return d.select(F.regexp_extract("manifest_id", r"/no=(\d+)/", 1).cast("int").alias("no"), "body")
+    return d.select(F.regexp_extract("manifest_id", r"/no=(\d+)/", 1).cast("bigint").alias("no"), "body")
+
+
+define("stored_lists", """
+SELECT media_id, concat('https://m.example.com/', media_id, '.m3u8') AS url, concat('s', pos, '.ts') AS line, pos FROM {formats}""")
+
+
+@query("A04_read_packed_manifests", oracle("""
+SELECT url AS manifest_id, url, '#EXTM3U' || chr(10) || string_agg(line, chr(10) ORDER BY pos, line) AS body FROM {stored_lists} GROUP BY url"""))
+def _(t):
+    path = scratch_path(t.spark, "packed")
+    lines = t["stored_lists"].groupBy("url").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x"))
+    io.write_packed_manifests(lines.select("url", F.concat(F.lit("#EXTM3U\n"), F.array_join(F.transform("x", lambda r: r["line"]), "\n")).alias("body")), path)
+    return io.read_packed_manifests(t.spark, path)
 
 
 define("feed_items", """

@@ -49,6 +49,17 @@ def read_manifests(spark: SparkSession, path: str, base: str = "") -> DataFrame:
                     F.col("value").alias("body"))
 
 
+def write_packed_manifests(manifests: DataFrame, path: str) -> None:
+    """Manifests (``url``, ``body``) as JSON lines, many to a file and spread evenly: a corpus of small texts without as many small files."""
+    manifests.select("url", "body").write.option("compression", "gzip").json(path)
+
+
+def read_packed_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """One row per line of such files; the URL is the id (A04). Lines that are no JSON object give no row."""
+    d = spark.read.schema("url string, body string").option("mode", "DROPMALFORMED").json(path)
+    return d.filter("url IS NOT NULL AND body IS NOT NULL").select(F.col("url").alias("manifest_id"), "url", "body")
+
+
 _RSS = ("channel struct<title string,description string,item array<struct<title string,description string,link string,pubDate string,"
         "enclosure array<struct<_url string>>,`itunes:duration` string,`itunes:explicit` string,`itunes:title` string,`itunes:episode` string,"
         "`itunes:season` string,`itunes:image` struct<_href string>>>>")

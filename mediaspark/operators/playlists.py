@@ -30,44 +30,85 @@ def expand_playlists(playlists: DataFrame, entries: DataFrame, start: int = 1) -
             .withColumn("webpage_url_basename", ux.basename(F.col("webpage_url"))).drop("__ek", "__wu"))
 
 
-def index_entries(df: DataFrame, start: int = 1, order=None, hot_rows: int | None = None) -> DataFrame:
-    """Number the entries of each playlist in list order, from ``start``."""
-    out = skew.numbered(df, "playlist_id", order or [F.col("pos")], "playlist_index", hot_rows)
+def index_entries(df: DataFrame, start: int = 1, order=None, hot_rows: int | None = None, upto: int | None = None) -> DataFrame:
+    """Number the entries of each playlist in list order, from ``start``; with ``upto`` only so many of each."""
+    out = skew.numbered(df, "playlist_id", order or [F.col("pos")], "playlist_index", hot_rows, upto=upto)
     return out.withColumn("playlist_index", F.col("playlist_index") + (start - 1))
 
 
-def slice_entries(df: DataFrame, start: int = 1, end: int | None = None) -> DataFrame:
+def slice_entries(df: DataFrame, start: int = 1, end: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """Entries start..end (1-based, -1 or None = to the end) with their index in the whole list."""
-    out = index_entries(df).filter(F.col("playlist_index") >= start)
-    return out if end in (None, -1) else out.filter(F.col("playlist_index") <= end)
+    return index_entries(df, hot_rows=hot_rows, upto=None if end in (None, -1) else end).filter(F.col("playlist_index") >= start)
+
+
+def item_spans(text: str) -> list[tuple[int, int, int]]:
+    """(numbers before it, first, last) of the spans of a request such as ``1,3-5``, in order, without what an earlier span has."""
+    out: list[tuple[int, int, int]] = []
+    n, taken = 0, []  # spans so far, sorted and apart
+    for part in text.split(","):
+        lo, hi = map(int, part.split("-")) if "-" in part else (int(part), int(part))
+        at, free = lo, []
+        for a, z in taken:
+            if z >= at and a <= hi:
+                free += [(at, a - 1)] if a > at else []
+                at = z + 1
+        free += [(at, hi)] if at <= hi else []
+        for a, z in free:
+            if out and a == out[-1][2] + 1 and a > 1:
+                out[-1] = (out[-1][0], out[-1][1], z)
+            else:
+                out.append((n, a, z))
+            n += z - a + 1
+        taken = sorted([*taken, *free])
+    return out
 
 
 def item_list(text: str) -> list[int]:
-    """The numbers of a request such as ``1,3-5``, in order, without repeats."""
-    spans = [tuple(map(int, part.split("-"))) if "-" in part else (int(part), int(part)) for part in text.split(",")]
-    return list(dict.fromkeys(i for lo, hi in spans for i in range(lo, hi + 1)))
+    """The numbers of a request, in order, without repeats."""
+    return [i for _, a, z in item_spans(text) for i in range(a, z + 1)]
 
 
-def pick_items(df: DataFrame, items: str) -> DataFrame:
+#: Spans of a request that become conditions; more become a table.
+MAX_SPANS = 64
+
+
+def pick_items(df: DataFrame, items: str, hot_rows: int | None = None) -> DataFrame:
     """Requested entries in request order.
 
     0 names the last entry, numbers beyond the list give nothing. The index comes from the request
-    list by output position, so an entry that gives nothing shifts the ones after it.
+    by output position, so an entry that gives nothing shifts the ones after it. A request stays the spans that it is written as, however long they are.
     """
-    wanted = item_list(items)
-    request = df.sparkSession.createDataFrame(list(enumerate(wanted)), "ord int, item bigint")
-    nums = index_entries(df).withColumnRenamed("playlist_index", "__no")
-    hits = nums.join(F.broadcast(request.filter("item > 0")), F.col("__no") == F.col("item"))
-    if 0 in wanted:
+    spans = item_spans(items)
+    listed = [(n, a, z) for n, a, z in spans if z > 0]
+    nums = index_entries(df, hot_rows=hot_rows, upto=max([z for _, _, z in listed], default=0)).withColumnRenamed("playlist_index", "__no")
+    hits = _in_spans(nums, "__no", listed, lambda n, a, z: (a, z), lambda n, a, no: no - a + n, "ord")
+    zero = next((n for n, a, _ in spans if a == 0), None)
+    if zero is not None:
         last = df.groupBy("playlist_id").agg(F.max_by(F.struct(*df.columns), "pos").alias("__l")) \
             .select("playlist_id", *[F.col(f"__l.{c}").alias(c) for c in df.columns if c != "playlist_id"])
-        last = last.select(*df.columns, F.lit(wanted.index(0)).alias("ord"))
-        hits = hits.select(*df.columns, "ord").unionByName(last)
-    # At most as many rows per playlist as the request has numbers.
-    place = F.row_number().over(W.partitionBy("playlist_id").orderBy("ord"))
-    out = hits.select(*df.columns, place.alias("out_pos"))
-    names = F.array(*[F.lit(i).cast("bigint") for i in wanted])
-    return out.withColumn("playlist_index", F.element_at(names, F.col("out_pos")))
+        hits = hits.select(*df.columns, "ord").unionByName(last.select(*df.columns, F.lit(zero).cast("bigint").alias("ord")))
+    place = skew.numbered(hits, "playlist_id", [F.col("ord")], "out_pos", hot_rows, sizes=df)
+    out = place.select(*df.columns, F.col("out_pos").cast("int").alias("out_pos"))
+    # The number that the request has at that place.
+    return _in_spans(out, "out_pos", spans, lambda n, a, z: (n + 1, n + 1 + z - a), lambda n, a, at: at - 1 - n + a, "playlist_index")
+
+
+def _in_spans(df: DataFrame, col: str, spans, bounds, value, out: str) -> DataFrame:
+    """Rows whose number lies in a span, with ``value`` of the span and the number."""
+    no = F.col(col).cast("bigint")
+    if len(spans) <= MAX_SPANS:
+        pick = F.lit(None).cast("bigint")
+        for n, a, z in reversed(spans):
+            lo, hi = bounds(n, a, z)
+            pick = F.when(no.between(lo, hi), value(n, a, no)).otherwise(pick)
+        return df.withColumn(out, pick).filter(F.col(out).isNotNull())
+    # Spans by the blocks of numbers that they touch: a join by block, at most 100,000 rows more than spans.
+    ends = [bounds(*s) for s in spans]
+    width = max(1024, max(hi for _, hi in ends) // 100_000)
+    rows = [(b, n, a, lo, hi) for (n, a, _), (lo, hi) in zip(spans, ends) for b in range(lo // width, hi // width + 1)]
+    table = df.sparkSession.createDataFrame(rows, "__b bigint, __n bigint, __a bigint, __lo bigint, __hi bigint")
+    got = df.withColumn("__at", no).join(table, (F.floor(no / width) == F.col("__b")) & no.between(F.col("__lo"), F.col("__hi")))
+    return got.withColumn(out, value(F.col("__n"), F.col("__a"), F.col("__at"))).drop("__b", "__n", "__a", "__lo", "__hi", "__at")
 
 
 def reverse_entries(df: DataFrame, start: int = 1) -> DataFrame:
@@ -82,8 +123,7 @@ def shuffle_entries(df: DataFrame, seed: str, key: str = "media_id", start: int
 
 def cap(df: DataFrame, n: int, order) -> DataFrame:
     """The first ``n`` accepted items of the run; apply after the filters (G06). No task gathers them, whatever ``n`` is."""
-    out = skew.numbered(df.withColumn("__all", F.lit(0)), "__all", order, "__n")
-    return out.filter(F.col("__n") <= n).drop("__all", "__n")
+    return skew.numbered(df.withColumn("__all", F.lit(0)), "__all", order, "__n", upto=n).drop("__all", "__n")
 
 
 def pages_for_slice(df: DataFrame, size: int, start: int = 1, end: int | None = None) -> DataFrame:

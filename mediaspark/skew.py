@@ -98,17 +98,25 @@ def _with_offsets(sliced: DataFrame, by, aggs: dict) -> DataFrame:
 
 
 def numbered(df: DataFrame, by, order, out: str, hot_rows: int | None = None,
-             sizes: DataFrame | None = None) -> DataFrame:
-    """1-based ``row_number`` per group; ``order`` is a list of ascending columns (nulls first)."""
+             sizes: DataFrame | None = None, upto: int | None = None) -> DataFrame:
+    """1-based ``row_number`` per group; ``order`` is a list of ascending columns (nulls first).
+
+    With ``upto`` only the rows up to that number come: Spark then keeps that many of a group in each task before the shuffle, and of hot groups
+    only the slices that begin before it are numbered.
+    """
     by = _names(by)
     cold, warm = split_hot(df, by, hot_rows, sizes)
-    cold = cold.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("bigint"))
+    cold = cold.withColumn("__rn", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+    # The bound is on the plain number, as the optimiser wants it.
+    cold = cold if upto is None else cold.filter(F.col("__rn") <= min(upto, 2**31 - 1))
+    cold = cold.withColumn(out, F.col("__rn").cast("bigint")).drop("__rn")
     if warm is None:
         return cold
     s = _with_offsets(_sliced(warm, by, order, hot_rows), by, {"n": ("sum", F.count(F.lit(1)))})
+    s = s if upto is None else s.filter(F.col("__off_n") < upto)
     ws = W.partitionBy(*by, "__slice").orderBy(*_places(s))
     warm = s.withColumn(out, F.row_number().over(ws) + F.col("__off_n")).drop("__slice", "__off_n", *_places(s))
-    return cold.unionByName(warm)
+    return cold.unionByName(warm if upto is None else warm.filter(F.col(out) <= upto))
 
 
 def running(df: DataFrame, by, order, wanted: dict, hot_rows: int | None = None,

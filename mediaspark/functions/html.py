@@ -79,12 +79,12 @@ def attribute_map(tag: Column) -> Column:
 
 def without_comments(text: Column) -> Column:
     """Markup without comments; what a CDATA section holds becomes escaped text."""
-    bare = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+    bare = F.when(text.contains("<!--"), F.regexp_replace(text, r"(?s)<!--.*?-->", "")).otherwise(text)
     escape = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     close = F.lit("]]>")
     part = lambda c, i: F.when((i == 0) | (F.locate("]]>", c) == 0), c).otherwise(
         F.concat(escape(F.substring_index(c, "]]>", 1)), F.substr(c, F.locate("]]>", c) + F.length(close))))
-    return F.when(bare.contains("<![CDATA["), F.array_join(F.transform(F.split(bare, r"<!\[CDATA\["), part), "")).otherwise(bare)
+    return let(bare, lambda b: F.when(b.contains("<![CDATA["), F.array_join(F.transform(F.split(b, r"<!\[CDATA\["), part), "")).otherwise(b))
 
 
 def elements(text: Column, name: str, value: str, whole_word: bool = False) -> Column:

@@ -47,15 +47,12 @@ def html5_formats(pages: DataFrame) -> DataFrame:
     """
     m = _media_rows(pages)
     trimmed = lambda c: F.nullif(F.trim(c), F.lit(""))
-    own = m.select("page_id", "url", "media_no", "kind", F.lit(0).alias("n"), F.lit(True).alias("own"), "a",
-                   trimmed(hx.get(F.col("a"), "src")).alias("src"))
+    # The element's own attributes and those of its nested sources, from one reading of the page.
     tags = F.regexp_extract_all("body", F.lit(r"(<source[^>]+>)"), F.lit(1))
-    nested = m.select("page_id", "url", "media_no", "kind", F.posexplode(tags).alias("i", "t"))
-    nested = nested.select("page_id", "url", "media_no", "kind", (F.col("i") + 1).alias("n"), F.lit(False).alias("own"),
-                           hx.attributes(F.col("t")).alias("a"))
-    src = F.coalesce(*[F.nullif(hx.get(F.col("a"), k), F.lit("")) for k in ("src", "data-video-src", "data-src")])
-    nested = nested.withColumn("src", trimmed(src))
-    s = own.unionByName(nested).filter(F.col("src").isNotNull())
+    every = F.concat(F.array("a"), F.coalesce(F.transform(tags, lambda t: hx.attributes(t)), F.expr("slice(array(a), 1, 0)")))
+    s = m.select("page_id", "url", "media_no", "kind", F.posexplode(every).alias("n", "a")).withColumn("own", F.col("n") == 0)
+    nested = F.coalesce(*[F.nullif(hx.get(F.col("a"), k), F.lit("")) for k in ("src", "data-video-src", "data-src")])
+    s = s.withColumn("src", trimmed(F.when(F.col("own"), hx.get(F.col("a"), "src")).otherwise(nested))).filter(F.col("src").isNotNull())
     a = F.col("a")
     mime_ext, codecs = _type_info(hx.get(a, "type"))
     full = ux.resolve(F.col("url"), F.col("src"))

@@ -462,12 +462,13 @@ def note_text(df: DataFrame) -> Column:
         F.coalesce(have(size, tx.human_bytes(size)), have(approx, F.concat(F.lit("~"), tx.human_bytes(approx)))))
 
 
-def list_formats(df: DataFrame) -> DataFrame:
-    """Listing rows of ranked renditions; the last shown one is marked when there are several."""
+def list_formats(df: DataFrame, sizes: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
+    """Listing rows of ranked renditions; the last shown one is marked when there are several.
+
+    ``sizes`` may name the table that the ranked rows come from (``skew.split_hot``); the ranking is then worked out once.
+    """
     keep = opt(df, "preference").isNull() | (opt(df, "preference") >= -1000)
-    tops = df.groupBy("media_id").agg(F.max(F.when(keep, F.col("rank"))).alias("__top"),
-                                      F.count(F.lit(1)).alias("__all"))
-    out = df.filter(keep).join(tops, "media_id")
+    out = skew.with_totals(df, "media_id", {"__top": F.max(F.when(keep, F.col("rank"))), "__all": F.count(F.lit(1))}, sizes, hot_rows).filter(keep)
     note = note_text(df)
     mark = (F.col("rank") == F.col("__top")) & (F.col("__all") > 1)
     note = F.when(mark, F.concat(note, F.when(note != "", F.lit(" ")).otherwise(F.lit("")), F.lit("(best)"))).otherwise(note)

@@ -277,4 +277,4 @@ SELECT media_id, rank, format_id, ext,
   CASE WHEN rank = top AND n > 1 THEN CASE WHEN note = '' THEN '(best)' ELSE concat(note, ' (best)') END ELSE note END AS note
 FROM y"""))
 def _(t):
-    return fm.list_formats(prepared(t))
+    return fm.list_formats(prepared(t), sizes=t["formats"])

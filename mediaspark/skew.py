@@ -155,8 +155,17 @@ def first_per_group(df: DataFrame, by, order, keep=None) -> DataFrame:
     return df.groupBy(*by).agg(best.alias("__b")).select(*by, *[F.col(f"__b.{c}").alias(c) for c in cols])
 
 
-def with_totals(df: DataFrame, by, aggs: dict) -> DataFrame:
-    """Attach group aggregates by aggregate-then-join, so that AQE can split a skewed key."""
+def with_totals(df: DataFrame, by, aggs: dict, sizes: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
+    """Attach group aggregates by aggregate-then-join, so that AQE can split a skewed key.
+
+    With ``sizes`` (see ``split_hot``) only hot groups are treated so; all others take a window, which reads ``df`` once and needs no further shuffle
+    where ``df`` is already spread by the group.
+    """
     by = _names(by)
+    if sizes is not None:
+        cold, warm = split_hot(df, by, hot_rows, sizes)
+        w = W.partitionBy(*by)
+        cold = cold.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
+        return cold if warm is None else cold.unionByName(with_totals(warm.drop("__n"), by, aggs))
     tot = _keyed(df.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()]), by)
     return _drop_keys(df.join(tot, _same_key(df, tot, by), "left"))

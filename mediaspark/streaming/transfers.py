@@ -175,16 +175,16 @@ def live_stream(polls: DataFrame, root: str, late: str = "10 minutes", idle: str
     return _written(_keyed(d, "stream", LivePolls(_microseconds(idle)), "stream string, poll bigint, seq bigint"), root, "out")
 
 
-def expand_runs(runs: DataFrame) -> DataFrame:
+def expand_runs(runs: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Segment runs into (segment, fragment) rows.
 
     ``runs(video, run_no, segment, fragments, first, live)``; a live stream's unbounded run counts as two
     fragments, and only the last two rows of a live stream are kept.
     """
     n = F.when(F.col("live") & (F.col("fragments") == 4294967295), F.lit(2)).otherwise(F.col("fragments")).cast("bigint")
-    d = skew.running(runs.withColumn("n", n), "video", [F.col("run_no")], {"upto": ("sum", F.col("n"))})
-    total = d.groupBy("video").agg(F.max("upto").alias("total"))
-    d = d.join(total, "video").withColumn("from", F.col("upto") - F.col("n"))
+    d = skew.running(runs.withColumn("n", n), "video", [F.col("run_no")], {"upto": ("sum", F.col("n"))}, hot_rows, runs)
+    # The total is one more window over the rows that the running sums have already gathered.
+    d = skew.with_totals(d, "video", {"total": F.max("upto")}, runs, hot_rows).withColumn("from", F.col("upto") - F.col("n"))
     # A live stream's rows before its last two are never made.
     lo = F.when(F.col("live"), F.greatest(F.col("from"), F.col("total") - 2)).otherwise(F.col("from"))
     d = d.withColumn("lo", lo).filter("lo < upto")

@@ -65,3 +65,11 @@ def test_prepare_formats_hot_equals_plain(spark):
         F.lit(None).cast("string").alias("acodec"), ((F.col("id") * 37) % 50).cast("double").alias("tbr"))
     cols = ["media_id", "pos", "rank", "format_id", "url", "protocol"]
     same(fm.prepare_formats(d, hot_rows=50).select(*cols), fm.prepare_formats(d).select(*cols))
+
+
+def test_totals_by_window_and_by_join(spark):
+    d = spark.range(300).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 20)).alias("k"), "id")
+    aggs = {"top": F.max("id"), "n": F.count(F.lit(1))}
+    want = sorted(map(tuple, skew.with_totals(d, "k", aggs).collect()))
+    for hot in (None, 50, 1):
+        assert sorted(map(tuple, skew.with_totals(d, "k", aggs, d, hot).select("k", "id", "top", "n").collect())) == want

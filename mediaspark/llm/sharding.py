@@ -2,11 +2,11 @@
 
 Points are groups of equal texts with their bytes as weight. A node that holds more than one shard's bytes is split
 at the weighted median (for an odd number of shards, the matching quantile) of its widest dimension: size in bytes,
-source or language, each relative to its range in the whole table. Equal places are ordered by a hash of the text, so
-that a split never depends on the order of rows.
+source or language, each relative to its range in the whole table. Size is measured by its logarithm, source and language by their
+number among the distinct values in code point order. Points with equal coordinates are ordered by a hash of the text, so that a split never depends on the order of rows.
 
-Medians are exact to one point and fully distributed: each split value is a 48-bit key found in three counts of 16 bits,
-for all nodes of a level at once. No task sorts a node, and only counts are moved.
+Medians are exact to one point and fully distributed: each split value is a key of 63 bits, the coordinate (bytes or number) and the hash, found in four counts of
+16 bits, for all nodes of a level at once. No task sorts a node, and only counts are moved.
 
 Groups of equal texts stay in one shard up to a sixteenth of a shard's bytes; larger ones (there are at most 16 times the number of
 shards) are first cut into parts by a hash of the id, because no single shard could hold them evenly.
@@ -26,17 +26,17 @@ GROUP = ["th", "size", "text_crc32"]
 WHOLE = 16
 
 
-def _number(text: Column) -> Column:
-    """The first six bytes of a string as a number that keeps the order; -1 for null."""
-    padded = F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(padded, 16, 10).cast("double"), F.lit(-1.0))
+def _numbers(rows: DataFrame, col: str, out: str) -> DataFrame:
+    """The distinct values of a column, numbered from 1 in code point order."""
+    values = rows.select(col).filter(F.col(col).isNotNull()).distinct().withColumn("one", F.lit(1).cast("bigint"))
+    return saved(running(ranged(values, [col], "kd-values"), [col], [], no="one").select(col, F.col("no").alias(out)), "kd-numbers")
 
 
 def described(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
     full = F.coalesce(F.col(text), F.lit(""))
     return df.select(F.col(doc_id).alias("doc_id"), (F.octet_length(full) + 1).cast("bigint").alias("size"),
                      F.crc32(full).alias("text_crc32"), F.xxhash64(full).alias("th"),
-                     _number(F.col(source)).alias("x1"), _number(F.col(lang)).alias("x2"))
+                     F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"))
 
 
 def _parts(rows: DataFrame, shard_bytes: float) -> DataFrame:
@@ -60,26 +60,26 @@ def _split(points: DataFrame, root: dict) -> DataFrame:
     """Split every node of more than one shard in two."""
     dims = ["x0", "x1", "x2"]
     open_ = points.filter("k > 1")
-    s = open_.groupBy("first", "k").agg(F.sum("w").alias("all"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))])
+    s = open_.groupBy("first", "k").agg(F.sum("w").alias("all"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))],
+                                       F.min("size").alias("lo_size"))
     width = {d: (F.col(f"hi_{d}") - F.col(f"lo_{d}")) / F.lit(root[d] or 1.0) for d in dims}
     widest = F.greatest(*width.values())
     pick = F.coalesce(*[F.when(width[d] == widest, F.lit(i)) for i, d in enumerate(dims)])
     left = F.floor(F.col("k") / 2)
     s = s.select("first", F.col("k").alias("sk"), left.alias("left"), (F.col("all") * left / F.col("k")).alias("goal"), pick.alias("dim"),
-                 F.element_at(F.array(*[F.col(f"lo_{d}") for d in dims]), pick + 1).alias("lo"),
-                 F.element_at(F.array(*[F.col(f"hi_{d}") for d in dims]), pick + 1).alias("hi"))
+                 F.when(pick == 0, F.col("lo_size")).when(pick == 1, F.col("lo_x1")).otherwise(F.col("lo_x2")).alias("lo"))
     s = saved(s, "kd-nodes")
-    x = F.element_at(F.array(*dims), F.col("dim") + 1)
-    place = F.when(F.col("hi") > F.col("lo"), F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * 65535)).otherwise(F.lit(0)).cast("bigint")
+    # Whole coordinates below 2^31: bytes of a text, or numbers of values.
+    x = F.when(F.col("dim") == 0, F.col("size")).when(F.col("dim") == 1, F.col("x1")).otherwise(F.col("x2"))
     tie = F.xxhash64("th", "part").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
-    keyed = points.join(s, "first", "left").withColumn("key", F.shiftleft(place, 32).bitwiseOR(tie))
+    keyed = points.join(s, "first", "left").withColumn("key", F.shiftleft(x - F.col("lo"), 32).bitwiseOR(tie))
     inner = keyed.filter("k > 1")
-    # Three rounds of counts, each inside the value that the one before found.
+    # Four rounds of counts, each inside the value that the one before found.
     found = s.select("first", "goal", F.lit(0).cast("bigint").alias("prefix"), F.lit(0).cast("bigint").alias("base"))
-    for shift in (32, 16, 0):
+    for shift in (48, 32, 16, 0):
         own = F.shiftright("key", shift)
         d = inner.select("first", own.alias("bits"), "w").join(found, "first")
-        if shift < 32:
+        if shift < 48:
             d = d.filter(F.shiftright("bits", 16) == F.col("prefix"))
         counts = d.groupBy("first", "bits").agg(F.sum("w").alias("n"), F.max("base").alias("base"), F.max("goal").alias("goal"))
         hit = _crossing(counts, "bits")
@@ -103,7 +103,8 @@ def shard(df: DataFrame, shards: int | None = None, target_bytes: int | None = N
     total = rows.agg(F.sum("size")).first()[0] or 0
     shards = shards or max(1, -(-total // target_bytes))
     rows = _parts(rows, total / shards)
-    points = rows.groupBy(*GROUP, "part").agg(F.sum("size").alias("w"), F.min("x1").alias("x1"), F.min("x2").alias("x2"))
+    known = rows.join(_numbers(rows, "source", "x1"), "source", "left").join(_numbers(rows, "lang", "x2"), "lang", "left")
+    points = known.groupBy(*GROUP, "part").agg(F.sum("size").alias("w"), *[F.min(F.coalesce(x, F.lit(0).cast("bigint"))).alias(x) for x in ("x1", "x2")])
     points = saved(points.select(*GROUP, "part", "w", F.ln("size").alias("x0"), "x1", "x2", F.lit(0).alias("first"), F.lit(shards).alias("k")), "kd-points")
     span = points.agg(*[(F.max(d) - F.min(d)).alias(d) for d in ("x0", "x1", "x2")]).first().asDict()
     for _ in range((shards - 1).bit_length()):

@@ -24,6 +24,7 @@ def search(text: Column, patterns, clean: bool = False) -> Column:
 def og_patterns(prop: str):
     """Open Graph tags in either attribute order, ``og:`` or ``og-``."""
     p = re.escape(prop)
+    # The accepted spellings of the two attributes.
     name = rf"""(?:name|property)=(?:'og[:-]{p}'|"og[:-]{p}"|\s*og[:-]{p}\b)"""
     content = r"""content=(?:"([^"]+?)"|'([^']+?)'|\s*([^\s"'=<>`]+?)(?=\s|/?>))"""
     return [rf"(?s)<meta[^>]+?{name}[^>]+?{content}", rf"(?s)<meta[^>]+?{content}[^>]+?{name}"]

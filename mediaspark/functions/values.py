@@ -21,6 +21,7 @@ def duration(text: Column) -> Column:
 
 
 def _duration(s: Column) -> Column:
+    # The accepted spellings of a duration.
     clock_re = r"^(?:(?:([0-9]+):)?([0-9]+):)?([0-9]+):([0-9]{1,2})(?:[.:]([0-9]+))?Z?$"
     secs_re = r"^([0-9]+)(?:[.:]([0-9]+))?Z?$"
     words_re = (r"(?i)^(?:P?(?:[0-9]+\s*y(?:ears?)?,?\s*)?(?:[0-9]+\s*m(?:onths?)?,?\s*)?(?:[0-9]+\s*w(?:eeks?)?,?\s*)?"

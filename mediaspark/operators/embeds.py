@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import html as hx, js, text as tx, urls as ux, values as vx
 from ..functions.core import let
 
+# The names of media elements, and what a self-closed and a paired one looks like.
 _TAG = r"(?:(?:amp|dl8(?:-live)?)-)?(video(?:-js)?|audio)"
 _CLOSED = rf"(?s)<{_TAG}[^>]*/>"
 _PAIRED = rf"(?s)<((?:(?:amp|dl8(?:-live)?)-)?(?:video(?:-js)?|audio))((?:\s+[^>]*)?)>(.*?)</\1>"
@@ -188,6 +189,7 @@ def player_tracks(items: DataFrame) -> DataFrame:
     return rows.select("page_id", "item_no", "pos", F.coalesce(F.nullif(_v(t, "$.label"), F.lit("")), F.lit("en")).alias("lang"), link.alias("url"))
 
 
+# Fixed value: where this player is given its sources.
 _VIDEOJS = r"(?s)\bvideojs\s*\(.+?\.src\s*\(\s*((?:\[.+?\]|\{.+?\}))\s*\)\s*;"
 
 
@@ -287,6 +289,7 @@ LINK_RULES = [
     (r"""<meta.*?property="og:(?:video|audio)".*?content="(.*?)\"""", True)]
 # Extensions of things that are no media.
 NOT_MEDIA = ["swf", "png", "jpg", "srt", "sbv", "sub", "vtt", "ttml", "js", "xml"]
+# Fixed value: addresses of player pages.
 _PLAYER_PAGE = r"^(?:https?:)?//(?:www\.)?(?:youtube(?:-nocookie)?\.com/(?:embed/|v/|watch\?)|youtu\.be/)"
 
 

@@ -53,8 +53,9 @@ SELECT event_id, ts, concat('file', user_id) AS file,
 
 
 def define(name: str, sql: str) -> None:
-    """Add a derived table that other derived tables and queries may name as ``{name}``."""
-    SQL[name] = sql
+    """Add a derived table that other derived tables and queries may name as ``{name}``; a second table of one name is an error."""
+    if SQL.setdefault(name, sql) != sql:
+        raise ValueError(f"derived table {name} is defined twice")
 
 
 def _needs(sql: str):

@@ -146,13 +146,13 @@ def _sample(column: int) -> str:
     return f"CASE page_id % {len(EMBED_SAMPLES) + 1} {whens} END"
 
 
-define("player_pages", f"SELECT page_id, concat(html, coalesce({_sample(1)}, '')) AS html FROM {{pages}}")
+define("embed_rule_pages", f"SELECT page_id, concat(html, coalesce({_sample(1)}, '')) AS html FROM {{pages}}")
 
 
 @query("C16_embed_rules", oracle(f"""
 SELECT page_id, 0 AS pos, {_sample(0)} AS extractor_key, {_sample(2)} AS url FROM {{pages}} WHERE page_id % {len(EMBED_SAMPLES) + 1} < {len(EMBED_SAMPLES)}"""))
 def _(t):
-    return em.find_embeds(t["player_pages"])
+    return em.find_embeds(t["embed_rule_pages"])
 
 
 LINKS = """concat(CASE WHEN page_id % 5 = 0 THEN concat('<script>x flashvars: "a=1&file=http://f.example.com/', page_id, '.png"</script>') ELSE '' END,

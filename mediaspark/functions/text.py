@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html.entities
+from decimal import Decimal
 
 from pyspark.sql import Column, functions as F
 
@@ -11,7 +12,8 @@ SIZE_UNITS = ["B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB", "ZiB", "YiB"]
 
 def human_bytes(n: Column) -> Column:
     """``12.34MiB`` style size, ``N/A`` for null."""
-    power = sum((F.when(n >= 1024 ** k, 1).otherwise(0) for k in range(1, 7)), F.lit(0))
+    # Powers beyond the range of bigint are decimals.
+    power = sum((F.when(n >= (1024 ** k if k < 7 else Decimal(1024 ** k)), 1).otherwise(0) for k in range(1, len(SIZE_UNITS))), F.lit(0))
     unit = F.element_at(F.array(*[F.lit(u) for u in SIZE_UNITS]), power + 1)
     # Quotients by powers of 1024 have short exact decimals wherever half-way rounding matters.
     value = F.bround((n.cast("double") / F.pow(F.lit(1024.0), power)).cast("decimal(30,12)"), 2)

@@ -293,9 +293,9 @@ def release_assets(df: DataFrame, names: str = ".*") -> DataFrame:
 
 
 def release_traffic(df: DataFrame) -> DataFrame:
-    """Total bytes sent for all releases."""
+    """Total bytes sent for all releases (E15); a decimal, because the sum passes the range of bigint long before its terms do."""
     a = df.select(F.explode("assets").alias("a")).select("a.*")
-    total = F.sum(F.col("download_count") * F.col("size"))
+    total = F.sum(F.col("download_count").cast("decimal(19,0)") * F.col("size").cast("decimal(19,0)")).cast("decimal(38,0)")
     return a.agg(total.alias("total_bytes"), tx.human_bytes(total).alias("total_text"))
 
 

@@ -35,3 +35,17 @@ def test_player_pages_hold_players(spark):
     assert {(r.page_id, r.url) for r in em.player_tracks(items).collect()} == {(0, "https://e.example.com/en.vtt")}
     assert em.player_formats(items).filter("page_id = 2").first().route == "mpd"
     assert em.find_embeds(t["embed_rule_pages"]).filter("page_id = 1").first().extractor_key == "Vimeo"
+
+
+def test_release_traffic_beyond_bigint(spark):
+    from mediaspark.operators import records as rc
+    kind = "tag string, assets array<struct<name:string,size:bigint,download_count:bigint>>"
+    big = 2**62
+    rows = [(str(i), [("a", big, 3 + i), ("b", None, 1)]) for i in range(3)] + [("x", None)]
+    got = rc.release_traffic(spark.createDataFrame(rows, kind)).first()
+    assert (int(got.total_bytes), got.total_text) == (big * 12, "48.00EiB")
+    assert rc.release_traffic(spark.createDataFrame([("t", [("a", big, 2048)])], kind)).first().total_text == "8.00ZiB"
+    orders = lambda n: Given(spark, orders=spark.createDataFrame([(n, n)], "o_orderkey bigint, o_custkey bigint"))
+    from mediaspark.registry import records as registered
+    few = rc.release_traffic(registered._releases(orders(5))).first()
+    assert (int(few.total_bytes), few.total_text) == ((5 * 7919 + 512) * 5 + 2 * 1015, "197.82KiB")

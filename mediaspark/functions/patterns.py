@@ -102,5 +102,52 @@ def required(pattern: str, least: int) -> list[list[str]]:
     return found
 
 
+#: Odd base of the rolling hash, and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
+
+
+def piece_keys(texts: list[bytes], gram: int, literal: bool = False):
+    """(number of the text, key) of the pieces of lower-case texts: every ``gram`` bytes, and from every byte up to the next sign
+    (no letter or digit), if that is longer. A literal has its whole words up to a sign, and what lies outside of them in ``gram`` bytes; a text that
+    holds the literal has all of these pieces, whatever stands around it. The keys are 64-bit hashes."""
+    import numpy as np
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    n, sizes = len(data), np.array([len(t) for t in texts], np.int64)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    stops = np.cumsum(sizes)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    stop = stops[row]
+    at = np.arange(n)
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)])
+    sign = ~(((data >= 48) & (data <= 57)) | ((data >= 97) & (data <= 122)))
+    following = np.minimum.accumulate(np.where(sign, at, n)[::-1])[::-1]
+    runs = (following < stop) & (following + 1 - at > gram)
+    grams = at + gram <= stop
+    if literal:
+        starts = np.ones(n, bool)
+        starts[1:] = sign[:-1] | (row[1:] != row[:-1])
+        # Where the word of each byte starts; grams inside a word with its sign say less than the word.
+        begin = np.maximum.accumulate(np.where(starts, at, 0))
+        grams &= ~(runs[begin] & (at + gram <= following + 1))
+        runs &= starts
+    first = np.concatenate([np.flatnonzero(grams), np.flatnonzero(runs)])
+    end = np.concatenate([at[grams] + gram, following[runs] + 1])
+    key = (sums[end] - sums[first]) * down[first]
+    key ^= key >> np.uint64(33)
+    key *= np.uint64(0xFF51AFD7ED558CCD)
+    return row[first], key ^ key >> np.uint64(33)
+
+
+def sketch_places(key, bits: int):
+    """Two places of a key in a sketch of ``2**bits`` bits."""
+    import numpy as np
+    return key >> np.uint64(64 - bits), (key * np.uint64(_BASE)) >> np.uint64(64 - bits)
+
+
 # The workers get these functions with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,26 +1,28 @@
 """Routing of URLs over a catalogue of patterns of any size.
 
 A pattern can only match a URL that holds its literal texts. The catalogue becomes an inverted index: every pattern is listed under one
-short piece (``GRAM`` characters) of a literal that it needs, or under one for each alternative; of all pieces it could take, those that the
-fewest patterns of the catalogue hold. URLs are cut into the same pieces and joined to the index, so a URL meets only patterns that it shares a rare
-piece with, however many there are. The few patterns that need no literal are listed under the empty piece, which every URL has. What
+piece of a literal that it needs, or under one for each alternative; of all pieces it could take, those that the fewest patterns of the catalogue
+hold. A piece is a word up to the sign behind it, or ``GRAM`` bytes. URLs are cut into the same pieces and joined to the index, so a URL meets only
+patterns that it shares a rare piece with, however many there are. Pieces that no pattern is listed under are dropped before the shuffle, by a filter of
+bounded size. The few patterns that need no literal are tried on every URL, or on every URL of the host they name. What
 matches is reduced to the smallest ``ord`` of each URL, on the map side first.
 
-The catalogue stays a table: nothing of it passes through the driver or becomes part of the plan. Spark broadcasts the index if the written
-table is small, and shuffles by the piece otherwise. Equal URLs are tried once.
+The catalogue stays a table: nothing of it but that filter passes through the driver, and nothing becomes part of the plan. Spark broadcasts the index if
+the written table is small, and shuffles by the piece otherwise. Equal URLs are tried once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import patterns, urls as ux
 from ..session import scratch_path
 
-#: Characters of a piece.
+#: Bytes of a short piece.
 GRAM = 5
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bits of the filter of pieces that is broadcast, as a power of two: 32 MB.
+MOST_BITS = 28
 
 
 def _saved(df: DataFrame, name: str) -> DataFrame:
@@ -29,12 +31,6 @@ def _saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _grams(text: Column) -> Column:
-    """All pieces of a text, each once."""
-    n = F.length(text) - (GRAM - 1)
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
-
-
 def analysed(catalog: DataFrame) -> DataFrame:
     """``catalog`` with ``java`` (the pattern in Java's dialect, at the start of a text), ``id_group`` and ``clauses`` of required literals."""
     least = GRAM
@@ -52,23 +48,74 @@ def analysed(catalog: DataFrame) -> DataFrame:
     return catalog.mapInArrow(analyse, schema)
 
 
-def index(rules: DataFrame, prefilter: bool = False) -> DataFrame:
-    """``piece``, ``ord``, ``java``: each pattern under the pieces that lead to it.
+def index(rules: DataFrame) -> DataFrame:
+    """``piece`` (its key), ``ord``, ``java``, ``host``: each pattern under the pieces that lead to it; a pattern without a literal has no piece."""
+    gram, piece_keys = GRAM, patterns.piece_keys
 
-    With ``prefilter`` a pattern that names its host (``host_token``, the last two labels) is listed under that host alone.
-    """
-    own = rules.select("ord", "java", "clauses", (F.col("host_token") if prefilter else F.lit(None).cast("string")).alias("host"))
-    hosts = own.filter(F.length("host") > 0).select(F.concat(F.lit("host "), "host").alias("piece"), "ord", "java")
-    own = own.filter(F.coalesce(F.length("host"), F.lit(0)) == 0)
-    parts = (own.select("ord", F.posexplode("clauses").alias("clause", "texts")).select("ord", "clause", F.posexplode("texts").alias("text_no", "text"))
-             .select("ord", "clause", "text_no", F.explode(_grams(F.col("text"))).alias("piece")))
-    # How many patterns hold a piece; the best piece of each literal, the clause whose pieces lead to the fewest patterns.
-    common = parts.groupBy("piece").agg(F.count_distinct("ord").alias("n"))
+    def cut(batches):
+        import numpy as np
+        import pyarrow as pa
+        for b in batches:
+            row, key = piece_keys([x.encode() for x in b.column("text").to_pylist()], gram, literal=True)
+            cols = [b.column(i).take(pa.array(row)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(key.view(np.int64))], ["ord", "clause", "text_no", "piece"])
+
+    own = rules.select("ord", "java", "clauses", "host")
+    texts = own.select("ord", F.posexplode("clauses").alias("clause", "texts")).select("ord", "clause", F.posexplode("texts").alias("text_no", "text"))
+    parts = texts.mapInArrow(cut, StructType([texts.schema["ord"], *StructType.fromDDL("clause int, text_no int, piece bigint").fields]))
+    # How often the catalogue holds a piece; the best piece of each literal, the clause whose pieces lead to the fewest patterns.
+    common = parts.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
     best = parts.join(common, "piece").groupBy("ord", "clause", "text_no").agg(F.min(F.struct("n", "piece")).alias("b"))
     clause = best.groupBy("ord", "clause").agg(F.sum("b.n").alias("n"), F.collect_set("b.piece").alias("pieces"))
     chosen = clause.groupBy("ord").agg(F.min(F.struct("n", "clause", F.sort_array("pieces").alias("pieces"))).alias("c"))
-    listed = own.join(chosen, "ord", "left").select(F.explode(F.coalesce("c.pieces", F.array(F.lit("")))).alias("piece"), "ord", "java")
-    return listed.unionByName(hosts)
+    return own.join(chosen, "ord", "left").select(F.explode_outer("c.pieces").alias("piece"), "ord", "java", "host")
+
+
+def _sketch(pieces: DataFrame):
+    """Bits of a filter of the pieces and its size as a power of two. Only the filter reaches the driver: 16 to 32 bits a piece, at most ``MOST_BITS``."""
+    import numpy as np
+    n = pieces.count()
+    bits = min(max(16, (16 * n).bit_length()), MOST_BITS)
+    places = patterns.sketch_places
+
+    def cells(batches):
+        import numpy as np
+        import pyarrow as pa
+        for b in batches:
+            at = np.concatenate(places(np.array(b.column("piece")).view(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["cell", "bit"])
+
+    told = pieces.mapInArrow(cells, "cell bigint, bit bigint").groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[told.column("cell").to_numpy()] = told.column("bits").to_numpy().view(np.uint64)
+    return out, bits
+
+
+def _met(each: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``__url`` and ``piece`` of the pieces of each URL that may be in the index; the others never leave their task."""
+    sketch, bits = _sketch(pieces)
+    shared = each.sparkSession.sparkContext.broadcast(sketch)
+    gram, piece_keys, places = GRAM, patterns.piece_keys, patterns.sketch_places
+
+    def meet(batches):
+        import numpy as np
+        import pyarrow as pa
+        cells = shared.value
+        held = lambda at: cells[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) > 0
+        for whole in batches:
+            urls = whole.column("__url")
+            texts = [u.encode("utf-8", "surrogatepass").lower() for u in urls.to_pylist()]
+            # About a million bytes at a time; bytes.lower changes A-Z only.
+            part = np.cumsum([len(x) for x in texts]) // 1_000_000
+            for k in np.unique(part):
+                at = np.flatnonzero(part == k)
+                row, key = piece_keys([texts[i] for i in at], gram)
+                a, b = places(key, bits)
+                keep = held(a) & held(b)
+                pair = np.unique(np.stack([at[row[keep]].astype(np.uint64), key[keep]]), axis=1)
+                yield pa.RecordBatch.from_arrays([urls.take(pa.array(pair[0].astype(np.int64))), pa.array(pair[1].view(np.int64))], ["__url", "piece"])
+
+    return each.mapInArrow(meet, "__url string, piece bigint")
 
 
 def route(urls: DataFrame, catalog: DataFrame, col: str = "url", prefilter: bool = False) -> DataFrame:
@@ -78,15 +125,20 @@ def route(urls: DataFrame, catalog: DataFrame, col: str = "url", prefilter: bool
     pattern's ``id`` group; null without one, empty if it took no part). With ``prefilter`` a pattern that names its host is only tried on URLs of that host.
     """
     own = ["ord", "extractor_key", "url_regex", *["host_token"] * prefilter]
-    rules = _saved(analysed(catalog.select(*own)), "routes")
-    lists = _saved(index(rules, prefilter), "routes-index")
+    named = F.nullif("host_token", F.lit("")) if prefilter else F.lit(None).cast("string")
+    rules = _saved(analysed(catalog.select(*own)).withColumn("host", named), "routes")
+    lists = _saved(index(rules), "routes-index")
     each = urls.select(F.col(col).alias("__url")).filter("__url IS NOT NULL").distinct()
-    low = F.translate("__url", _UPPER, _LOWER)
-    pieces = F.concat(_grams(low), F.array(F.lit("")))
+    host = F.substring_index(ux.host(F.col("__url")), ".", -2)
+    listed = lists.filter("piece IS NOT NULL")
+    met = _met(each, listed.select("piece")).join(listed, "piece").drop("piece")
+    # Patterns that need no literal: those of a host by the host, the others on every URL.
+    rest = lists.filter("piece IS NULL").drop("piece")
+    free = each.crossJoin(rest.filter("host IS NULL"))
     if prefilter:
-        host = F.substring_index(ux.host(F.col("__url")), ".", -2)
-        pieces = F.concat(pieces, F.array(F.concat(F.lit("host "), F.coalesce(host, F.lit("")))))
-    met = each.select("__url", F.explode(pieces).alias("piece")).join(lists, "piece")
+        met = met.filter(F.col("host").isNull() | (F.col("host") == host))
+        free = free.unionByName(each.withColumn("__host", host).join(rest.filter("host IS NOT NULL"), F.col("__host") == F.col("host")).drop("__host"))
+    met = met.unionByName(free)
     first = met.filter(F.expr("__url RLIKE java")).groupBy("__url").agg(F.min("ord").alias("ord"))
     won = rules.select("ord", "extractor_key", "java", "id_group")
     media_id = F.when(F.col("id_group") > 0, F.expr("regexp_extract(__url, java, id_group)"))

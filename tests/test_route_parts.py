@@ -63,3 +63,33 @@ def test_100_000_patterns_in_one_pass(spark):
     for r in rows:
         h, i = map(int, re.findall(r"\d+", r.url))
         assert (r.ord, r.extractor_key, r.media_id) == ((h, f"k{h}", str(i)) if h < n else (None, None, None))
+
+
+def test_patterns_of_one_host_stand_apart(spark):
+    """A host that all patterns name does not make every URL of it meet every pattern, and numbers of any length keep the patterns apart."""
+    n = 30_000
+    cat = spark.range(n).selectExpr("CAST(id AS INT) AS ord", "concat('k', id) AS extractor_key",
+                                    "concat('https?://(?:www[.])?shop', 1000000 + id, '[.]example[.]net/(?:watch|v)/(?P<id>[0-9]+)') AS url_regex", "'example.net' AS host_token")
+    rules = routing.analysed(cat).withColumnRenamed("host_token", "host")
+    listed = routing.index(rules).groupBy("piece").count()
+    assert listed.filter("piece IS NULL").count() == 0 and listed.agg({"count": "max"}).first()[0] <= 2
+
+
+def test_pieces_of_a_literal_are_in_every_text_that_holds_it():
+    from mediaspark.functions.patterns import piece_keys
+    rng = random.Random(5)
+    word = lambda k: "".join(rng.choice("ab1./-é") for _ in range(rng.randrange(k)))
+    for _ in range(200):
+        literals = [w.encode() for w in (word(20).replace("é", "e") for _ in range(5)) if len(w) >= 5]
+        texts = [word(9).encode() + x + word(9).encode() for x in literals]
+        if literals:
+            (a, k), (b, m) = piece_keys(literals, 5, literal=True), piece_keys(texts, 5)
+            assert set(a) == set(range(len(literals))) and set(zip(a, k)) <= set(zip(b, m))
+
+
+def test_host_patterns_without_a_literal(spark):
+    catalog = [(0, "a", r"https?://[a-z.]+/(?P<id>\d+)", "one.net"), (1, "b", r"https?://\w+\.one\.net/", "one.net"), (2, "c", ".*", None), (3, "d", "x", "")]
+    urls = ["http://a.one.net/5", "http://a.one.net/x", "http://a.two.net/5", "x", None]
+    cat = spark.createDataFrame(catalog, SCHEMA)
+    got = routing.route(spark.createDataFrame(list(enumerate(urls)), "n int, url string"), cat, prefilter=True).collect()
+    assert sorted((r.n, r.ord, r.media_id) for r in got) == [(0, 0, "5"), (1, 1, None), (2, 2, None), (3, 2, None), (4, None, None)]

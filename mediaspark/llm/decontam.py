@@ -14,6 +14,10 @@ Items of equal plain tokens are one class and stand in the result by its smalles
 shares one of the item's rarer windows of the same kind (plain, or with slots). If an item has none, its common windows stand for the class with the smallest
 id among those that hold them. So each window of a document leads to at most ``COMMON`` items, however many share it.
 
+With ``shared`` nothing is left out: every document is found that any item matches by all its windows. Items whose common windows are the same at the same
+distances are then one class for matches by these alone, and its shortest item makes the pairs (``shared_members`` tells the others); an item's own pairs
+come by its rarer windows as before. A window then leads to at most ``COMMON`` items and one for each different common part that it stands in.
+
 The work on documents is one pass; what is shuffled are matches only. A passage that a third of all documents hold is
 split by adaptive execution, because its windows are few keys of a small table. Nothing is collected but the bitmap.
 
@@ -199,19 +203,49 @@ def item_classes(items: DataFrame, item_id: str = "item_id", text: str = "text")
     return rows.join(rows.groupBy("key").agg(F.min("item_id").alias("class_id")), "key").select("item_id", "class_id")
 
 
-def _listed_windows(raw: DataFrame) -> DataFrame:
+def _listed_windows(raw: DataFrame, shared: bool = False) -> DataFrame:
     """Windows of the classes, each with ``rare``: whether it makes pairs by itself."""
     ids = raw.groupBy("key").agg(F.min("item_id").alias("item_id"))
     kind = F.size("slots") > 0
     rows = raw.drop("item_id").distinct().join(ids, "key").withColumn("slotted", kind)
     held = rows.groupBy("hash").agg(F.count_distinct("key").alias("n"), F.min(F.struct("item_id", "key")).alias("least"))
     rows = rows.join(held, "hash")
+    if shared:
+        stand = shared_parts(rows).filter("key = stands.key").select("key", F.lit(True).alias("stands"))
+        return rows.join(stand, "key", "left").withColumn("rare", (F.col("n") <= COMMON) | F.col("stands").isNotNull()).drop("n", "least", "stands", "slotted")
     own = rows.groupBy("key", "slotted").agg(F.min("n").alias("fewest"))
     rows = rows.join(own, ["key", "slotted"])
     alone = (F.col("fewest") > COMMON) & (F.col("least.key") == F.col("key"))
     return rows.withColumn("rare", (F.col("n") <= COMMON) | alone).drop("n", "least", "fewest", "slotted")
 
 
+def shared_parts(rows: DataFrame) -> DataFrame:
+    """``key``, ``item_id``, ``n_tokens`` of the classes whose common windows alone could make a match, and ``stands``: the class that stands for it there.
+
+    ``rows`` are windows of classes with ``n``, the number of classes that hold them. Classes with the same common windows at the same distances match the same
+    documents as far as these windows go, but for the share of their tokens: the shortest of them, which is the first to match, stands for all."""
+    common = rows.filter(F.col("n") > COMMON)
+    first = common.groupBy("key").agg(F.min("item_pos").alias("low"))
+    at = F.sort_array(F.collect_set(F.struct((F.col("item_pos") - F.col("low")).alias("at"), "hash", "size", "slots")))
+    parts = common.join(first, "key").groupBy("key", "item_id", "n_tokens").agg(at.alias("x"))
+    most = F.aggregate("x", F.struct(F.lit(0).alias("n"), F.lit(-1000000).alias("last")),
+                       lambda a, w: F.struct((a["n"] + F.least(w["size"], w["at"] - a["last"])).alias("n"), w["at"].alias("last")))["n"]
+    parts = parts.filter((most >= MIN_TOKENS) | (most >= MIN_SHARE * F.col("n_tokens"))).select("key", "item_id", "n_tokens", F.xxhash64("x").alias("part"), F.size("x").alias("k"))
+    stands = parts.groupBy("part", "k").agg(F.min(F.struct("n_tokens", "item_id", "key")).alias("stands"))
+    return parts.join(stands, ["part", "k"]).select("key", "item_id", "n_tokens", "stands")
+
+
+def shared_members(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """``item_id``, ``n_tokens`` and ``stands_for``: the members of the classes that stand for others where only common windows match (``shared=True``).
+
+    A document that the class ``item_id`` matches by common windows is matched by each of them of which ``covered`` is enough."""
+    raw = benchmark_windows(items, item_id, text)
+    ids = raw.groupBy("key").agg(F.min("item_id").alias("item_id"))
+    rows = raw.drop("item_id").distinct().join(ids, "key")
+    held = rows.groupBy("hash").agg(F.count_distinct("key").alias("n"))
+    return shared_parts(rows.join(held, "hash")).select(F.col("stands.item_id").alias("item_id"), F.col("item_id").alias("stands_for"), "n_tokens")
+
+
 def bitmap(hashes: DataFrame) -> np.ndarray:
     """Which top bits occur among the hashes; built by a grouped bit-or, so that only its fixed size reaches the driver."""
     at = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
@@ -276,10 +310,10 @@ def _matches(own: DataFrame, bench: DataFrame) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-                 item_text: str = "text") -> DataFrame:
+                 item_text: str = "text", shared: bool = False) -> DataFrame:
     """One row per contaminated document and item: ``doc_id``, ``th`` (hash of the text), ``item_id``, ``n_windows``, ``n_tokens``
-    (of the item), ``covered`` (of these), ``exact`` (no slot has another value)."""
-    bench = saved(_listed_windows(saved(benchmark_windows(items, item_id, item_text), "bench-raw")), "bench-windows")
+    (of the item), ``covered`` (of these), ``exact`` (no slot has another value). With ``shared`` common windows count by themselves, too."""
+    bench = saved(_listed_windows(saved(benchmark_windows(items, item_id, item_text), "bench-raw"), shared), "bench-windows")
     sizes = sorted(r[0] for r in bench.select("size").distinct().collect())  # at most WINDOW values
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_key(text).alias("th"), F.col(text).alias("text"))
     found = _matches(document_windows(docs, bitmap(bench.select("hash")), sizes), bench)

@@ -154,3 +154,22 @@ def test_bitmap_is_exact_on_its_bits(spark):
 def test_long_list_of_contaminated(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "MAX_BROADCAST_IDS", 0)
     assert decontam.clean(table(prepare(spark), [ITEM, FILL]), items(spark, ITEM)).collect()[0].text == FILL
+
+
+def test_shared_windows_count_for_the_class_that_stands(spark):
+    """A prompt of more items than a window may have: the document that holds it alone is found, by one item that stands for all."""
+    rng = random.Random(7)
+    prompt = "read the question below with care and then choose the one best answer"
+    own = [" ".join(prose(rng, 20 + i % 2, 3000)) for i in range(30)]
+    bench = items(spark, *[f"{prompt} {t}" for t in own], *[f"{t} {prompt}" for t in own[:15]])
+    texts = [f"{FILL} {prompt} {FILL}", f"{FILL} {prompt} {own[4]}", f"{FILL} {own[7]}", FILL]
+    docs = table(prepare(spark), texts)
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs, bench, shared=True).collect()}
+    # Wherever it stands in an item, the prompt is one part.
+    assert {d for d, _ in got} == {0, 1, 2} and [i for d, i in got if d == 0] == [0] and got[0, 0].covered == 13
+    assert got[1, 4].covered == got[1, 4].n_tokens == 33 and got[2, 7].covered == 21
+    members = decontam.shared_members(bench).collect()
+    assert {r.item_id for r in members} == {0} and {r.stands_for for r in members} == set(range(45))
+    assert [r.text for r in decontam.clean(docs, bench, shared=True).collect()] == [FILL]
+    # Without it the rule of common windows holds.
+    assert {r.doc_id for r in decontam.contaminated(docs, bench).collect()} == {1, 2}

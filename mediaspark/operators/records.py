@@ -243,7 +243,7 @@ def safe_names(df: DataFrame, col: str, restricted: bool = False) -> DataFrame:
 
 def autonumbered(df: DataFrame, order, start: int = 1) -> DataFrame:
     """Number all rows of a run in an explicit order; large runs are numbered slice by slice."""
-    out = skew.numbered(df.withColumn("__all", F.lit(0)), "__all", order, "autonumber").drop("__all")
+    out = skew.numbered_all(df, order, "autonumber")
     return out.withColumn("autonumber", F.col("autonumber") + (start - 1))
 
 

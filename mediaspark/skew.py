@@ -68,11 +68,11 @@ def split_hot(df: DataFrame, by, hot_rows: int | None = None, sizes: DataFrame |
     return cold, warm
 
 
-def _sliced(warm: DataFrame, by, order, hot_rows: int | None = None) -> DataFrame:
+def _sliced(warm: DataFrame, by, order, hot_rows: int | None = None, total: int | None = None) -> DataFrame:
     """Rows of hot groups range-sorted into slices of about ``hot_rows`` rows, with the order's columns as ``__o0``, ``__o1``, ..."""
     keyed = warm.drop("__n").withColumns({f"__o{i}": c for i, c in enumerate(order)})
     keys = [*by, *[f"__o{i}" for i in range(len(order))]]
-    slices = -(-warm.count() // (hot_rows or HOT_ROWS)) + 1
+    slices = -(-(warm.count() if total is None else total) // (hot_rows or HOT_ROWS)) + 1
     path = scratch_path(warm.sparkSession, "slices")
     keyed.repartitionByRange(slices, *keys).sortWithinPartitions(*keys).write.parquet(path)
     return warm.sparkSession.read.schema(keyed.schema).parquet(path).withColumn("__slice", F.col("_metadata.file_name"))
@@ -119,6 +119,17 @@ def numbered(df: DataFrame, by, order, out: str, hot_rows: int | None = None,
     return cold.unionByName(warm if upto is None else warm.filter(F.col(out) <= upto))
 
 
+def numbered_all(df: DataFrame, order, out: str, hot_rows: int | None = None) -> DataFrame:
+    """``numbered`` over all rows as one group: there are no other groups to look for, so many rows are read once for their number and once for the slices."""
+    df = df.withColumn("__all", F.lit(0))
+    total = df.count()
+    if total <= (HOT_ROWS if hot_rows is None else hot_rows):
+        return df.withColumn(out, F.row_number().over(W.partitionBy("__all").orderBy(*order)).cast("bigint")).drop("__all")
+    s = _with_offsets(_sliced(df, ["__all"], order, hot_rows, total), ["__all"], {"n": ("sum", F.count(F.lit(1)))})
+    ws = W.partitionBy("__all", "__slice").orderBy(*_places(s))
+    return s.withColumn(out, F.row_number().over(ws) + F.col("__off_n")).drop("__all", "__slice", "__off_n", *_places(s))
+
+
 def running(df: DataFrame, by, order, wanted: dict, hot_rows: int | None = None,
             sizes: DataFrame | None = None) -> DataFrame:
     """Running aggregates per group in the given ascending order.

@@ -11,6 +11,8 @@ VIDEO_EXTS = ["avi", "flv", "mkv", "mov", "mp4", "webm", "3g2", "3gp", "f4v", "m
 AUDIO_EXTS = ["aiff", "alac", "flac", "m4a", "mka", "mp3", "ogg", "opus", "wav", "aac", "ape", "asf", "f4a", "f4b",
               "m4b", "m4p", "m4r", "oga", "ogx", "spx", "vorbis", "wma", "weba"]
 MANIFEST_EXTS = ["f4f", "f4m", "m3u8", "smil", "mpd"]
+# For texts of ASCII letters only; the case mapping of all languages takes several times as long.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KNOWN_EXTS = VIDEO_EXTS + AUDIO_EXTS + MANIFEST_EXTS
 
 
@@ -40,7 +42,7 @@ def ext_of(url: Column, default: str | None = "unknown_video") -> Column:
 
 def scheme(url: Column) -> Column:
     """Lower-cased scheme, empty when there is none."""
-    return F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
+    return F.translate(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1), UPPER, LOWER)
 
 
 def protocol_of(protocol: Column, url: Column) -> Column:
@@ -91,7 +93,13 @@ def _tidy(parts: Column) -> Column:
 
 def resolve(base: Column, link: Column) -> Column:
     """Absolute form of a link on a page; null without a usable base or link."""
-    return let(pack(base=base, link=link), _resolve)
+    return let(pack(base=base, link=link), lambda p: F.coalesce(_beside(p), _resolve(p)))
+
+
+def _beside(pair: Column) -> Column:
+    """The usual case in two patterns: a plain path beside or below a page without query, and without dot segments; null for all others."""
+    joined = lambda folder: let(F.concat(folder, pair["link"]), lambda u: F.when((folder != "") & ~u.contains("/."), u))
+    return F.when(pair["link"].rlike(r"^[a-zA-Z0-9_][^:?#]*\z"), let(F.regexp_extract(pair["base"], r"^(https?://[^/?#\s]+/(?:[^?#\s]*/)?)[^/?#\s]*\z", 1), joined))
 
 
 def _resolve(pair: Column) -> Column:

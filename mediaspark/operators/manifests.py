@@ -29,13 +29,15 @@ _ISM = ("_IsLive string,_Duration bigint,_TimeScale bigint,Protection array<stru
 ISM_CODECS = ["H264", "AVC1", "AACL"]
 
 
-def _ism_tracks(manifests: DataFrame) -> DataFrame:
+def _ism_tracks(manifests: DataFrame, chunks: bool = False) -> DataFrame:
     x = manifests.select("manifest_id", "url", once(F.from_xml(fixed(F.col("body")), _ISM, XML_OPTIONS)).alias("x"))
     # Only the exact word TRUE marks a live stream; any Protection element closes the manifest.
     x = x.filter(~F.coalesce(F.col("x._IsLive") == "TRUE", F.lit(False)) & F.col("x.Protection").isNull())
     scale = F.coalesce(F.nullif("x._TimeScale", F.lit(0)), F.lit(10000000))
     s = x.select("manifest_id", "url", F.col("x._Duration").alias("total"), scale.alias("scale"), F.posexplode("x.StreamIndex").alias("stream_no", "s"))
     s = s.filter(F.col("s._Type").isin("video", "audio")).withColumn("scale", F.coalesce(F.nullif("s._TimeScale", F.lit(0)), F.col("scale")))
+    if chunks:  # the same for all tracks of a stream
+        s = s.withColumn("chunks", _ism_chunks(F.col("s.c"), F.col("total")))
     t = s.select("*", F.posexplode("s.QualityLevel").alias("track_no", "q"))
     fourcc = F.coalesce("q._FourCC", F.when(F.col("q._AudioTag") == "255", F.lit("AACL")))
     return t.withColumn("fourcc", fourcc).filter(fourcc.isin(ISM_CODECS)).withColumn("tbr", F.floor(F.col("q._Bitrate") / 1000).cast("bigint"))
@@ -78,14 +80,15 @@ def ism_segments(manifests: DataFrame) -> DataFrame:
     """Fragments of each quality level; a start of 0 or none continues, a missing duration fills up the total.
 
     The entries are placed within the row, once the XML is read; nothing is shuffled."""
-    t = _ism_tracks(manifests)
+    t = _ism_tracks(manifests, chunks=True)
     key = ["manifest_id", "stream_no", "track_no"]
     pattern = F.regexp_replace("s._Url", r"\{[Bb]itrate\}", F.col("q._Bitrate").cast("string"))
-    t = t.select(*key, "url", "scale", pattern.alias("pattern"), F.explode(_ism_chunks(F.col("s.c"), F.col("total"))).alias("c"))
-    c = t.select(*key, "url", "scale", "pattern", "c.*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c.rep") - 1)).alias("k"))
+    # Links are resolved once per track, before its fragments become rows.
+    t = t.select(*key, "scale", let(pack(base=F.col("url"), link=pattern), lambda p: F.coalesce(ux.resolve(p["base"], p["link"]), p["link"])).alias("full"), "chunks")
+    c = t.select(*key, "scale", "full", F.inline("chunks"))
+    c = c.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rep") - 1)).alias("k"))
     at = (F.col("start") + F.col("k") * F.col("len")).cast("bigint").cast("string")
-    full = F.coalesce(ux.resolve(F.col("url"), F.col("pattern")), F.col("pattern"))
-    return c.select(*key, (F.col("before") + F.col("k") + 1).alias("seq"), F.regexp_replace(full, r"\{start[ _]time\}", at).alias("url"),
+    return c.select(*key, (F.col("before") + F.col("k") + 1).alias("seq"), F.regexp_replace("full", r"\{start[ _]time\}", at).alias("url"),
                     (F.col("len") / F.col("scale")).alias("duration"))
 
 
@@ -233,8 +236,8 @@ def xspf_entries(manifests: DataFrame) -> DataFrame:
 
 def xspf_formats(manifests: DataFrame) -> DataFrame:
     """One rendition per location of a track; rank them with ``rank_formats``."""
-    d = xspf_tracks(manifests).select("manifest_id", "url", F.col("pos").alias("track"), F.posexplode("t.location").alias("pos", "l"))
-    full = ux.resolve(ux.base_url(F.col("url")), F.trim("l._VALUE"))
+    d = xspf_tracks(manifests).select("manifest_id", ux.base_url(F.col("url")).alias("base"), F.col("pos").alias("track"), F.posexplode("t.location").alias("pos", "l"))
+    full = ux.resolve(F.col("base"), F.trim("l._VALUE"))
     return d.select("manifest_id", "track", "pos", full.alias("url"), F.col("l._label").alias("format_id"),
                     F.col("l._width").try_cast("int").alias("width"), F.col("l._height").try_cast("int").alias("height")).filter(F.col("url").isNotNull())
 

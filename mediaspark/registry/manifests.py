@@ -15,20 +15,28 @@ SELECT *, concat(media_id, '-', rn // 200) AS manifest_id, CAST(rn % 200 AS INTE
 define("bw", "SELECT *, CAST(floor(coalesce(tbr, 0)) AS BIGINT) * 1000 + 500 AS bw, coalesce(height, 100) AS h FROM {mlines}")
 
 
+PART = ["media_id", "part"]
+
+
 def rows(t):
     f = skew.numbered(t["formats"], "media_id", [F.col("pos")], "rn", sizes=t["formats"]).withColumn("rn", F.col("rn") - 1)
-    f = f.withColumn("manifest_id", F.concat_ws("-", F.col("media_id").cast("string"), F.floor(F.col("rn") / 200).cast("string")))
+    f = f.withColumn("part", F.floor(F.col("rn") / 200)).withColumn("manifest_id", F.concat_ws("-", F.col("media_id").cast("string"), F.col("part").cast("string")))
     return f.withColumn("i", (F.col("rn") % 200).cast("int")).withColumn("bw", F.floor(F.coalesce("tbr", F.lit(0.0))).cast("bigint") * 1000 + 500) \
         .withColumn("h", F.coalesce("height", F.lit(100)))
 
 
+def gathered(d):
+    """The rows of each manifest as a sorted array ``x``. The item is part of the key, by which the rows are already spread: no further shuffle."""
+    g = d.groupBy(*PART).agg(F.sort_array(F.collect_list(F.struct("sec", "i", "line"))).alias("x"))
+    return g.withColumn("manifest_id", F.concat_ws("-", F.col("media_id").cast("string"), F.col("part").cast("string")))
+
+
 def text(t, name, line, head="", tail="", section=None, sep="\n", keep=None):
     """manifests(manifest_id, url, body): the lines of each manifest in order, between head and tail."""
     d = rows(t)
     d = d.filter(keep) if keep is not None else d
-    d = d.select("manifest_id", (section if section is not None else F.lit(0)).alias("sec"), "i", line.alias("line"))
-    g = d.groupBy("manifest_id").agg(F.array_sort(F.collect_list(F.struct("sec", "i", "line"))).alias("x"))
-    body = F.concat(F.lit(head), F.array_join(F.transform("x", lambda r: r["line"]), sep), F.lit(tail))
+    g = gathered(d.select(*PART, (section if section is not None else F.lit(0)).alias("sec"), "i", line.alias("line")))
+    body = F.concat(F.lit(head), F.array_join("x.line", sep), F.lit(tail))
     return g.select("manifest_id", F.concat(F.lit("https://m.example.com/v/"), "manifest_id", F.lit(f"/{name}")).alias("url"), body.alias("body"))
 
 
@@ -147,8 +155,7 @@ def dash_manifest(t):
       CASE {DASH_KIND} WHEN 0 THEN CASE WHEN i % 8 = 1 THEN concat('<SegmentList timescale="10" duration="20"><Initialization range="0-9"/><SegmentURL media="a', i, '.m4s" mediaRange="10-19"/><SegmentURL media="http://c.example.com/b.m4s" mediaRange="20-29"/></SegmentList>')
         WHEN i % 8 = 4 THEN '<SegmentTemplate duration="25"/>' ELSE concat('<SegmentTemplate><SegmentTimeline><S t="0" d="', i + 2, '" r="2"/><S d="5"/><S t="100" d="3"/></SegmentTimeline></SegmentTemplate>') END
         WHEN 1 THEN concat('<BaseURL yt:contentLength="', i * 10, '">a', i % 2, '.mp4</BaseURL>') WHEN 2 THEN concat('<BaseURL>t', i, '.vtt</BaseURL>') ELSE '' END, '</Representation>')""")
-    m = rows(t).select("manifest_id", S(DASH_KIND).alias("sec"), "i", rep.alias("line"))
-    g = m.groupBy("manifest_id").agg(F.array_sort(F.collect_list(F.struct("sec", "i", "line"))).alias("x"))
+    g = gathered(rows(t).select(*PART, S(DASH_KIND).alias("sec"), "i", rep.alias("line")))
     part = lambda n: F.array_join(F.transform(F.filter("x", lambda r: r["sec"] == n), lambda r: r["line"]), "")
     body = F.concat(
         F.lit(DASH_HEAD + '<AdaptationSet mimeType="video/mp4"><SegmentTemplate timescale="10" startNumber="3" media="$RepresentationID$/$Number%05d$-$Time$-$Bandwidth$.m4s" initialization="$RepresentationID$/init-$Bandwidth$.mp4"/>'), part(0),

@@ -49,3 +49,39 @@ def test_release_traffic_beyond_bigint(spark):
     from mediaspark.registry import records as registered
     few = rc.release_traffic(registered._releases(orders(5))).first()
     assert (int(few.total_bytes), few.total_text) == ((5 * 7919 + 512) * 5 + 2 * 1015, "197.82KiB")
+
+
+FORMATS = ("media_id bigint, pos bigint, format_id string, url string, ext string, vcodec string, acodec string, tbr double, height int, filesize bigint, "
+           "protocol string, preference int")
+
+
+def test_manifests_are_made_with_one_shuffle(spark):
+    from mediaspark.registry import manifests as registered
+    rows = [(m, p, f"f{p}", "u", "mp4", None, None, 10.0 + p, 100, 1, "http", None) for m in (1, 2, None) for p in range(450)]
+    t = Given(spark, formats=spark.createDataFrame(rows, FORMATS))
+    made = registered.xspf_manifest(t)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {r.manifest_id: r.body for r in made.collect()}
+    assert set(got) == {f"{m}{k}" for m in ("1-", "2-", "") for k in range(3)} and got["1-2"].count("<track>") == 50
+    assert got["2-1"].index(">a0.mp3<") < got["2-1"].index(">a9.mp3<") < got["2-1"].index(">a10.mp3<") < got["2-1"].index(">a199.mp3<")
+
+
+def test_plain_links_resolve_as_all_links_do(spark):
+    from pyspark.sql import functions as F
+    from mediaspark.functions import urls as ux
+    from mediaspark.functions.core import let, pack
+    bases = ["http://h.e/a/b.html", "https://h.e/", "http://h.e", "//h.e/a/b", "http://h.e/a/./b/c", "http://h.e/a/b?q=1", "http://h.e/a#f", "mailto:x", "", None, "http://h.e/a b/c", "HTTP://h.e/a/b"]
+    links = ["x.m3u8", "s/x.ts", "../x", "a/../b", "a/.x", "/x", "//c.e/x", "?q", "#f", "x?y=1", "x#f", "x:y", "http://c.e/x", "", None, "~x", "1", "é", "x\n", "a b"]
+    d = spark.createDataFrame([(b, l) for b in bases for l in links], "base string, link string")
+    plain, all_ = ux.resolve(F.col("base"), F.col("link")), let(pack(base=F.col("base"), link=F.col("link")), ux._resolve)
+    assert [r for r in d.select("base", "link", plain.alias("a"), all_.alias("b")).collect() if r.a != r.b] == []
+
+
+def test_all_rows_are_numbered_without_a_search_for_other_groups(spark):
+    from pyspark.sql import functions as F
+    from mediaspark import skew
+    d = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"))
+    for hot in (10, 300, 1000):
+        out = skew.numbered_all(d, [F.col("v")], "n", hot)
+        assert out.columns == ["v", "n"] and "LeftAnti" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.v, r.n) for r in out.collect()) == [(i, i + 1) for i in range(1000)]

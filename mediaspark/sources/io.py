@@ -41,12 +41,24 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Options for writing very many small files: in a local or mounted folder no checksum file beside each, as Hadoop starts a process
+#: for every file that it creates there without its native library. They change nothing for other stores.
+MANY_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: Tasks a core that read a folder of manifests, at most.
+READ_TASKS = 32
+
+
 def read_manifests(spark: SparkSession, path: str, base: str = "") -> DataFrame:
-    """One row per manifest file: its path as id, and ``base`` with the file's name as URL."""
+    """One row per manifest file: its path as id, and ``base`` with the file's name as URL.
+
+    Spark gives a task a few files only, however small they are; beyond ``READ_TASKS`` tasks a core they are put together.
+    """
     name = F.col("_metadata.file_path")
     d = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    return d.select(name.alias("manifest_id"), F.concat(F.lit(base), F.regexp_extract(name, r"([^/]+)$", 1)).alias("url"),
-                    F.col("value").alias("body"))
+    d = d.select(name.alias("manifest_id"), F.concat(F.lit(base), F.regexp_extract(name, r"([^/]+)$", 1)).alias("url"),
+                 F.col("value").alias("body"))
+    most = READ_TASKS * spark.sparkContext.defaultParallelism
+    return d.coalesce(most) if d.rdd.getNumPartitions() > most else d
 
 
 def write_packed_manifests(manifests: DataFrame, path: str) -> None:

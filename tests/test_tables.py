@@ -85,3 +85,33 @@ def test_all_rows_are_numbered_without_a_search_for_other_groups(spark):
         out = skew.numbered_all(d, [F.col("v")], "n", hot)
         assert out.columns == ["v", "n"] and "LeftAnti" not in out._jdf.queryExecution().executedPlan().toString()
         assert sorted((r.v, r.n) for r in out.collect()) == [(i, i + 1) for i in range(1000)]
+
+
+def test_manifests_of_one_task_share_a_folder(spark, tmp_path):
+    """The commit of a folder of manifests moves one folder a task, not one a manifest; rows of one number are one file."""
+    from pathlib import Path
+    from mediaspark import session
+    rows = [(i, f"S {i}") for i in range(200)] + [(7, "S 7")]
+    spark.createDataFrame(rows, "s_suppkey bigint, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = entry.queries()["A04_read_manifests"](spark, str(tmp_path)).collect()
+    one = lambda i: f"#EXTM3U\nS {i}.ts\n"
+    assert sorted((r.no, r.body) for r in got) == [(i, one(i) * (2 if i == 7 else 1)) for i in range(200)]
+    path = Path(session._made[spark.sparkContext.applicationId][-1].removeprefix("file:"))
+    assert 1 < len([d for d in path.iterdir() if d.is_dir()]) <= 8 * spark.sparkContext.defaultParallelism
+    assert not list(path.rglob(".part*.crc"))
+
+
+def test_many_small_manifests_are_read_by_few_tasks(spark, tmp_path):
+    from mediaspark.sources import io
+    n = io.READ_TASKS * spark.sparkContext.defaultParallelism + 40
+    for i in range(n):
+        (tmp_path / f"{i}.m3u8").write_text(f"#EXTM3U\n{i}.ts\n")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        d = io.read_manifests(spark, str(tmp_path), "https://m.example.com/")
+        assert d.rdd.getNumPartitions() < n
+        rows = d.collect()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert sorted((r.url, r.body) for r in rows) == sorted((f"https://m.example.com/{i}.m3u8", f"#EXTM3U\n{i}.ts\n") for i in range(n))

@@ -132,8 +132,9 @@ def route(urls: DataFrame, catalog: DataFrame, col: str = "url", prefilter: bool
     host = F.substring_index(ux.host(F.col("__url")), ".", -2)
     listed = lists.filter("piece IS NOT NULL")
     met = _met(each, listed.select("piece")).join(listed, "piece").drop("piece")
-    # Patterns that need no literal: those of a host by the host, the others on every URL.
-    rest = lists.filter("piece IS NULL").drop("piece")
+    # Patterns that need no literal: those of a host by the host, the others on every URL. They are a table of their own, so that Spark knows how few they
+    # are; as a part of the index they would be read in as many parts as the index has, and all URLs once for each.
+    rest = _saved(lists.filter("piece IS NULL").drop("piece"), "routes-free")
     free = each.crossJoin(rest.filter("host IS NULL"))
     if prefilter:
         met = met.filter(F.col("host").isNull() | (F.col("host") == host))

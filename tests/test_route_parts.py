@@ -93,3 +93,24 @@ def test_host_patterns_without_a_literal(spark):
     cat = spark.createDataFrame(catalog, SCHEMA)
     got = routing.route(spark.createDataFrame(list(enumerate(urls)), "n int, url string"), cat, prefilter=True).collect()
     assert sorted((r.n, r.ord, r.media_id) for r in got) == [(0, 0, "5"), (1, 1, None), (2, 2, None), (3, 2, None), (4, None, None)]
+
+
+def test_urls_meet_a_catch_all_once(spark):
+    """A few patterns without a literal are sent to the URLs; these are not read again for each part of an index beyond the size of a broadcast."""
+    n = 20_000
+    cat = spark.range(0, n, 1, 8).selectExpr("CAST(id AS INT) AS ord", "concat('k', id) AS extractor_key", "concat('https?://h', id, '[.]example[.]com/') AS url_regex", "CAST(NULL AS STRING) AS host_token")
+    cat = cat.unionByName(spark.createDataFrame([(n, "Generic", ".*", None)], SCHEMA))
+    urls = spark.range(20_000).selectExpr("concat('http://h', id * 2, '.example.com/', id) AS url")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        out = routing.route(urls, cat)
+        rows = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" in plan
+    assert len(rows) == 20_000
+    for r in rows:
+        h = int(re.findall(r"\d+", r.url)[0])
+        assert (r.ord, r.extractor_key) == ((h, f"k{h}") if h < n else (n, "Generic"))

@@ -75,20 +75,27 @@ def representations(manifests: DataFrame, mpd_id: str | None = None) -> DataFram
     r = r.withColumn("b3", _join_base(F.col("b2"), F.col("r")))
     info = {k: F.coalesce(c, F.col("ia")[k]) for k, c in _segment_info(F.col("r"), F.col("b3")).items()}
     at = lambda n: F.coalesce(F.col(f"r.{n}"), F.col(f"a.{n}"))
-    out = r.select(
-        "manifest_id", F.col("url").alias("manifest_url"), "period", "set_no", "rep_no", F.col("b3").alias("base_url"),
-        F.col("total").alias("period_duration"),
-        at("_mimeType").alias("mime_type"), at("_contentType").alias("content_type"), vx.codecs(F.nullif(at("_codecs"), F.lit(""))).alias("cs"),
-        at("_id").alias("rep_id"), at("_lang").alias("lang"), at("_bandwidth").alias("bandwidth"), at("_width").alias("width"),
-        at("_height").alias("height"), at("_audioSamplingRate").alias("asr"), at("_frameRate").try_cast("int").alias("fps"),
-        F.try_element_at("r.BaseURL", F.lit(1))["_contentLength"].alias("filesize"),
-        *[F.coalesce(c, F.lit(1)).alias(k) if k in ("start_number", "timescale") else c.alias(k) for k, c in info.items()])
-    mime, ct = F.col("mime_type"), F.coalesce(F.nullif("content_type", F.lit("")), F.substring_index("mime_type", "/", 1))
+    mime, ct = at("_mimeType"), at("_contentType")
+    codec_text = F.nullif(at("_codecs"), F.lit(""))
     known = lambda c: F.coalesce(c, F.lit("none")) != "none"
-    kind = (F.when(ct.isin("video", "audio", "text"), ct).when(mime == "image/jpeg", mime).when(known(F.col("cs.vcodec")), F.lit("video"))
-            .when(known(F.col("cs.acodec")), F.lit("audio")).when(mime == "application/x-rawcc", F.lit("text"))
-            .when(vx.mime_ext(mime).isin("tt", "dfxp", "ttml", "xml", "json"), F.lit("text")))
-    out = out.withColumn("content_type", kind).filter(F.col("content_type").isNotNull())
+
+    def kind(p):
+        mime = p["mime"]
+        ct = F.coalesce(F.nullif(p["ct"], F.lit("")), F.substring_index(mime, "/", 1))
+        told = lambda: let(vx.codecs(p["codecs"]), lambda cs: F.when(known(cs["vcodec"]), F.lit("video")).when(known(cs["acodec"]), F.lit("audio")))
+        # Codecs are read only where nothing else tells the kind.
+        return (F.when(ct.isin("video", "audio", "text"), ct).when(mime == "image/jpeg", mime)
+                .otherwise(F.coalesce(told(), F.when((mime == "application/x-rawcc") | vx.mime_ext(mime).isin("tt", "dfxp", "ttml", "xml", "json"), F.lit("text")))))
+    # All is worked out once per representation; what is filtered by it later is not worked out again for the filter.
+    x = pack(base_url=F.col("b3"), period_duration=F.col("total"), mime_type=mime, content_type=let(pack(mime=mime, ct=ct, codecs=codec_text), kind), codecs=codec_text,
+             rep_id=at("_id"), lang=at("_lang"), bandwidth=at("_bandwidth"), width=at("_width"), height=at("_height"), asr=at("_audioSamplingRate"),
+             fps=at("_frameRate").try_cast("int"), filesize=F.try_element_at("r.BaseURL", F.lit(1))["_contentLength"],
+             **{k: F.coalesce(c, F.lit(1)) if k in ("start_number", "timescale") else c for k, c in info.items()})
+    out = r.select("manifest_id", F.col("url").alias("manifest_url"), "period", "set_no", "rep_no", x.alias("x"))
+    # A generator would interpret the expression, so it gets the column that a compiled projection has made.
+    out = out.select("manifest_id", "manifest_url", "period", "set_no", "rep_no", once(F.col("x")).alias("x"))
+    out = out.select("manifest_id", "manifest_url", "period", "set_no", "rep_no", "x.*").filter(F.col("content_type").isNotNull())
+    out = out.withColumn("cs", vx.codecs(F.col("codecs"))).drop("codecs")
     fragmented = F.col("urls").isNotNull() | F.col("media").isNotNull()
     fid = F.concat_ws("-", F.lit(mpd_id).cast("string"), F.col("rep_id")) if mpd_id else F.col("rep_id")
     storyboard = F.concat_ws("-", F.coalesce(F.col("rep_id"), F.col("content_type")), F.lit(mpd_id).cast("string"))
@@ -132,6 +139,20 @@ def template(text: Column, rep_id: Column, bandwidth: Column, number: Column | N
     return out
 
 
+def _filled(df: DataFrame, col: str, number: Column, time: Column, timed: Column) -> DataFrame:
+    """``template`` in steps of plain columns, which Spark compiles; a function over an array it would interpret. Rows that are not ``timed`` keep their ``$Time$``."""
+    df = df.withColumns({col: F.replace(F.col(col), F.lit("$RepresentationID$"), F.col("rep_id")), "__number": number, "__time": time})
+    for name, value in (("Number", "__number"), ("Bandwidth", "bandwidth"), ("Time", "__time")):
+        full = _fill(name)({"t": F.col(col), "v": F.col("__v")})
+        df = df.withColumn("__v", F.coalesce(F.col(value).cast("string"), F.lit("")))
+        df = df.withColumn(col, F.when(timed, full).otherwise(F.col(col)) if name == "Time" else full)
+    return df.drop("__v", "__number", "__time")
+
+
+def _or_null(c: Column | None, kind: str) -> Column:
+    return (F.lit(None) if c is None else c).cast(kind)
+
+
 def _fill(name):
     def fill(p):
         text, shown = p["t"], p["v"]
@@ -166,35 +187,41 @@ def _timeline(s: Column) -> Column:
 
 
 def dash_segments(manifests: DataFrame) -> DataFrame:
-    """All segments of fragmented representations, initialisation (``seq`` 0) first."""
+    """All segments of fragmented representations, initialisation (``seq`` 0) first.
+
+    Within the row segments are only numbers, and addresses that the manifest states; templates are filled once segments are rows, by plain columns.
+    """
     out = [*_KEY, "format_id", "seq", "location", "duration", "range"]
-    row = lambda seq, loc, dur, rng: pack(seq=seq.cast("bigint"), location=loc, duration=dur.cast("double"), range=rng)
-    none = F.lit(None)
+    row = lambda seq, at=None, dur=None, loc=None, rng=None: pack(
+        seq=seq.cast("bigint"), at=_or_null(at, "bigint"), duration=_or_null(dur, "double"), location=_or_null(loc, "string"), range=_or_null(rng, "string"))
     # Everything comes from one reading of the XML, within the row: initialisation, numbered templates, lists, timelines.
     r = representations(manifests).filter("fragmented")
-    seg_len = F.col("segment_duration") / F.col("timescale")
     rep, bw = F.col("rep_id"), F.col("bandwidth")
     name = F.coalesce(template(F.col("init_template"), rep, bw), F.col("init_url"), F.col("base_url"))
-    init = F.when(F.coalesce("init_template", "init_url", "init_range").isNotNull(), F.array(row(F.lit(0), name, none, F.col("init_range"))))
+    init = F.when(F.coalesce("init_template", "init_url", "init_range").isNotNull(), F.array(row(F.lit(0), loc=name, rng=F.col("init_range"))))
     total = F.ceil(F.col("period_duration") / F.col("seg_len"))
     # A numbered template without a timeline has as many segments as fit the period.
-    plain = F.when(total > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), total - 1), lambda k: row(
-        k + 1, template(F.col("media"), rep, bw, F.col("start_number") + k), F.col("seg_len"), none.cast("string"))))
+    plain = F.when(total > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), total - 1), lambda k: row(k + 1, dur=F.col("seg_len"))))
     # A list with ranges has only as many segments as there are ranges.
     pairs = F.when(F.col("ranges").isNotNull(), F.slice("urls", 1, F.least(F.size("urls"), F.size("ranges")))).otherwise(F.col("urls"))
-    lists = F.transform(pairs, lambda u, k: row(k + 1, u, F.col("seg_len"), F.try_element_at("ranges", k + 1)))
+    lists = F.transform(pairs, lambda u, k: row(k + 1, dur=F.col("seg_len"), loc=u, rng=F.try_element_at("ranges", k + 1)))
 
     def timeline(entries):
         # Entries with their place in time and in the order of segments. A timeline over listed URLs takes them in order.
         def segments(e):
             def segment(k):
                 seq = e["before"] + k + 1
-                named = template(F.col("media"), rep, bw, F.col("start_number") + seq - 1, e["start"] + k * e["d"])
-                return row(seq, F.when(F.col("urls").isNotNull(), F.get("urls", (seq - 1).cast("int"))).otherwise(named), e["d"] / F.col("timescale"), none.cast("string"))
+                return row(seq, e["start"] + k * e["d"], e["d"] / F.col("timescale"), F.when(F.col("urls").isNotNull(), F.get("urls", (seq - 1).cast("int"))))
             return F.transform(F.sequence(F.lit(0).cast("bigint"), e["again"]), segment)
         return F.flatten(F.transform(entries, segments))
     rest = F.when(F.col("s").isNull(), F.when(F.col("urls").isNotNull(), lists).otherwise(plain)).otherwise(let(_timeline(F.col("s")), timeline))
-    empty = F.filter(F.array(row(F.lit(0), none.cast("string"), none, none.cast("string"))), lambda x: F.lit(False))
-    all_ = r.withColumn("seg_len", seg_len).withColumn("segs", F.concat(F.coalesce(init, empty), F.coalesce(rest, empty)))
-    all_ = all_.select(*_KEY, "format_id", F.inline("segs")).select(*out)
-    return all_.withColumn("is_url", F.col("location").rlike("^https?://"))
+    empty = F.filter(F.array(row(F.lit(0))), lambda x: F.lit(False))
+    r = r.withColumn("seg_len", F.col("segment_duration") / F.col("timescale")).withColumns({"listed": F.col("urls").isNotNull(), "timed": F.col("s").isNotNull()})
+    keep = [*_KEY, "format_id", "listed", "timed", "media", "rep_id", "bandwidth", "start_number"]
+    r = r.select(*keep, F.coalesce(init, empty).alias("init"), F.coalesce(rest, empty).alias("rest"))
+    # Two arrays, not one: of a column alone Spark would ask the size first, and work it out twice.
+    d = r.select(*keep, F.inline(F.concat("init", "rest")))
+    stated = F.col("listed") | (F.col("seq") == 0)
+    d = _filled(d.withColumn("text", F.when(~stated, F.col("media"))), "text", F.col("start_number") + F.col("seq") - 1, F.col("at"), F.col("timed"))
+    d = d.withColumn("location", F.when(stated, F.col("location")).otherwise(F.col("text"))).select(*out)
+    return d.withColumn("is_url", F.col("location").rlike("^https?://"))

@@ -57,10 +57,29 @@ def attributes(tag: Column) -> Column:
     """array<struct<k, v>> of a start tag: lower-cased names, unescaped values, null where there is none."""
     names = F.regexp_extract_all(tag, F.lit(_ATTR), F.lit(1))
     raw = F.regexp_extract_all(tag, F.lit(_ATTR), F.lit(2))
-    value = lambda r: F.when(r != "", unescape(F.regexp_replace(r, r"""^\s*=\s*(?:"([^"]*)"|'([^']*)'|(.*))$""", "$1$2$3")))
+    value = lambda r: F.when(r != "", unescape(_unquoted(r)))
     return F.zip_with(names, raw, lambda n, r: F.struct(F.lower(n).alias("k"), value(r).alias("v")))
 
 
+def _unquoted(raw: Column) -> Column:
+    return F.regexp_replace(raw, r"""^\s*=\s*(?:"([^"]*)"|'([^']*)'|(.*))$""", "$1$2$3")
+
+
+def bare(raw: Column) -> Column:
+    """What stands behind a name, without equals sign and quotes, still escaped; null where there is no value."""
+    return F.when(raw != "", _unquoted(raw))
+
+
+def tokens(tag: Column) -> dict:
+    """Lower-cased names of a start tag's attributes, and what stands behind each; ``raw_of`` and ``bare`` read single ones without the others."""
+    return {"names": F.regexp_extract_all(F.lower(tag), F.lit(_ATTR), F.lit(1)), "raw": F.regexp_extract_all(tag, F.lit(_ATTR), F.lit(2))}
+
+
+def raw_of(names: Column, raw: Column, name: str) -> Column:
+    """What stands behind a name, of repeated ones the last; null where the tag does not have it."""
+    return F.get(raw, F.size(raw) - F.array_position(F.reverse(names), name).cast("int"))
+
+
 def attr(tag: Column, name: str) -> Column:
     """Value of one attribute of a start tag; of repeated ones the last."""
     return get(attributes(tag), name)

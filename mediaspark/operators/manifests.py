@@ -162,25 +162,39 @@ def smil_formats(manifests: DataFrame) -> DataFrame:
     ``route`` is ``rtmp`` or ``http`` for renditions, else the kind of manifest the entry points to;
     rtmp and http renditions without a bitrate are numbered in order.
     """
-    head = F.regexp_extract(hx.without_comments(F.col("body")), r"(?is)<(?:[a-z0-9]+:)?head\b[^>]*>(.*?)</(?:[a-z0-9]+:)?head>", 1)
-    metas = F.transform(F.regexp_extract_all(head, F.lit(r"(?is)(<(?:[a-z0-9]+:)?meta\b[^>]*>)"), F.lit(1)), lambda t: let(hx.attributes(t), lambda a: _any(a, "base", "httpBase")))
+    d = manifests.select("manifest_id", "url", hx.without_comments(F.col("body")).alias("body"))
+    head = F.regexp_extract("body", r"(?is)<(?:[a-z0-9]+:)?head\b[^>]*>(.*?)</(?:[a-z0-9]+:)?head>", 1)
+    # Attributes are read of those tags only that hold the name.
+    based = F.filter(F.regexp_extract_all(head, F.lit(r"(?is)(<(?:[a-z0-9]+:)?meta\b[^>]*>)"), F.lit(1)), lambda t: F.lower(t).contains("base"))
+    metas = F.transform(based, lambda t: let(hx.attributes(t), lambda a: _any(a, "base", "httpBase")))
     base = F.coalesce(F.try_element_at(F.filter(metas, lambda b: b.isNotNull()), F.lit(1)), F.col("url"))
-    d = manifests.select("manifest_id", base.alias("base"), F.posexplode(_sources(F.concat(_tags("video"), _tags("audio")))).alias("pos", "m"))
-    a = F.col("m.a")
-    d = d.select("manifest_id", "pos", "base", F.col("m.src").alias("src"), a.alias("a"), _any(a, "proto").alias("proto"),
-                 F.coalesce(_any(a, "streamer"), F.col("base")).alias("streamer"))
-    a, src, proto, streamer = F.col("a"), F.col("src"), F.col("proto"), F.col("streamer")
-    d = d.withColumn("full", F.trim(F.when(src.startswith("http"), src).otherwise(F.coalesce(ux.resolve(F.col("base"), src), src))))
-    full = F.col("full")
-    src_ext = ux.ext_of(src)
-    route = (F.when((F.coalesce(proto, F.lit("")) == "rtmp") | streamer.startswith("rtmp"), F.lit("rtmp"))
-             .when((F.coalesce(proto, F.lit("")) == "m3u8") | (src_ext == "m3u8"), F.lit("m3u8")).when(src_ext == "f4m", F.lit("f4m"))
+    tags = lambda name: F.regexp_extract_all("body", F.lit(rf"(?is)(<(?:[a-z0-9]+:)?{name}\b[^>]*>)"), F.lit(1))
+    # Within the row tags are cut into attributes, and each source stays once; the other attributes are read row by row, by plain columns, which Spark compiles.
+    d = d.select("manifest_id", base.alias("base"), F.transform(F.concat(tags("video"), tags("audio")), lambda t: pack(**hx.tokens(t))).alias("tags"))
+    src_of = lambda t: let(hx.bare(hx.raw_of(t["names"], t["raw"], "src")), lambda v: filled(hx.unescape(v)))
+    d = d.select("manifest_id", "base", "tags", F.transform("tags", src_of).alias("srcs"))
+    pairs = F.zip_with("tags", "srcs", lambda t, src: pack(src=src, names=t["names"], raw=t["raw"]))
+    firsts = F.filter(pairs, lambda m, i: m["src"].isNotNull() & (F.array_position("srcs", m["src"]) == i + 1))
+    d = d.select("manifest_id", "base", F.posexplode(firsts).alias("pos", "m"))
+    names = ["proto", "streamer", "system-bitrate", "systembitrate", "size", "filesize", "width", "height", "ext"]
+    d = d.select("manifest_id", "pos", "base", F.col("m.src").alias("src"), F.array(*[hx.bare(hx.raw_of(F.col("m.names"), F.col("m.raw"), n)) for n in names]).alias("a"))
+    d = d.withColumn("a", F.transform("a", lambda v: filled(hx.unescape(v))))
+    a = lambda *of: F.coalesce(*[F.get("a", F.lit(names.index(n))) for n in of])
+    src = F.col("src")
+    d = d.withColumns({"proto": F.coalesce(a("proto"), F.lit("")), "streamer": F.coalesce(a("streamer"), F.col("base")), "src_ext": ux.ext_of(src),
+                       "full": F.trim(F.when(src.startswith("http"), src).otherwise(F.coalesce(ux.resolve(F.col("base"), src), src)))})
+    proto, streamer, full, src_ext = F.col("proto"), F.col("streamer"), F.col("full"), F.col("src_ext")
+    route = (F.when((proto == "rtmp") | streamer.startswith("rtmp"), F.lit("rtmp"))
+             .when((proto == "m3u8") | (src_ext == "m3u8"), F.lit("m3u8")).when(src_ext == "f4m", F.lit("f4m"))
              .when(src_ext == "mpd", F.lit("mpd")).when(full.rlike(r"\.ism/[Mm]anifest"), F.lit("ism")).when(full.startswith("http"), F.lit("http")))
-    tbr = _any(a, "system-bitrate", "systemBitrate").try_cast("double") / 1000
-    d = d.select("manifest_id", "pos", route.alias("route"), F.when(route == "rtmp", streamer).otherwise(full).alias("url"),
-                 F.when(route == "rtmp", src).alias("play_path"), tbr.alias("tbr"), _any(a, "size", "fileSize").try_cast("bigint").alias("filesize"),
-                 _any(a, "width").try_cast("int").alias("width"), _any(a, "height").try_cast("int").alias("height"),
-                 F.when(route == "rtmp", F.lit("flv")).when(route == "http", F.coalesce(_any(a, "ext"), src_ext)).alias("ext"))
+    # The filter by the route stays above, so that nothing is worked out for it again.
+    d = d.select("manifest_id", "pos", "src", "a", "streamer", "src_ext", "full", once(route).alias("route"))
+    route = F.col("route")
+    tbr = a("system-bitrate", "systembitrate").try_cast("double") / 1000
+    d = d.select("manifest_id", "pos", "route", F.when(route == "rtmp", streamer).otherwise(full).alias("url"),
+                 F.when(route == "rtmp", src).alias("play_path"), tbr.alias("tbr"), a("size", "filesize").try_cast("bigint").alias("filesize"),
+                 a("width").try_cast("int").alias("width"), a("height").try_cast("int").alias("height"),
+                 F.when(route == "rtmp", F.lit("flv")).when(route == "http", F.coalesce(a("ext"), src_ext)).alias("ext"))
     d = d.filter(F.col("route").isNotNull())
     # The count of entries of one kind so far, within one stored file.
     n = F.row_number().over(W.partitionBy("manifest_id", "route").orderBy("pos"))

@@ -256,6 +256,10 @@ def xspf_formats(manifests: DataFrame) -> DataFrame:
                     F.col("l._width").try_cast("int").alias("width"), F.col("l._height").try_cast("int").alias("height")).filter(F.col("url").isNotNull())
 
 
+#: Rows of the closure of manifests that are broadcast; more are joined by a shuffle.
+MAX_BROADCAST_ROWS = 100_000
+
+
 def resolve_manifest_edges(formats: DataFrame, children: DataFrame) -> DataFrame:
     """Replace entries that point to a manifest by that manifest's renditions, over any number of hops.
 
@@ -263,27 +267,56 @@ def resolve_manifest_edges(formats: DataFrame, children: DataFrame) -> DataFrame
     ``format`` is an edge to ``children(manifest_url, pos, route, ...)``. An only child takes size and
     bitrate it lacks from its parent. ``path`` keeps the order; an edge without a target gives nothing. An edge to a
     manifest that is already on its own path ends with the route ``cycle``; the rounds end when no edge is left.
+
+    The rounds work on manifests, not on rows: what stands behind an edge depends on its URL, and on whether it has a bitrate. Each round
+    writes only the edges that are left; renditions are joined to them, and to the rows, when the result is read.
     """
-    fields = ["format_id", "url", "tbr", "width", "height"]
+    sizes = ["tbr", "width", "height"]
+    fields = ["format_id", "url", *sizes]
+    rated = F.coalesce("tbr", F.lit(0)) != 0
     many = children.groupBy("manifest_url").agg(F.count(F.lit(1)).alias("__n"))
     kids = children.join(many, "manifest_url")
-    kids = kids.select(F.col("manifest_url").alias("k_manifest"), F.col("__n"), F.col("route").alias("k_route"), F.col("pos").alias("k_pos"),
-                       *[F.col(c).alias(f"k_{c}") for c in fields])
-    own = ["media_id", "path", "route", *fields]
-    state = formats.select("media_id", F.array(F.col("pos").cast("bigint")).alias("path"), "route", *fields)
-    done = [state.filter("route = 'format'")]
-    live = state.filter("route <> 'format'").withColumn("seen", F.array("url"))
-    while True:
+    kids = kids.select(F.col("manifest_url").alias("k_manifest"), (F.col("__n") == 1).alias("only"), F.col("route").alias("k_route"),
+                       F.col("pos").cast("bigint").alias("k_pos"), *[F.col(c).alias(f"k_{c}") for c in fields])
+    edges = formats.filter("route <> 'format'").withColumn("rated", rated)
+    # own_x: the row behind the edge takes x from the edge itself, as long as only children that lack it follow each other.
+    live = edges.select("url", "rated").distinct()
+    live = live.select(F.col("url").alias("root"), "rated", F.expr("CAST(array() AS ARRAY<BIGINT>)").alias("tail"), "url", F.array("url").alias("seen"),
+                       F.lit(None).cast(_type(children, "format_id")).alias("format_id"), F.lit(True).alias("own_format_id"),
+                       *[x for c in sizes for x in (F.lit(None).cast(_type(children, c)).alias(c), F.lit(True).alias(f"own_{c}"))])
+    live = cut(live)
+    state = ["root", "rated", "tail", "url", *[x for c in ("format_id", *sizes) for x in (c, f"own_{c}")]]
+
+    def step(live, kids):
         j = live.join(kids, live["url"] == kids["k_manifest"])
-        only = F.col("__n") == 1
-        take = lambda c: F.when(only, F.coalesce(F.nullif(F.col(f"k_{c}"), F.lit(0)), F.col(c))).otherwise(F.col(f"k_{c}")).alias(c)
-        fid = F.when(only & (F.coalesce("tbr", F.lit(0)) != 0), F.col("format_id")).otherwise(F.col("k_format_id")).alias("format_id")
+        lacks = lambda c: F.nullif(F.col(f"k_{c}"), F.lit(0)).isNull()
+        take = lambda c: F.when(F.col("only"), F.coalesce(F.nullif(F.col(f"k_{c}"), F.lit(0)), F.col(c))).otherwise(F.col(f"k_{c}")).alias(c)
+        # The parent's name stays with its only child where the parent has a bitrate.
+        keeps = F.col("only") & F.when(F.col("own_tbr"), F.col("rated")).otherwise(rated)
         again = (F.col("k_route") != "format") & F.array_contains("seen", F.col("k_url"))
-        step = cut(j.select("media_id", F.concat("path", F.array(F.col("k_pos").cast("bigint"))).alias("path"),
-                            F.when(again, F.lit("cycle")).otherwise(F.col("k_route")).alias("route"), fid, F.col("k_url").alias("url"),
-                            take("tbr"), take("width"), take("height"), F.concat("seen", F.array("k_url")).alias("seen")))
-        done.append(step.filter("route IN ('format', 'cycle')").select(*own))
-        live = step.filter("route NOT IN ('format', 'cycle')")
+        return j.select("root", "rated", F.concat("tail", F.array("k_pos")).alias("tail"), F.col("k_url").alias("url"),
+                        F.when(again, F.lit("cycle")).otherwise(F.col("k_route")).alias("route"), F.concat("seen", F.array("k_url")).alias("seen"),
+                        F.when(keeps, F.col("format_id")).otherwise(F.col("k_format_id")).alias("format_id"), (F.col("own_format_id") & keeps).alias("own_format_id"),
+                        *[x for c in sizes for x in (take(c), (F.col(f"own_{c}") & F.col("only") & lacks(c)).alias(f"own_{c}"))])
+    ends, inner = kids.filter("k_route = 'format'"), kids.filter("k_route <> 'format'")
+    done = []
+    while True:
+        done.append(step(live, ends).select(*state, "route"))
+        further = cut(step(live, inner))
+        done.append(further.filter("route = 'cycle'").select(*state, "route"))
+        live = further.filter("route <> 'cycle'")
         if live.isEmpty():
             break
-    return reduce(DataFrame.unionByName, done)
+    behind = reduce(DataFrame.unionByName, done)
+    behind = behind.select(*[F.col(c).alias(f"b_{c}") for c in behind.columns])
+    if behind.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        behind = F.broadcast(behind)
+    j = edges.join(behind, (edges["url"] == behind["b_root"]) & (edges["rated"] == behind["b_rated"]))
+    own = lambda c: F.when(F.col(f"b_own_{c}"), F.col(c)).otherwise(F.col(f"b_{c}")).alias(c)
+    at = F.array(F.col("pos").cast("bigint"))
+    found = j.select("media_id", F.concat(at, "b_tail").alias("path"), F.col("b_route").alias("route"), own("format_id"), F.col("b_url").alias("url"), *[own(c) for c in sizes])
+    return formats.filter("route = 'format'").select("media_id", at.alias("path"), "route", *fields).unionByName(found)
+
+
+def _type(df: DataFrame, col: str):
+    return df.schema[col].dataType
